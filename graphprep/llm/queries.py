@@ -12,6 +12,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op2_cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines, as digests."""
+    from graphprep.llm.linededup import dedup_lines
+
+    kept = dedup_lines(_documents(spark, sf_dir), stats=True)
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
+    from graphprep.llm.simhash import near_duplicates
+
+    found = near_duplicates(_documents(spark, sf_dir), shingle=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of eight shards of the ring, counts at most one apart."""
     from graphprep.llm.sharding import assign
@@ -37,8 +53,25 @@ def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_cuckoo_line_dedup": op2_cuckoo_line_dedup,
+    "op3_golay_simhash": op3_golay_simhash,
     "op4_ring_sharding": op4_ring_sharding,
     "op6_png_media": op6_png_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Blanks of the line keys, and what lower-cases A-Z alone.
+_BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_cuckoo_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents
+        ), keyed AS (SELECT doc_id, at, line, {_LOWER.format(f"trim(line, {_BLANKS})")} AS key FROM lines),
+        repeated AS (SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.top AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}
