@@ -35,6 +35,17 @@ def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(_documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text to ids and back."""
+    import public_tokenizers
+
+    from graphprep.llm.bytebpe import decode, encode, read_ranks
+
+    tokens = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    both = decode(encode(_documents(spark, sf_dir), tokens, public_tokenizers.PATTERN), tokens)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text through a PNG column and back."""
     from graphprep.llm.media import read_media, with_media
@@ -52,11 +63,25 @@ def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in windows of 2048 tokens."""
+    import public_tokenizers
+
+    from graphprep.llm.packing import WINDOW, pack
+    from graphprep.llm.wordbpe import token_pieces
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        pieces = token_pieces(_documents(spark, sf_dir), f.read(), WINDOW).drop("ids")
+    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cuckoo_line_dedup": op2_cuckoo_line_dedup,
     "op3_golay_simhash": op3_golay_simhash,
     "op4_ring_sharding": op4_ring_sharding,
+    "op5_two_tier_bpe": op5_two_tier_bpe,
     "op6_png_media": op6_png_media,
+    "op7_linear_grouping": op7_linear_grouping,
 }
 
 #: Blanks of the line keys, and what lower-cases A-Z alone.
@@ -66,12 +91,12 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 ORACLE_SQL: dict[str, str] = {
     "op2_cuckoo_line_dedup": f"""
         WITH lines AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents
-        ), keyed AS (SELECT doc_id, at, line, {_LOWER.format(f"trim(line, {_BLANKS})")} AS key FROM lines),
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+        ), keyed AS (SELECT doc_id, pos, line, {_LOWER.format(f"trim(line, {_BLANKS})")} AS key FROM lines),
         repeated AS (SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
         marked AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.top AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-            sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
 }
