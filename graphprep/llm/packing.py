@@ -25,7 +25,9 @@ from graphprep.llm.common import materialize, ranked
 WINDOW = 2048
 #: Pieces of at most this share of a window are small.
 SMALL_PART = 6
-GROUPS = 48
+GROUPS = 128
+#: Column generation stops when no more than this share of the windows could be saved.
+GAP = 5e-4
 #: Rows of one length that one task numbers.
 RANK_ROWS = 200_000
 
@@ -41,7 +43,7 @@ def _simplex(columns: np.ndarray, demand: np.ndarray, capacity: int, sizes: np.n
             amount = inverse @ demand
         price = inverse.sum(axis=0)
         value, pattern = _knapsack(price, sizes, capacity)
-        if value <= 1 + 1e-9:
+        if value <= 1 + GAP:
             break
         direction = inverse @ pattern
         ratio = np.where(direction > 1e-9, np.maximum(amount, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
@@ -59,28 +61,30 @@ def _simplex(columns: np.ndarray, demand: np.ndarray, capacity: int, sizes: np.n
 
 
 def _knapsack(price: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The configuration worth most: unbounded knapsack over all sizes."""
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    order = [g for g in np.argsort(sizes) if price[g] > 1e-12]
+    """The configuration worth most: a layer of the table for each piece more, as few large pieces share a window."""
+    order = [g for g in range(len(sizes)) if price[g] > 1e-12]
+    pattern = np.zeros(len(sizes))
     if not order:
-        return 0.0, np.zeros(len(sizes))
-    s, p = sizes[order], price[order]
-    for c in range(int(s[0]), capacity + 1):
-        k = int(np.searchsorted(s, c, side="right"))
-        offer = best[c - s[:k]] + p[:k]
-        i = int(np.argmax(offer))
-        if offer[i] > best[c - 1]:
-            best[c], last[c] = offer[i], order[i]
-        else:
-            best[c], last[c] = best[c - 1], -2
-    pattern, c = np.zeros(len(sizes)), capacity
-    while c > 0 and last[c] != -1:
-        if last[c] == -2:
-            c -= 1
-        else:
-            pattern[last[c]] += 1
-            c -= int(sizes[last[c]])
+        return 0.0, pattern
+    best, picks = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(sizes.min())):
+        more, pick = best.copy(), np.full(capacity + 1, -1)
+        for g in order:
+            s = int(sizes[g])
+            offer, now = best[: capacity + 1 - s] + price[g], more[s:]
+            better = offer > now
+            now[better] = offer[better]
+            pick[s:][better] = g
+        if not (pick >= 0).any():
+            break
+        best = more
+        picks.append(pick)
+    c = capacity
+    for pick in reversed(picks):
+        g = int(pick[c])
+        if g >= 0:
+            pattern[g] += 1
+            c -= int(sizes[g])
     return float(best[capacity]), pattern
 
 
