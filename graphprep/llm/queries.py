@@ -75,6 +75,14 @@ def op7_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's links and component."""
+    from graphprep.llm.neardup_vectors import near_duplicates
+
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cuckoo_line_dedup": op2_cuckoo_line_dedup,
     "op3_golay_simhash": op3_golay_simhash,
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_two_tier_bpe": op5_two_tier_bpe,
     "op6_png_media": op6_png_media,
     "op7_linear_grouping": op7_linear_grouping,
+    "op9_pca_tiles": op9_pca_tiles,
 }
 
 #: Blanks of the line keys, and what lower-cases A-Z alone.
