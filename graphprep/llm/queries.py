@@ -12,6 +12,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under a class bigram model of the documents that are not held out."""
+    from graphprep.llm.brown import score, train
+
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return score(docs, train(docs.where(~held_out)), held_out)
+
+
 def op2_cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines, as digests."""
     from graphprep.llm.linededup import dedup_lines
@@ -84,6 +93,7 @@ def op9_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_scores": op1_brown_scores,
     "op2_cuckoo_line_dedup": op2_cuckoo_line_dedup,
     "op3_golay_simhash": op3_golay_simhash,
     "op4_ring_sharding": op4_ring_sharding,
