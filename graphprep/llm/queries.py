@@ -84,6 +84,23 @@ def op7_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+#: The chain's categories in order, from the two labels that the tables have.
+TOXICITY_LABELS = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_fluent": "toxic = 1 AND quality = 1"}
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", *[F.expr(c).alias(n) for n, c in TOXICITY_LABELS.items()])
+
+
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities and verdicts from a chain fitted on the labelled documents."""
+    from graphprep.llm.toxicity import fit, predict
+
+    docs = _documents(spark, sf_dir)
+    chain = fit(docs, toxicity_labels(spark, sf_dir), list(TOXICITY_LABELS))
+    return predict(docs, chain).drop("text")
+
+
 def op9_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding's links and component."""
     from graphprep.llm.neardup_vectors import near_duplicates
@@ -92,6 +109,17 @@ def op9_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
+#: Key of the surrogates; a real run takes its own from a secret store.
+SURROGATE_KEY = "graphprep"
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with personal data replaced, and the number of replacements."""
+    from graphprep.llm.pii import replace_entities
+
+    return replace_entities(_documents(spark, sf_dir), SURROGATE_KEY, count="n_entities").select("doc_id", "n_entities", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_scores": op1_brown_scores,
     "op2_cuckoo_line_dedup": op2_cuckoo_line_dedup,
@@ -100,7 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_two_tier_bpe": op5_two_tier_bpe,
     "op6_png_media": op6_png_media,
     "op7_linear_grouping": op7_linear_grouping,
+    "op8_toxicity_chain": op8_toxicity_chain,
     "op9_pca_tiles": op9_pca_tiles,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 #: Blanks of the line keys, and what lower-cases A-Z alone.
