@@ -109,42 +109,68 @@ def _script(text: Column) -> Column:
     return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _person(canon: Column, attempt: Column, key: str) -> Column:
+def _people(x: Column, key: str) -> Column:
     """Made-up names, one for each name word; a word gets the same one wherever it stands in the same place and gender."""
-    gender, words = F.substring(canon, 1, 1), F.split(F.substring(canon, F.lit(3), F.length(canon)), " ")
-
-    def word(w: Column, i: Column) -> Column:
-        last = i == F.size(words) - 1
-        role = F.when(last, F.lit("family")).otherwise(F.concat(F.lit("given"), gender))
-        stream = _stream(key, F.lit("name"), role, w, F.when(last, attempt).otherwise(F.lit(0)).cast("string"))
-        out = None
-        for script, parts in SYLLABLES.items():
-            table = F.array(*map(F.lit, parts))
-            count = F.lit(3) + F.when(last, F.greatest(attempt - GROW_AT + 1, F.lit(0))).otherwise(0)
-            made = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.element_at(table, _number(stream, k, 16) + 1)), "")  # noqa: B023
-            end = F.when(last, F.lit("")).when(gender == "f", FEMALE_END[script]).otherwise(MALE_END[script])
-            made = F.initcap(F.concat(made, end))
-            out = F.when(_script(w) == script, made) if out is None else out.when(_script(w) == script, made)
-        return out
-
-    return F.array_join(F.transform(words, word), " ")
-
-
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a canonical form, itself in canonical spelling."""
-    stream = _stream(key, kind, canon, attempt.cast("string"))
-    digits = _characters(canon, stream)
-    country = F.greatest(F.length(canon) - 10, F.lit(0))
-    phone = F.concat(F.substring(canon, F.lit(1), country), F.substring(digits, country + 1, F.lit(20)))
-    head = F.substring(digits, F.lit(1), F.length(canon) - 1)
-    card = F.concat(head, F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: _luhn(F.concat(head, d)) == _luhn(canon)), F.when(_luhn(canon), F.lit(1)).otherwise(_number(stream, F.lit(40), 9) + 1)))
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    more = F.when(attempt >= GROW_AT, F.substring(stream, F.lit(1), attempt)).otherwise(F.lit(""))
-    email = F.concat(_characters(local, stream), more, F.lit("@"), _characters(F.substring_index(domain, ".", 1), _stream(key, F.lit("domain"), domain)), F.lit(".example"))
-    ip = F.concat_ws(".", *[F.conv(F.substring(stream, i, 2), 16, 10) for i in (1, 3, 5, 7)])
-    secret = F.substring(stream, F.lit(1), F.length(canon))
-    iban = F.concat(F.substring(canon, 1, 2), F.substring(digits, F.lit(3), F.length(canon)))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", digits).when(kind == "secret", secret).when(kind == "iban", iban).otherwise(_person(canon, attempt, key))
+    canon, attempt = x["canon"], x["attempt"]
+    words = F.split(F.substring(canon, F.lit(3), F.length(canon)), " ")
+    last = F.size(words) - 1
+    steps = F.transform(words, lambda w, i: F.struct(w.alias("w"), (i == last).alias("last"), F.substring(canon, 1, 1).alias("gender"), _script(w).alias("script")))
+    steps = F.transform(
+        steps,
+        lambda y: F.struct(
+            y["last"].alias("last"),
+            y["gender"].alias("gender"),
+            y["script"].alias("script"),
+            _stream(key, F.lit("name"), F.when(y["last"], F.lit("family")).otherwise(F.concat(F.lit("given"), y["gender"])), y["w"], F.when(y["last"], attempt).otherwise(F.lit(0)).cast("string")).alias("stream"),
+            (F.lit(2) + F.when(y["last"], F.greatest(attempt - GROW_AT + 1, F.lit(0))).otherwise(0)).alias("parts"),
+        ),
+    )
+    tables = F.create_map(*[v for script, parts in SYLLABLES.items() for v in (F.lit(script), F.array(*map(F.lit, parts)))])
+    ends = F.create_map(*[F.lit(v) for script in SYLLABLES for v in (f"f{script}", FEMALE_END[script], f"m{script}", MALE_END[script])])
+
+    def made(y: Column) -> Column:
+        core = F.array_join(F.transform(F.sequence(F.lit(0), y["parts"]), lambda k: F.element_at(F.element_at(tables, y["script"]), _number(y["stream"], k, 16) + 1)), "")
+        return F.initcap(F.concat(core, F.when(y["last"], F.lit("")).otherwise(F.element_at(ends, F.concat(y["gender"], y["script"])))))
+
+    return F.array_join(F.transform(steps, made), " ")
+
+
+def surrogates(items: Column, key: str) -> Column:
+    """items: an array of structs (m, kind, canon, attempt). Gives structs (m, kind, made): made is the surrogate, itself in
+    canonical spelling. Each step makes fields that the next one reads, so that no expression is written out twice."""
+    items = F.transform(
+        items,
+        lambda x: F.struct(
+            *[x[c].alias(c) for c in ("m", "kind", "canon", "attempt")],
+            _stream(key, x["kind"], x["canon"], x["attempt"].cast("string")).alias("stream"),
+            F.substring_index(x["canon"], "@", 1).alias("local"),
+            F.substring_index(x["canon"], "@", -1).alias("domain"),
+            F.when(x["kind"] == "card", _luhn(x["canon"])).alias("luhn"),
+        ),
+    )
+    items = F.transform(
+        items,
+        lambda x: F.struct(
+            *[x[c].alias(c) for c in ("m", "kind", "canon", "attempt", "stream", "luhn")],
+            _characters(F.when(x["kind"] == "email", x["local"]).otherwise(x["canon"]), x["stream"]).alias("chars"),
+            F.when(x["kind"] == "email", _characters(F.substring_index(x["domain"], ".", 1), _stream(key, F.lit("domain"), x["domain"]))).alias("domain"),
+        ),
+    )
+
+    def made(x: Column) -> Column:
+        kind, canon, stream, chars = x["kind"], x["canon"], x["stream"], x["chars"]
+        country = F.greatest(F.length(canon) - 10, F.lit(0))
+        phone = F.concat(F.substring(canon, F.lit(1), country), F.substring(chars, country + 1, F.lit(20)))
+        head = F.substring(chars, F.lit(1), F.length(canon) - 1)
+        last = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: _luhn(F.concat(head, d)) == x["luhn"])
+        card = F.concat(head, F.element_at(last, F.when(x["luhn"], F.lit(1)).otherwise(_number(stream, F.lit(40), 9) + 1)))
+        email = F.concat(chars, F.when(x["attempt"] >= GROW_AT, F.substring(stream, F.lit(1), x["attempt"])).otherwise(F.lit("")), F.lit("@"), x["domain"], F.lit(".example"))
+        ip = F.concat_ws(".", *[F.conv(F.substring(stream, i, 2), 16, 10) for i in (1, 3, 5, 7)])
+        secret = F.substring(stream, F.lit(1), F.length(canon))
+        iban = F.concat(F.substring(canon, 1, 2), F.substring(chars, F.lit(3), F.length(canon)))
+        return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", chars).when(kind == "secret", secret).when(kind == "iban", iban).otherwise(_people(x, key))
+
+    return F.transform(items, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), made(x).alias("made")))
 
 
 def _spelt(kind: Column, m: Column, made: Column) -> Column:
@@ -175,7 +201,8 @@ def find_exceptions(entities: DataFrame, key: str) -> DataFrame:
     Of entities that share a surrogate the one least in order keeps it. Every attempt is compared with all entities and with
     all surrogates given so far, so in the end surrogates are distinct and none is an entity of the table.
     """
-    made = lambda df, attempt: df.withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key)).withColumn("attempt", F.lit(attempt))
+    one = lambda attempt: F.array(F.struct(F.lit("").alias("m"), F.col("kind").alias("kind"), F.col("canon").alias("canon"), F.lit(attempt).alias("attempt")))
+    made = lambda df, attempt: df.withColumn("made", F.element_at(surrogates(one(attempt), key), 1)["made"]).withColumn("attempt", F.lit(attempt))
     settled, open_ = None, entities
     for attempt in range(MOST_ATTEMPTS):
         tried = materialize(made(open_, attempt), "pii-tried")
@@ -217,14 +244,13 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", id_col: str
         base = docs.join(maps, docs[id_col].eqNullSafe(maps["_pii_id"]), "left")
         attempt_of = lambda name: F.coalesce(F.element_at("_pii_attempts", name), F.lit(0))
 
-    def replaced(m: Column) -> Column:
-        kind = _kind(m)
-        canon = _canonical(kind, m)
-        return _spelt(kind, m, surrogate(kind, canon, attempt_of(named(kind, canon)), key))
-
+    items = F.transform("_pii_found", lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+    items = F.transform(items, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _canonical(x["kind"], x["m"]).alias("canon")))
+    items = F.transform(items, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["canon"].alias("canon"), attempt_of(named(x["kind"], x["canon"])).alias("attempt")))
+    spelt = F.transform(surrogates(items, key), lambda x: _spelt(x["kind"], x["m"], x["made"]))
     found = base.withColumn("_pii_found", _matches(F.col(text)))
     gaps = F.split(F.col(text), ANY, -1)
-    new = F.array_join(F.zip_with(gaps, F.transform("_pii_found", replaced), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+    new = F.array_join(F.zip_with(gaps, spelt, lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
     done = found.withColumn(text, F.when(F.size("_pii_found") > 0, new).otherwise(F.col(text)))
     extra = [F.size("_pii_found").cast("long").alias(count)] if count else []
     return done.select(*docs.columns, *extra)
