@@ -32,13 +32,13 @@ GAP = 5e-4
 RANK_ROWS = 200_000
 
 
-def _simplex(columns: np.ndarray, demand: np.ndarray, capacity: int, sizes: np.ndarray, most_columns: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def _simplex(columns: np.ndarray, demand: np.ndarray, capacity: int, sizes: np.ndarray, most_columns: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Column generation for: least number of windows that hold demand[g] pieces of each size. Gives columns and amounts."""
     basis = columns.astype(float)
     inverse = np.linalg.inv(basis)
     amount = inverse @ demand
     for step in range(most_columns):
-        if step % 50 == 49:
+        if step % 200 == 199:
             inverse = np.linalg.inv(basis)
             amount = inverse @ demand
         price = inverse.sum(axis=0)
