@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from graphprep.llm.common import map_batches, text_bytes, worker_cache
 
 #: Units of text kept by one Python worker.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 700_000
 #: Keys of a bucket on average.
 _BUCKET = 3
 _MASK, _STEP, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -113,25 +113,25 @@ class Vocabulary:
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge the adjacent pair of least rank, the first of equals, until none is left. ranks: of all tokens."""
     n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    ends = list(range(1, n + 1))  # a live part i covers piece[i:ends[i]]; 0 once merged away
-    rank = ranks.get
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    ends = list(range(1, n + 2))  # a live part i covers piece[i:ends[i]]; 0 once merged away
+    rank, push, pop = ranks.get, heapq.heappush, heapq.heappop
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, end = heapq.heappop(heap)
+        _, i, end = pop(heap)
         j = after[i]
         if not ends[i] or j >= n or ends[j] != end:
             continue  # one of its parts has changed meanwhile
         ends[i], ends[j] = end, 0
-        k = after[i] = after[j]
-        if k < n:
-            before[k] = i
-            if (r := rank(piece[i : ends[k]])) is not None:
-                heapq.heappush(heap, (r, i, ends[k]))
+        after[i] = end  # parts are contiguous: the next one begins where this one ends
+        if end < n:
+            before[end] = i
+            if (r := rank(piece[i : ends[end]])) is not None:
+                push(heap, (r, i, ends[end]))
         p = before[i]
         if p >= 0 and (r := rank(piece[p:end])) is not None:
-            heapq.heappush(heap, (r, p, end))
+            push(heap, (r, p, end))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : ends[i]]])
@@ -147,38 +147,46 @@ class ByteEncoder:
         self.ranks = {t: i for i, t in enumerate(vocabulary.tokens)}
         # White space in the pattern is the Unicode property, without the separators U+001C to U+001F.
         self.find = regex.compile(pattern).findall
-        self.uneven = regex.compile(r"\s | \s|^ | $|[\x1c-\x1f]").search
-
-    def unit(self, text: str) -> bytes:
-        out = array("I")
-        for piece in self.find(text):
-            raw = piece.encode()
-            r = self.vocabulary.rank(raw)
-            if r >= 0:
-                out.append(r)
-            else:
-                out.extend(merge_bytes(raw, self.ranks))
-        return out.tobytes()
+        self.uneven = regex.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x1c-\x1f]").search
+
+    def _piece(self, piece: str) -> bytes:
+        raw = piece.encode()
+        r = self.vocabulary.rank(raw)
+        return array("I", (r,) if r >= 0 else merge_bytes(raw, self.ranks)).tobytes()
+
+    def _unit(self, text: str, cache: dict[str, bytes]) -> bytes:
+        """A unit of several pieces (a word with its punctuation, say) is put together from pieces that are kept as well."""
+        pieces = self.find(text)
+        if len(pieces) == 1:
+            ids = self._piece(text)
+        else:
+            parts = []
+            for p in pieces:
+                part = cache.get(p)
+                if part is None:
+                    part = cache[p] = self._piece(p)
+                parts.append(part)
+            ids = b"".join(parts)
+        cache[text] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers.
 
-        Where single spaces stand between other characters, the pattern always cuts before the space: units that begin
-        there are encoded once and kept. Texts with other spaces are cut by the pattern as a whole.
+        The pattern always cuts before a single space between other characters, and before and behind a single newline
+        there: units that begin at such places are encoded once and kept. Texts with other spaces are cut by the pattern
+        as a whole.
         """
         cache = worker_cache("bytebpe", CACHE_UNITS)
+        get, unit = cache.get, self._unit
         if self.uneven(text):
-            units = self.find(text)
-        else:
-            first, *rest = text.split(" ")
-            units = [first, *[" " + x for x in rest]] if first or rest else []
-        out = []
-        for u in units:
-            ids = cache.get(u)
-            if ids is None:
-                ids = cache[u] = self.unit(u)
-            out.append(ids)
-        return b"".join(out)
+            return b"".join([get(u) or unit(u, cache) for u in self.find(text)])
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            ids = [get(u) or unit(u, cache) for u in [" " + x for x in rest]]
+            lines.append(b"".join([(get(first) or unit(first, cache)) if first else b"", *ids]))
+        return (get("\n") or unit("\n", cache)).join(lines)
 
 
 def _encoder(tokens: list[bytes], pattern: str, shift: bytes) -> ByteEncoder:
