@@ -1,6 +1,5 @@
 """Registered queries and their SQL counterparts."""
 
-from __future__ import annotations
+from graphprep.plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
