@@ -29,7 +29,8 @@ def drop_empty(tokens: Column) -> Column:
 
 
 def token(text: Column) -> Column:
-    return F.struct(F.lit("token").alias("kind"), text.alias("token"), F.lit(None).cast("int").alias("pointer"), F.lit(None).cast("string").alias("class")).cast(OUTPUT)
+    """Output tokens are escaped as labels are, so that equal ones can be copied."""
+    return F.struct(F.lit("token").alias("kind"), escape(text).alias("token"), F.lit(None).cast("int").alias("pointer"), F.lit(None).cast("string").alias("class")).cast(OUTPUT)
 
 
 def pointer(at: Column) -> Column:

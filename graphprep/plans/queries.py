@@ -92,7 +92,7 @@ def pointer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pointed_chains(spark, sf_dir).select("item_id", F.explode(E.pointer_pairs(F.col("output"))).alias("p")).select("item_id", "p.output", "p.node")
 
 
-@query("SELECT item_id, 'POINTER(' || CAST(floor(len(string_split(text, ' ')) / 2) AS INTEGER) || ') ' || string_split(text, ' ')[1] || ' DONE' AS said FROM benchmark")
+@query(f"SELECT item_id, 'POINTER(' || CAST(floor(len(string_split(text, ' ')) / 2) AS INTEGER) || ') ' || {_ESC.format("string_split(text, ' ')[1]")} || ' DONE' AS said FROM benchmark")
 def output_linearise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pointed_chains(spark, sf_dir).select("item_id", F.array_join(T.linearise(F.col("output"), with_ids=True), " ").alias("said"))
 
