@@ -156,9 +156,9 @@ def _context_counts(docs: DataFrame, words: dict[bytes, int], cls: np.ndarray, w
         cells = np.flatnonzero(tables)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(tables[cells])], names=["cell", "n"])
 
-    got = map_batches(docs.select("text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = map_batches(docs.select("text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 * n * wide)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     both = out.reshape(2, n, wide)
     return both[0], both[1]
 
@@ -202,11 +202,11 @@ def train(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT, swe
     """Fit on all texts of docs (text). Null texts count as empty: an end alone. No rows: a model that knows nothing."""
     counts = materialize(_count_words(docs), "brown-words")
     total, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0))).first()
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(frequent - 1).toPandas()
+    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(frequent - 1).toArrow()
     ends = counts.where(F.col("word") == F.lit(END)).first()
-    names = [END, *map(bytes, top["word"])]
+    names = [END, *top.column("word").to_pylist()]
     words = {w: i for i, w in enumerate(names)}
-    n_of = np.array([ends["n"] if ends else 0, *top["n"]], np.float64)
+    n_of = np.concatenate([[ends["n"] if ends else 0], top.column("n").to_numpy()]).astype(np.float64)
     end_class, rare_class, wide = classes, classes + 1, classes + 2
     # At first the words are dealt out by frequency.
     cls = np.append([end_class], (np.arange(len(names) - 1)) % classes).astype(np.int64)
