@@ -534,3 +534,122 @@ def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shift_and_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select("event_id", F.lag("event_type", 1, "<start>").over(w).alias("shifted"), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("seen"))
+
+
+# ---- more of the inventory
+
+
+@query(f"SELECT lang, source, count(*) AS n FROM documents WHERE {_PCT.format('two', 'doc_id')} < 80 GROUP BY 1, 2")
+def two_way_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 80 % side of a two-way split of a train set."""
+    docs = table(spark, sf_dir, "documents").where(R.percent("two", F.col("doc_id")) < 80)
+    return docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT task, count(*) AS n FROM (SELECT 'ask' AS task FROM conversations WHERE role = 'user' UNION ALL SELECT 'page' FROM pages UNION ALL SELECT 'item' FROM benchmark) GROUP BY task")
+def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources tagged with their task in one stream of rows."""
+    parts = [table(spark, sf_dir, t).where(w).select(F.lit(n).alias("task")) for n, t, w in (("ask", "conversations", "role = 'user'"), ("page", "pages", "true"), ("item", "benchmark", "true"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE WHEN url LIKE '%1%' THEN 'train' WHEN url LIKE '%2%' THEN 'valid' ELSE 'test' END AS split, count(*) AS n FROM pages GROUP BY 1")
+def path_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").groupBy(F.when(url.contains("1"), "train").when(url.contains("2"), "valid").otherwise("test").alias("split")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id, md5(trim(html, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))) AS stripped FROM pages")
+def strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip(F.col("html"))).alias("stripped"))
+
+
+@query("SELECT item_id, array_to_string(list_filter(string_split(replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '([^A-Za-z0-9_])', ' \\1 ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g'), '\"', '`'), '''', '`'), ' '), lambda x: x <> ''), ' ') AS toks FROM benchmark")
+def bleu_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.bleu_tokens(F.col("text")), " ").alias("toks"))
+
+
+@query(f"""WITH {_PT}, m AS (SELECT conv_id, turn, unnest(range(len(t))) AS i, p, t FROM pt), e AS (SELECT conv_id, turn, CASE WHEN i < len(p) AND p[i + 1] = t[i + 1] THEN 1 ELSE 0 END AS ok FROM m), s AS (SELECT conv_id, turn, sum(ok) AS ok, count(*) AS n FROM e GROUP BY 1, 2)
+    SELECT sum(ok)::BIGINT AS elements_right, sum(n)::BIGINT AS elements, count(*) FILTER (WHERE ok = n) AS sequences_right, count(*) AS sequences FROM s""")
+def element_sequence_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additive counters of right elements and wholly right sequences, padding left out."""
+    hits = F.size(F.filter(F.transform("t", lambda x, i: F.coalesce(F.get("p", i) == x, F.lit(False))), lambda ok: ok))
+    rows = _pred(spark, sf_dir).select(hits.alias("ok"), F.size("t").alias("n"))
+    return rows.agg(F.sum("ok").cast("bigint").alias("elements_right"), F.sum("n").cast("bigint").alias("elements"), F.count_if(F.col("ok") == F.col("n")).alias("sequences_right"), F.count(F.lit(1)).alias("sequences"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE a = 1) AS bug_free, round(count(*) FILTER (WHERE a <> 1 AND b IS NOT NULL AND b <> 1) / count(*) FILTER (WHERE a <> 1)::DOUBLE, 9) AS true_positive, round(count(*) FILTER (WHERE coalesce((a = 1) = (b = 1), false)) / count(*)::DOUBLE, 9) AS accuracy, round(count(*) FILTER (WHERE a <> 1 AND b = a) / count(*) FILTER (WHERE a <> 1)::DOUBLE, 9) AS localisation
+    FROM (SELECT event_id % 4 AS a, CASE WHEN user_id % 9 = 0 THEN NULL ELSE user_id % 3 END AS b FROM events)""")
+def misuse_repair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification and localisation of variable misuse from pointers; 1 means free of bugs, unparsable is wrong."""
+    say = lambda x: F.concat(F.lit("POINTER("), x.cast("string"), F.lit(",v)"))
+    rows = table(spark, sf_dir, "events").select(say(F.col("event_id") % 4).alias("t"), F.when(F.col("user_id") % 9 == 0, "?").otherwise(say(F.col("user_id") % 3)).alias("p"))
+    rows = rows.select(T.parse_pointer(F.col("t")).alias("a"), T.parse_pointer(F.col("p")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    buggy = F.count_if(a != 1)
+    right = F.coalesce((a == 1) == (b == 1), F.lit(False))
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(a == 1).alias("bug_free"), F.round(T.safe_ratio(F.count_if((a != 1) & (b != 1)), buggy), 9).alias("true_positive"), F.round(T.safe_ratio(F.count_if(right), F.count(F.lit(1))), 9).alias("accuracy"), F.round(T.safe_ratio(F.count_if((a != 1) & (a == b)), buggy), 9).alias("localisation"))
+
+
+@query("WITH x AS (SELECT vec_id, label, list_transform(embedding[1:16], lambda v: v::DOUBLE) AS e FROM embeddings) SELECT vec_id, round(list_sum(e[1:label + 1]), 6) AS score FROM x")
+def sequence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of the log probabilities of a sequence up to and with its end, whose place is the label."""
+    e = F.slice(F.transform("embedding", lambda v: v.cast("double")), F.lit(1), F.col("label") + 1)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), 6).alias("score"))
+
+
+@query("SELECT item_id, 'POINTER(' || k || ',' || w[k + 1] || ')' AS said FROM (SELECT item_id, w, CAST(floor(len(w) / 2) AS INTEGER) AS k FROM (SELECT item_id, list_transform(string_split(text, ' '), lambda x: replace(replace(replace(replace(x, chr(92), chr(92)||chr(92)), chr(10), chr(92)||'n'), chr(9), chr(92)||'t'), chr(13), chr(92)||'r')) AS w FROM benchmark))")
+def prediction_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pointer with the label of the node it points to."""
+    ex = pointed_chains(spark, sf_dir)
+    at = F.element_at("output", 1)["pointer"]
+    return ex.select("item_id", F.concat(F.lit("POINTER("), at.cast("string"), F.lit(","), F.element_at("nodes", at + 1)["label"], F.lit(")")).alias("said"))
+
+
+@query("SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS d0, round(avg(embedding[2]::DOUBLE), 6) AS d1 FROM embeddings GROUP BY label")
+def node_embedding_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return v.groupBy("label").agg(*[F.round(F.avg(F.col("embedding")[i].cast("double")), 6).alias(f"d{i}") for i in (0, 1)])
+
+
+@query(f"WITH {_PT} SELECT count(*) AS total, count(*) FILTER (WHERE list_contains([ptext, ttext || '?'][1:1], ttext)) AS top1, count(*) FILTER (WHERE list_contains([ptext, ttext][1:2], ttext)) AS top2 FROM pt")
+def beam_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact matches among the first beam and among the first two."""
+    rows = _pred(spark, sf_dir).withColumn("beam", F.array("ptext", "ttext"))
+    hit = lambda n: F.count_if(F.array_contains(F.slice("beam", 1, n), F.col("ttext")))
+    return rows.agg(F.count(F.lit(1)).alias("total"), hit(1).alias("top1"), hit(2).alias("top2"))
+
+
+@query(f"WITH {_PT} SELECT conv_id, turn, CAST(len(list_distinct(list_intersect(p, t))) AS INTEGER) AS shared, CAST(len(list_filter(list_distinct(p), lambda x: NOT list_contains(t, x))) AS INTEGER) AS extra FROM pt")
+def token_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pred(spark, sf_dir).select("conv_id", "turn", F.size(F.array_intersect("p", "t")).alias("shared"), F.size(F.array_except("p", "t")).alias("extra"))
+
+
+@query("SELECT CASE WHEN toxic = 1 THEN 'CLASS_toxic' ELSE 'CLASS_clean' END AS target, count(*) AS n, sum(len(string_split(text, ' ')))::BIGINT AS n_nodes FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def class_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token chains whose output is a class."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    ex = B.chain_examples(rows, T.words(F.col("text")), F.array(T.label_class(F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))))
+    return ex.groupBy(F.element_at(T.linearise(F.col("output"), done=False), 1).alias("target")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_nodes").cast("bigint").alias("n_nodes"))
+
+
+@query("SELECT i AS graph, CAST(10 + i % 91 AS INTEGER) AS n_nodes, CAST(2 * (9 + i % 91) AS INTEGER) AS n_edges, CAST((10 + i % 91 + 1) // 2 AS INTEGER) AS n_candidates FROM range(1000) x(i)")
+def synthetic_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of letters; nodes with even ids are candidates."""
+    rows = spark.range(1000).select(F.col("id").alias("graph"), F.transform(F.sequence(F.lit(0).cast("long"), 9 + F.col("id") % 91), lambda i: F.char(97 + (i * 7 + F.col("id")) % 26)).alias("w"))
+    ex = B.repair_examples(rows, F.col("w"), lambda ws, t, i: i % 2 == 0, F.array(T.pointer(F.lit(0))))
+    return ex.select("graph", "n_nodes", "n_edges", F.size(F.filter("nodes", lambda n: n["is_repair_candidate"])).alias("n_candidates"))
+
+
+@query(f"""WITH {_TOK}, {_VOCAB} SELECT lab.doc_id, count(*) AS n, sum(coalesce(v.id, 0))::BIGINT AS sum_ids, sum(coalesce(v.id, 0) * (lab.pos % 97))::BIGINT AS weighted FROM lab LEFT JOIN voc v ON lab.label = v.label GROUP BY 1""")
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integer-encoded node labels of each example, as digests of the id lists."""
+    found = E.lookup(_labels(spark, sf_dir), _vocab(spark, sf_dir), "node_label")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").cast("bigint").alias("sum_ids"), F.sum(F.col("id") * (F.col("pos") % 97)).cast("bigint").alias("weighted"))
+
+
+@query("SELECT lang, split, count(*) AS n FROM (SELECT lang, " + _SPLIT + " AS split FROM documents) WHERE split <> 'train' OR lang = 'en' GROUP BY 1, 2")
+def multitask_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train rows of one task, validation and test rows of all."""
+    rows = table(spark, sf_dir, "documents").select("lang", R.split_of(F.col("doc_id")).alias("split"))
+    return rows.where((F.col("split") != "train") | (F.col("lang") == "en")).groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"))
