@@ -1,7 +1,7 @@
 """Near-duplicate texts: SimHash fingerprints with Golay keys propose pairs, the Jaccard index of word shingles decides.
 
 A text's fingerprint has 128 bits, each the majority over its distinct words. Five segments of 23 bits are decoded to their
-near Golay codewords (see simhash.py), and each codeword index together with ten further bits from outside the segment is a
+near Golay codewords (see simhash.py), and each codeword index together with eight further bits from outside the segment is a
 key. By pigeonhole two fingerprints that differ in few bits have segments with two errors or fewer, which share a codeword,
 several times over. Texts that share a key and whose fingerprints differ in at most MOST_BITS are compared by their shingles.
 
@@ -27,7 +27,7 @@ from graphprep.llm.simhash import _BYTE_BITS, golay_keys, shingle_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, SEGMENT, SEGMENTS = 128, 23, 5
 #: Bits of a key beside the codeword, and how many different choices of them go with each segment.
-BLOCK, BLOCKS = 10, 3
+BLOCK, BLOCKS = 8, 3
 MOST_BITS = 36
 
 
