@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphprep.functions.text import escape, node
+from graphprep.functions.text import escape, node, pair_lengths, pointer, token, truncate
 from graphprep.schema import EDGE, NODE, OUTPUT, REVERSED
 
 
@@ -96,3 +96,34 @@ def with_task(examples: DataFrame, task: Column) -> DataFrame:
     """A last node that names the task."""
     more = F.concat("nodes", F.array(node(F.size("nodes"), F.lit("task"), task)).cast(f"array<{NODE}>"))
     return with_sizes(examples.withColumn("nodes", more))
+
+
+def flat_examples(rows: DataFrame, tokens: Column, most: int, output: Column) -> DataFrame:
+    """Nodes without edges: [CLS], at most most - 2 tokens, [SEP]."""
+    found = rows.withColumn("nodes", token_nodes(truncate(tokens, most)))
+    return with_sizes(found.withColumns({"edges": F.array().cast(f"array<{EDGE}>"), "output": output}))
+
+
+def two_sequence_examples(rows: DataFrame, first: Column, second: Column, most: int, output: Column, kinds: tuple[str, str] = ("DOCSTRING", "TOKEN")) -> DataFrame:
+    """Two sequences cut to fit together with three delimiters; nodes without edges."""
+    found = rows.withColumns({"_a": first, "_b": second})
+    x, y = pair_lengths(F.size("_a"), F.size("_b"), most - 3)
+    a = F.concat(F.array(F.lit("[CLS]_")), F.slice("_a", F.lit(1), x), F.array(F.lit("[SEP]_")))
+    b = F.concat(F.slice("_b", F.lit(1), y), F.array(F.lit("[SEP]_")))
+    nodes = F.concat(token_nodes(a, kinds[0]), token_nodes(b, kinds[1], x + 2))
+    return with_sizes(found.withColumns({"nodes": nodes, "edges": F.array().cast(f"array<{EDGE}>"), "output": output}).drop("_a", "_b"))
+
+
+def masked_repair_examples(rows: DataFrame, tokens: str, error: str, target: str, candidate: str, most: int) -> DataFrame:
+    """Repair examples from masks over tokens: one place of error (0: free of bugs), places that hold the right token, and
+    candidates. [CLS] shifts all places by one. Rows whose error or whose targets were all cut off drop out."""
+    n = F.least(F.size(tokens), F.lit(most - 2))
+    at = lambda m: F.filter(F.transform(F.col(m), lambda v, i: F.when((v == 1) & (i < n), i)), lambda i: i.isNotNull())
+    found = rows.withColumns({"_error": at(error), "_target": at(target), "_cand": at(candidate)})
+    free = F.element_at("_error", 1) == 0
+    found = found.where(F.size("_error") > 0).where(F.coalesce(free, F.lit(False)) | (F.size("_target") > 0))
+    nodes = F.transform(truncate(F.col(tokens), most), lambda t, i: node(i, F.lit("TOKEN"), escape(t), F.array_contains("_cand", i - 1)))
+    where = pointer(F.element_at("_error", 1) + 1)
+    fix = token(F.get(F.col(tokens), F.get("_target", F.lit(0))))
+    output = F.when(free, F.array(where)).otherwise(F.array(where, fix))
+    return with_sizes(found.withColumns({"nodes": nodes, "edges": F.array().cast(f"array<{EDGE}>"), "output": output}).drop("_error", "_target", "_cand"))

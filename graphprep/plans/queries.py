@@ -653,3 +653,42 @@ def multitask_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train rows of one task, validation and test rows of all."""
     rows = table(spark, sf_dir, "documents").select("lang", R.split_of(F.col("doc_id")).alias("split"))
     return rows.where((F.col("split") != "train") | (F.col("lang") == "en")).groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_PT}, n AS (SELECT unnest([1, 2, 3, 4]) AS n), g AS (SELECT conv_id, turn, n, unnest(list_transform(range(1, CAST(len(p) - n + 2 AS BIGINT)), lambda i: array_to_string(p[i:i + n - 1], ' '))) AS gram, 'p' AS side FROM pt, n UNION ALL
+    SELECT conv_id, turn, n, unnest(list_transform(range(1, CAST(len(t) - n + 2 AS BIGINT)), lambda i: array_to_string(t[i:i + n - 1], ' '))), 't' FROM pt, n),
+    c AS (SELECT conv_id, turn, n, gram, count(*) FILTER (WHERE side = 'p') AS a, count(*) FILTER (WHERE side = 't') AS b FROM g GROUP BY 1, 2, 3, 4),
+    s AS (SELECT n, sum(least(a, b)) AS hits, sum(a) AS total FROM c GROUP BY n), l AS (SELECT sum(len(p)) AS lp, sum(len(t)) AS lt FROM pt)
+    SELECT round(100 * CASE WHEN min(hits) = 0 THEN 0 ELSE exp(avg(ln(hits / total::DOUBLE))) END * max(CASE WHEN lp >= lt THEN 1 ELSE exp(1 - lt / lp::DOUBLE) END), 6) AS bleu FROM s, l""")
+def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU-4 of all predictions: geometric mean of the clipped precisions (0 if one is 0) and the brevity penalty, times 100."""
+    pairs = _pred(spark, sf_dir)
+    counts = M.clipped_counts(pairs, ["conv_id", "turn"], "p", "t")
+    sizes = pairs.agg(F.sum(F.size("p")).alias("lp"), F.sum(F.size("t")).alias("lt"))
+    mean = counts.agg(F.min("hits").alias("least"), F.avg(F.when(F.col("hits") > 0, F.log(F.col("hits") / F.col("total")))).alias("mean"))
+    short = F.when(F.col("lp") >= F.col("lt"), 1.0).otherwise(F.exp(1 - F.col("lt") / F.col("lp")))
+    return mean.crossJoin(F.broadcast(sizes)).select(F.round(100 * F.when(F.col("least") == 0, 0.0).otherwise(F.exp("mean")) * short, 6).alias("bleu"))  # one row each
+
+
+@query("SELECT doc_id, CAST(least(len(string_split(text, ' ')), 254) + 2 AS INTEGER) AS n_nodes, 0 AS n_edges FROM documents")
+def flat_class_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtokens between delimiters, cut to 256, with a class."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return B.flat_examples(docs, T.words(F.col("text")), 256, F.array(T.label_class(F.col("lang")))).select("doc_id", "n_nodes", "n_edges")
+
+
+@query(f"WITH {_PT}, x AS (SELECT conv_id, turn, len(p) AS a, len(t) AS b FROM pt) SELECT conv_id, turn, CAST(least(a + b, 61) + 3 AS INTEGER) AS n_nodes, CAST(CASE WHEN a + b > 61 THEN least(a, greatest(61 - b, 31)) ELSE a END + 2 AS INTEGER) AS n_first FROM x")
+def two_sequence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ex = B.two_sequence_examples(_pred(spark, sf_dir), F.col("p"), F.col("t"), 64, F.array(T.label_class(F.lit("Correct"))))
+    return ex.select("conv_id", "turn", "n_nodes", F.size(F.filter("nodes", lambda n: n["type"] == "DOCSTRING")).alias("n_first"))
+
+
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), k AS (SELECT item_id, w, item_id % 40 AS k FROM w WHERE item_id % 40 < least(len(w), 30))
+    SELECT item_id, CAST(least(len(w), 30) + 2 AS INTEGER) AS n_nodes, CAST(k + 1 AS INTEGER) AS at, CASE WHEN k = 0 THEN NULL ELSE replace(w[2], chr(10), chr(92)||'n') END AS fix, CAST(len(list_filter(range(least(len(w), 30)), lambda i: i % 3 = 1)) AS INTEGER) AS n_candidates FROM k""")
+def masked_repair_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repair examples from masks, cut to 32 tokens: the error stands at item_id % 40, the right token at 1, 4, 7, ..."""
+    rows = table(spark, sf_dir, "benchmark").withColumn("w", T.words(F.col("text"))).withColumn("k", F.col("item_id") % 40)
+    third = F.transform("w", lambda t, i: (i % 3 == 1).cast("int"))
+    rows = rows.withColumns({"err": F.transform("w", lambda t, i: (i == F.col("k")).cast("int")), "tgt": third, "cand": third})
+    ex = B.masked_repair_examples(rows, "w", "err", "tgt", "cand", 32)
+    return ex.select("item_id", "n_nodes", F.element_at("output", 1)["pointer"].alias("at"), F.get("output", F.lit(1))["token"].alias("fix"), F.size(F.filter("nodes", lambda n: n["is_repair_candidate"])).alias("n_candidates"))
