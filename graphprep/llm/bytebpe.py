@@ -225,7 +225,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
                 values = pa.array(np.frombuffer(b"".join(parts), np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(parts)), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>", caches="bytebpe")
 
 
 def decode(encoded: DataFrame, tokens: list[bytes], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -245,4 +245,4 @@ def decode(encoded: DataFrame, tokens: list[bytes], ids: str = "ids", out: str =
             made = [b"".join(map(token, values[x:y].tolist())) if ok else None for x, y, ok in zip(offsets, offsets[1:], column.is_valid().to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*b.schema.names, out])
 
-    return map_batches(kept, run, StructType([*kept.schema.fields, StructField(out, BinaryType())]))
+    return map_batches(kept, run, StructType([*kept.schema.fields, StructField(out, BinaryType())]), caches="bytebpe")

@@ -65,9 +65,19 @@ def worker_cache(name: str, limit: int = 0) -> dict:
     return cache
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, caches: str = "-") -> DataFrame:
+    """mapInArrow. Of the worker's caches only those whose names begin with `caches` stay: workers outlive the operators."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sys
+
+        for name, cache in sys.__dict__.get("_graphprep_caches", {}).items():
+            if not name.startswith(caches):
+                cache.clear()
+        return fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

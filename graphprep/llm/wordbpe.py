@@ -76,7 +76,7 @@ def token_pieces(docs, definition: str, window: int, end_id: int = 0):
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary", caches="wordbpe")
 
 
 def encoder_of(definition: str) -> WordEncoder:
