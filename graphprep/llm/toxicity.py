@@ -83,6 +83,12 @@ def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((x for r in rows for x in r), np.int64, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _only(flat: np.ndarray, starts: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries whose feature is used, row by row."""
+    keep = used[flat] if flat.size else np.zeros(0, bool)
+    return flat[keep], np.concatenate([[0], np.cumsum(keep)])[starts]
+
+
 def _row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0.0], np.cumsum(values)])
     return sums[starts[1:]] - sums[starts[:-1]]
@@ -92,7 +98,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(flat: np.ndarray, starts: np.ndarray, scale: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = 1e-3, turns: int = 150) -> tuple[np.ndarray, float]:
+def fit_logistic(flat: np.ndarray, starts: np.ndarray, scale: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = 1e-3, turns: int = 80) -> tuple[np.ndarray, float]:
     """Accelerated gradient steps on the mean logistic loss plus a ridge. dense: the earlier categories' log odds."""
     n, k = len(y), len(scale)
     w, bias = np.zeros(k + dense.shape[1]), 0.0
@@ -169,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int =
         yield from out()
 
     # kind: which categories a document has, as bits.
-    cells = map_batches(texts.select("doc_id", "text", *names), count, "kind int, feature long, n long")
+    cells = map_batches(texts.select("doc_id", "text", *names), count, "kind int, feature long, n long", caches="toxicity")
     sums = cells.groupBy("feature").agg(*[F.sum(F.when(F.shiftright("kind", i) % 2 == 1, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(width)], F.sum("n").alias("n"))
     sums = materialize(sums, "toxicity-counts")
     totals = sums.where("feature = -1").first()
@@ -189,14 +195,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int =
         cells = [(a, n * pos[i] / docs_n), (n - a, n * (docs_n - pos[i]) / docs_n), (pos[i] - a, (docs_n - n) * pos[i] / docs_n), (docs_n - pos[i] - n + a, (docs_n - n) * (docs_n - pos[i]) / docs_n)]
         return sum((F.when((o > 0) & (e > 0), 2 * o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
 
-    strength = F.greatest(*[g_of(i) for i in range(width)], F.lit(0.0))
-    best = sums.where((F.col("feature") >= 0) & (F.col("n") >= LEAST_DOCS)).withColumn("g", strength).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(selected).toPandas()
+    strength = F.greatest(*[F.col(f"g{i}") for i in range(width)], F.lit(0.0))
+    best = sums.where((F.col("feature") >= 0) & (F.col("n") >= LEAST_DOCS)).withColumns({f"g{i}": g_of(i) for i in range(width)}).withColumn("g", strength).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(selected).toPandas()
     chain.features = {int(f): i for i, f in enumerate(best["feature"])}
     n = best["n"].to_numpy(np.float64)
     scales = []
     for i in range(width):
         a = best[f"n{i}"].to_numpy(np.float64)
-        scales.append(np.log((a + 0.5) / (pos[i] + 1)) - np.log((n - a + 0.5) / (docs_n - pos[i] + 1)))
+        ratio = np.log((a + 0.5) / (pos[i] + 1)) - np.log((n - a + 0.5) / (docs_n - pos[i] + 1))
+        scales.append(np.where(best[f"g{i}"].to_numpy(np.float64) >= LEAST_G, ratio, 0.0))  # features of other categories say nothing here
     sent = docs.sparkSession.sparkContext.broadcast(chain.features)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,17 +214,21 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int =
     # The sample is drawn before the text is read again; its bound is the parameter `sample`.
     drawn = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     sampled = texts.join(F.broadcast(drawn), "doc_id")
-    rows = map_batches(sampled.select(F.xxhash64("doc_id").alias("turn"), "text", *names), project, "turn long, " + ", ".join(f"{x} int" for x in names) + ", found array<int>").orderBy("turn").limit(2 * sample).toPandas()
-    flat, starts = _flat([list(x) for x in rows["found"]])
-    fold = (rows["turn"].to_numpy() >> 7) % folds
-    earlier = np.zeros((len(rows), 0))
+    rows = map_batches(sampled.select(F.xxhash64("doc_id").alias("turn"), "text", *names), project, "turn long, " + ", ".join(f"{x} int" for x in names) + ", found array<int>", caches="toxicity").orderBy("turn").limit(2 * sample).toArrow()
+    found = rows.column("found").combine_chunks()
+    every = found.flatten().to_numpy().astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())]).astype(np.int64)
+    fold = (rows.column("turn").to_numpy() >> 7) % folds
+    earlier = np.zeros((rows.num_rows, 0))
     for i in range(width):
-        y = rows[names[i]].to_numpy().astype(bool)
-        odds = np.zeros(len(rows))
+        y = rows.column(names[i]).to_numpy().astype(bool)
+        odds = np.zeros(rows.num_rows)
+        flat, starts = _only(every, bounds, scales[i] != 0)
         for f in range(folds):
             train = np.flatnonzero(fold != f)
-            part, part_starts = _flat([flat[starts[r] : starts[r + 1]].tolist() for r in train])
-            w, bias = fit_logistic(part, part_starts, scales[i], earlier[train], y[train])
+            sizes = np.diff(starts)
+            part = flat[np.repeat(fold != f, sizes)]
+            w, bias = fit_logistic(part, np.concatenate([[0], np.cumsum(sizes[train])]), scales[i], earlier[train], y[train])
             k = len(scales[i])
             all_odds = bias + _row_sums((scales[i] * w[:k])[flat], starts) + earlier @ w[k:]
             odds[fold == f] = all_odds[fold == f]
@@ -252,4 +263,4 @@ def predict(docs: DataFrame, chain: Chain, prefix: str = "p_", verdict: str = "i
             made = [pa.array(p[:, k]) for k in range(p.shape[1])] + [pa.array(odds[:, k] > chain.cuts[k]) for k in range(p.shape[1])]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *[f.name for f in fields]])
 
-    return map_batches(kept, run, StructType([*kept.schema.fields, *fields]))
+    return map_batches(kept, run, StructType([*kept.schema.fields, *fields]), caches="toxicity")
