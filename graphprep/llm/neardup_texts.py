@@ -1,14 +1,17 @@
-"""Near-duplicate texts: SimHash fingerprints with Golay keys propose pairs, the Jaccard index of word shingles decides.
+"""Near-duplicate texts: a prefix filter over word shingles proposes pairs, the Jaccard index of the shingles decides.
 
-A text's fingerprint has 128 bits, each the majority over its distinct words. Five segments of 23 bits are decoded to their
-near Golay codewords (see simhash.py), and each codeword index together with eight further bits from outside the segment is a
-key. By pigeonhole two fingerprints that differ in few bits have segments with two errors or fewer, which share a codeword,
-several times over. Texts that share a key and whose fingerprints differ in at most MOST_BITS are compared by their shingles.
+All shingles stand in one order, rare ones first. Two texts with an index of at least t share a shingle among the first
+n - ceil(t * n) + 1 of each one's n distinct shingles (its prefix), whatever the order is, so no such pair is missed. Each
+shingle of a prefix is a key. At the first key that two texts share, its places in both say how many shingles they can share
+at most; pairs for which this is too few are left out. The order only decides how many pairs are compared: it goes by counts
+in a sample of the texts and then by hash, so that what very many texts share stands in few prefixes.
 
 Groups of copies can be large, so pairs within a key are not all compared. Equal texts are one node. In a first round every
-node of a key is compared with the least node of it, and the links found make components. In a second round the pairs of a
-key are compared that lie in different components then. So no link between components is lost, while a group of copies
-costs as many comparisons as it has members.
+node of a key is compared with one node of it, the head, and the links found make components. Heads are drawn by hash, in
+SALTS different ways by key, so that a group of copies is tried from several sides. In a second round the pairs of a key are
+compared that lie in different components then, unless parities tell that they differ too much: of the shingles that only
+one of two texts has, there are at least as many as there are bits in which the texts' parities by PARITIES hash values
+differ. So no link between components is lost, while a group of copies costs about as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -18,70 +21,95 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphprep.llm.common import components, map_batches, materialize, text_bytes, words_of
-from graphprep.llm.simhash import _BYTE_BITS, golay_keys, shingle_hashes
+from graphprep.llm.simhash import shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, SEGMENT, SEGMENTS = 128, 23, 5
-#: Bits of a key beside the codeword, and how many different choices of them go with each segment.
-BLOCK, BLOCKS = 8, 3
-MOST_BITS = 36
-
-
-def wide_bits(words: list[bytes]) -> np.ndarray:
-    """128 bits: which bits of XXH3-128 are set for over half of the distinct words. No words: none."""
-    distinct = set(words)
-    if not distinct:
-        return np.zeros(BITS, bool)
-    columns = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint8).reshape(-1, BITS // 8)
-    return np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BYTE_BITS for i in range(BITS // 8)]) * 2 > len(distinct)
+#: Texts sampled for the order of shingles, and how many of the commonest shingles in it are told from rare ones.
+SAMPLED, RANKED = 8_000, 1 << 19
+SALTS = 4
+PARITIES = 256
+#: Rounding must not lose a pair at the very threshold.
+SLACK = 1e-9
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, digest, a, b): digest of the words, and the fingerprint's two halves."""
+    """Rows (doc_id, digest): digest of the words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            digests, halves = [], np.zeros((x.num_rows, 2), np.int64)
-            for i, t in enumerate(text_bytes(x.column(1))):
-                words = words_of(t)
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                halves[i] = np.packbits(wide_bits(words), bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(digests, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["doc_id", "digest", "a", "b"])
+            digests = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in text_bytes(x.column(1))]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(digests, pa.binary())], names=["doc_id", "digest"])
+
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, digest binary")
+
+
+def _common(texts: DataFrame, share: float, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles found in several texts of a sample, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            own = [np.unique(shingle_hashes(words_of(t), shingle)) for t in text_bytes(x.column(0))]
+            if own:
+                found, n = np.unique(np.concatenate(own).view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["h", "n"])
+
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    counts = map_batches(sample, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    got = counts.orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
+    found, n = got.column("h").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(found)
+    return found[order], n[order]
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, digest binary, a long, b long")
 
+def _keys(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
+    """Rows (key, node, size, place): each shingle of a text's prefix, the number of its distinct shingles, its place from 0."""
+    kind = texts.schema["node"].dataType.simpleString()
+    sent = texts.sparkSession.sparkContext.broadcast(common)
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """Rows (key, node, a, b)."""
-    kind = nodes.schema["node"].dataType.simpleString()
-    plans = []
-    for i in range(SEGMENTS):
-        lo, hi = i * SEGMENT, (i + 1) * SEGMENT
-        outside = [b for b in range(SEGMENTS * SEGMENT // BLOCK) if (b + 1) * BLOCK <= lo or b * BLOCK >= hi]
-        after = [b for b in outside if b * BLOCK >= hi] + [b for b in outside if (b + 1) * BLOCK <= lo]
-        plans.append([after[(j * len(after)) // BLOCKS] for j in range(BLOCKS)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value
+        for x in batches:
+            for lo in range(0, x.num_rows, 512):
+                part = x.slice(lo, 512)
+                keys, rows, sizes, places = [], [], [], []
+                for i, t in enumerate(text_bytes(part.column(1))):
+                    own = np.unique(shingle_hashes(words_of(t), shingle).view(np.int64))
+                    if len(known) and len(own):
+                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        own = own[np.argsort(np.where(known[at] == own, counts[at], 0), kind="stable")]
+                    first = own[: len(own) - int(np.ceil(similarity * len(own) - SLACK)) + 1]
+                    keys.append(first)
+                    rows.append(np.full(len(first), i))
+                    sizes.append(np.full(len(first), len(own), np.int32))
+                    places.append(np.arange(len(first), dtype=np.int32))
+                if keys:
+                    node = part.column(0).take(pa.array(np.concatenate(rows)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), node, pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["key", "node", "size", "place"])
+
+    return map_batches(texts.select("node", "text"), run, f"key long, node {kind}, size int, place int")
+
+
+def _parities(texts: DataFrame, shingle: int) -> DataFrame:
+    """Rows (node, bits): whether an odd number of the text's distinct shingles has each of PARITIES hash values."""
+    kind = texts.schema["node"].dataType.simpleString()
+    words = PARITIES // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for lo in range(0, x.num_rows, 4096):
-                part = x.slice(lo, 4096)
-                halves = np.stack([part.column(c).to_numpy() for c in ("a", "b")], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(halves).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-                for i, blocks in enumerate(plans):
-                    near, real = golay_keys(bits[:, i * SEGMENT : (i + 1) * SEGMENT] @ (1 << np.arange(SEGMENT)))
-                    row = np.nonzero(real)[0]
-                    for j, block in enumerate(blocks):
-                        exact = bits[:, block * BLOCK : (block + 1) * BLOCK] @ (1 << np.arange(BLOCK))
-                        keys = ((i * BLOCKS + j) << 40) | (exact[:, None] << 12) | near
-                        take = pa.array(row)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[real]), part.column("node").take(take), part.column("a").take(take), part.column("b").take(take)], names=["key", "node", "a", "b"])
-
-    return map_batches(nodes.select("node", "a", "b"), run, f"key long, node {kind}, a long, b long")
+            bits = np.zeros((x.num_rows, words), np.int64)
+            for i, t in enumerate(text_bytes(x.column(1))):
+                own = np.unique(shingle_hashes(words_of(t), shingle)) % np.uint64(PARITIES)
+                odd = np.bincount(own.astype(np.int64), minlength=PARITIES) & 1
+                bits[i] = np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(bits[:, k]) for k in range(words))], names=["node", *(f"p{k}" for k in range(words))])
+
+    found = map_batches(texts.select("node", "text"), run, f"node {kind}, " + ", ".join(f"p{k} long" for k in range(words)))
+    return found.select("node", F.struct(*(f"p{k}" for k in range(words))).alias("bits"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -106,8 +134,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return map_batches(both, run, f"x {kind}, y {kind}")
 
 
-def _bits_apart(a: str, b: str) -> F.Column:
-    return F.bit_count(F.col(f"{a}.a").bitwiseXOR(F.col(f"{b}.a"))) + F.bit_count(F.col(f"{a}.b").bitwiseXOR(F.col(f"{b}.b")))
+def _can_be_near(a: str, b: str, similarity: float) -> F.Column:
+    """Whether two texts can be that similar when the key is the first shingle they share."""
+    most = F.least(F.col(f"{a}.size") - F.col(f"{a}.place"), F.col(f"{b}.size") - F.col(f"{b}.place"))
+    return most >= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (similarity / (1 + similarity)) - SLACK
+
+
+def _differ_little(a: str, b: str, similarity: float) -> F.Column:
+    apart = sum((F.bit_count(F.col(f"{a}.bits.p{k}").bitwiseXOR(F.col(f"{b}.bits.p{k}"))) for k in range(PARITIES // 64)), F.lit(0))
+    return apart <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * ((1 - similarity) / (1 + similarity)) + SLACK
 
 
 def group_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -118,30 +153,36 @@ def group_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: f
     words are copies of each other. Rows with equal doc_ids belong together. Rows with a null doc_id are left out.
     """
     prints = materialize(_nodes(docs.where("doc_id is not null")), "near-prints")
-    nodes = materialize(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("a").alias("a"), F.min("b").alias("b")), "near-nodes")
+    nodes = materialize(prints.groupBy("digest").agg(F.min("doc_id").alias("node")), "near-nodes")
     # A text is read by its node: the document that stands for all equal ones. Equal doc_ids stand for one text of theirs.
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.select("node").distinct(), "node", "left_semi")
-    keys = materialize(_keys(nodes), "near-keys")
-    heads = keys.groupBy("key").agg(F.min(F.struct("node", "a", "b")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = materialize(heads, "near-heads")
-    star = keys.select("key", F.struct("node", "a", "b").alias("own")).join(heads.select("key", "head"), "key")
-    star = star.where("own.node <> head.node").where(_bits_apart("own", "head") <= MOST_BITS).select(F.col("own.node").alias("x"), F.col("head.node").alias("y")).distinct()
+    common = _common(texts, min(1.0, SAMPLED / max(1, nodes.count())), shingle)
+    keys = _keys(texts, common, shingle, similarity)
+    every, salted = Window.partitionBy("key"), F.xxhash64("node", F.pmod("key", F.lit(SALTS)))
+    shared = keys.withColumn("n", F.count(F.lit(1)).over(every)).withColumn("head", F.min(F.struct(salted.alias("salt"), "node", "size", "place")).over(every))
+    shared = materialize(shared.where("n > 1").select("key", "n", F.struct("node", "size", "place").alias("own"), "head"), "near-keys")
+    star = shared.where("own.node <> head.node").where(_can_be_near("own", "head", similarity)).select(F.col("own.node").alias("x"), F.col("head.node").alias("y")).distinct()
     first = materialize(_verified(star, texts, shingle, similarity), "near-links")
     parts = materialize(components(first.select(F.col("x").alias("a"), F.col("y").alias("b"))), "near-parts")
     part_of = parts.select(F.col("id").alias("node"), F.col("component").alias("part"))
     # Second round: keys of three nodes or more that hold several components. The head has been compared with all already.
-    full = keys.join(heads.where("n > 2").select("key", F.col("head.node").alias("head")), "key").where("node <> head")
-    full = full.join(part_of, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    head_part = heads.where("n > 2").select("key", F.col("head.node").alias("node")).join(part_of, "node", "left").select("key", F.coalesce("part", "node").alias("head_part"))
-    full = materialize(full.join(head_part, "key").select("key", F.struct("node", "a", "b", "part").alias("own"), (F.col("part") != F.col("head_part")).alias("odd")), "near-second")
+    full = shared.where("n > 2").select("key", F.col("own.node").alias("node"), "own.size", "own.place", F.col("head.node").alias("head"))
+    full = full.where("node <> head").join(part_of, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    head_part = part_of.select(F.col("node").alias("head"), F.col("part").alias("head_part"))
+    full = full.join(head_part, "head", "left").withColumn("head_part", F.coalesce("head_part", "head"))
+    full = full.withColumn("odd", F.col("part") != F.col("head_part"))
+    # Keys whose nodes all lie in the head's component are done.
+    full = materialize(full.join(full.where("odd").select("key").distinct(), "key", "left_semi"), "near-second")
+    bits = _parities(texts.join(full.select("node").distinct(), "node", "left_semi"), shingle)
+    full = materialize(full.join(bits, "node").select("key", F.struct("node", "size", "place", "part", "bits").alias("own"), "odd"), "near-second")
     odd = full.where("odd").select("key", F.col("own").alias("one"))
     every = full.select("key", F.col("own").alias("two"), F.col("odd").alias("both_odd"))
-    apart = odd.join(every, "key").where("one.part <> two.part and (not both_odd or one.node < two.node)").where(_bits_apart("one", "two") <= MOST_BITS)
+    apart = odd.join(every, "key").where("one.part <> two.part and (not both_odd or one.node < two.node)").where(_can_be_near("one", "two", similarity) & _differ_little("one", "two", similarity))
     more = apart.select(F.greatest("one.node", "two.node").alias("x"), F.least("one.node", "two.node").alias("y")).distinct()
     second = materialize(_verified(more, texts, shingle, similarity), "near-links")
     copies = prints.select("digest", "doc_id").join(nodes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     ids = prints.select("doc_id").distinct()
-    every_link = first.union(second).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    every_link = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second.select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = components(every_link)
     # Copies hang on their node: they need no step of the search, and their node is the least of them.
     own = copies.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("node"))

@@ -188,6 +188,30 @@ def test_near_texts(spark):
     assert {r.doc_id for r in drop_near_duplicates(df).collect()} == set(want.values())
 
 
+def test_near_texts_with_passages_changed(spark):
+    from graphprep.llm.neardup_texts import group_near_duplicates
+
+    rows, bands = [], Counter()
+    sets = {}
+    for g in range(150):
+        r = random.Random(9000 + g)
+        base = prose(r.randint(40, 900), 2000 + g).split()
+        # The passage's share of the text that makes the wanted index: what stays over all.
+        goal, kind, other = r.uniform(0.79, 0.96), g % 3, prose(400, 6000 + g).split()
+        more, at = other[: int(len(base) * (1 / goal - 1))], r.randint(5, len(base) - 5)
+        changed = [base + more, base[: int(len(base) * goal)], base[:at] + more + base[at:]][kind]
+        for k, w in enumerate((base, changed)):
+            rows.append((2 * g + k, " ".join(w)))
+            ws = tokens(rows[-1][1])
+            sets[2 * g + k] = {" ".join(ws[j : j + 5]) for j in range(max(1, len(ws) - 4))}
+        a, b = sets[2 * g], sets[2 * g + 1]
+        bands[kind, min(3, int((len(a & b) / len(a | b) - 0.75) / 0.05))] += 1
+    assert all(bands[kind, band] >= 5 for kind in range(3) for band in (1, 2, 3))
+    want = groups_of(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in group_near_duplicates(df).collect()} == want
+
+
 def test_sharding(docs, none):
     from graphprep.llm.sharding import assign
 
