@@ -27,7 +27,7 @@ from graphprep.llm.common import map_batches, materialize, text_bytes
 MIN_DOCS, MIN_CHARS = 3, 20
 #: Keys of one filter shard, at most on average: what one task holds.
 SHARD_KEYS = 250_000
-#: Filters up to this size in all are sent to every executor. Beyond it, references are dealt to the shards instead.
+#: Filters up to this size in all are sent to every executor. Beyond it they are not used: references are joined to the counts.
 FILTER_BROADCAST_BYTES = 64 << 20
 _BLANK = b" \t\n\x0b\x0c\r"
 

@@ -95,6 +95,15 @@ def test_line_dedup(docs, none):
     assert dedup_lines(none).count() == 0
 
 
+def test_line_dedup_without_filters(docs, monkeypatch):
+    from graphprep.llm import linededup
+
+    # Beyond the bound the filters are not used.
+    monkeypatch.setattr(linededup, "FILTER_BROADCAST_BYTES", 0)
+    want = brute_lines(fixture())
+    assert {r.doc_id: r.text or "" for r in linededup.dedup_lines(docs).collect()} == want
+
+
 def test_line_index_is_reversible(docs, spark):
     from graphprep.llm.linededup import build_index, delete_documents, drop_lines, insert_documents
 
