@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from graphprep.schema import CLASS_PREFIX, DONE, NODE, OUTPUT, POINTER
+from graphprep.schema import CLASS_PREFIX, DONE, EDIT_SEPARATOR, NODE, OUTPUT, POINTER
 
 
 def words(text: Column) -> Column:
@@ -82,11 +84,101 @@ def parse_error_location(text: Column) -> Column:
 
 
 def parse_edit(script: Column) -> Column:
-    """An edit script as output: the operation, a pointer to its node, and what it inserts."""
+    """An edit script as output: the operation, pointers to the nodes it names, and the type and value it brings.
+
+    A type may have several parts; they stay joined by the separator. Missing parts and unknown operations are errors.
+    """
     parts = F.split(script, r"!#@\$", -1)
-    op, at = F.element_at(parts, 1), F.element_at(parts, 2).try_cast("int")
-    rest = F.when(F.size(parts) > 2, F.transform(F.slice(parts, 3, 4), token)).otherwise(F.array().cast(f"array<{OUTPUT}>"))
-    return F.when(op == "NoOp", F.array(token(op))).otherwise(F.concat(F.array(token(op), pointer(at)), rest))
+    op = F.element_at(parts, 1)
+    at = lambda i: pointer(F.element_at(parts, i).cast("int"))
+    text = lambda i: token(F.element_at(parts, i))
+    kind = lambda first, n: token(F.array_join(F.slice(parts, F.lit(first), n), EDIT_SEPARATOR))
+    two_part = F.size(parts) == 6
+    return (
+        F.when(op == "add_node", F.array(token(op), at(2), at(3), F.when(two_part, kind(4, F.lit(2))).otherwise(text(4)), F.when(two_part, text(6)).otherwise(text(5))))
+        .when(op == "del_node", F.array(token(op), at(2)))
+        .when(op == "replace_val", F.array(token(op), at(2), text(3)))
+        .when(op == "replace_type", F.array(token(op), at(2), kind(3, F.size(parts) - 2)))
+        .when(op == "NoOp", F.array(token(op)))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown edit operation: "), F.coalesce(op, F.lit("null")))))
+    )
+
+
+def unknown_value(output: Column, labels: Column, in_vocabulary: Column) -> Column:
+    """The output of an edit whose new value is neither a node label nor in the output vocabulary, with UNKNOWN in its place."""
+    last = F.element_at(output, -1)
+    brings = F.element_at(output, 1)["token"].isin("add_node", "replace_val")
+    rare = brings & ~F.array_contains(labels, last["token"]) & ~in_vocabulary
+    return F.when(rare, F.concat(F.slice(output, F.lit(1), F.size(output) - 1), F.array(token(F.lit("UNKNOWN"))))).otherwise(output)
+
+
+def remove_prefix(text: Column, prefix: str) -> Column:
+    """The text without the prefix, once; as it is where it has none."""
+    return F.when(F.startswith(text, F.lit(prefix)), F.substring(text, len(prefix) + 1, 1 << 30)).otherwise(text)
+
+
+def strip_all(text: Column) -> Column:
+    """Without white space of any script at both ends, as Unicode defines it."""
+    blank = r"[\p{IsWhite_Space}\x1C-\x1F]+"
+    return F.regexp_replace(text, f"^{blank}|{blank}$", "")
+
+
+def integers_of(values: Column) -> Column:
+    """The integers of a JSON array that may hold noise; true and false count as 1 and 0, strings of digits don't count."""
+    kind = lambda v: F.schema_of_variant(v)
+    items = F.from_json(values, "array<variant>")
+    number = lambda v: F.when(kind(v) == "BIGINT", F.variant_get(v, "$", "int")).when(kind(v) == "BOOLEAN", F.variant_get(v, "$", "boolean").cast("int"))
+    return F.filter(F.transform(items, number), lambda x: x.isNotNull())
+
+
+def escape_all(text: Column) -> Column:
+    """Escape as a string literal would: all characters that don't print as well. escape() covers what occurs in plain text.
+
+    Runs in Python, in batches.
+    """
+
+    def literal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else repr(t)[1:-1])
+
+    return F.pandas_udf(literal, StringType())(text)
+
+
+# The words of the Java language by kind.
+_JAVA_MODIFIERS = "abstract default final native private protected public static strictfp synchronized transient volatile".split()
+_JAVA_BASIC = "boolean byte char double float int long short".split()
+_JAVA_KEYWORDS = "assert break case catch class const continue do else enum extends finally for goto if implements import instanceof interface new package return super switch this throw throws try void while".split()
+_JAVA_OPERATORS = ">>>= >>= <<= %= ^= |= &= /= *= -= += << -- ++ || && != >= <= == -> :: ... % ^ | & / * - + : ? ~ ! < > =".split()
+_JAVA_SEPARATORS = "( ) { } [ ] ; , .".split()
+_JAVA_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
+_JAVA_LITERAL = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\''
+_JAVA_NUMBER = r"0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9]+)?[fFdDlL]?"
+_JAVA_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
+
+
+def java_tokens(code: Column) -> Column:
+    """Tokens of Java code as structs (type, label), comments left out; an empty array where some of it is no token."""
+    signs = "|".join("".join("\\" + c for c in s) for s in _JAVA_OPERATORS + _JAVA_SEPARATORS)
+    every = f"{_JAVA_COMMENT}|{_JAVA_LITERAL}|{_JAVA_NUMBER}|{_JAVA_NAME}|@|{signs}"
+    found = F.filter(F.regexp_extract_all(code, F.lit(f"({every})"), 1), lambda t: ~F.startswith(t, F.lit("//")) & ~F.startswith(t, F.lit("/*")))
+    first = lambda t: F.substring(t, 1, 1)
+
+    def kind(t: Column) -> Column:
+        number = F.when(F.rlike(t, F.lit("^0[xX]")), "HexInteger").when(F.rlike(t, F.lit("^0[bB]")), "BinaryInteger").when(F.rlike(t, F.lit("[.eEfFdD]")), "DecimalFloatingPoint").when(F.rlike(t, F.lit("^0[0-9_]+[lL]?$")), "OctalInteger").otherwise("DecimalInteger")
+        word = F.when(t.isin(_JAVA_MODIFIERS), "Modifier").when(t.isin(_JAVA_BASIC), "BasicType").when(t.isin(_JAVA_KEYWORDS), "Keyword").when(t.isin("true", "false"), "Boolean").when(t == "null", "Null").otherwise("Identifier")
+        literal = F.when(first(t) == '"', "String").when(first(t) == "'", "Character").when(t == "@", "Annotation").when(t.isin(_JAVA_SEPARATORS), "Separator")
+        return literal.when(F.rlike(t, F.lit("^[.]?[0-9]")), number).when(F.rlike(t, F.lit("^[A-Za-z_$]")), word).otherwise("Operator")
+
+    left = F.regexp_replace(F.regexp_replace(code, f"({every})", ""), r"\s+", "")
+    tokens = F.transform(found, lambda t: F.struct(kind(t).alias("type"), t.alias("label")))
+    return F.when(left == "", tokens).otherwise(F.array().cast("array<struct<type:string,label:string>>"))
+
+
+def patch_side(patch: Column, after: bool) -> Column:
+    """The text before or after a unified diff of one hunk: its unchanged lines and those of that side."""
+    lines = F.split(F.regexp_replace(patch, r"^[\s\S]*?(?m)^@@[^\n]*\n", ""), "\n", -1)
+    sign = "+" if after else "-"
+    own = F.filter(lines, lambda x: F.substring(x, 1, 1).isin(" ", sign))
+    return F.array_join(F.transform(own, lambda x: F.substring(x, 2, 1 << 30)), "\n")
 
 
 def bleu_tokens(text: Column) -> Column:

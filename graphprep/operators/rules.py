@@ -39,6 +39,11 @@ def split_of(key: Column, shares: tuple[int, int, int] = (80, 10, 10), seed: str
     return F.when(p < shares[0], SPLITS[0]).when(p < shares[0] + shares[1], SPLITS[1]).otherwise(SPLITS[2])
 
 
+def two_way_split(key: Column, is_test: Column, train: int = 80, seed: str = "two") -> Column:
+    """Rows given as test stay test; of the others `train` per cent are train, the rest valid."""
+    return F.when(is_test, SPLITS[2]).when(percent(seed, key) < train, SPLITS[0]).otherwise(SPLITS[1])
+
+
 def content_hash(examples: DataFrame) -> DataFrame:
     """Add content_hash over nodes, sorted edges and output; provenance, split and ids do not count."""
     return examples.withColumn("content_hash", F.md5(F.concat(F.to_json("nodes"), F.to_json(F.array_sort("edges")), F.to_json("output"))))
@@ -55,8 +60,9 @@ def split_rank(split: Column) -> Column:
 
 
 def oversample(rows: DataFrame, weight: Column, key: Column, seed: str = "copies") -> DataFrame:
-    """floor(weight) copies of each row and one more with the remaining probability, decided by a hash of the key."""
-    more = F.when(percent(seed, key) < F.floor((weight - F.floor(weight)) * 100), 1).otherwise(0)
+    """floor(weight) copies of each row and one more with the remaining probability, decided by 52 bits of a hash of the key."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key.cast("string"))), 1, 13), 16, 10).cast("double")
+    more = F.when(draw < (weight - F.floor(weight)) * float(1 << 52), 1).otherwise(0)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.floor(weight) + more).cast("int"))))
 
 

@@ -38,6 +38,12 @@ def query(sql: str) -> Callable:
     return add
 
 
+def counted(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+    """Register a query that SQL cannot express; tests hold it against another way of computing it."""
+    QUERIES[f.__name__] = f
+    return f
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_chains(spark, sf_dir).select("doc_id", "split", F.posexplode("nodes.label").alias("pos", "token"))
 
@@ -160,7 +166,7 @@ def task_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("weight", F.lit(max(TASK_SIZES.values())).cast("double") / F.col("n"))
 
 
-@query(f"""WITH w AS (SELECT lang, CAST(max(count(*)) OVER () AS DOUBLE) / count(*) AS weight FROM documents GROUP BY lang), d AS (SELECT d.lang, CAST(floor(weight) AS INTEGER) + CASE WHEN {_PCT.format('copies', 'doc_id')} < floor((weight - floor(weight)) * 100) THEN 1 ELSE 0 END AS copies FROM documents d JOIN w ON d.lang = w.lang)
+@query(f"""WITH w AS (SELECT lang, CAST(max(count(*)) OVER () AS DOUBLE) / count(*) AS weight FROM documents GROUP BY lang), d AS (SELECT d.lang, CAST(floor(weight) AS INTEGER) + CASE WHEN ('0x'||substr(md5('copies:'||CAST(doc_id AS VARCHAR)),1,13))::BIGINT < (weight - floor(weight)) * 4503599627370496 THEN 1 ELSE 0 END AS copies FROM documents d JOIN w ON d.lang = w.lang)
     SELECT lang, count(*) AS n_docs, sum(copies)::BIGINT AS n_rows FROM d GROUP BY lang""")
 def oversample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -236,20 +242,6 @@ def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", op.alias("op"), script.alias("script"))
 
 
-@query(f"SELECT event_id, CASE op WHEN 'NoOp' THEN 'NoOp' WHEN 'del_node' THEN 'del_node POINTER(' || user_id || ')' ELSE op || ' POINTER(' || user_id || ') ' || event_type END AS said FROM (SELECT *, {_OPS} AS op FROM events)")
-def edit_script_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edits(spark, sf_dir).select("event_id", F.array_join(T.linearise(T.parse_edit(F.col("script")), done=False, with_ids=True), " ").alias("said"))
-
-
-@query(f"SELECT CASE WHEN op IN ('add_node', 'replace_val') AND event_type NOT IN ('click', 'view') THEN 'UNKNOWN' WHEN op IN ('NoOp') THEN 'NoOp' WHEN op = 'del_node' THEN 'POINTER' ELSE event_type END AS last_token, count(*) AS n FROM (SELECT *, {_OPS} AS op FROM events) GROUP BY 1")
-def unknown_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last token of an insertion becomes UNKNOWN where neither the labels nor the output vocabulary have it."""
-    out = _edits(spark, sf_dir).select(T.parse_edit(F.col("script")).alias("output"))
-    known = F.array(F.lit("click"), F.lit("view"))
-    last = F.element_at("output", -1)
-    word = F.coalesce(last["token"], F.lit("POINTER"))
-    new = F.when(F.element_at("output", 1)["token"].isin("add_node", "replace_val") & ~F.array_contains(known, word), "UNKNOWN").otherwise(word)
-    return out.groupBy(new.alias("last_token")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT item_id, array_to_string(w[1:CAST(len(w) / 3 AS INTEGER)], ' ') AS kept FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)")
@@ -313,10 +305,6 @@ def path_forest_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forest(spark, sf_dir).select("c_custkey", F.size("nodes").alias("n_nodes"), F.element_at(at("START_TOKEN"), 1).alias("first_start"), F.element_at(at("ROOT_AST_PATH"), -1).alias("last_root"))
 
 
-@query("SELECT c_custkey, 7 AS n_types FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def node_type_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forest(spark, sf_dir).select("c_custkey", (F.size(F.array_distinct("nodes.type")) + F.lit(1)).alias("n_types"))
-
 
 def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pred(spark, sf_dir)
@@ -539,12 +527,6 @@ def shift_and_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- more of the inventory
 
 
-@query(f"SELECT lang, source, count(*) AS n FROM documents WHERE {_PCT.format('two', 'doc_id')} < 80 GROUP BY 1, 2")
-def two_way_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 80 % side of a two-way split of a train set."""
-    docs = table(spark, sf_dir, "documents").where(R.percent("two", F.col("doc_id")) < 80)
-    return docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-
 
 @query("SELECT task, count(*) AS n FROM (SELECT 'ask' AS task FROM conversations WHERE role = 'user' UNION ALL SELECT 'page' FROM pages UNION ALL SELECT 'item' FROM benchmark) GROUP BY task")
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

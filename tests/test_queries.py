@@ -27,6 +27,6 @@ def rows_of(df):
     return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).values.tolist()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, name):
     assert rows_of(QUERIES[name](spark, SF).toPandas()) == rows_of(duck.sql(ORACLE_SQL[name]).df())
