@@ -23,7 +23,9 @@ def token_counts(examples: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, most: int) -> DataFrame:
     """Rows (kind, token, id): reserved tokens first, then the most frequent; ties by token. most counts the reserved ones."""
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("cnt"), "token"))
-    ranked = counts.where(~F.col("token").isin(*RESERVED)).withColumn("id", (rank + len(RESERVED) - 1).cast("int")).where(F.col("id") < most)
+    # The bare rank is what is filtered, so that each task keeps its best rows before they meet.
+    best = counts.where(~F.col("token").isin(*RESERVED)).withColumn("_rank", rank).where(F.col("_rank") <= most - len(RESERVED))
+    ranked = best.withColumn("id", (F.col("_rank") + len(RESERVED) - 1).cast("int"))
     fixed = counts.select("kind").distinct().select("kind", F.posexplode(F.array(*map(F.lit, RESERVED))).alias("id", "token"))
     return ranked.select("kind", "token", "id").unionByName(fixed.select("kind", "token", "id"))
 

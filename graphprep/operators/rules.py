@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphprep.schema import SPLITS
@@ -66,10 +66,41 @@ def oversample(rows: DataFrame, weight: Column, key: Column, seed: str = "copies
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.floor(weight) + more).cast("int"))))
 
 
-def batches(rows: DataFrame, by: list[str], order: list[Column], size: int, drop_remainder: bool) -> DataFrame:
-    """Number the batches of `size` rows within each group."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+def numbered(rows: DataFrame, by: list[str], order: str, out: str, parts: int = 64) -> DataFrame:
+    """Number the rows of each group from 0 in the order of a column, ties in any order, with no task holding a whole group.
+
+    Cuts at quantiles of the column deal each group into parts; the counts of the parts give each its first number. The
+    column must be a number that is the same whenever rows are read.
+    """
+    share = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    cuts = rows.agg(F.percentile_approx(order, share, 1000).alias("c")).first()["c"] or []
+    at = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    dealt = rows.withColumn("_part", F.size(F.filter(at, lambda c: c < F.col(order))))
+    counts = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by, F.lit(0)).orderBy("_part")
+    first = counts.select(*by, "_part", (F.sum("_n").over(w) - F.col("_n")).alias("_first"))  # at most `parts` rows a group
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order)) - 1
+    return dealt.withColumn("_in", inside).join(first, [*by, "_part"]).withColumn(out, (F.col("_first") + F.col("_in")).cast("bigint")).drop("_part", "_in", "_first")
+
+
+def batches(rows: DataFrame, by: list[str], order: str, size: int, drop_remainder: bool) -> DataFrame:
+    """Number the batches of `size` rows within each group, in the order of a column."""
+    out = numbered(rows, by, order, "_at").withColumn("batch", F.floor(F.col("_at") / size).cast("bigint"))
     if drop_remainder:
-        out = out.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, "batch"))).where(F.col("_n") == size).drop("_n")
-    return out
+        whole = rows.groupBy(*by).agg(F.floor(F.count(F.lit(1)) / size).cast("bigint").alias("_whole"))
+        out = out.join(whole, by).where(F.col("batch") < F.col("_whole")).drop("_whole")
+    return out.drop("_at")
+
+
+def count_while(rows: DataFrame, name: str, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """Rows with counters that fill as they are written: how many there are (all) and how many meet each condition.
+
+    Costs no pass of its own. Read Observation.get after an action.
+    """
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("all"), *[F.count_if(c).alias(n) for n, c in conditions.items()]), seen
+
+
+def of_task(examples: DataFrame, task: str, split_kept: tuple[str, ...] = SPLITS) -> DataFrame:
+    """Examples of one task in the given splits."""
+    return examples.where((F.col("task") == task) & F.col("split").isin(*split_kept))

@@ -179,7 +179,7 @@ def oversample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, split, CAST(floor((row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1) / 32) AS BIGINT) AS batch FROM (SELECT doc_id, {_SPLIT} AS split FROM documents) QUALIFY count(*) OVER (PARTITION BY split) - ((row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1) // 32) * 32 >= 32")
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", R.split_of(F.col("doc_id")).alias("split"))
-    return R.batches(rows, ["split"], [F.col("doc_id")], 32, drop_remainder=True).select("doc_id", "split", "batch")
+    return R.batches(rows, ["split"], "doc_id", 32, drop_remainder=True).select("doc_id", "split", "batch")
 
 
 # ---- scalar functions

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphprep.functions.text import drop_empty
+from graphprep.schema import EXAMPLES
 
 
 def read_paths(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +56,7 @@ def read_predictions(spark: SparkSession, predictions: str, targets: str) -> Dat
 
     def numbered(rows: DataFrame, c: str) -> DataFrame:
         n = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-        before = n.alias("a").join(n.alias("b"), F.col("b.file") < F.col("a.file"), "left").groupBy("a.file").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("shift"))
+        before = n.select("file", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file")) - F.col("n")).alias("shift"))  # a row for each file
         return rows.join(before, "file").select((F.col("shift") + F.col("pos")).alias("idx"), c)
 
     p, t = numbered(lines(predictions, "line"), "line"), numbered(lines(targets, "target"), "target")
@@ -69,6 +70,110 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha1("content").alias("sha1"))
 
 
+def verified(files: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """checksums() rows with the wanted sum of the file's name and whether it is met; files without one are not, and none is an error."""
+    name = F.element_at(F.split("path", "/", -1), -1)
+    want = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv]) if expected else F.create_map().cast("map<string,string>")
+    return files.withColumn("expected", F.element_at(want, name)).withColumn("ok", F.coalesce(F.col("expected") == F.col("sha1"), F.lit(False)))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Files inside .tar, .tar.gz, .tgz, .zip and .gz archives: rows (archive, name, content). An archive is read by one task."""
+
+    def unpack(frames):
+        import gzip
+        import io
+        import tarfile
+        import zipfile
+
+        import pandas as pd
+
+        def members(name: str, raw: bytes):
+            if name.endswith(".zip"):
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    yield from ((n, z.read(n)) for n in z.namelist() if not n.endswith("/"))
+            elif name.endswith((".tar", ".tar.gz", ".tgz")):
+                with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+                    yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
+            elif name.endswith(".gz"):
+                yield name.rsplit("/", 1)[-1][:-3], gzip.decompress(raw)
+            else:
+                raise ValueError(f"no archive: {name}")
+
+        for f in frames:
+            for name, raw in zip(f["path"], f["content"], strict=True):
+                for n, c in members(name, raw):
+                    yield pd.DataFrame({"archive": [name], "name": [n], "content": [c]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.repartition(max(1, min(1000, len(files.inputFiles())))).mapInPandas(unpack, "archive string, name string, content binary")
+
+
+def read_continued(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (id, label) of a CSV of ids from 0 and labels whose line breaks are not escaped.
+
+    A line that begins with the next id and a comma opens a row and gives what stands before its next comma; any other line
+    belongs to the row before, without a break. The first line is a header. Such a file is a dictionary and read as a whole.
+    """
+    lines = F.slice(F.split(F.regexp_replace("value", r"(\r\n|\n|\r)$", ""), r"\r\n|\n|\r", -1), F.lit(2), F.lit(1 << 30))
+    start = F.array().cast("array<string>")
+
+    def step(labels: Column, line: Column) -> Column:
+        opens = F.startswith(line, F.concat(F.size(labels).cast("string"), F.lit(",")))
+        last = F.concat(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))), F.array(F.concat(F.element_at(labels, -1), line)))
+        return F.when(opens, F.concat(labels, F.array(F.element_at(F.split(line, ",", -1), 2)))).otherwise(last)
+
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.posexplode(F.aggregate(lines, start, step)).alias("id", "label"))
+
+
+def read_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The flat tables of a bundle, as bundle_examples() takes them: counts, node_rows, edge_rows, types and attrs, and the split bounds.
+
+    Files: edge.csv, node-feat.csv, num-node-list.csv, num-edge-list.csv, graph-label.csv without headers, typeidx2type.csv and
+    attridx2attr.csv with them, split/train.csv and split/valid.csv with graph numbers. Line numbers come from the files'
+    order, so each of these is one file.
+    """
+
+    def lines(name: str) -> DataFrame:
+        # The number of a line: lines before it in the file's earlier blocks, by their offsets, and in its own.
+        found = spark.read.text(f"{folder}/{name}").select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
+        n = found.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+        first = n.select("_block", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_block")) - F.col("_n")).alias("_first"))  # a row for each block
+        at = F.row_number().over(Window.partitionBy("_block").orderBy("_i")) - 1
+        return found.withColumn("_at", at).join(first, "_block").select((F.col("_first") + F.col("_at")).alias("place"), "value")
+
+    def numbers(name: str, *columns: str) -> DataFrame:
+        p = F.split("value", ",", -1)
+        return lines(name).select("place", *[F.trim(p[i]).cast("int").alias(c) for i, c in enumerate(columns)])
+
+    n, e = (numbers(f"num-{k}-list.csv", f"n_{k}s") for k in ("node", "edge"))
+    names = lines("graph-label.csv").select("place", F.col("value").alias("name"))
+    last = lambda s: spark.read.text(f"{folder}/split/{s}.csv").agg(F.max(F.col("value").cast("long"))).first()[0]
+    types = spark.read.text(f"{folder}/typeidx2type.csv").select(F.split("value", ",", -1).alias("p")).select(F.col("p")[0].try_cast("int").alias("type_id"), F.col("p")[1].alias("type")).where("type_id is not null")
+    return {
+        "counts": n.join(e, "place").join(names, "place").withColumnRenamed("place", "graph"),
+        "node_rows": numbers("node-feat.csv", "type_id", "attr_id"),
+        "edge_rows": numbers("edge.csv", "src", "dst"),
+        "types": types,
+        "attrs": read_continued(spark, f"{folder}/attridx2attr.csv").select(F.col("id").alias("attr_id"), "label"),
+        "bounds": spark.createDataFrame([(last("train"), last("valid"))], "last_train long, last_valid long"),
+    }
+
+
+def read_examples(spark: SparkSession, path: str, as_json: bool = False) -> DataFrame:
+    """Examples as write_examples() or write_json() left them, never inferred; provenance that is missing is empty."""
+    read = spark.read.schema(EXAMPLES)
+    rows = read.json(path) if as_json else read.option("mergeSchema", "true").parquet(path)
+    return rows.withColumn("provenance", F.coalesce("provenance", F.lit("")))
+
+
+def read_vocabulary(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows (kind, token, id): the id is the number of the line. A vocabulary is one file and bounded by its size parameter."""
+    lines = F.split(F.regexp_replace("value", r"\n$", ""), r"\n", -1)
+    return spark.read.text(path, wholetext=True, pathGlobFilter="part-*").where("value <> ''").select(F.lit(kind).alias("kind"), F.posexplode(lines).alias("id", "token")).select("kind", "token", "id")
+
+
 def split_from_path(path: Column) -> Column:
     """train, valid or test by what the path holds; an error where it holds none."""
     return F.when(path.contains("train"), "train").when(path.contains("valid") | path.contains("dev"), "valid").when(path.contains("test"), "test").otherwise(F.raise_error(F.concat(F.lit("no split in "), path)))
