@@ -6,9 +6,9 @@ simhash.links() finds them, cannot give all pairs. So the search has four steps,
 
 1. Each shingle is counted: in how many texts it stands. A text with more than (1 - t) of its shingles found nowhere else
    has no near copy. Only the others, the candidates, go on; they keep the shingles they share with some text.
-2. Fingerprints of the candidates are linked by simhash.links(); linked texts are compared.
-3. Shingles stand in one order, rare ones first. Two near copies of n shingles each share one of the first
-   n - ceil(t * n) + 1 (a text's prefix). In each of STARS rounds every candidate is compared with one other text of its
+2. Fingerprints of the candidates are linked by simhash.links(), and linked texts are compared.
+3. At the same time and in STARS - 1 more rounds, stars are compared. Shingles stand in one order, rare ones first. Two near copies of n shingles each share one of the first
+   n - ceil(t * n) + 1 (a text's prefix). In each round every candidate is compared with one other text of its
    keys that lies in another component: at first the one with the fewest shingles of its own, which is the likeliest to be
    what the others were copied from, then one drawn by hash. So a group of copies costs as many comparisons as it has
    members.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphprep.llm.common import components, map_batches, materialize, text_bytes, words_of
+from graphprep.llm.common import components, fresh, map_batches, materialize, text_bytes, words_of
 from graphprep.llm.simhash import links, majority_bits, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -209,10 +209,14 @@ def _by_prints(found: DataFrame) -> DataFrame:
     return same.union(ends.select("x", "y"))
 
 
-def _placed(keys: DataFrame, edges: DataFrame) -> DataFrame:
+def _parts(edges: DataFrame) -> DataFrame:
+    """Components as edges (a, b) from each node to the least of its own: what later links are added to."""
+    return materialize(components(edges).select(F.col("id").alias("a"), F.col("component").alias("b")), "near-parts")
+
+
+def _placed(keys: DataFrame, parts: DataFrame) -> DataFrame:
     """keys with the component of their node, without the keys whose nodes share one."""
-    part = components(edges).select(F.col("id").alias("node"), F.col("component").alias("part"))
-    placed = keys.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    placed = keys.join(parts.select(F.col("a").alias("node"), F.col("b").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
     several = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     return materialize(placed.join(several, "key", "left_semi"), "near-placed")
 
@@ -256,19 +260,21 @@ def group_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: f
     nodes = materialize(nodes.withColumn("wide", F.col("digest")).groupBy("node").agg(F.min("wide").alias("lo"), F.max("wide").alias("hi"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.min("first").alias("first")), "near-nodes")
     plain = nodes.where("lo = hi")
     copies = prints.select("doc_id").distinct().join(nodes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti")
-    texts = docs.join(copies, "doc_id", "left_anti")
+    # Written, so that its size is known: Spark sends it to the executors below its threshold and shuffles the texts beyond.
+    texts = docs.join(materialize(copies, "near-copies"), "doc_id", "left_anti")
     total, rows = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     common = docs.sparkSession.sparkContext.broadcast(_common(texts, min(1.0, SAMPLED / max(1, rows)), shingle))
     tasks = 1 + total // TASK_SHINGLES
     shared = _shared(_spread(texts, common, tasks * BUCKETS_A_TASK, shingle), common, tasks)
     found = materialize(_candidates(shared, plain.select("node", "n", "fp"), similarity), "near-candidates")
-    edges = materialize(_verified(_by_prints(found), found, similarity), "near-links")
-    keys = found.select("node", "n", "alone", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place") + F.col("alone"))
-    scores = [F.struct((F.col("alone") / F.col("n")).alias("own"), F.xxhash64("node").alias("turn")), *(F.struct(F.xxhash64("node", F.lit(r)).alias("turn")) for r in range(1, STARS))]
-    for score in scores:
-        star = _star(_placed(keys, edges), score, apart)
-        edges = materialize(edges.union(_verified(star, found, similarity)), "near-links")
-    edges = edges.union(_verified(_rest(_placed(keys, edges), found, apart), found, similarity))
+    keys = materialize(found.select("node", "n", "alone", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place") + F.col("alone")), "near-keys")
+    likeliest = F.struct((F.col("alone") / F.col("n")).alias("own"), F.xxhash64("node").alias("turn"))
+    star = _star(keys.withColumn("part", F.col("node")), likeliest, apart)
+    parts = _parts(_verified(_by_prints(found).union(star), found, similarity))
+    for turn in range(1, STARS):
+        star = _star(_placed(keys, parts), F.struct(F.xxhash64("node", F.lit(turn)).alias("turn")), apart)
+        parts = _parts(parts.union(_verified(star, found, similarity)))
+    edges = parts.union(_verified(_rest(_placed(keys, parts), found, apart), found, similarity))
     # Rows with equal doc_ids tie their texts together.
     tied = prints.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     tied = prints.select("doc_id", "node").join(tied.select("doc_id", "a"), "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
@@ -285,5 +291,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: fl
 
     Rows with equal doc_ids stay or go together.
     """
-    gone = group_near_duplicates(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_near_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_near_gone"), "left_anti")
+    name = fresh("_near_gone", docs)
+    gone = group_near_duplicates(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return docs.join(materialize(gone, "near-gone"), docs["doc_id"] == F.col(name), "left_anti")
