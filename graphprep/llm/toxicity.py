@@ -31,8 +31,8 @@ FOLDS = 3
 LEAST_DOCS, LEAST_G = 3, 12.0
 #: Code points of the word beginnings that are features beside the word.
 BEGINNINGS = (4, 6)
-#: Labels of up to so many documents are sent to the executors; more are joined by a shuffle.
-BROADCAST_LABELS = 2_000_000
+#: Entries that the fit looks at in one go.
+BLOCK_ENTRIES = 1 << 19
 FLUSH, CACHE_WORDS = 400_000, 400_000
 _EDGES = ".,;:!?\"'()[]{}<>*%$&#|-_=+~`/\\"
 
@@ -104,21 +104,28 @@ def fit_logistic(flat: np.ndarray, starts: np.ndarray, scale: np.ndarray, dense:
     w, bias = np.zeros(k + dense.shape[1]), 0.0
     if not n or y.min() == y.max():
         return w, float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))) if n else -20.0
-    owner = np.repeat(np.arange(n), np.diff(starts))
-    values = scale[flat]
+
+    def row_sums(by_feature: np.ndarray) -> np.ndarray:
+        return np.concatenate([_row_sums(by_feature[flat[starts[lo] : starts[hi]]], starts[lo : hi + 1] - starts[lo]) for lo, hi in blocks])
+
+    def column_sums(by_row: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(flat[starts[lo] : starts[hi]], weights=np.repeat(by_row[lo:hi], np.diff(starts[lo : hi + 1])), minlength=k) for lo, hi in blocks), np.zeros(k))
+
+    cuts = np.unique(np.r_[np.searchsorted(starts[:-1], np.arange(0, int(starts[-1]) + 1, BLOCK_ENTRIES)), n])
+    blocks = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if cuts[0] == 0 else list(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
     # The loss curves by at most a quarter of the largest squared row; half of the mean is taken, and shrunk if it overshoots.
-    squares = _row_sums(values**2, starts) + (dense**2).sum(axis=1) + 1
+    squares = row_sums(scale**2) + (dense**2).sum(axis=1) + 1
     rate = 4 / max(1.0, float(np.quantile(squares, 0.9)))
     ahead, ahead_bias, last = w.copy(), bias, np.inf
     for turn in range(turns):
-        margin = _row_sums(values * ahead[flat], starts) + dense @ ahead[k:] + ahead_bias
+        margin = row_sums(scale * ahead[:k]) + dense @ ahead[k:] + ahead_bias
         loss = float(np.logaddexp(0, np.where(y, -margin, margin)).mean() + ridge * (ahead @ ahead) / 2)
         if loss > last * 1.05:
             rate, ahead, ahead_bias, last = rate / 2, w.copy(), bias, np.inf
             continue
         last = min(last, loss)
         off = (_sigmoid(margin) - y) / n
-        grad = np.concatenate([np.bincount(flat, weights=off[owner] * values, minlength=k), dense.T @ off]) + ridge * ahead
+        grad = np.concatenate([scale * column_sums(off), dense.T @ off]) + ridge * ahead
         new, new_bias = ahead - rate * grad, ahead_bias - rate * float(off.sum())
         push = turn / (turn + 3)
         ahead, ahead_bias = new + push * (new - w), new_bias + push * (new_bias - bias)
@@ -148,8 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int =
     names = [f"_label{i}" for i in range(len(categories))]
     known = labels.select("doc_id", *[F.col(c).cast("int").alias(n) for c, n in zip(categories, names, strict=True)]).dropna().groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
     known = materialize(known, "toxicity-labels")
-    small = known.count() <= BROADCAST_LABELS
-    texts = docs.select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
+    # Written, so that its size is known: Spark sends it to the executors below its threshold and shuffles beyond.
+    texts = docs.select("doc_id", "text").join(known, "doc_id")
     width = len(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int =
     sampled = texts.join(F.broadcast(drawn), "doc_id")
     rows = map_batches(sampled.select(F.xxhash64("doc_id").alias("turn"), "text", *names), project, "turn long, " + ", ".join(f"{x} int" for x in names) + ", found array<int>", caches="toxicity").orderBy("turn").limit(2 * sample).toArrow()
     found = rows.column("found").combine_chunks()
-    every = found.flatten().to_numpy().astype(np.int64)
+    every = found.flatten().to_numpy()
     bounds = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())]).astype(np.int64)
     fold = (rows.column("turn").to_numpy() >> 7) % folds
     earlier = np.zeros((rows.num_rows, 0))
