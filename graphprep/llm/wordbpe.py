@@ -2,17 +2,27 @@
 
 The tokenizer drops white space and splits at it, and its normaliser works character by character or on combining
 sequences that white space ends. A text's ids are therefore the ids of its parts between ASCII white space, one after
-another; parts are encoded once and kept.
+another. Parts are encoded once and kept. Of a part not met before, ASCII signs at its end behind an ASCII letter or digit
+are split off, as the tokenizer always splits there, and both halves are looked up. Halves of ASCII letters alone are one
+word each, so many of them go through the library in one text, and the ids that end a word tell them apart. Parts that may
+hold one of the tokenizer's added tokens are encoded whole.
 """
 
 from __future__ import annotations
 
 from array import array
 
+import numpy as np
+
 from graphprep.llm.common import worker_cache
 
-#: Parts kept by one Python worker.
-CACHE_PARTS = 600_000
+#: Parts, and halves of parts, kept by one Python worker.
+CACHE_PARTS, CACHE_HALVES = 600_000, 300_000
+#: Words that go through the library in one text.
+JOINED = 200
+#: Signs split off at the end of a part. The apostrophe is not among them: the tokenizer splits contractions at it.
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORD_END = "</w>"
 
 
 class WordEncoder:
@@ -22,16 +32,52 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(definition)
-        self.whole.encode_special_tokens = True
+        vocab = self.whole.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith(_WORD_END)]] = True
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
 
-    def parts(self, parts: list[bytes]) -> list[bytes]:
+    def plain(self, parts: list[bytes]) -> list[bytes]:
+        """One part after another through the library."""
         texts = [p.decode("utf-8", "replace") for p in parts]
-        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, words: list[bytes]) -> list[bytes]:
+        """Words of ASCII letters, many in one text."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.whole.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) != len(group):  # not a tokenizer that marks the ends of words
+                out += self.plain(group)
+                continue
+            raw = ids.tobytes()
+            starts = [0, *ends.tolist()]
+            out += [raw[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+        return out
+
+    def _halves(self, part: bytes) -> tuple[bytes, bytes]:
+        head = part.rstrip(_SIGNS)
+        if any(t in part for t in self.added) or not head[-1:].isalnum():
+            return part, b""
+        return head, part[len(head) :]
+
+    def parts(self, parts: list[bytes]) -> list[bytes]:
+        cache = worker_cache("wordbpe-halves", CACHE_HALVES)
+        cache[b""] = b""
+        both = [self._halves(p) for p in parts]
+        missing = {h for pair in both for h in pair if h not in cache}
+        words = [h for h in missing if h.isalpha() and h.isascii()]
+        others = [h for h in missing if not (h.isalpha() and h.isascii())]
+        cache.update(zip(words, self.letters(words), strict=True))
+        cache.update(zip(others, self.plain(others), strict=True))
+        return [cache[a] + cache[b] for a, b in both]
 
     def __call__(self, raws: list[bytes]) -> list[bytes]:
         cache = worker_cache("wordbpe", CACHE_PARTS)
         cut = [r.split() for r in raws]
-        missing = list({p for ps in cut for p in ps if p not in cache})
+        missing = list({p for ps in cut for p in ps}.difference(cache))
         cache.update(zip(missing, self.parts(missing), strict=True))
         get = cache.__getitem__
         return [b"".join(map(get, ps)) for ps in cut]
