@@ -4,9 +4,12 @@
 2. Linear grouping: the large pieces, longest first, are cut into groups of equal cardinality; every length counts as the
    longest of its group, so that only GROUPS sizes are left.
 3. Configurations (how many pieces of each size share a window) are chosen by column generation: a simplex over the sizes
-   and a knapsack for the next column. The rounded-down solution is kept and the rest packed by best fit decreasing.
+   and a knapsack for the next column. The rounded-down solution is kept.
 4. Each place of a configuration is given to an actual piece of its group by rank, which frees what rounding had added.
-5. The small pieces go by best fit, longest first, into what is left of the windows; then into new windows.
+   The pieces of a group beyond its places, its shortest ones, join the small pieces.
+5. These go by best fit, longest first, into what is left of the windows; then into new windows.
+6. Should best fit decreasing of all pieces need fewer windows, as it can where all lengths are few and fit well, its plan
+   is taken instead, by the same rules as in step 5.
 
 Steps 1 to 3 and the plan of 5 work on counts by length and by space left, whatever the number of documents; the pieces
 themselves are numbered and joined to the plan in parallel.
@@ -29,7 +32,7 @@ GROUPS = 128
 #: Column generation stops when no more than this share of the windows could be saved.
 GAP = 5e-4
 #: Rows of one length that one task numbers.
-RANK_ROWS = 200_000
+RANK_ROWS = 10_000
 
 
 def _simplex(columns: np.ndarray, demand: np.ndarray, capacity: int, sizes: np.ndarray, most_columns: int = 4000) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +114,7 @@ def group_large(lengths: list[int], counts: list[int], groups: int = GROUPS) ->
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """Configurations (pieces of each size) and how many windows use each, together exactly counts."""
+    """Configurations (pieces of each size) and how many windows use each; together at most counts."""
     if not sizes:
         return []
     s, need = np.array(sizes), np.array(counts, dtype=np.int64)
@@ -126,21 +129,6 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
         if n > 0:
             found[tuple(column.tolist())] = found.get(tuple(column.tolist()), 0) + n
             left -= n * column
-    # What rounding down has left, at most one window a column or so: best fit decreasing, a window at a time.
-    spaces: list[tuple[int, int]] = []
-    windows: list[np.ndarray] = []
-    for g in range(len(sizes)):
-        for _ in range(int(left[g])):
-            at = bisect_left(spaces, (sizes[g], -1))
-            if at == len(spaces):
-                windows.append(np.zeros(len(sizes), np.int64))
-                space, w = capacity, len(windows) - 1
-            else:
-                space, w = spaces.pop(at)
-            windows[w][g] += 1
-            insort(spaces, (space - sizes[g], w))
-    for w in windows:
-        found[tuple(w.tolist())] = found.get(tuple(w.tolist()), 0) + 1
     return [(list(c), n) for c, n in found.items()]
 
 
@@ -180,12 +168,13 @@ def pack(pieces: DataFrame, window: int = WINDOW, groups: int = GROUPS) -> DataF
     """Add sequence_id and offset to pieces (doc_id, piece, length, ...): windows of at most `window` tokens, as few as can be.
 
     Lengths are from 1 to window; (doc_id, piece) tells pieces apart, and repeated rows are numbered and all packed.
-    Offsets in a sequence run from 0 without gaps. Column names sequence_id, offset and those starting with _pack are the
-    operator's own. An empty table gives an empty result. Large pieces that share a length are interchangeable: which of
+    Offsets in a sequence run from 0 without gaps. Columns named sequence_id or offset are replaced, columns whose names start
+    with _pack or _rank are the operator's own and are left out. An empty table gives an empty result. Large pieces that share a length are interchangeable: which of
     them stands where follows from a hash of the row.
     """
     spark = pieces.sparkSession
-    own = pieces.columns
+    own = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset") and not c.lower().startswith(("_pack", "_rank"))]
+    pieces = pieces.select(*own)
     rows = materialize(pieces.withColumn("_pack_turn", F.xxhash64("doc_id", "piece", "length")), "pack-pieces")
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most `window` rows
     if any(not 0 < x <= window for x in counts):
@@ -196,73 +185,82 @@ def pack(pieces: DataFrame, window: int = WINDOW, groups: int = GROUPS) -> DataF
 
     small_most = window // SMALL_PART
     large = {x: n for x, n in counts.items() if x > small_most}
+    rest = {x: n for x, n in counts.items() if x <= small_most}
     grouped = group_large(list(large), list(large.values()), groups)
     sizes, needs = [g[0] for g in grouped], [g[1] for g in grouped]
-    found = configurations(sizes, needs, window)
     # Places of group g are numbered by configuration, then window, then place in the window.
-    placed, first_window, next_place = [], 0, [0] * len(sizes)
-    for column, n in found:
+    placed, windows, next_place = [], 0, [0] * len(sizes)
+    for column, n in configurations(sizes, needs, window):
         order = 0
         for g, k in enumerate(column):
             if k:
-                placed.append((g, next_place[g], next_place[g] + n * k, k, first_window, order))
+                placed.append((g, next_place[g], next_place[g] + n * k, k, windows, order))
                 next_place[g] += n * k
                 order += k
-        first_window += n
-    windows = first_window
-    # Number of large pieces before each length, longest first: from the rank in a length to the rank among all.
-    before, starts = 0, []
+        windows += n
+    # Ranks among the large pieces, longest first: of each length, and of each group's places and what is beyond them.
+    before, spans = 0, []
     for x in sorted(large, reverse=True):
-        starts.append((x, before))
+        spans.append((x, before, before + large[x]))
         before += large[x]
-    bounds, cut = [], 0
-    for g, n in enumerate(needs):
-        bounds.append((g, cut, cut + n))
-        cut += n
-    big = numbered.where(F.col("length") > small_most)
-    # One table of ranges: rank among the large pieces -> configuration places. Its size depends on groups, not on the rows.
-    ranges = [(bounds[g][1] + a, bounds[g][1] + b, k, w, order) for g, a, b, k, w, order in placed]
+    cut = [0, *np.cumsum(needs).tolist()]
+    ranges = [(cut[g] + a, cut[g] + b, k, w, order) for g, a, b, k, w, order in placed]
+    ranges += [(cut[g] + next_place[g], cut[g + 1], 1, -1, 0) for g in range(len(sizes)) if next_place[g] < needs[g]]
     ranges.sort()
-    cuts = [r[0] for r in ranges]
-    table = spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "_pack_range int, _pack_a long, _pack_b long, _pack_k long, _pack_w long, _pack_order long")
-    offsets = spark.createDataFrame(starts, "length long, _pack_before long")
-    big = big.join(F.broadcast(offsets), "length").withColumn("_pack_all", F.col("_pack_rank") + F.col("_pack_before"))
-    big = big.withColumn("_pack_range", _interval(F.col("_pack_all"), cuts)).join(F.broadcast(table), "_pack_range")
-    at = F.col("_pack_all") - F.col("_pack_a")
-    big = big.withColumn("_pack_seq", F.col("_pack_w") + F.floor(at / F.col("_pack_k"))).withColumn("_pack_pos", F.col("_pack_order") + at % F.col("_pack_k"))
-    big = materialize(big.select(*own, F.col("_pack_seq").cast("long").alias("sequence_id"), F.col("_pack_pos").cast("long").alias("_pack_pos")), "pack-large")
+    # What a length's pieces do, by their rank in it: rows (first rank, pieces a window or 1, window or -1, place, shift).
+    # There are no more of them than lengths and ranges together.
+    by_length, i = [], 0
+    for x, a, b in spans:
+        rules, over = [], 0
+        while i < len(ranges) and ranges[i][1] <= a:
+            i += 1
+        for lo, hi, k, w, order in ranges[i:]:
+            if lo >= b:
+                break
+            first, last = max(lo, a), min(hi, b)
+            rules.append([first - a, k, w, order, over if w < 0 else first - lo])
+            if w < 0:
+                over += last - first
+        by_length.append((x, [r[0] for r in rules], rules))
+        if over:
+            rest[x] = over
+
+    def ruled(rows: DataFrame, table: list, rank: str) -> DataFrame:
+        """Add _pack_rule: of the length's rules, in the order of their first rank, the last that starts at or before the rank."""
+        lookup = spark.createDataFrame(table, "length long, _pack_firsts array<long>, _pack_rules array<array<long>>")
+        rows = rows.join(F.broadcast(lookup), "length")
+        rule = F.element_at("_pack_rules", F.size(F.filter("_pack_firsts", lambda x: x <= F.col(rank))))
+        return rows.withColumn("_pack_rule", rule).drop("_pack_firsts", "_pack_rules")
+
+    rule = lambda i: F.element_at("_pack_rule", i)
+    within = F.col("_pack_rank") - rule(1) + rule(5)
+    big = ruled(numbered.where(F.col("length") > small_most), by_length, "_pack_rank")
+    over = big.where(rule(3) < 0).withColumn("_pack_rank", within).drop("_pack_rule")
+    big = big.where(rule(3) >= 0).select(*own, (rule(3) + F.floor(within / rule(2))).cast("long").alias("sequence_id"), (rule(4) + within % rule(2)).cast("long").alias("_pack_pos"))
+    big = materialize(big, "pack-large")
 
     # A window's large pieces are few (each over 1 / SMALL_PART of it): their offsets follow in the row.
     held = big.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("_pack_pos", "length"))).alias("_pack_in"), F.sum("length").alias("_pack_used"))
     held = materialize(held.withColumn("_pack_space", F.lit(window) - F.col("_pack_used")), "pack-windows")
     spaces = {r[0]: r[1] for r in held.groupBy("_pack_space").count().collect()}  # at most `window` rows
-    small = {x: n for x, n in counts.items() if x <= small_most}
-    rules, _ = plan_small(spaces, small, window)
-    base = window  # sequence ids of new windows follow those of the large pieces
+    rules, new = plan_small(spaces, rest, window)
+    plain, fewest = plan_small({}, counts, window)
+    base = window  # the space of new windows; their sequence ids follow those of the configurations
+    little = numbered.where(F.col("length") <= small_most).unionByName(over)
+    if fewest < windows + new:
+        rules, windows, little = plain, 0, numbered
+    found: dict[int, list] = {}
+    for r in rules:
+        found.setdefault(r[0], []).append(list(r[1:]))
+    little = ruled(little, [(x, [r[0] for r in rs], rs) for x, rs in found.items()], "_pack_rank")
+    within = F.col("_pack_rank") - rule(1)
+    little = little.withColumn("_pack_space", rule(2)).withColumn("_pack_window", (rule(3) + F.floor(within / rule(5))).cast("long")).withColumn("_pack_lead", rule(6) + (within % rule(5)) * F.col("length"))
+    fresh = little.where(F.col("_pack_space") == base).select(*own, (F.lit(windows) + F.col("_pack_window")).cast("long").alias("sequence_id"), F.col("_pack_lead").cast("long").alias("offset"))
+    if not windows:
+        return fresh
     part = F.pmod(F.xxhash64("sequence_id"), F.lit(max(1, windows // RANK_ROWS + 1)))
     spots = ranked(held.select("sequence_id", "_pack_space"), ["_pack_space"], ["sequence_id"], part, "_pack_window")
     offsets_big = held.select("sequence_id", F.explode(F.transform("_pack_in", lambda x: F.struct(x["_pack_pos"].alias("_pack_pos"), F.aggregate(F.filter("_pack_in", lambda y: y["_pack_pos"] < x["_pack_pos"]), F.lit(0).cast("long"), lambda s, y: s + y["length"]).alias("offset")))).alias("o")).select("sequence_id", "o._pack_pos", "o.offset")
     done_big = big.join(offsets_big, ["sequence_id", "_pack_pos"]).select(*own, "sequence_id", "offset")
-
-    by_length: dict[int, list] = {}
-    for rule in rules:
-        by_length.setdefault(rule[0], []).append(rule[1:])
-    # A length has a few rules; a piece looks its own up by its rank. At most a few rules for each length and space exist.
-    lookup = spark.createDataFrame([(x, [r[0] for r in rs], [list(r) for r in rs]) for x, rs in by_length.items()], "length long, _pack_firsts array<long>, _pack_rules array<array<long>>")
-    little = numbered.where(F.col("length") <= small_most).join(F.broadcast(lookup), "length")
-    # Rules of a length are in the order of their first piece: the last one that starts at or before the rank.
-    little = little.withColumn("_pack_rule", F.element_at("_pack_rules", F.size(F.filter("_pack_firsts", lambda x: x <= F.col("_pack_rank")))))
-    rule = lambda i: F.element_at("_pack_rule", i)
-    within = F.col("_pack_rank") - rule(1)
-    little = little.withColumn("_pack_space", rule(2)).withColumn("_pack_window", (rule(3) + F.floor(within / rule(5))).cast("long")).withColumn("_pack_lead", rule(6) + (within % rule(5)) * F.col("length"))
-    little = little.drop("_pack_firsts", "_pack_rules", "_pack_rule")
-    fresh = little.where(F.col("_pack_space") == base).select(*own, (F.lit(windows) + F.col("_pack_window")).cast("long").alias("sequence_id"), F.col("_pack_lead").cast("long").alias("offset"))
     filled = little.where(F.col("_pack_space") < base).join(spots, ["_pack_space", "_pack_window"]).select(*own, "sequence_id", (F.lit(window) - F.col("_pack_space") + F.col("_pack_lead")).cast("long").alias("offset"))
     return done_big.unionByName(filled).unionByName(fresh)
-
-
-def _interval(value: F.Column, cuts: list[int]) -> F.Column:
-    """Index of the last cut at or below value."""
-    if not cuts:
-        return F.lit(0)
-    return (F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= value)) - 1).cast("int")
