@@ -20,16 +20,26 @@ _SHIPPED: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors can write: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """Folder that the driver and all executors can write: spark.checkpoint.dir. In a local session it may be unset: then a temporary one."""
     global _LOCAL_DIR
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="graphprep-")
     return "file://" + _LOCAL_DIR
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back. Survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

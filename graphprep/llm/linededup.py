@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from graphprep.llm.common import map_batches, materialize, text_bytes
+from graphprep.llm.common import fresh, map_batches, materialize, text_bytes
 
 MIN_DOCS, MIN_CHARS = 3, 20
 #: Keys of one filter shard, at most on average: what one task holds.
 SHARD_KEYS = 250_000
-#: Filters up to this size in all are sent to every executor. Beyond it they are not used: references are joined to the counts.
-FILTER_BROADCAST_BYTES = 64 << 20
+#: References that one task holds against a filter; a shard with more is dealt to several tasks, each with the filter.
+TASK_REFS = 2_000_000
+#: Keys found in more documents than this are told apart: there are so few of them that they can be sent to every executor.
+HOT_DOCS = 1_000_000
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -178,8 +180,8 @@ def build_index(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     """The index of all documents. Rows with equal doc_id are one document; rows whose doc_id is null are left out."""
     refs = materialize(line_refs(docs, min_chars), "line-refs")
     counts = materialize(_counted(refs.distinct() if _repeats(docs) else refs, min_docs), "line-counts")
-    shards = 1
-    while shards * SHARD_KEYS < counts.count():
+    keys, shards = counts.count(), 1
+    while shards * SHARD_KEYS < keys:
         shards *= 2
     return LineIndex(refs, counts, materialize(build_filters(counts, shards), "line-filters"), shards, min_docs, min_chars)
 
@@ -205,18 +207,21 @@ def _changed(index: LineIndex, refs: DataFrame) -> LineIndex:
     shard = _shard_of(index.shards).alias("shard")
     new = counts.select("key").join(index.counts.select("key"), "key", "left_anti").select(shard, "key", F.lit(1).alias("change"))
     gone = index.counts.select("key").join(counts.select("key"), "key", "left_anti").select(shard, "key", F.lit(-1).alias("change"))
-    kept = index.filters.select("shard", F.col("filter").alias("key"), F.lit(0).alias("change"))
+    kept = index.filters.select("shard", F.col("filter").alias("key"), F.lit(0).alias("change"), "n_keys")
+    new, gone = (x.withColumn("n_keys", F.lit(0).cast("long")) for x in (new, gone))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[int, list[bytes]]] = {}
+        n_keys: dict[int, int] = {}
         for b in batches:
-            for s, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for s, k, c, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 held.setdefault(s, {}).setdefault(c, []).append(k)
+                n_keys[s] = n_keys.get(s, 0) + (c or n)
         for s, by in held.items():
             f = CuckooFilter(table=by[0][0]) if 0 in by else CuckooFilter(len(by.get(1, ())) * 2)
             f.delete(_words(pa.array(by.get(-1, []), pa.binary())))
             fits = f.insert(_words(pa.array(by.get(1, []), pa.binary())))
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([f.tobytes() if fits else None], pa.binary()), pa.array([0], pa.int64())], names=["shard", "filter", "n_keys"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([f.tobytes() if fits else None], pa.binary()), pa.array([n_keys[s]], pa.int64())], names=["shard", "filter", "n_keys"])
 
     filters = materialize(map_batches(new.union(gone).union(kept).repartition("shard"), run, "shard int, filter binary, n_keys long"), "line-filters")
     if filters.where("filter is null").take(1):  # a filter overflowed: build all anew from the exact table
@@ -226,37 +231,53 @@ def _changed(index: LineIndex, refs: DataFrame) -> LineIndex:
 
 
 def repeated_refs(index: LineIndex) -> DataFrame:
-    """Rows (key, doc_id) that must go: the key is in min_docs documents or more and this document is not the largest of them."""
-    total = index.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-    refs = index.refs
-    if total <= FILTER_BROADCAST_BYTES:
-        spark, shards = refs.sparkSession, index.shards
-        sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in index.filters.select("shard", "filter").collect()})
-        kind = refs.schema["doc_id"].dataType.simpleString()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {s: CuckooFilter(table=t) for s, t in sent.value.items()}
-            for b in batches:
-                s, h = b.column(0).to_numpy(zero_copy_only=False), _words(b.column(1))
-                keep = np.zeros(len(s), bool)
-                for k in np.unique(s):
-                    own = s == k
-                    if int(k) in filters:
-                        keep[own] = filters[int(k)].contains(h[own])
-                yield b.filter(pa.array(keep)).select(["key", "doc_id"])
-
-        refs = map_batches(refs.select(_shard_of(shards).alias("shard"), "key", "doc_id"), run, f"key binary, doc_id {kind}")
-    return refs.join(index.counts.select("key", "top_doc"), "key").where("doc_id <> top_doc").select("key", "doc_id")
+    """Rows (key, doc_id) that must go: the key is in min_docs documents or more and this document is not the largest of them.
+
+    References meet the filter of their shard; what it lets through is joined to the exact counts.
+    """
+    refs, shard = index.refs, _shard_of(index.shards)
+    kind = refs.schema["doc_id"].dataType.simpleString()
+    # A row for each shard; a shard that a hot key fills is dealt to several tasks.
+    parts = materialize(refs.groupBy(shard.alias("shard")).agg((1 + F.floor(F.count(F.lit(1)) / TASK_REFS)).cast("int").alias("parts")), "line-parts")
+    none = F.lit(None).cast("binary")
+    dealt = refs.select(shard.alias("shard"), "key", "doc_id").join(F.broadcast(parts), "shard")
+    dealt = dealt.select("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), none.alias("filter"), "key", "doc_id")
+    sent = index.filters.select("shard", "filter").join(F.broadcast(parts), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "filter", none.alias("key"), F.lit(None).cast(kind).alias("doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: CuckooFilter | None = None
+        own: tuple[int, int] | None = None
+        for b in batches:
+            where = b.column("shard").to_numpy().astype(np.int64) << 32 | b.column("part").to_numpy()
+            starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]).tolist() if len(where) else []
+            for lo, hi in zip(starts, [*starts[1:], len(where)], strict=True):
+                rows = b.slice(lo, hi - lo)
+                if own != (spot := int(where[lo])):
+                    own, now = spot, None
+                if (table := rows.column("filter")[0].as_py()) is not None:
+                    now, rows = CuckooFilter(table=table), rows.slice(1)
+                if now is not None and rows.num_rows:
+                    yield rows.filter(pa.array(now.contains(_words(rows.column("key"))))).select(["key", "doc_id"])
+
+    # In each part the filter stands first.
+    met = dealt.unionByName(sent).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("key").isNotNull())
+    passed = map_batches(met, run, f"key binary, doc_id {kind}")
+    hot = index.counts.where(F.col("n_docs") > HOT_DOCS).select("key", F.col("top_doc").alias("_hot"))  # references / HOT_DOCS rows at most
+    marked = passed.join(F.broadcast(hot), "key", "left")
+    rest = marked.where("_hot is null").select("key", "doc_id").join(index.counts.where(F.col("n_docs") <= HOT_DOCS).select("key", "top_doc"), "key").where("doc_id <> top_doc")
+    return marked.where("doc_id <> _hot").select("key", "doc_id").union(rest.select("key", "doc_id"))
 
 
 def drop_lines(docs: DataFrame, index: LineIndex, stats: bool = False) -> DataFrame:
     """docs without the lines that are repeated according to the index; all columns stay, text is replaced.
 
     A null text stays null if nothing is dropped from it (nothing can be). Lines of a row whose doc_id is null stay.
-    stats adds _n_lines and _n_dropped. Lines are what stands between newline characters; an empty text is one empty line.
+    stats adds _n_lines and _n_dropped, in the place of columns of these names. Lines are what stands between newline characters; an empty text is one empty line.
     """
-    gone = repeated_refs(index).groupBy("doc_id").agg(F.collect_set("key").alias("_gone_keys"))
-    joined = docs.join(gone, "doc_id", "left").select(*docs.columns, "_gone_keys")
+    docs = docs.drop("_n_lines", "_n_dropped") if stats else docs
+    keys = fresh("_gone_keys", docs)
+    gone = repeated_refs(index).groupBy("doc_id").agg(F.collect_set("key").alias(keys))
+    joined = docs.join(gone, "doc_id", "left").select(*docs.columns, keys)
     min_chars = index.min_chars
     at = docs.columns.index("text")
     fields = [*docs.schema.fields]
