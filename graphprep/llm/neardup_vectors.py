@@ -2,8 +2,8 @@
 
 Vectors are scaled to length one and turned so that the directions of most variance come first. A k-d tree over the
 leading directions deals them into cells, and cells into tiles of about TILE_ROWS vectors. Two unit vectors with cosine c
-are sqrt(2 - 2c) apart, so cells whose boxes are further apart than that are never compared. Two tiles are compared in
-steps: the product over the first directions, plus the product of the lengths of what remains of both vectors, bounds the
+are sqrt(2 - 2c) apart, so cells whose boxes are further apart than that are never compared; vectors without any structure
+leave nothing to that bound, and then every two tiles meet. Two tiles are compared block by block in steps: the product over the first directions, plus the product of the lengths of what remains of both vectors, bounds the
 cosine from above; pairs that cannot reach the threshold stop there, and a tile pair stops when none is left. What passes
 the last step is decided by the cosine of the vectors as given, in double precision.
 
@@ -24,9 +24,14 @@ from graphprep.llm.common import components, map_batches, materialize
 
 THRESHOLD = 0.95
 SAMPLE_ROWS = 8192
-TILE_ROWS = 1500
-MOST_CELLS = 1024
-#: Directions that the tree and the boxes look at.
+#: Vectors of a tile at most, and how many tiles there are at least, so that few vectors still keep many tasks busy. A vector
+#: is sent once for each tile that it is compared with, so larger tiles cost less to send.
+TILE_ROWS, LEAST_TILES = 8192, 8
+#: Rows of two tiles that are compared at once: what a task holds of their products.
+BLOCK_ROWS = 1024
+#: Vectors of the sample that a cell of the tree holds at least.
+CELL_SAMPLE = 8
+#: Directions that the tree and the boxes look at; the length of what remains is one more side of a box.
 BOX_DIMS = 12
 #: Directions added in each step of a comparison; the rest follow at once.
 STEPS = (12, 16)
@@ -163,8 +168,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     _, axes = np.linalg.eigh(seen.T @ seen)
     turn = np.ascontiguousarray(axes[:, ::-1])
     lead = min(BOX_DIMS, dims)
-    cells = 1
-    while cells < MOST_CELLS and cells * TILE_ROWS < n:
+    tile_rows, cells = max(1, min(TILE_ROWS, n // LEAST_TILES)), 1
+    while cells * 2 * CELL_SAMPLE <= len(seen) and cells * tile_rows < n:
         cells *= 2
     tree = Tree(seen @ turn[:, :lead], cells)
     spark = nodes.sparkSession
@@ -176,15 +181,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _unit(_matrix(b.column(1)), dims) @ turn[:, :lead]
+            u = _unit(_matrix(b.column(1)), dims) @ turn
+            x = np.column_stack([u[:, :lead], np.sqrt((u[:, lead:] ** 2).sum(axis=1))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.cell(x).astype(np.int32)), pa.array(list(x), pa.list_(pa.float64()))], names=["node", "v", "many", "cell", "lead"])
 
     dealt = materialize(map_batches(nodes.select("node", "v", "many"), deal, f"node long, v {kind}, many long, cell int, lead array<double>"), "vector-cells")
-    # At most MOST_CELLS rows come to the driver: each cell's count and box.
-    box = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(F.col("lead")[d]).alias(f"{p}{d}") for d in range(lead) for p, f in (("a", F.min), ("z", F.max))]).toPandas()
-    low, high = (box[[f"{p}{d}" for d in range(lead)]].to_numpy() for p in "az")
+    # A row for each cell of the tree comes to the driver, SAMPLE_ROWS / CELL_SAMPLE at most: its count and box.
+    box = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(F.col("lead")[d]).alias(f"{p}{d}") for d in range(lead + 1) for p, f in (("a", F.min), ("z", F.max))]).toPandas()
+    low, high = (box[[f"{p}{d}" for d in range(lead + 1)]].to_numpy() for p in "az")
     reach = 2 - 2 * threshold + 1e-6
-    tiles = {int(c): -(-int(k) // TILE_ROWS) for c, k in zip(box["cell"], box["n"], strict=True)}
+    tiles = {int(c): -(-int(k) // tile_rows) for c, k in zip(box["cell"], box["n"], strict=True)}
     near_cells = []
     for i, c in enumerate(box["cell"]):
         gap = np.maximum(np.maximum(low - high[i], low[i] - high), 0)
@@ -239,19 +245,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         def found(one: bytes, two: bytes | None) -> pa.RecordBatch:
             na, ma, a, ua = read(one)
             if two is None:
-                i, j = near_pairs(a, a, ua, ua, threshold)
-                i, j = i[i != j], j[i != j]
-                nodes, links = na, np.bincount(i, weights=ma[j], minlength=len(na))
+                nb, mb, b, ub, shift = na, ma, a, ua, 0
             else:
                 nb, mb, b, ub = read(two)
+                shift = len(na)
                 wide = max(a.shape[1], b.shape[1])
                 a, b = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (a, b))
-                i, j = near_pairs(a, b, ua, ub, threshold)
-                nodes = np.concatenate([na, nb])
-                links = np.concatenate([np.bincount(i, weights=mb[j], minlength=len(na)), np.bincount(j, weights=ma[i], minlength=len(nb))])
-                j = j + len(na)
+            nodes = na if two is None else np.concatenate([na, nb])
+            links = np.zeros(len(nodes))
+            low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for la in range(0, len(na), BLOCK_ROWS):
+                for lb in range(la if two is None else 0, len(nb), BLOCK_ROWS):
+                    ra, rb = slice(la, la + BLOCK_ROWS), slice(lb, lb + BLOCK_ROWS)
+                    i, j = near_pairs(a[ra], b[rb], ua[ra], ub[rb], threshold)
+                    i, j = i + la, j + lb
+                    if two is None and la == lb:
+                        i, j = i[i != j], j[i != j]
+                    links[:] += np.bincount(i, weights=mb[j], minlength=len(nodes))
+                    if two is not None or la != lb:
+                        links[:] += np.bincount(j + shift, weights=ma[i], minlength=len(nodes))
+                    # What a block links is kept as a star, a row a vector, however many pairs there are.
+                    own, at = np.unique(np.concatenate([i, j + shift]), return_inverse=True)
+                    head = own[_forest(len(own), at[: len(i)], at[len(i) :])] if len(own) else own
+                    low.append(own)
+                    high.append(head)
+            head = _forest(len(nodes), np.concatenate(low), np.concatenate(high))
             hit = np.flatnonzero(links > 0)
-            head = _forest(len(nodes), i, j)
             return pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(nodes[head[hit]]), pa.array(links[hit].astype(np.int64))], names=["node", "head", "links"])
 
         held: tuple[str, bytes] | None = None
