@@ -95,15 +95,37 @@ def test_line_dedup(docs, none):
     assert dedup_lines(none).count() == 0
 
 
-def test_line_dedup_without_filters(docs, monkeypatch):
+def test_line_dedup_deals_hot_shards_and_keys(docs, monkeypatch):
     from graphprep.llm import linededup
 
-    # Beyond the bound the filters are not used.
-    monkeypatch.setattr(linededup, "FILTER_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(linededup, "TASK_REFS", 2)
+    monkeypatch.setattr(linededup, "HOT_DOCS", 3)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 2)
     want = brute_lines(fixture())
     assert {r.doc_id: r.text or "" for r in linededup.dedup_lines(docs).collect()} == want
 
 
+def test_line_dedup_edge_rows(spark):
+    from graphprep.llm.linededup import dedup_lines
+
+    line = "a line of more than twenty characters"
+    rows = [(1, line, "x"), (1, f"{line}\nmore", "y"), (2, line.upper(), "z"), (3, f"  {line}\t", None), (None, line, "n"), (4, None, "e"), (5, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone_keys string")
+    got = {(r.doc_id, r.text, r._gone_keys) for r in dedup_lines(df).collect()}
+    # Equal doc_ids are one document; a row without doc_id keeps its lines; the clashing column stays.
+    assert got == {(1, "", "x"), (1, "more", "y"), (2, "", "z"), (3, f"  {line}\t", None), (None, line, "n"), (4, None, "e"), (5, "", "e")}
+
+
+def test_line_index_counts_its_keys(docs):
+    from graphprep.llm.linededup import build_index, delete_documents, insert_documents
+
+    whole = build_index(docs)
+    grown = insert_documents(build_index(docs.where("doc_id < 103")), docs.where("doc_id >= 103"))
+    n = lambda ix: ix.filters.agg({"n_keys": "sum"}).first()[0] or 0
+    assert n(grown) == n(whole) == whole.counts.count()
+    assert n(delete_documents(grown, docs.select("doc_id"))) == 0
+
+
 def test_line_index_is_reversible(docs, spark):
     from graphprep.llm.linededup import build_index, delete_documents, drop_lines, insert_documents
 
@@ -317,12 +339,19 @@ def test_media_columns(docs, spark):
     assert all(r.payload is None and r.error for r in read_media(bad, "doc_id").collect())
 
 
-def test_packing(spark):
+def best_fit_decreasing(lengths, window=2048):
+    """Number of windows, piece by piece."""
+    spaces = []
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(spaces, x)
+        bisect.insort(spaces, (spaces.pop(i) if i < len(spaces) else window) - x)
+    return len(spaces)
+
+
+def packed_windows(spark, rows):
+    """Check a packing of rows (doc_id, piece, length); its number of windows."""
     from graphprep.llm.packing import pack
 
-    r = random.Random(5)
-    rows = [(i, p, r.choice([1, 7, 60, r.randint(1, 2048), 2048, 700, 700])) for i in range(400) for p in range(r.randint(1, 2))]
-    rows += [(9999, 0, 300)] * 5
     got = pack(spark.createDataFrame(rows, "doc_id long, piece int, length long")).collect()
     assert Counter((x.doc_id, x.piece, x.length) for x in got) == Counter(rows)
     by = {}
@@ -334,14 +363,27 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 2048
-    spaces = []  # best fit decreasing over all pieces, one by one
-    for x in sorted((x[2] for x in rows), reverse=True):
-        i = bisect.bisect_left(spaces, x)
-        bisect.insort(spaces, (spaces.pop(i) if i < len(spaces) else 2048) - x)
-    assert len(by) <= 1.02 * len(spaces) + 2
+    return len(by)
+
+
+def test_packing(spark):
+    from graphprep.llm.packing import pack
+
+    r = random.Random(5)
+    rows = [(i, p, r.choice([1, 7, 60, r.randint(1, 2048), 2048, 700, 700])) for i in range(400) for p in range(r.randint(1, 2))]
+    rows += [(9999, 0, 300)] * 5
+    assert packed_windows(spark, rows) <= best_fit_decreasing(x[2] for x in rows)
     assert pack(spark.createDataFrame([], "doc_id long, piece int, length long")).count() == 0
 
 
+def test_packing_needs_no_more_than_best_fit(spark):
+    for seed, (mean, spread) in enumerate(((6.5, 0.5), (6.0, 1.0), (6.9, 0.3))):
+        r = np.random.default_rng(seed)
+        lengths = np.clip(r.lognormal(mean, spread, 4000).astype(int), 1, 2048).tolist()
+        most = best_fit_decreasing(lengths)
+        assert -(-sum(lengths) // 2048) <= packed_windows(spark, [(i, 0, x) for i, x in enumerate(lengths)]) <= most
+
+
 def test_column_generation_reaches_its_gap():
     from graphprep.llm.packing import GAP, SMALL_PART, WINDOW, _knapsack, _simplex
 
@@ -359,7 +401,6 @@ def test_token_pieces(docs):
 
     path = P.path("word_bpe_49k.json")
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     with open(path) as f:
         got = token_pieces(docs, f.read(), 64).collect()
     ids = {}
@@ -370,6 +411,20 @@ def test_token_pieces(docs):
         assert np.frombuffer(ids[i], "<u4").tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_words_are_encoded_as_the_library_does():
+    tokenizers = pytest.importorskip("tokenizers")
+    P = pytest.importorskip("public_tokenizers")
+    from graphprep.llm.wordbpe import WordEncoder
+
+    with open(P.path("word_bpe_49k.json")) as f:
+        definition = f.read()
+    t, encode, r = tokenizers.Tokenizer.from_str(definition), WordEncoder(definition), random.Random(3)
+    some = ["a", "B", "é", "'s", "'", "’", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", " ", "\n", "\t", "9", "12", ",", "...", "!", "\u0301", "ß", "İ", "日本", "\u00a0", "\x1c", "½", "_", "don't", "I'LL", "x'd,", "\x00", "é,", "١"]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 12))) for _ in range(5000)]
+    for text, got in zip(texts, encode([x.encode() for x in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_toxicity_chain(spark, none):
     from graphprep.llm.toxicity import fit, predict
 
@@ -410,7 +465,7 @@ def test_vectors(spark):
         got = {g.vec_id: g for g in V.near_duplicates(df).collect()}
         assert all(got[i].n_links == near[i].sum() - 1 and got[i].component_id == comp[i] for i in range(len(x)))
         assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(500, 505))
-    V.TILE_ROWS = 1500
+    V.TILE_ROWS = 8192
     assert V.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
