@@ -248,8 +248,10 @@ def repeated_refs(index: LineIndex) -> DataFrame:
         now: CuckooFilter | None = None
         own: tuple[int, int] | None = None
         for b in batches:
+            if not b.num_rows:
+                continue
             where = b.column("shard").to_numpy().astype(np.int64) << 32 | b.column("part").to_numpy()
-            starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]).tolist() if len(where) else []
+            starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]).tolist()
             for lo, hi in zip(starts, [*starts[1:], len(where)], strict=True):
                 rows = b.slice(lo, hi - lo)
                 if own != (spot := int(where[lo])):
