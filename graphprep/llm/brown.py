@@ -2,20 +2,23 @@
 
 Model. Every training word w has a class c(w). P(w | before) = (1 - u) * P(c(w) | h) * n(w) / n(c(w)), where h is the class of
 the word before; an unknown word has probability u = (n1 + 1) / (N + 2), n1 being the number of words seen once.
-P(c | h) = (n(h, c) + PRIOR * n(c) / N) / (n(h) + PRIOR). The end of a text is a word with a class of its own; it also stands
-before the first word. The probabilities of all known words and of "unknown" add up to 1 after every history.
+P(c | h) = (n(h, c) + PRIOR * n(c) / N) / (n(h) + PRIOR); behind an unknown word it is n(c) / N. The end of a text is a word
+with a class of its own; it also stands before the first word. The probabilities of all known words and of "unknown" add up to
+1 after every history.
 
 Clustering. Exchange moves a word to the class that raises the likelihood of the class bigrams most. The FREQUENT most
-frequent words are moved in several sweeps; a sweep counts, over all training text, with which classes each of them occurs
-on either side, and then moves word after word against these counts. All other words get their class by one exchange step
-against the classes so found, from the classes that stand before them, and stand as history in one class for all rare words.
-FREQUENT bounds what is sent to executors and held by the driver, not what is counted: every training word is counted, has
-a class, and is looked up by a join where it is not among the frequent ones.
+frequent words are moved in several sweeps: a sweep counts, over all training text, with which classes each of them occurs
+on either side, and then moves word after word against these counts. Every other word then makes its exchange step, all of
+them at once and wherever they are, by the classes on both its sides. From there on all words are alike: each stands in its
+own class, as history too. FREQUENT bounds what is sent to executors and held by the driver, not what is counted.
+
+Texts are coded once, in chunks of CHUNK_TOKENS: the chunk's words, and its texts as numbers of these. All later passes read
+the codes. A chunk's words meet their counts and classes by a shuffle by word and another one back to the chunk.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,25 +33,28 @@ CLASSES = 48
 FREQUENT = 1 << 14
 SWEEPS = 3
 PRIOR = 20.0
-#: Entries of a task's counter before it is handed on.
-FLUSH = 400_000
-#: The end of a text as a word. A word cannot hold a space, so this and what begins with a space is free for other use.
+#: Tokens of a chunk, about, and rows of chunks' words that one task settles.
+CHUNK_TOKENS, TASK_WORDS = 500_000, 250_000
+#: The end of a text as a word. A word cannot hold a space.
 END = b" "
 
 
 @dataclass
 class BrownModel:
-    """words: the frequent words' classes; rare (word, n, cls): all other training words; the rest: numbers of the classes."""
+    """words (word, n, cls): all training words; of the most frequent ones names, counts and classes; the rest: numbers of the classes."""
 
-    words: dict[bytes, int]
+    words: DataFrame
+    names: list[bytes]
     word_counts: np.ndarray
     word_class: np.ndarray
-    pair: np.ndarray  # n(h, c): row CLASSES + 1 is the history of rare words
-    class_counts: np.ndarray
+    pair: np.ndarray  # n(h, c), the end's class last
     total: int
     distinct: int
     once: int
-    rare: DataFrame
+
+    @property
+    def class_counts(self) -> np.ndarray:
+        return self.pair.sum(axis=0)
 
     @property
     def unknown(self) -> float:
@@ -68,7 +74,7 @@ def _phi(x: np.ndarray) -> np.ndarray:
 
 def exchange(left: np.ndarray, right: np.ndarray, counts: np.ndarray, cls: np.ndarray, classes: int, fixed: int) -> np.ndarray:
     """One sweep. left[w, c], right[w, c]: how often class c stands before and behind word w. Classes from `classes` on (the
-    end, rare words) take and give no words. Words move in the order of their number; the first `fixed` stay."""
+    end, other words) take and give no words. Words move in the order of their number; the first `fixed` stay."""
     cls = cls.copy()
     wide = left.shape[1]
     before, behind = np.zeros((wide, wide)), np.zeros((wide, wide))  # n(h, c) by left contexts, n(c, next) by right contexts
@@ -99,238 +105,353 @@ def exchange(left: np.ndarray, right: np.ndarray, counts: np.ndarray, cls: np.nd
     return cls
 
 
-def _count_words(docs: DataFrame) -> DataFrame:
-    """Rows (word, n) over all texts, counted in each task before they are shuffled. Ends count as END."""
+def code(docs: DataFrame) -> DataFrame:
+    """Rows (chunk, words, n, ids, sizes, doc_ids, held) of docs (doc_id, held_out, text), one for each chunk of texts.
+
+    words[0] is END; n: occurrences in texts that are not held out; ids: the words' numbers (int32), END behind each text;
+    sizes, doc_ids, held: of each text. Null texts count as empty.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        words: defaultdict[bytes, int] = defaultdict()
+        words.default_factory = words.__len__
+        ids, sizes, doc_ids, held = [], [], [], []
 
         def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return b
+            nonlocal number
+            flat, out_of = np.array(ids, np.int32), np.array(held, bool)
+            n = np.bincount(flat[np.repeat(~out_of, sizes)], minlength=len(words))
+            one = lambda values, kind: pa.array([values], pa.list_(kind))
+            made = [pa.array([number]), one(list(words), pa.binary()), one(n.astype(np.int32), pa.int32()), pa.array([flat.tobytes()], pa.binary()), one(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(doc_ids)), one(held, pa.bool_())]
+            number += 1
+            words.clear()
+            for x in (ids, sizes, doc_ids, held):
+                x.clear()
+            return pa.RecordBatch.from_arrays(made, names=["chunk", "words", "n", "ids", "sizes", "doc_ids", "held"])
 
         for b in batches:
-            for t in text_bytes(b.column(0)):
-                held.update(t.lower().split())
-                if len(held) > FLUSH:
+            start = 0
+            for k, (t, h) in enumerate(zip(text_bytes(b.column(2)), b.column(1).to_pylist(), strict=True), 1):
+                if not words:
+                    words[END]
+                ws = t.lower().split()
+                ids.extend(map(words.__getitem__, ws))
+                ids.append(0)
+                sizes.append(len(ws) + 1)
+                held.append(h)
+                if len(ids) >= CHUNK_TOKENS:
+                    doc_ids.append(b.column(0).slice(start, k - start))
+                    start = k
                     yield out()
-            held[END] += b.num_rows
-        if held:
+            if start < b.num_rows:
+                doc_ids.append(b.column(0).slice(start))
+        if ids:
             yield out()
 
-    return map_batches(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    schema = f"chunk long, words array<binary>, n array<int>, ids binary, sizes array<int>, doc_ids array<{kind}>, held array<boolean>"
+    return materialize(map_batches(docs.select("doc_id", "held_out", "text"), run, schema, caches="brown"), "brown-coded")
+
+
+def _bigrams(ids: bytes, sizes: pa.Array, held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words before and of the words, over all texts that are not held out."""
+    now = np.frombuffer(ids, np.int32)
+    before = np.concatenate([np.zeros(min(1, len(now)), np.int32), now[:-1]])
+    own = np.repeat(~np.array(held.to_pylist(), bool), np.array(sizes.to_pylist(), np.int64))
+    return before[own], now[own]
 
 
-def _ids(texts: list[bytes], words: dict[bytes, int]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Word numbers of all texts in one line, -1 for rare words, each text between two ends; the rare words; texts' sizes."""
-    get, end = words.get, words[END]
-    out, rare, sizes = [end], [], []
-    for t in texts:
-        ws = t.lower().split()
-        ids = [get(w, -1) for w in ws]
-        rare.extend(w for w, i in zip(ws, ids, strict=True) if i < 0)
-        out.extend(ids)
-        out.append(end)
-        sizes.append(len(ws) + 1)
-    return np.array(out, np.int64), rare, np.array(sizes, np.int64)
+def _chunks(b: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Of each chunk of a batch (words, ids, sizes, held): its words and bigrams."""
+    for k in range(b.num_rows):
+        yield b.column("words")[k].values.to_pylist(), *_bigrams(b.column("ids")[k].as_py(), b.column("sizes")[k].values, b.column("held")[k].values)
 
 
-def _context_counts(docs: DataFrame, words: dict[bytes, int], cls: np.ndarray, wide: int, rare_class: int) -> tuple[np.ndarray, np.ndarray]:
-    """left[w, c], right[w, c] over all training text. Their size is FREQUENT times the classes, whatever the input."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, np.append(cls, rare_class)))
+def _context_counts(coded: DataFrame, words: dict[bytes, int], cls: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """left[w, c], right[w, c] over all training text; the last class is that of all other words. Their size is FREQUENT times the classes."""
+    sent = coded.sparkSession.sparkContext.broadcast((words, np.append(cls, wide - 1)))
     n = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, cls = sent.value
         tables = np.zeros(2 * n * wide, np.int64)
         for b in batches:
-            texts = text_bytes(b.column(0))
-            for lo in range(0, len(texts), 500):
-                ids, _, _ = _ids(texts[lo : lo + 500], words)
-                kinds = cls[ids]
-                known = np.flatnonzero(ids[1:] >= 0) + 1
-                tables += np.bincount(ids[known] * wide + kinds[known - 1], minlength=2 * n * wide)
-                known = np.flatnonzero(ids[:-1] >= 0)
-                tables += np.bincount(n * wide + ids[known] * wide + kinds[known + 1], minlength=2 * n * wide)
+            for own, p, c in _chunks(b):
+                f = np.array([words.get(w, -1) for w in own], np.int64)
+                p, c = f[p], f[c]
+                known = c >= 0
+                tables += np.bincount(c[known] * wide + cls[p[known]], minlength=2 * n * wide)
+                known = p >= 0
+                tables += np.bincount(n * wide + p[known] * wide + cls[c[known]], minlength=2 * n * wide)
         cells = np.flatnonzero(tables)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(tables[cells])], names=["cell", "n"])
 
-    got = map_batches(docs.select("text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = map_batches(coded.select("words", "ids", "sizes", "held"), run, "cell long, n long", caches="brown").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 * n * wide)
     out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     both = out.reshape(2, n, wide)
     return both[0], both[1]
 
 
-def _rare_contexts(docs: DataFrame, words: dict[bytes, int], cls: np.ndarray, wide: int, rare_class: int) -> DataFrame:
-    """Rows (word, h, n): how often class h stands before each rare word. The key b' ' + number holds n(h, c) of frequent words."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, np.append(cls, rare_class)))
+def _other_words(coded: DataFrame, words: dict[bytes, int], cls: np.ndarray, side: int) -> DataFrame:
+    """Rows (word, chunk, id, n, cells, counts), one for each chunk and word of it that is not a frequent one: how often each
+    class stands before it (cells from 0) and behind it (cells from `side`)."""
+    sent = coded.sparkSession.sparkContext.broadcast((words, np.append(cls, -1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, cls = sent.value
-        pairs, held = np.zeros(wide * wide, np.int64), Counter()
+        for b in batches:
+            for k, (own, p, c) in enumerate(_chunks(b)):
+                f = np.array([words.get(w, -1) for w in own], np.int64)
+                kp, kc = cls[f[p]], cls[f[c]]
+                one, two = (kc < 0) & (kp >= 0), (kp < 0) & (kc >= 0)
+                met = np.concatenate([c[one].astype(np.int64) * (2 * side) + kp[one], p[two].astype(np.int64) * (2 * side) + side + kc[two]])
+                cells, counts = np.unique(met, return_counts=True)
+                spots = np.flatnonzero(f < 0)
+                ends = np.searchsorted(cells, (np.r_[spots, len(own)]) * (2 * side)).astype(np.int32)
+                n = b.column("n")[k].values.to_numpy()[spots]
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in ((cells % (2 * side)).astype(np.int16), counts.astype(np.int32))]
+                made = [pa.array(own, pa.binary()).take(pa.array(spots)), pa.array(np.full(len(spots), b.column("chunk")[k].as_py())), pa.array(spots.astype(np.int32)), pa.array(n), *lists]
+                whole = pa.RecordBatch.from_arrays(made, names=["word", "chunk", "id", "n", "cells", "counts"])
+                yield from (whole.slice(lo, 10_000) for lo in range(0, whole.num_rows, 10_000))
+
+    return map_batches(coded.select("chunk", "words", "n", "ids", "sizes", "held"), run, "word binary, chunk long, id int, n int, cells array<short>, counts array<int>", caches="brown")
+
+
+def _settled(rows: DataFrame, tasks: int, toward: np.ndarray, by_chunk: bool) -> DataFrame:
+    """_other_words() rows to the words' counts and classes: rows (word, n, cls), or for each chunk (chunk, ids, ns, classes).
+
+    toward[cell, c]: what an occurrence of the cell's class beside a word says for class c. Words without training text are left out.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(toward)
 
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.binary()), pa.array([k[1] for k in held], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "h", "n"])
-            held.clear()
-            return b
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toward = sent.value
+        wide = len(toward)
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        parts: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            if b.num_rows:
+                w = np.fromiter(map(number.__getitem__, b.column("word").to_pylist()), np.int64, b.num_rows)
+                cells, counts = (b.column(c).flatten().to_numpy() for c in ("cells", "counts"))
+                owner = np.repeat(w, b.column("cells").value_lengths().to_numpy())
+                parts.append((w, b.column("chunk").to_numpy(), b.column("id").to_numpy(), b.column("n").to_numpy(), owner, cells, counts))
+        if not parts:
+            return
+        w, chunk, ids, n, owner, cells, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        total = np.bincount(w, weights=n, minlength=len(number)).astype(np.int64)
+        cls = np.zeros(len(number), np.uint8)
+        order = np.argsort(owner, kind="stable")
+        owner, cells, counts = owner[order], cells[order], counts[order]
+        for lo in range(0, len(number), 20_000):
+            hi = min(lo + 20_000, len(number))
+            a, z = np.searchsorted(owner, [lo, hi])
+            table = np.bincount((owner[a:z] - lo) * wide + cells[a:z], weights=counts[a:z], minlength=(hi - lo) * wide)
+            cls[lo:hi] = (table.reshape(hi - lo, wide) @ toward).argmax(axis=1)
+        if not by_chunk:
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.binary()).take(pa.array(seen)), pa.array(total[seen]), pa.array(cls[seen].astype(np.int32))], names=["word", "n", "cls"])
+            return
+        seen = np.flatnonzero(total[w])
+        if not len(seen):
+            return
+        seen = seen[np.argsort(chunk[seen], kind="stable")]
+        starts = np.flatnonzero(np.r_[True, chunk[seen][1:] != chunk[seen][:-1]])
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(seen)], strict=True):
+            own = seen[lo:hi]
+            packed = [ids[own].tobytes(), total[w[own]].tobytes(), cls[w[own]].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk[own[0]]]), *(pa.array([x], pa.binary()) for x in packed)], names=["chunk", "ids", "ns", "classes"])
+
+    schema = "chunk long, ids binary, ns binary, classes binary" if by_chunk else "word binary, n long, cls int"
+    return map_batches(rows.repartition(tasks, "word"), run, schema, caches="brown")
+
+
+def _classified(coded: DataFrame, known: DataFrame, frequent: dict[bytes, tuple[int, int]], unseen: int, denominator: float) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, base, log_n, classes), one for each text: sums over its tokens, and their classes.
+
+    known (chunk, ids, ns, classes): counts and classes of the chunks' words; those of the frequent ones are sent. `unseen` is
+    the class of unknown words.
+    """
+    kind = coded.schema["doc_ids"].dataType.elementType.simpleString()
+    sent = coded.sparkSession.sparkContext.broadcast(frequent)
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    rows = coded.select("chunk", F.lit(1).alias("kind"), "ids", none("ns", "binary"), none("classes", "binary"), "words", "sizes", "doc_ids", "held")
+    given = known.select("chunk", F.lit(0).alias("kind"), "ids", "ns", "classes", none("words", "array<binary>"), none("sizes", "array<int>"), none("doc_ids", f"array<{kind}>"), none("held", "array<boolean>"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = sent.value
+        held: list[tuple[np.ndarray, ...]] = []
+        chunk = None
         for b in batches:
-            texts = text_bytes(b.column(0))
-            for lo in range(0, len(texts), 500):
-                ids, rare, sizes = _ids(texts[lo : lo + 500], words)
-                kinds = cls[ids]
-                known = np.flatnonzero(ids[1:] >= 0) + 1
-                pairs += np.bincount(kinds[known - 1] * wide + kinds[known], minlength=wide * wide)
-                unknown = np.flatnonzero(ids < 0)
-                held.update(zip(rare, kinds[unknown - 1].tolist(), strict=True))
-                if len(held) > FLUSH:
-                    yield out()
-        for cell in np.flatnonzero(pairs).tolist():
-            held[(b" %d" % (cell % wide), cell // wide)] = int(pairs[cell])
-        if held:
-            yield out()
+            for k in range(b.num_rows):
+                get = lambda c: b.column(c)[k]  # noqa: B023, E731
+                if get("chunk").as_py() != chunk:
+                    chunk, held = get("chunk").as_py(), []
+                if not get("kind").as_py():
+                    held.append(tuple(np.frombuffer(get(c).as_py(), t) for c, t in (("ids", np.int32), ("ns", np.int64), ("classes", np.uint8))))
+                    continue
+                words = get("words").values.to_pylist()
+                n, cls = np.zeros(len(words), np.int64), np.full(len(words), unseen, np.uint8)
+                for i, (count, c) in ((i, frequent[w]) for i, w in enumerate(words) if w in frequent):
+                    n[i], cls[i] = count, c
+                for ids, ns, classes in held:
+                    n[ids], cls[ids] = ns, classes
+                tokens = np.frombuffer(get("ids").as_py(), np.int32)
+                sizes = get("sizes").values.to_numpy()
+                starts = np.cumsum(sizes) - sizes
+                sums = lambda by_word: np.add.reduceat(by_word[tokens], starts)  # noqa: B023, E731
+                codes, ends = cls[tokens].tobytes(), np.r_[starts, len(tokens)].tolist()
+                made = [
+                    get("doc_ids").values, get("held").values, pa.array(sizes.astype(np.int64)), pa.array(sums((n > 0).astype(np.int64))), pa.array(sums(np.log10((n + 1) / denominator))), pa.array(sums(np.log10(np.maximum(n, 1)))),
+                    pa.array([codes[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "log_n", "classes"])
+
+    met = rows.union(given).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, log_n double, classes binary"
+    return materialize(map_batches(met, run, schema, caches="brown"), "brown-classes")
+
+
+def _class_bigrams(classified: DataFrame, wide: int) -> np.ndarray:
+    """n(h, c) over texts that are not held out; the last class is the end's."""
 
-    rows = map_batches(docs.select("text"), run, "word binary, h int, n long")
-    # One shuffle by word serves both steps. A word's rows are few: rare words are rare, and each task counts first.
-    by_word = rows.repartition(F.col("word")).groupBy("word", "h").agg(F.sum("n").alias("n"))
-    return by_word.groupBy("word").agg(F.collect_list("h").alias("h"), F.collect_list("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(wide * wide, np.int64)
+        for b in batches:
+            # Each text ends in an end, so the class before a text's first token is the end's wherever it stands.
+            c = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).astype(np.int64)
+            if len(c):
+                table += np.bincount(np.r_[wide - 1, c[:-1]] * wide + c, minlength=wide * wide)
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], names=["cell", "n"])
 
+    pair = np.zeros(wide * wide)
+    for cell, n in map_batches(classified.where("not held_out").select("classes"), run, "cell long, n long", caches="brown").groupBy("cell").agg(F.sum("n")).collect():  # wide^2 rows
+        pair[cell] = n
+    return pair.reshape(wide, wide)
 
-def train(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT, sweeps: int = SWEEPS) -> BrownModel:
-    """Fit on all texts of docs (text). Null texts count as empty: an end alone. No rows: a model that knows nothing."""
-    counts = materialize(_count_words(docs), "brown-words")
+
+def _scored(classified: DataFrame, model: BrownModel) -> DataFrame:
+    """The result rows of score(): the classes' steps, and the words' shares of their classes."""
+    wide = len(model.pair)
+    trans = np.nan_to_num(np.hstack([model.transitions(), np.full((wide + 1, 1), np.log10(model.unknown))]), neginf=0.0)
+    with np.errstate(divide="ignore"):
+        share = np.nan_to_num(np.append(np.log10(np.maximum(model.class_counts, 1)), 0.0))
+    step = trans - share[None, :]
+    step[:, wide] = np.log10(model.unknown)
+    sent = classified.sparkSession.sparkContext.broadcast(step)
+    kind = classified.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = sent.value.ravel()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes = b.column("n_tokens").to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            c = np.frombuffer(b"".join(b.column("classes").to_pylist()), np.uint8).astype(np.int64)
+            before = np.r_[wide - 1, c[:-1]]
+            before[starts] = wide - 1
+            score = np.add.reduceat(step[before * (wide + 1) + c], starts) + b.column("log_n").to_numpy()
+            made = [*b.columns[:4], pa.array(np.full(len(sizes), model_total)), b.column("base"), pa.array(score), pa.array(10.0 ** (-score / sizes))]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+    model_total = int(model.total)
+    return map_batches(classified, run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double", caches="brown")
+
+
+def _fit(coded: DataFrame, classes: int, frequent: int, sweeps: int, by_chunk: bool) -> tuple[BrownModel, DataFrame | None]:
+    """A model without class bigrams yet; with by_chunk the chunks' words instead of the model's table of words."""
+    if not 0 < classes < 254:
+        raise ValueError("classes must be from 1 to 253")
+    counts = coded.select(F.explode(F.arrays_zip("words", "n")).alias("x")).where("x.n > 0").groupBy(F.col("x.words").alias("word")).agg(F.sum("x.n").alias("n"))
+    counts = materialize(counts, "brown-words")
     total, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0))).first()
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(frequent - 1).toArrow()
     ends = counts.where(F.col("word") == F.lit(END)).first()
     names = [END, *top.column("word").to_pylist()]
     words = {w: i for i, w in enumerate(names)}
     n_of = np.concatenate([[ends["n"] if ends else 0], top.column("n").to_numpy()]).astype(np.float64)
-    end_class, rare_class, wide = classes, classes + 1, classes + 2
+    end_class, side = classes, classes + 1
     # At first the words are dealt out by frequency.
     cls = np.append([end_class], (np.arange(len(names) - 1)) % classes).astype(np.int64)
     for _ in range(sweeps):
-        left, right = _context_counts(docs, words, cls, wide, rare_class)
+        left, right = _context_counts(coded, words, cls, side + 1)
         cls = exchange(left, right, n_of, cls, classes, fixed=1)
-    found = materialize(_rare_contexts(docs, words, cls, wide, rare_class), "brown-contexts")
-    pair = np.zeros((wide, wide))
-    for r in found.where(F.expr("substring(word, 1, 1) = X'20'")).collect():  # at most one row a class
-        pair[list(r["h"]), int(bytes(r["word"]))] += np.array(r["n"], np.float64)
-    # The exchange criterion for a word of few occurrences: sum over its histories of n(h) * log(n(h, c) / n(c)).
-    size = np.bincount(cls, weights=n_of, minlength=wide)
-    ratio = np.log((pair[:, :classes] + 0.5) / (size[:classes] + 0.5 * wide))
-    sent = docs.sparkSession.sparkContext.broadcast(ratio)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = sent.value
-        pairs = np.zeros(wide * wide, np.int64)
+    # The exchange criterion for one more word: what its neighbours' classes say for each class, by the bigrams of the frequent words.
+    pair = np.zeros((side, side))
+    np.add.at(pair.T, cls, _context_counts(coded, words, cls, side + 1)[0][:, :side])
+    size = np.bincount(cls, weights=n_of, minlength=side)[:classes]
+    toward = np.vstack([np.log((pair[:, :classes] + 0.5) / (size + 0.5 * side)), np.log((pair[:classes].T + 0.5) / (size + 0.5 * side))])
+    cells = coded.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    others = _settled(_other_words(coded, words, cls, side), 1 + cells // TASK_WORDS, toward, by_chunk)
+    spark = coded.sparkSession
+    own = [(bytearray(w), int(n), int(c)) for w, n, c in zip(names, n_of, cls, strict=True) if n]
+    table = spark.createDataFrame(own, "word binary, n long, cls int")
+    model = BrownModel(table, names, n_of, cls, np.zeros((side, side)), int(total), int(distinct), int(once))
+    if by_chunk:
+        return model, others
+    model.words = table.union(materialize(others, "brown-others"))
+    return model, None
+
+
+def _frequent(model: BrownModel) -> dict[bytes, tuple[int, int]]:
+    return {w: (int(n), int(c)) for w, n, c in zip(model.names, model.word_counts, model.word_class, strict=True) if n}
+
+
+def train(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT, sweeps: int = SWEEPS) -> BrownModel:
+    """Fit on all texts of docs (text). Null texts count as empty: an end alone. No rows: a model that knows nothing."""
+    coded = code(docs.select(F.lit(0).alias("doc_id"), F.lit(False).alias("held_out"), "text"))
+    model, _ = _fit(coded, classes, frequent, sweeps, by_chunk=False)
+    model.pair = _class_bigrams(_looked_up(coded, model), classes + 1)
+    return model
+
+
+def _looked_up(coded: DataFrame, model: BrownModel) -> DataFrame:
+    """Coded texts with the counts and classes that their words have in a model's table."""
+    each = coded.select("chunk", F.posexplode("words").alias("id", "word")).join(model.words, "word")
+    kind = "chunk long, ids binary, ns binary, classes binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            h, n = (b.column(k).flatten().to_numpy() for k in ("h", "n"))
-            sizes = np.diff(b.column("h").offsets.to_numpy())
-            starts = np.cumsum(sizes) - sizes
-            best = np.add.reduceat(ratio[h] * n[:, None], starts).argmax(axis=1)
-            pairs += np.bincount(h * wide + np.repeat(best, sizes), weights=n, minlength=wide * wide).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(np.add.reduceat(n, starts)), pa.array(best.astype(np.int32))], names=["word", "n", "cls"])
-        cells = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([b" %d" % c for c in cells.tolist()], pa.binary()), pa.array(pairs[cells]), pa.array(np.full(len(cells), -1, np.int32))], names=["word", "n", "cls"])
+            chunk = b.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            starts = np.flatnonzero(np.r_[True, chunk[order][1:] != chunk[order][:-1]]).tolist()
+            for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
+                own = order[lo:hi]
+                packed = [b.column(c).to_numpy()[own].astype(t).tobytes() for c, t in (("id", np.int32), ("n", np.int64), ("cls", np.uint8))]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[own[0]]]), *(pa.array([x], pa.binary()) for x in packed)], names=["chunk", "ids", "ns", "classes"])
 
-    settled = materialize(map_batches(found.where(F.expr("substring(word, 1, 1) <> X'20'")), settle, "word binary, n long, cls int"), "brown-rare")
-    for r in settled.where("cls < 0").groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most the pairs of classes
-        cell = int(bytes(r["word"]))
-        pair[cell // wide, cell % wide] += r["n"]
-    return BrownModel(words, n_of, cls, pair, pair.sum(axis=0), int(total), int(distinct), int(once), settled.where("cls >= 0"))
+    known = map_batches(each.select("chunk", "id", "n", "cls"), run, kind, caches="brown")
+    return _classified(coded, known, _frequent(model), len(model.pair), float(model.total + model.distinct + 1))
+
+
+def _flagged(docs: DataFrame, held_out: F.Column | None) -> DataFrame:
+    return docs.select("doc_id", (F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))).alias("held_out"), "text")
 
 
 def score(docs: DataFrame, model: BrownModel, held_out: F.Column | None = None) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), one for each row of docs.
 
-    Null texts count as empty. Rows with equal or null doc_ids stay apart: they are told apart by a number of their own.
-    Rare words are looked up by a join, summed up in each text before; everything else is scored where the text is read.
+    Null texts count as empty. Rows with equal or null doc_ids stay apart; other columns are not read. An empty table gives an
+    empty result.
     """
-    spark = docs.sparkSession
-    wide = len(model.pair)
-    n, v = model.total, model.distinct
-    trans = model.transitions()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        emit = np.log10(model.word_counts / model.class_counts[model.word_class]) if model.total else np.zeros(len(model.words))
-    emit = np.where(np.isfinite(emit), emit, 0.0)
-    known = np.log10((model.word_counts + 1) / (n + v + 1))
-    rare_class = wide - 1
-    kinds = np.append(model.word_class, rare_class)
-    no_end = 0 if model.word_counts[0] else 1  # nothing was learnt: not even ends are known
-    log_unknown = float(np.log10(model.unknown))
-    sent = spark.sparkContext.broadcast((model.words, kinds, np.append(emit, 0.0), np.append(known, 0.0), trans))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    flagged = docs.select("doc_id", (F.lit(False) if held_out is None else held_out).alias("held_out"), "text")
+    return _scored(_looked_up(code(_flagged(docs, held_out)), model), model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        words, kinds, emit, known, trans = sent.value
-        number = TaskContext.get().partitionId() << 40
-        for b in batches:
-            texts = text_bytes(b.column(2))
-            for lo in range(0, len(texts), 500):
-                ids, rare, sizes = _ids(texts[lo : lo + 500], words)
-                k = kinds[ids]
-                here, past = ids[1:], k[:-1]
-                hit = here >= no_end if no_end else here >= 0
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                base = np.where(hit, known[here], 0.0)
-                full = np.where(hit, trans[past, k[1:]] + emit[here], 0.0)
-                if no_end:
-                    base[here == 0], full[here == 0] = known[0], log_unknown
-                count = lambda x: np.bincount(owner, weights=x, minlength=len(sizes))  # noqa: B023, E731
-                rows = pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b" %d" % (number + i) for i in range(len(sizes))], pa.binary()),
-                        pa.array(np.arange(number, number + len(sizes))),
-                        b.column(0).slice(lo, len(sizes)),
-                        b.column(1).slice(lo, len(sizes)),
-                        pa.array(sizes),
-                        pa.array(count(hit).astype(np.int64)),
-                        pa.array(count(base)),
-                        pa.array(count(full)),
-                        pa.nulls(len(sizes), pa.int32()),
-                        pa.nulls(len(sizes), pa.int64()),
-                    ],
-                    names=["word", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "full", "h", "n"],
-                )
-                yield rows
-                spots = np.flatnonzero(here < 0)
-                if spots.size:
-                    met = Counter(zip((owner[spots] + number).tolist(), rare, past[spots].tolist(), strict=True))
-                    m = len(met)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([x[1] for x in met], pa.binary()),
-                            pa.array([x[0] for x in met], pa.int64()),
-                            pa.nulls(m, rows.schema.field("doc_id").type),
-                            pa.nulls(m, pa.bool_()),
-                            pa.nulls(m, pa.int64()),
-                            pa.nulls(m, pa.int64()),
-                            pa.nulls(m, pa.float64()),
-                            pa.nulls(m, pa.float64()),
-                            pa.array([x[2] for x in met], pa.int32()),
-                            pa.array(list(met.values()), pa.int64()),
-                        ],
-                        names=rows.schema.names,
-                    )
-                number += len(sizes)
-
-    parts = map_batches(flagged, run, f"word binary, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, full double, h int, n long")
-    # A text's own row has a key that no word has, so that one join serves both kinds of rows and no key is hot.
-    rare = model.rare.select("word", F.col("n").alias("_c"), F.col("cls").alias("_cls"))
-    met = parts.join(rare, "word", "left")
-    table = F.array(*[F.lit(float(x)) for x in np.nan_to_num(trans[:, : wide - 2], neginf=-99.0).ravel()])
-    sizes = F.array(*[F.lit(float(np.log10(max(x, 1)))) for x in model.class_counts[: wide - 2]])
-    seen = F.col("_c").isNotNull()
-    base = F.when(F.col("h").isNull(), F.col("base")).otherwise(F.col("n") * (F.log10(F.coalesce("_c", F.lit(0)) + 1) - F.lit(float(np.log10(n + v + 1)))))
-    step = F.element_at(table, F.col("h") * (wide - 2) + F.col("_cls") + 1) + F.log10("_c") - F.element_at(sizes, F.col("_cls") + 1)
-    full = F.when(F.col("h").isNull(), F.col("full")).when(seen, F.col("n") * step).otherwise(F.col("n") * log_unknown)
-    lines = met.select("row", "doc_id", "held_out", "n_tokens", F.when(F.col("h").isNull(), F.col("n_known")).when(seen, F.col("n")).otherwise(0).alias("n_known"), base.alias("base"), full.alias("full"))
-    sums = lines.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("full").alias("score"))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+def train_and_score(docs: DataFrame, held_out: F.Column, classes: int = CLASSES, frequent: int = FREQUENT, sweeps: int = SWEEPS) -> tuple[DataFrame, BrownModel]:
+    """score() of all rows of docs under the model of those that are not held out, in fewer passes than train() and score() take.
+
+    The model's table of words has the frequent ones only. Null as held_out counts as false.
+    """
+    coded = code(_flagged(docs, held_out))
+    model, known = _fit(coded, classes, frequent, sweeps, by_chunk=True)
+    classified = _classified(coded, known, _frequent(model), classes + 1, float(model.total + model.distinct + 1))
+    model.pair = _class_bigrams(classified, classes + 1)
+    return _scored(classified, model), model

@@ -14,11 +14,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under a class bigram model of the documents that are not held out."""
-    from graphprep.llm.brown import score, train
+    from graphprep.llm.brown import train_and_score
 
-    docs = _documents(spark, sf_dir)
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return score(docs, train(docs.where(~held_out)), held_out)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return train_and_score(_documents(spark, sf_dir), held_out)[0]
 
 
 def op2_cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
