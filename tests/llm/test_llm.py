@@ -73,6 +73,55 @@ def test_brown_scores(docs, none):
     assert score(docs, train(none)).where("score is null or isnan(score)").count() == 0
 
 
+@pytest.mark.parametrize("frequent", [25, 10_000])  # most words make one step, or all are swept
+def test_brown_scores_by_brute_force(docs, monkeypatch, frequent):
+    from graphprep.llm import brown
+
+    monkeypatch.setattr(brown, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(brown, "TASK_WORDS", 100)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    model = brown.train(docs.where(~held), classes=5, frequent=frequent, sweeps=2)
+    found = {bytes(r.word): (r.n, r.cls) for r in model.words.collect()}
+    texts = {i: [*(w.encode() for w in tokens(t)), b" "] for i, t in fixture()}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    c = Counter(w for i, ws in texts.items() if not out[i] for w in ws)
+    assert {w: n for w, (n, _) in found.items()} == c
+    total, unknown = sum(c.values()), (sum(n == 1 for n in c.values()) + 1) / (sum(c.values()) + 2)
+    pair, size = Counter(), Counter()
+    for i, ws in texts.items():
+        if not out[i]:
+            kinds = [found[w][1] for w in ws]
+            pair.update(zip([5, *kinds], kinds))
+            size.update(kinds)
+    past = Counter()
+    for (h, _), n in pair.items():
+        past[h] += n
+
+    def want(ws):
+        s, h = 0.0, 5
+        for w in ws:
+            if w in found:
+                n, k = found[w]
+                s += math.log10((1 - unknown) * (pair[h, k] + brown.PRIOR * size[k] / total) / (past[h] + brown.PRIOR) * n / size[k])
+                h = k
+            else:
+                s, h = s + math.log10(unknown), None
+        return s
+
+    for got in (brown.score(docs, model, held), brown.train_and_score(docs, held, classes=5, frequent=frequent, sweeps=2)[0]):
+        got = {r.doc_id: r.score for r in got.collect()}
+        assert all(abs(got[i] - want(ws)) < 1e-6 for i, ws in texts.items())
+
+
+def test_brown_edge_rows(spark):
+    from graphprep.llm.brown import score, train, train_and_score
+
+    df = spark.createDataFrame([(1, "a b", 1), (1, "a b", 2), (None, None, 3), (None, "", 4), (2, "zz " * 3000, 5)], "doc_id long, text string, score int")
+    for rows in (score(df, train(df, classes=3, sweeps=1)).collect(), train_and_score(df, F.lit(None).cast("boolean"), classes=3, sweeps=1)[0].collect()):
+        assert sorted((str(r.doc_id), r.n_tokens, r.n_known) for r in rows) == [("1", 3, 3), ("1", 3, 3), ("2", 3001, 3001), ("None", 1, 1), ("None", 1, 1)]
+    assert train_and_score(df.where("false"), F.lit(False))[0].count() == 0
+
+
 def brute_lines(rows, min_docs=3, min_chars=20):
     key = lambda x: re.sub("[A-Z]", lambda m: m.group().lower(), x.strip(" \t\n\x0b\x0c\r"))
     found = {}
