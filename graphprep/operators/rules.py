@@ -45,8 +45,16 @@ def two_way_split(key: Column, is_test: Column, train: int = 80, seed: str = "tw
 
 
 def content_hash(examples: DataFrame) -> DataFrame:
-    """Add content_hash over nodes, sorted edges and output; provenance, split and ids do not count."""
-    return examples.withColumn("content_hash", F.md5(F.concat(F.to_json("nodes"), F.to_json(F.array_sort("edges")), F.to_json("output"))))
+    """Add content_hash, an MD5 over nodes, edges in any order and output; provenance, split and ids do not count.
+
+    Labels and tokens are escaped, so a line break between entries and a tab between fields cannot be part of them. Edges
+    count by two 64-bit hashes each, folded, and by their number.
+    """
+    said = lambda *cs: F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("\r")) for c in cs])
+    nodes = F.array_join(F.transform("nodes", lambda n: said(n["id"], n["type"], n["label"], n["is_repair_candidate"])), "\n")
+    output = F.array_join(F.transform("output", lambda o: said(o["kind"], o["token"], o["pointer"], o["class"])), "\n")
+    fold = lambda seed: F.aggregate("edges", F.lit(0).cast("long"), lambda s, e: s.bitwiseXOR(F.xxhash64(F.lit(seed), e["src"], e["dst"], e["type"])))
+    return examples.withColumn("content_hash", F.md5(F.concat_ws("\f", nodes, fold(0).cast("string"), fold(1).cast("string"), F.size("edges").cast("string"), output)))
 
 
 def first_of_each(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -15,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a few large files dealt to all cores: a file with one row group is read by one task, and what follows would stay there."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if len(rows.inputFiles()) < n else rows
+
+
 def document_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as token chains. Output: the words of the text's last line as tokens, and the source as class."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", split_of(F.col("doc_id")).alias("split"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).withColumn("split", split_of(F.col("doc_id")))
     last = F.transform(words(F.element_at(F.split("text", "\n", -1), -1)), token)
     out = F.concat(last, F.array(label_class(F.col("source"))))
     return chain_examples(docs, words(F.col("text")), out).drop("text")

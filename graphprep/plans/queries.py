@@ -12,7 +12,7 @@ from graphprep.operators import builders as B
 from graphprep.operators import encode as E
 from graphprep.operators import metrics as M
 from graphprep.operators import rules as R
-from graphprep.plans.examples import document_chains, pointed_chains, table
+from graphprep.plans.examples import document_chains, pointed_chains, spread, table
 from graphprep.schema import SIZE_BUCKETS, TASK_SIZES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,18 +44,30 @@ def counted(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return f
 
 
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, split, pos, word) of all documents."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("split", R.split_of(F.col("doc_id")))
+    return docs.select("doc_id", "split", F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_chains(spark, sf_dir).select("doc_id", "split", F.posexplode("nodes.label").alias("pos", "token"))
+    """The words as node labels."""
+    return _words(spark, sf_dir).select("doc_id", "split", "pos", T.escape(F.col("word")).alias("token"))
+
+
+def _label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (split, token, cnt). Words are counted first and escaped then, which keeps different ones different."""
+    counts = _words(spark, sf_dir).groupBy("split", "word").agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.select("split", T.escape(F.col("word")).alias("token"), "cnt")
 
 
 def _vocab(spark: SparkSession, sf_dir: str, most: int = 1000) -> DataFrame:
-    counts = _labels(spark, sf_dir).where("split = 'train'").groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).withColumn("kind", F.lit("node_label"))
-    return E.vocabulary(counts, most)
+    return E.vocabulary(_label_counts(spark, sf_dir).where("split = 'train'").withColumn("kind", F.lit("node_label")), most)
 
 
 def _pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as a prediction of the next: rows (conv_id, turn, p, t, ptext, ttext)."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ttext"))
     return c.withColumnRenamed("text", "ptext").join(n, ["conv_id", "turn"]).withColumns({"p": T.words(F.col("ptext")), "t": T.words(F.col("ttext"))})
 
@@ -65,7 +77,7 @@ def _pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOK} SELECT label AS token, count(*) AS cnt FROM lab GROUP BY 1 ORDER BY cnt DESC, token LIMIT 100")
 def token_count_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labels(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "token").limit(100)
+    return _label_counts(spark, sf_dir).groupBy("token").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "token").limit(100)
 
 
 @query(f"WITH {_TOK}, {_VOCAB} SELECT label AS token, id FROM voc UNION ALL VALUES ('<OOV>', 0), ('<pad>', 1)")
@@ -75,8 +87,9 @@ def vocab_with_reserved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOK}, {_VOCAB} SELECT split, count(*) AS n_tokens, count(*) FILTER (WHERE v.id IS NULL) AS n_oov FROM lab LEFT JOIN voc v ON lab.label = v.label GROUP BY split")
 def encode_oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = E.lookup(_labels(spark, sf_dir), _vocab(spark, sf_dir), "node_label")
-    return found.groupBy("split").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("id") == 0).alias("n_oov"))
+    """Each split's labels by the vocabulary of train: different labels are looked up, their counts added."""
+    found = E.lookup(_label_counts(spark, sf_dir), _vocab(spark, sf_dir), "node_label")
+    return found.groupBy("split").agg(F.sum("cnt").alias("n_tokens"), F.sum(F.when(F.col("id") == 0, F.col("cnt")).otherwise(0)).alias("n_oov"))
 
 
 @query("WITH w AS (SELECT item_id, string_split(text, ' ')[1] AS first, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS pos FROM benchmark) SELECT item_id, 1 AS output, CAST(pos AS INTEGER) AS node FROM w WHERE word = first")

@@ -1,5 +1,8 @@
 """Worked cases on literal rows."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from graphprep.functions import text as T
@@ -116,3 +119,89 @@ def test_oversample_is_whole_and_repeatable(spark):
     rows = R.oversample(spark.range(200), F.lit(2.5), F.col("id"))
     n = rows.count()
     assert 400 <= n <= 600 and n == rows.count()
+
+
+def test_first_edges_keep_their_place(spark):
+    edges = [(3, 1, "X"), (0, 1, "A"), (3, 1, "X"), (0, 1, "B"), (0, 1, "A")]
+    got = spark.createDataFrame([(edges,), ([],)], "e array<struct<src:int,dst:int,type:string>>").select(B.first_edges(F.col("e")).alias("e")).collect()
+    assert [tuple(x) for x in got[0].e] == [(3, 1, "X"), (0, 1, "A"), (0, 1, "B")] and got[1].e == []
+
+
+def test_edit_scripts_that_are_wrong(spark):
+    for bad in ("turn!#@$1", "add_node!#@$1!#@$2", "del_node!#@$x"):
+        with pytest.raises(Exception):
+            spark.createDataFrame([(bad,)], "s string").select(T.parse_edit(F.col("s"))).collect()
+
+
+def test_escape_all_is_repr(spark):
+    texts = ["plain", "a\tb\n", "\x00\x7f", "caf\u00e9", "it's", 'both \' and "', "\u200b", None]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.escape_all(F.col("t")).alias("x")).collect()]
+    assert got == [None if t is None else repr(t)[1:-1] for t in texts]
+
+
+def test_integers_among_noise(spark):
+    got = spark.createDataFrame([('[1, "2", "x", true, null, 2.5, -3]',), ("[]",)], "j string").select(T.integers_of(F.col("j")).alias("x")).collect()
+    assert got[0].x == [1, 1, -3] and got[1].x == []
+
+
+def test_java_tokens(spark):
+    code = ['int x = 0x1F; // c', '"a\\"b" \'c\' @Override', "a # b"]
+    got = [[tuple(t) for t in r.x] for r in spark.createDataFrame([(c,) for c in code], "c string").select(T.java_tokens(F.col("c")).alias("x")).collect()]
+    assert got[0] == [("BasicType", "int"), ("Identifier", "x"), ("Operator", "="), ("HexInteger", "0x1F"), ("Separator", ";")]
+    assert got[1] == [("String", '"a\\"b"'), ("Character", "'c'"), ("Annotation", "@"), ("Identifier", "Override")] and got[2] == []
+
+
+def test_numbered_without_gaps(spark):
+    rows = spark.createDataFrame([(i % 2, (i * 37) % 101) for i in range(101)], "g int, v long")
+    got = R.numbered(rows, ["g"], "v", "at", parts=7).collect()
+    for g in (0, 1):
+        own = sorted((r.v, r["at"]) for r in got if r.g == g)
+        assert [a for _, a in own] == list(range(len(own)))
+
+
+def test_counters_fill_while_rows_are_read(spark):
+    rows, seen = R.count_while(spark.range(10), "seen", odd=F.col("id") % 2 == 1)
+    rows.collect()
+    assert seen.get == {"all": 10, "odd": 5}
+
+
+def test_random_chains_are_the_same_however_dealt(spark):
+    one, two = B.random_chains(spark, 20, 5, 9, seed=3), B.random_chains(spark, 20, 5, 9, seed=3).repartition(7)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    for r in one.collect():
+        assert 5 <= r.n_nodes <= 9 and 0 <= r.output[1].pointer < r.n_nodes and r.n_edges == 2 * (r.n_nodes - 1)
+        assert all(n.type.isupper() and n.label.islower() and n.is_repair_candidate == (n.id % 2 == 0) for n in r.nodes)
+
+
+def test_bootstrap_by_brute_force(spark):
+    from graphprep.operators import evaluate as V
+
+    rows = spark.createDataFrame([(i, [str(i % 3)], "1") for i in range(50)], "idx long, beam array<string>, target string")
+    got = {r.ci: (r.lower, r.upper) for r in V.bootstrap(rows, V.class_accuracy, 20, (80, 90)).collect()}
+    drawn = spark.range(50).selectExpr("id", "explode(sequence(0, 19)) s").selectExpr("s", "pmod(xxhash64(42, s, id), 50L) i").collect()
+    values = sorted(sum(r.i % 3 == 1 for r in drawn if r.s == s) / 50 for s in range(20))
+    assert got == {80: (values[4], values[15]), 90: (values[2], values[17])}
+
+
+def test_metrics_refuse_what_they_cannot_judge(spark):
+    from graphprep.operators import evaluate as V
+
+    rows = spark.createDataFrame([(0, ["a", "b"], "c")], "idx long, beam array<string>, target string")
+    for name in ("code2seq_dataset", "great_var_misuse_dataset", "cubert_variable_misuse_repair_dataset", "cubert_wrong_operator_classification_dataset"):
+        with pytest.raises(Exception):
+            V.evaluate(rows, name).collect()
+    with pytest.raises(ValueError):
+        V.evaluate(rows, "none such")
+    assert len(V.EVALUATORS) == 18
+
+
+def test_samples_follow_the_softmax(spark):
+    from graphprep.operators import kernels as K
+
+    n = 4000
+    scores = [1.0, 0.0, -1.0]
+    p = [math.exp(x) / sum(map(math.exp, scores)) for x in scores]
+    a = F.array(*map(F.lit, scores))
+    none = F.array().cast("array<double>")
+    drawn = spark.range(n).select(K.choose(a, none, none, K.gumbel(F.size(a), 1.0, 5, F.col("id")))["choice"].alias("k")).groupBy("k").count().collect()
+    assert all(abs(r["count"] / n - p[r.k]) < 0.03 for r in drawn)

@@ -49,3 +49,134 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream_token_counts(spark, f"{tmp_path}/d", "doc_id long, text string").writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
     q.awaitTermination()
     assert {(r.token, r.cnt) for r in spark.table("counted").collect()} == {("a", 2), ("b", 2)}
+
+
+def put(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(text if isinstance(text, bytes) else text.encode())
+    return str(path)
+
+
+def test_checksums_against_what_is_wanted(spark, tmp_path):
+    import hashlib
+
+    for name in ("a.bin", "b.bin", "c.bin"):
+        put(tmp_path / "raw" / name, name)
+    want = {"a.bin": hashlib.sha1(b"a.bin").hexdigest(), "b.bin": "0" * 40}
+    got = {r.path.rsplit("/", 1)[1]: r.ok for r in S.verified(S.checksums(spark, str(tmp_path / "raw")), want).collect()}
+    assert got == {"a.bin": True, "b.bin": False, "c.bin": False}
+
+
+def test_archives(spark, tmp_path):
+    import gzip
+    import io
+    import tarfile
+    import zipfile
+
+    folder = tmp_path / "packed"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "x.zip", "w") as z:
+        z.writestr("in/one.txt", "1")
+    with tarfile.open(folder / "y.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("two.txt")
+        info.size = 1
+        t.addfile(info, io.BytesIO(b"2"))
+    put(folder / "three.txt.gz", gzip.compress(b"3"))
+    assert {(r.name, bytes(r.content)) for r in S.read_archives(spark, str(folder)).collect()} == {("in/one.txt", b"1"), ("two.txt", b"2"), ("three.txt", b"3")}
+
+
+def test_continued_lines(spark, tmp_path):
+    path = put(tmp_path / "attr.csv", "id,label\n0,a\n1,b,lost\nmore\n7,of it\n2,c\n")
+    assert [(r.id, r.label) for r in S.read_continued(spark, path).orderBy("id").collect()] == [(0, "a"), (1, "bmore7,of it"), (2, "c")]
+
+
+def test_bundle(spark, tmp_path):
+    from graphprep.operators import builders as B
+
+    files = {
+        "edge.csv": "0,1\n0,1\n1,2\n",
+        "node-feat.csv": "0,0\n1,1\n0,1\n1,0\n0,0\n",
+        "num-node-list.csv": "2\n3\n",
+        "num-edge-list.csv": "1\n2\n",
+        "graph-label.csv": "get x\nset\n",
+        "typeidx2type.csv": "id,type\n0,Name\n1,Call\n",
+        "attridx2attr.csv": "id,attr\n0,f\n1,g\n",
+        "split/train.csv": "0\n",
+        "split/valid.csv": "1\n",
+    }
+    for name, text in files.items():
+        put(tmp_path / name, text)
+    b = S.read_bundle(spark, str(tmp_path))
+    assert tuple(b.pop("bounds").first()) == (0, 1)
+    got = {r.graph: r for r in B.bundle_examples(**b).collect()}
+    assert [(n.id, n.type, n.label) for n in got[1].nodes] == [(0, "Name", "g"), (1, "Call", "f"), (2, "Name", "f")]
+    assert [(e.src, e.dst, e.type) for e in got[1].edges] == [(0, 1, "EDGE"), (1, 0, "REVERSED_EDGE"), (1, 2, "EDGE"), (2, 1, "REVERSED_EDGE")]
+    assert [o.token for o in got[0].output] == ["get", "x"] and got[0].n_nodes == 2
+    put(tmp_path / "edge.csv", "0,1\n1,2\n1,2\n")
+    twice = S.read_bundle(spark, str(tmp_path))
+    twice.pop("bounds")
+    with pytest.raises(Exception, match="repeated edge"):
+        B.bundle_examples(**twice).collect()
+
+
+def test_examples_and_vocabularies_come_back(spark, tmp_path):
+    ex = spark.createDataFrame([("e", "train", None, [(0, "T", "a", True)], [], [("token", "a", None, None)])], "example_id string, split string, provenance string, nodes array<struct<id:int,type:string,label:string,is_repair_candidate:boolean>>, edges array<struct<src:int,dst:int,type:string>>, output array<struct<kind:string,token:string,pointer:int,class:string>>")
+    W.write_examples(ex, str(tmp_path / "ex"))
+    got = S.read_examples(spark, str(tmp_path / "ex")).first()
+    assert got.provenance == "" and got.nodes[0].is_repair_candidate and got.split == "train" and got.output[0].token == "a"
+    vocab = spark.createDataFrame([("node_type", w, i) for i, w in enumerate(["<OOV>", "<pad>", "x", "y z"])], "kind string, token string, id int")
+    W.copy_vocabulary(vocab, str(tmp_path / "voc"))
+    assert [tuple(r) for r in S.read_vocabulary(spark, str(tmp_path / "voc" / "node_type"), "node_type").orderBy("id").collect()] == [tuple(r) for r in vocab.orderBy("id").collect()]
+
+
+def test_tfrecords(spark, tmp_path):
+    from graphprep.sources.tfrecords import masked_crc, unframed
+
+    # The published check value of CRC-32C over the digits is e3069283.
+    assert masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
+    rows = spark.createDataFrame([(f"e{i}", "train" if i % 3 else "test", [i, -1], ["a", "b"], f"p{i}") for i in range(20)], "example_id string, split string, ids array<long>, texts array<string>, provenance string")
+    W.write_tfrecords(rows, str(tmp_path / "tf"), 2)
+    files = sorted(p.name for p in (tmp_path / "tf").iterdir())
+    assert files == [f"{s}-{k:05d}-of-00002.tfrecord" for s in ("test", "train") for k in range(2)]
+    records = [r for f in files for r in unframed((tmp_path / "tf" / f).read_bytes())]
+    assert len(records) == 20 and all(b"provenance" in r and b"texts" in r for r in records)
+    raw = (tmp_path / "tf" / files[0]).read_bytes()
+    with pytest.raises(ValueError):
+        list(unframed(raw[:-1] + bytes([raw[-1] ^ 1])))
+
+
+def test_evaluation_files_and_shards(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [["x", "DONE", "y"], ["z"]], ["x"], 0.5, "p"), (0, [["a"], []], ["a", "DONE"], 1.0, None)], "idx long, beam array<array<string>>, target array<string>, score double, provenance string")
+    W.write_evaluation(rows, str(tmp_path / "ev"))
+    lines = lambda n: [r.value for r in spark.read.text(str(tmp_path / "ev" / n)).collect()]
+    assert sorted(lines("predictions")) == ["a\t", "x\tz"] and sorted(lines("targets")) == ["a", "x"] and sorted(lines("scores")) == ["0.500000", "1.000000"]
+    W.write_shard(rows.select("idx"), str(tmp_path / "sh"), "out", 1, 3)
+    assert W.shards_to_do(spark, str(tmp_path / "sh"), "out", 3) == [0, 2]
+    m = spark.createDataFrame([(1, "train", "loss", 0.5)], "step long, split string, metric string, value double")
+    W.append_measurements(m, str(tmp_path / "ms"))
+    W.append_measurements(m, str(tmp_path / "ms"))
+    assert spark.read.parquet(str(tmp_path / "ms")).count() == 2
+    assert W.Layout("/x").vocabulary("node_type") == "/x/vocabularies/node_type"
+
+
+def test_json_sources(spark, tmp_path):
+    path = put(tmp_path / "a" / "x.json", '[{"n": 1}, {"n": 2}]')
+    assert sorted(r.n for r in S.read_json_array(spark, path, "n int").collect()) == [1, 2]
+    path = put(tmp_path / "b" / "x.json", '{"n": 3}\n{"n": 4}\n')
+    assert sorted(r.n for r in S.read_json_lines(spark, path, "n int").collect()) == [3, 4]
+
+
+def test_streams(spark, tmp_path):
+    from graphprep.streaming import counts
+
+    rows = spark.createDataFrame([(1, "a", "2024-01-01 00:00:10"), (1, "a", "2024-01-01 00:00:20"), (2, "b", "2024-01-01 00:10:00")], "k long, event_type string, t string").selectExpr("k", "event_type", "cast(t as timestamp) t")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+
+    def run(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sorted(r.k for r in run(counts.stream_first_of_each(stream, "k", "t", "1 hour"), "first_of_each", "append")) == [1, 2]
+    assert sorted((r.event_type, r.n) for r in run(counts.stream_windows(stream, "t", "1 minute", "1 hour"), "windows", "complete")) == [("a", 2), ("b", 1)]
