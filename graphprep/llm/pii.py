@@ -3,7 +3,7 @@
 Entities are found by pattern. Each gets a surrogate of its kind from a keyed hash of its canonical form, so the same entity
 gets the same surrogate in every document and every spelling (coreference), and nobody without the key can compute it.
 Surrogates keep the format: digits stay digits at their places, letters keep case and script, card numbers keep passing or
-failing the Luhn check, names keep their script and the gender that the title before them tells, addresses get reserved
+failing the Luhn check and account numbers theirs, names keep their script and the gender that the title before them tells, addresses get reserved
 domains. A check over all entities of the table then looks for surrogates that two entities share or that some entity
 already has; those are hashed again with a higher attempt number until none is left. Only these few exceptions are looked
 up; all other surrogates are computed in the row.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphprep.llm.common import materialize
+from graphprep.llm.common import fresh, materialize
 
 #: Exceptions up to this number are looked up in a constant of the plan; more are joined to the documents that hold them.
 CONSTANT_EXCEPTIONS = 1000
@@ -60,6 +60,20 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of a text of digits and capital letters, letters standing for 10 to 35."""
+    step = lambda s, c: F.when(c.rlike("[0-9]"), s * 10 + F.ascii(c) - 48).otherwise(s * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban(canon: Column, chars: Column) -> Column:
+    """A country with new characters behind it; its check digits are right if those of canon are, and wrong otherwise."""
+    country, own = F.substring(canon, 1, 2), F.substring(chars, F.lit(5), F.length(canon))
+    right = _mod97(F.concat(F.substring(canon, F.lit(5), F.length(canon)), F.substring(canon, 1, 4))) == 1
+    check = 98 - _mod97(F.concat(own, country, F.lit("00")))
+    return F.concat(country, F.lpad(F.when(right, check).otherwise((check - 1) % 97 + 2).cast("string"), 2, "0"), own)
+
+
 def _kind(m: Column) -> Column:
     """The kind of a match; the first in the order of PATTERNS that covers it whole."""
     out = F.lit("name")
@@ -167,8 +181,7 @@ def surrogates(items: Column, key: str) -> Column:
         email = F.concat(chars, F.when(x["attempt"] >= GROW_AT, F.substring(stream, F.lit(1), x["attempt"])).otherwise(F.lit("")), F.lit("@"), x["domain"], F.lit(".example"))
         ip = F.concat_ws(".", *[F.conv(F.substring(stream, i, 2), 16, 10) for i in (1, 3, 5, 7)])
         secret = F.substring(stream, F.lit(1), F.length(canon))
-        iban = F.concat(F.substring(canon, 1, 2), F.substring(chars, F.lit(3), F.length(canon)))
-        return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", chars).when(kind == "secret", secret).when(kind == "iban", iban).otherwise(_people(x, key))
+        return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", chars).when(kind == "secret", secret).when(kind == "iban", _iban(canon, chars)).otherwise(_people(x, key))
 
     return F.transform(items, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), made(x).alias("made")))
 
@@ -220,13 +233,16 @@ def find_exceptions(entities: DataFrame, key: str) -> DataFrame:
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text", id_col: str = "doc_id", count: str | None = None) -> DataFrame:
-    """docs with every entity in the text replaced by its surrogate; all columns stay. count adds the number of replacements.
+    """docs with every entity in the text replaced by its surrogate; all columns stay. count adds the number of replacements, in the
+    place of a column of that name.
 
     A null text stays null, and has none; an empty one stays empty. Rows with equal or null ids are treated alike. Whole
     texts are searched, whatever their length. An empty table gives an empty result.
     """
     if not key:
         raise ValueError("a key is needed")
+    columns = [c for c in docs.columns if c != count]
+    found_in, own_id, attempts = (fresh(n, docs) for n in ("_pii_found", "_pii_id", "_pii_attempts"))
     entities = materialize(find_entities(docs, text), "pii-entities")
     exceptions = materialize(find_exceptions(entities, key), "pii-exceptions")
     few = exceptions.limit(CONSTANT_EXCEPTIONS + 1).collect()
@@ -239,18 +255,18 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", id_col: str
         attempt_of = lambda name: F.coalesce(F.element_at(constant, name), F.lit(0))
     else:
         held = docs.select(id_col, F.explode(F.array_distinct(_matches(F.col(text)))).alias("m")).withColumn("kind", _kind(F.col("m")))
-        held = held.select(F.col(id_col).alias("_pii_id"), "kind", _canonical(F.col("kind"), F.col("m")).alias("canon")).distinct().join(exceptions, ["kind", "canon"])
-        maps = held.groupBy("_pii_id").agg(F.map_from_entries(F.collect_list(F.struct(named(F.col("kind"), F.col("canon")), "attempt"))).alias("_pii_attempts"))
-        base = docs.join(maps, docs[id_col].eqNullSafe(maps["_pii_id"]), "left")
-        attempt_of = lambda name: F.coalesce(F.element_at("_pii_attempts", name), F.lit(0))
+        held = held.select(F.col(id_col).alias(own_id), "kind", _canonical(F.col("kind"), F.col("m")).alias("canon")).distinct().join(exceptions, ["kind", "canon"])
+        maps = held.groupBy(own_id).agg(F.map_from_entries(F.collect_list(F.struct(named(F.col("kind"), F.col("canon")), "attempt"))).alias(attempts))
+        base = docs.join(maps, docs[id_col].eqNullSafe(maps[own_id]), "left")
+        attempt_of = lambda name: F.coalesce(F.element_at(attempts, name), F.lit(0))
 
-    items = F.transform("_pii_found", lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+    items = F.transform(found_in, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
     items = F.transform(items, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _canonical(x["kind"], x["m"]).alias("canon")))
     items = F.transform(items, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["canon"].alias("canon"), attempt_of(named(x["kind"], x["canon"])).alias("attempt")))
     spelt = F.transform(surrogates(items, key), lambda x: _spelt(x["kind"], x["m"], x["made"]))
-    found = base.withColumn("_pii_found", _matches(F.col(text)))
+    found = base.withColumn(found_in, _matches(F.col(text)))
     gaps = F.split(F.col(text), ANY, -1)
     new = F.array_join(F.zip_with(gaps, spelt, lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
-    done = found.withColumn(text, F.when(F.size("_pii_found") > 0, new).otherwise(F.col(text)))
-    extra = [F.size("_pii_found").cast("long").alias(count)] if count else []
-    return done.select(*docs.columns, *extra)
+    done = found.withColumn(text, F.when(F.size(found_in) > 0, new).otherwise(F.col(text)))
+    extra = [F.size(found_in).cast("long").alias(count)] if count else []
+    return done.select(*columns, *extra)
