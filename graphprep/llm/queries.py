@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,15 +109,21 @@ def op9_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
-#: Key of the surrogates; a real run takes its own from a secret store.
-SURROGATE_KEY = "graphprep"
+#: Spark setting of the surrogates' key. Runs that are to give the same surrogates take it from a secret store.
+SURROGATE_KEY = "spark.graphprep.surrogate.key"
+_KEYS: dict[str, str] = {}
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The key that is set, or one made at random for this application, which nobody can compute afterwards."""
+    return spark.conf.get(SURROGATE_KEY, None) or _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with personal data replaced, and the number of replacements."""
     from graphprep.llm.pii import replace_entities
 
-    return replace_entities(_documents(spark, sf_dir), SURROGATE_KEY, count="n_entities").select("doc_id", "n_entities", "text")
+    return replace_entities(_documents(spark, sf_dir), surrogate_key(spark), count="n_entities").select("doc_id", "n_entities", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
