@@ -13,7 +13,7 @@ from graphprep.llm.linededup import dedup_lines
 from graphprep.llm.neardup_texts import drop_near_duplicates
 from graphprep.llm.packing import WINDOW, pack
 from graphprep.llm.pii import replace_entities
-from graphprep.llm.queries import SURROGATE_KEY, TOXICITY_LABELS, toxicity_labels
+from graphprep.llm.queries import TOXICITY_LABELS, surrogate_key, toxicity_labels
 from graphprep.llm.toxicity import fit, predict
 from graphprep.llm.wordbpe import token_pieces
 
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become surrogates."""
-    return _counted(replace_entities(docs, SURROGATE_KEY))
+    return _counted(replace_entities(docs, surrogate_key(spark)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
