@@ -17,9 +17,9 @@ import numpy as np
 from graphprep.llm.common import worker_cache
 
 #: Parts, and halves of parts, kept by one Python worker.
-CACHE_PARTS, CACHE_HALVES = 600_000, 300_000
-#: Words that go through the library in one text.
-JOINED = 200
+CACHE_PARTS, CACHE_HALVES = 300_000, 200_000
+#: Words that go through the library in one text, and texts that it takes at once.
+JOINED, AT_ONCE = 200, 50
 #: Signs split off at the end of a part. The apostrophe is not among them: the tokenizer splits contractions at it.
 _SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD_END = "</w>"
@@ -39,22 +39,27 @@ class WordEncoder:
 
     def plain(self, parts: list[bytes]) -> list[bytes]:
         """One part after another through the library."""
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for lo in range(0, len(parts), AT_ONCE * JOINED):
+            texts = [p.decode("utf-8", "replace") for p in parts[lo : lo + AT_ONCE * JOINED]]
+            out += [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return out
 
     def letters(self, words: list[bytes]) -> list[bytes]:
         """Words of ASCII letters, many in one text."""
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         out: list[bytes] = []
-        for group, e in zip(groups, self.whole.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
-            if len(ends) != len(group):  # not a tokenizer that marks the ends of words
-                out += self.plain(group)
-                continue
-            raw = ids.tobytes()
-            starts = [0, *ends.tolist()]
-            out += [raw[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+        for lo in range(0, len(groups), AT_ONCE):
+            part = groups[lo : lo + AT_ONCE]
+            for group, e in zip(part, self.whole.encode_batch_fast([b" ".join(g).decode() for g in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+                if len(ends) != len(group):  # not a tokenizer that marks the ends of words
+                    out += self.plain(group)
+                    continue
+                raw = ids.tobytes()
+                starts = [0, *ends.tolist()]
+                out += [raw[a:b] for a, b in zip(starts, starts[1:], strict=False)]
         return out
 
     def _halves(self, part: bytes) -> tuple[bytes, bytes]:
