@@ -24,7 +24,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from graphprep.llm.common import map_batches, materialize, text_bytes, worker_cache
 
-SAMPLE_ROWS = 20_000
+#: Labelled documents whose features are counted, and those of them that the weights are fitted on, at most.
+COUNTED_ROWS, SAMPLE_ROWS = 60_000, 20_000
 SELECTED = 3072
 FOLDS = 3
 #: A feature counts when it is in so many labelled documents, and its G statistic is over this.
@@ -145,18 +146,20 @@ def _best_cut(odds: np.ndarray, y: np.ndarray) -> float:
     return float((odds[order[best]] + low) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int = FOLDS, sample: int = SAMPLE_ROWS, selected: int = SELECTED) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int = FOLDS, counted: int = COUNTED_ROWS, sample: int = SAMPLE_ROWS, selected: int = SELECTED) -> Chain:
     """Fit the chain on docs (doc_id, text) and labels (doc_id and a boolean column for each category, in this order).
 
+    At most `counted` labels, drawn by hash of the doc_id, take part: features are chosen and weighed by all of these, and the
+    weights are fitted on at most `sample` of them.
+
     Rows of labels with a null doc_id or a null category are left out; several rows for one doc_id count as true where any
     is. Labels without a document, and documents without labels, are not used. Without labelled documents, or with all of
     one kind, a category's probability is its rate, and nothing is over its cut where none is true.
     """
     names = [f"_label{i}" for i in range(len(categories))]
     known = labels.select("doc_id", *[F.col(c).cast("int").alias(n) for c, n in zip(categories, names, strict=True)]).dropna().groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
-    known = materialize(known, "toxicity-labels")
-    # Written, so that its size is known: Spark sends it to the executors below its threshold and shuffles beyond.
-    texts = docs.select("doc_id", "text").join(known, "doc_id")
+    known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(counted), "toxicity-labels")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     width = len(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
