@@ -577,3 +577,94 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert {r.doc_id for r in docs.select("doc_id").collect()} == set(range(60))
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(range(60))
+
+
+def test_account_numbers_keep_their_check(spark):
+    from graphprep.llm.pii import replace_entities
+
+    def right(iban):
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+    given = ["GB82WEST12345698765432", "DE89370400440532013000", "FR1420041010050500013M02606", "GB82WEST12345698765433", "DE88370400440532013000"]
+    rows = spark.createDataFrame([(i, f"pay {x} now") for i, x in enumerate(given)], "doc_id long, text string")
+    got = {r.doc_id: r.text.split()[1] for r in replace_entities(rows, "k").collect()}
+    for i, x in enumerate(given):
+        assert got[i] != x and got[i][:2] == x[:2] and len(got[i]) == len(x) and right(got[i]) == right(x) == (i < 3)
+
+
+def test_surrogates_by_brute_force(spark):
+    regex = pytest.importorskip("regex")
+    from graphprep.llm import pii
+
+    r, texts = random.Random(8), []
+    make = [
+        lambda: f"{r.choice('abcde')}{r.randint(1, 30)}@mail{r.randint(1, 3)}.org",
+        lambda: f"{r.randint(100, 130)}-555-{r.randint(1000, 1050)}",
+        lambda: f"{r.randint(100, 120)}-{r.randint(10, 20)}-{r.randint(1000, 1020)}",
+        lambda: f"10.0.{r.randint(0, 3)}.{r.randint(0, 20)}",
+        lambda: f"{r.choice(['Mr.', 'Mrs.', 'Frau', 'Herr'])} {r.choice(['Anna', 'Otto', 'Ivan'])} {r.choice(['Petrov', 'Stone', 'Muller'])}",
+        lambda: "plain words",
+    ]
+    for _ in range(300):
+        texts.append(" ; ".join(r.choice(make)() for _ in range(r.randint(0, 5))))
+    texts += ["", None, "x" * 300_000 + " a1@mail1.org", "Mr. Ivan Petrov", "Mr. Ivan Petrov"]
+    rows = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, _pii_found string")
+    got = {r.doc_id: r for r in pii.replace_entities(rows, "key", count="n").collect()}
+    find = regex.compile(pii.ANY)
+    made = {}
+    for i, t in enumerate(texts):
+        spots = [m.group() for m in find.finditer(t or "")]
+        assert got[i].n == len(spots) and got[i]._pii_found == "kept" and (got[i].text is None) == (t is None)
+        gaps = find.split(t or "")
+        rest = got[i].text or ""
+        for gap, m in zip(gaps, [*spots, None]):
+            assert rest.startswith(gap)
+            rest = rest[len(gap) :]
+            if m is not None:
+                after = gaps[gaps.index(gap) + 1] if gap else None
+                new = regex.match(r"(?:(?! ; ).)*", rest).group()
+                made.setdefault(m, set()).add(new)
+                rest = rest[len(new) :]
+        assert rest == ""
+    # One surrogate for each entity, none for two of them, none that is an entity itself.
+    assert all(len(v) == 1 for v in made.values())
+    values = [next(iter(v)) for v in made.values()]
+    assert len(set(values)) == len(values) and not set(values) & set(made)
+
+
+def test_toxicity_by_brute_force(spark):
+    from graphprep.llm.toxicity import fit, predict, text_features
+
+    r = random.Random(4)
+    rows = [(i, prose(30, i) + (" vile scum" if i % 5 == 0 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 5 == 0, r.random() < 0.3) for i, _ in rows], "doc_id long, toxic boolean, odd boolean")
+    chain = fit(df, labels, ["toxic", "odd"])
+    got = {x.doc_id: x for x in predict(df, chain).collect()}
+    for i, t in rows:
+        odds = []
+        for k in range(2):
+            known = [chain.features[f] for f in text_features(t) if f in chain.features]
+            w, s = chain.weights[k], chain.scales[k]
+            odds.append(chain.biases[k] + sum(s[f] * w[f] for f in known) + sum(o * v for o, v in zip(odds, w[len(s) :])))
+        for name, o, cut in zip(("toxic", "odd"), odds, chain.cuts):
+            assert abs(got[i]["p_" + name] - 1 / (1 + math.exp(-max(-40, min(40, o))))) < 1e-9 and got[i]["is_" + name] == (o > cut)
+    assert sum(got[i].is_toxic == (i % 5 == 0) for i, _ in rows) >= 195
+
+
+def test_appearance_by_the_definition():
+    from graphprep.llm import media
+
+    raw = media.payload_of((prose(400, 1) * 3).encode())
+    samples = media.read_png(media.write_png(raw))
+    grey = samples.astype(float).mean(axis=2)
+    h, w = grey.shape
+    g = media.GRID
+    cell = lambda n, k: (k * n // g, max((k + 1) * n // g, k * n // g + 1))
+    grid = [[grey[cell(h, y)[0] : cell(h, y)[1], cell(w, x)[0] : cell(w, x)[1]].mean() for x in range(g)] for y in range(g)]
+    low = []
+    for u in range(media.LOW):
+        for v in range(media.LOW):
+            low.append(sum(grid[y][x] * math.cos(math.pi * u * (2 * y + 1) / (2 * g)) * math.cos(math.pi * v * (2 * x + 1) / (2 * g)) for y in range(g) for x in range(g)))
+    middle = float(np.median(np.round(low[1:], 6)))
+    assert media.appearance_hash(samples) == np.packbits([round(x, 6) > middle for x in low]).tobytes()
