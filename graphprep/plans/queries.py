@@ -12,6 +12,7 @@ from graphprep.operators import builders as B
 from graphprep.operators import encode as E
 from graphprep.operators import metrics as M
 from graphprep.operators import rules as R
+from graphprep.operators.kernels import sum_vectors
 from graphprep.plans.examples import document_chains, pointed_chains, spread, table
 from graphprep.schema import SIZE_BUCKETS, TASK_SIZES
 
@@ -344,14 +345,16 @@ def given_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.given_graph(o.unionByName(lines), edges, "graph").select("graph", "n_nodes", "n_edges")
 
 
-@query("SELECT rule, count(*) AS n FROM (SELECT unnest(CASE doc_id % 5 WHEN 0 THEN ['V5_edge_end'] WHEN 1 THEN ['V7_repeated_edge'] WHEN 2 THEN ['V8_pointer_range'] WHEN 3 THEN ['V3_repeated_id', 'V4_ids_not_contiguous'] ELSE ['none'] END) AS rule FROM documents) GROUP BY 1")
+@query("""WITH d AS (SELECT doc_id % 5 AS k, len(string_split(text, ' ')) AS n FROM documents)
+    SELECT rule, count(*) AS n FROM (SELECT unnest(CASE WHEN k = 0 THEN ['V5_edge_end'] WHEN k = 1 AND n > 1 THEN ['V7_repeated_edge'] WHEN k = 2 THEN ['V8_pointer_range'] WHEN k = 3 AND n > 2 THEN ['V3_repeated_id', 'V4_ids_not_contiguous'] ELSE ['none'] END) AS rule FROM d) GROUP BY 1""")
 def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults planted by doc_id must be found, and only those."""
-    tokens = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
-    ex = B.chain_examples(table(spark, sf_dir, "documents").select("doc_id"), tokens, F.array(T.pointer(F.when(F.col("doc_id") % 5 == 2, 9).otherwise(1))))
-    k = F.col("doc_id") % 5
-    ex = ex.withColumn("edges", F.when(k == 0, F.concat("edges", F.array(B.edge(F.lit(0), F.lit(9), F.lit("X"))))).when(k == 1, F.concat("edges", F.slice("edges", 1, 1))).otherwise(F.col("edges")))
-    ex = ex.withColumn("nodes", F.when(k == 3, F.transform("nodes", lambda n: T.node(F.least(n["id"], F.lit(1)), n["type"], n["label"]))).otherwise(F.col("nodes")))
+    """Faults planted by doc_id in the documents' chains must be found, and only those: an edge to nowhere, a repeated edge, a
+    pointer out of range, ids that repeat."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    k, n = F.col("doc_id") % 5, F.size(T.words(F.col("text")))
+    ex = B.chain_examples(docs, T.words(F.col("text")), F.array(T.pointer(F.when(k == 2, n + 9).otherwise(0))))
+    ex = ex.withColumn("edges", F.when(k == 0, F.concat("edges", F.array(B.edge(F.lit(0), F.col("n_nodes") + 9, F.lit("X"))))).when(k == 1, F.concat("edges", F.slice("edges", 1, 1))).otherwise(F.col("edges")))
+    ex = ex.withColumn("nodes", F.when(k == 3, F.transform("nodes", lambda x: T.node(F.least(x["id"], F.lit(1)), x["type"], x["label"]))).otherwise(F.col("nodes")))
     rule = F.explode(F.when(F.size("violations") == 0, F.array(F.lit("none"))).otherwise(F.col("violations")))
     return R.violations(ex).select(rule.alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
@@ -478,6 +481,12 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- numeric kernels
 
 
+def _digested(rows: DataFrame, vector: str) -> DataFrame:
+    """Add total and weighted: sums over all components of a vector, plain and times their place from 1."""
+    added = lambda f: F.round(F.aggregate(F.transform(vector, f), F.lit(0.0), lambda a, v: a + v), 6)
+    return rows.withColumns({"total": added(lambda v: v), "weighted": added(lambda v, i: v * (i + 1))})
+
+
 @query("SELECT p AS pos, d AS dim, round(CASE WHEN d % 2 = 0 THEN sin(p / pow(10000, d / 16.0)) ELSE cos(p / pow(10000, (d - 1) / 16.0)) END, 9) AS value FROM range(128) a(p), range(16) b(d)")
 def positional_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("dim")
@@ -487,14 +496,14 @@ def positional_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id AS src, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS dst FROM embeddings), b AS (SELECT src, dst FROM e WHERE dst IS NOT NULL UNION ALL SELECT dst, src FROM e WHERE dst IS NOT NULL)
-    SELECT b.dst AS node, count(*) AS degree, round(sum(v.embedding[1]::DOUBLE), 6) AS d0, round(sum(v.embedding[2]::DOUBLE), 6) AS d1 FROM b JOIN embeddings v ON v.vec_id = b.src GROUP BY 1""")
+    SELECT b.dst AS node, count(DISTINCT b.src) AS degree, round(sum(v.embedding[i + 1]::DOUBLE), 6) AS total, round(sum(v.embedding[i + 1]::DOUBLE * (i + 1)), 6) AS weighted FROM b JOIN embeddings v ON v.vec_id = b.src, range(64) r(i) GROUP BY 1""")
 def message_pass_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum of the neighbours' states over edges between successive vectors of a label, both ways."""
+    """Sum of the neighbours' whole states over edges between successive vectors of a label, both ways."""
     v = table(spark, sf_dir, "embeddings")
     e = v.select(F.col("vec_id").alias("src"), F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("dst")).where("dst is not null")
     e = e.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*")
-    m = e.join(v.select(F.col("vec_id").alias("src"), "embedding"), "src")
-    return m.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("degree"), *[F.round(F.sum(F.col("embedding")[i].cast("double")), 6).alias(f"d{i}") for i in (0, 1)])
+    m = e.join(v.select(F.col("vec_id").alias("src"), F.transform("embedding", lambda x: x.cast("double")).alias("h")), "src")
+    return _digested(sum_vectors(m, ["dst"], "h", "h"), "h").select(F.col("dst").alias("node"), F.col("n").alias("degree"), "total", "weighted")
 
 
 _PAIRS = "q AS (SELECT vec_id, embedding AS a, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b, lag(embedding, 2) OVER (PARTITION BY label ORDER BY vec_id) AS c FROM embeddings)"
@@ -586,7 +595,7 @@ def misuse_repair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(a == 1).alias("bug_free"), F.round(T.safe_ratio(F.count_if((a != 1) & (b != 1)), buggy), 9).alias("true_positive"), F.round(T.safe_ratio(F.count_if(right), F.count(F.lit(1))), 9).alias("accuracy"), F.round(T.safe_ratio(F.count_if((a != 1) & (a == b)), buggy), 9).alias("localisation"))
 
 
-@query("WITH x AS (SELECT vec_id, label, list_transform(embedding[1:16], lambda v: v::DOUBLE) AS e FROM embeddings) SELECT vec_id, round(list_sum(e[1:label + 1]), 6) AS score FROM x")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding[1:label + 1], lambda v: v::DOUBLE)), 6) AS score FROM embeddings")
 def sequence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of the log probabilities of a sequence up to and with its end, whose place is the label."""
     e = F.slice(F.transform("embedding", lambda v: v.cast("double")), F.lit(1), F.col("label") + 1)
@@ -601,10 +610,11 @@ def prediction_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.select("item_id", F.concat(F.lit("POINTER("), at.cast("string"), F.lit(","), F.element_at("nodes", at + 1)["label"], F.lit(")")).alias("said"))
 
 
-@query("SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS d0, round(avg(embedding[2]::DOUBLE), 6) AS d1 FROM embeddings GROUP BY label")
+@query("SELECT label, max(n) AS n, round(sum(m), 6) AS total, round(sum(m * (i + 1)), 6) AS weighted FROM (SELECT label, i, avg(embedding[i + 1]::DOUBLE) AS m, count(*) AS n FROM embeddings, range(64) r(i) GROUP BY 1, 2) GROUP BY label")
 def node_embedding_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    return v.groupBy("label").agg(*[F.round(F.avg(F.col("embedding")[i].cast("double")), 6).alias(f"d{i}") for i in (0, 1)])
+    """Mean vector of each label, over all components."""
+    v = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("h"))
+    return _digested(sum_vectors(v, ["label"], "h", "h").withColumn("h", F.transform("h", lambda x: x / F.col("n"))), "h").select("label", "n", "total", "weighted")
 
 
 @query(f"WITH {_PT} SELECT count(*) AS total, count(*) FILTER (WHERE list_contains([ptext, ttext || '?'][1:1], ttext)) AS top1, count(*) FILTER (WHERE list_contains([ptext, ttext][1:2], ttext)) AS top2 FROM pt")
