@@ -17,6 +17,8 @@ SPACE = r"[\x20\x09-\x0D]"
 
 _LOCAL_DIR: str | None = None
 _SHIPPED: dict[str, str] = {}
+#: What materialize() has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,10 +45,25 @@ def fresh(name: str, df: DataFrame) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back. Survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> set[str]:
+    """The folders that materialize() has written for this application and that are still there."""
+    return set(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, paths: set[str]) -> None:
+    """Delete folders of materialize() that nothing reads any more."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths & written(spark):
+        where = hadoop(path)
+        where.getFileSystem(conf).delete(where, True)
+        _WRITTEN[spark.sparkContext.applicationId].remove(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, whose Python may not have the repository on its path."""
     app = spark.sparkContext.applicationId

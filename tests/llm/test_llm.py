@@ -668,3 +668,49 @@ def test_appearance_by_the_definition():
             low.append(sum(grid[y][x] * math.cos(math.pi * u * (2 * y + 1) / (2 * g)) * math.cos(math.pi * v * (2 * x + 1) / (2 * g)) for y in range(g) for x in range(g)))
     middle = float(np.median(np.round(low[1:], 6)))
     assert media.appearance_hash(samples) == np.packbits([round(x, 6) > middle for x in low]).tobytes()
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() against a plain chain of its stages: the same documents stay, with the same texts, packed whole."""
+    import corpus_pipeline
+    from graphprep.llm import common
+    from graphprep.llm.pii import replace_entities
+    from graphprep.llm.queries import surrogate_key
+    from graphprep.llm.wordbpe import token_pieces
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    r = random.Random(12)
+    line = "the same licence line stands in very many files"
+    rows = []
+    for i in range(90):
+        words = prose(r.randint(40, 200), 400 + i).split()
+        words = ["".join(c for c in w if c != "\n") for w in words]
+        rows.append((i, " ".join(words) + (f"\n{line}" if i % 4 == 0 else "") + (" write to jo@mail.org" if i % 9 == 0 else "")))
+    for k, (i, t) in enumerate(rows[:30]):  # near copies: a passage appended, cut or changed
+        w = t.split(" ")
+        cut = {0: [*w, *prose(max(1, len(w) // 10), 900 + k).split()], 1: w[: int(len(w) * 0.9)], 2: [*w[:5], "changed", *w[6:]]}[k % 3]
+        rows.append((100 + i, " ".join(cut)))
+    rows += [(200, None), (201, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = common.written(spark)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Nothing is toxic here, so all documents come to the second stage.
+    texts = brute_lines(rows)
+    sh = lambda t: {" ".join(w[j : j + 5]) for w in [tokens(t)] for j in range(max(1, len(w) - 4))} if tokens(t) else set()
+    sets = {i: sh(t) for i, t in texts.items()}
+    comp = groups_of(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = [i for i in texts if comp[i] == i]
+    assert {x.doc_id for x in got} == set(kept) and 60 < len(kept) < len(rows) - 10
+    left = spark.createDataFrame([(i, texts[i]) for i in kept], "doc_id long, text string")
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        want = token_pieces(replace_entities(left, surrogate_key(spark)), f.read(), 2048)
+    assert sorted((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == sorted((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in want.collect())
+    by = {}
+    for x in got:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert all(sum(n for _, n in v) <= 2048 for v in by.values()) and len(by) <= best_fit_decreasing(x.length for x in got)
+    # What the stages left behind has gone, but for their results.
+    new = {p.rsplit("/", 1)[1] for p in common.written(spark) - before}
+    assert not any(p.startswith(("near-", "line-", "toxicity-", "edges-")) for p in new)
