@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphprep.llm.common import materialize
+from graphprep.llm.common import discard, materialize, written
 from graphprep.llm.linededup import dedup_lines
 from graphprep.llm.neardup_texts import drop_near_duplicates
 from graphprep.llm.packing import WINDOW, pack
@@ -60,8 +60,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read by the next."""
+    """All stages over documents, each written as Parquet and read by the next; what a stage has left besides goes then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = written(spark)
+        made = stage(spark, docs, sf_dir)
+        left = written(spark) - before
+        docs = materialize(made, f"pipeline-{name}")
+        discard(spark, left)
     return STAGES[-1][1](spark, docs, sf_dir)
