@@ -35,3 +35,33 @@ def test_features(examples):
     r = got["e1"]
     assert r.node_texts == ["a", "b", "a"] and r.copy_out == [0] and r.copy_in == [1] and r.target_texts == ["b", "DONE"]
     assert r.node_label_ids == [2, 3, 2] and r.edge_src == [0, 1, 1, 2] and got["e3"].target_token_ids[0] == 0
+
+
+def test_long_outputs_give_the_same_pairs(examples):
+    vocab = D.vocabularies(examples, 50)
+    short, long = (sorted((r.example_id, tuple(r.copy_out), tuple(r.copy_in)) for r in D.features(examples, vocab, long_outputs=x).collect()) for x in (False, True))
+    assert short == long
+
+
+def test_feature_metadata_counts_done(examples):
+    rows = D.features(examples, D.vocabularies(examples, 50), drop_impossible=False)
+    m, f = D.metadata(D.prepare(examples)).first(), D.feature_metadata(rows).first()
+    assert f.train_max_num_output == m.train_max_num_output + 1 and f.train_max_num_nodes == m.train_max_num_nodes
+    names = D.published_names(D.feature_metadata(rows), "tfexample").columns
+    assert "train_tfexample_max_num_nodes" in names and "test_tfexamplemax_num_nodes_128" in names
+
+
+def test_tasks_share_the_train_rows(examples):
+    tasked = examples.withColumn("task", F.when(F.col("example_id") == "e1", "A").otherwise("B"))
+    got = {r.example_id: r.task for r in D.task_features(tasked, D.vocabularies(examples, 50), drop_impossible=False).collect()}
+    assert got == {"e1": "all", "e2": "all", "e4": "all", "e3": "B"}
+
+
+def test_transforms_come_first_and_filters_where_wanted(examples):
+    bad = examples.withColumn("edges", F.when(F.col("example_id") == "e1", F.concat("edges", F.slice("edges", 1, 1))).otherwise(F.col("edges")))
+    not_one = [F.col("example_id") != "e1"]
+    assert D.prepare(bad, filters=not_one, filters_first=True).count() == 3
+    with pytest.raises(Exception, match="invalid example"):
+        D.prepare(bad, filters=not_one).collect()
+    renamed = D.prepare(examples, transforms=[lambda e: e.withColumn("split", F.lit("test"))])
+    assert {r.split for r in renamed.collect()} == {"test"}
