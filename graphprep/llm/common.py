@@ -92,6 +92,17 @@ def worker_cache(name: str, limit: int = 0) -> dict:
     return cache
 
 
+def give_back() -> None:
+    """Return free memory to the system: workers outlive tasks, and what their allocators keep counts as theirs."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, caches: str = "-") -> DataFrame:
     """mapInArrow. Of the worker's caches only those whose names begin with `caches` stay: workers outlive the operators."""
     ship(df.sparkSession)
@@ -102,7 +113,10 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
         for name, cache in sys.__dict__.get("_graphprep_caches", {}).items():
             if not name.startswith(caches):
                 cache.clear()
-        return fn(batches)
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ LEAST_DOCS, LEAST_G = 3, 12.0
 BEGINNINGS = (4, 6)
 #: Entries that the fit looks at in one go.
 BLOCK_ENTRIES = 1 << 19
-FLUSH, CACHE_WORDS = 400_000, 400_000
+FLUSH, CACHE_WORDS = 150_000, 120_000
 _EDGES = ".,;:!?\"'()[]{}<>*%$&#|-_=+~`/\\"
 
 

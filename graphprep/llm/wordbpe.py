@@ -17,7 +17,7 @@ import numpy as np
 from graphprep.llm.common import worker_cache
 
 #: Parts, and halves of parts, kept by one Python worker.
-CACHE_PARTS, CACHE_HALVES = 300_000, 200_000
+CACHE_PARTS, CACHE_HALVES = 150_000, 100_000
 #: Words that go through the library in one text, and texts that it takes at once.
 JOINED, AT_ONCE = 200, 50
 #: Signs split off at the end of a part. The apostrophe is not among them: the tokenizer splits contractions at it.
