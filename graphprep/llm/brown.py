@@ -34,7 +34,9 @@ FREQUENT = 1 << 14
 SWEEPS = 3
 PRIOR = 20.0
 #: Tokens of a chunk, about, and rows of chunks' words that one task settles.
-CHUNK_TOKENS, TASK_WORDS = 500_000, 250_000
+CHUNK_TOKENS, TASK_WORDS = 2_000_000, 250_000
+#: How often a class stands beside a word: its cell and the number, packed.
+_MET = np.dtype([("cell", "<u2"), ("n", "<u4")])
 #: The end of a text as a word. A word cannot hold a space.
 END = b" "
 
@@ -197,8 +199,8 @@ def _context_counts(coded: DataFrame, words: dict[bytes, int], cls: np.ndarray,
 
 
 def _other_words(coded: DataFrame, words: dict[bytes, int], cls: np.ndarray, side: int) -> DataFrame:
-    """Rows (word, chunk, id, n, cells, counts), one for each chunk and word of it that is not a frequent one: how often each
-    class stands before it (cells from 0) and behind it (cells from `side`)."""
+    """Rows (word, chunk, id, n, met), one for each chunk and word of it that is not a frequent one: how often each class stands
+    before it (cells from 0) and behind it (cells from `side`)."""
     sent = coded.sparkSession.sparkContext.broadcast((words, np.append(cls, -1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +215,14 @@ def _other_words(coded: DataFrame, words: dict[bytes, int], cls: np.ndarray, sid
                 spots = np.flatnonzero(f < 0)
                 ends = np.searchsorted(cells, (np.r_[spots, len(own)]) * (2 * side)).astype(np.int32)
                 n = b.column("n")[k].values.to_numpy()[spots]
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in ((cells % (2 * side)).astype(np.int16), counts.astype(np.int32))]
-                made = [pa.array(own, pa.binary()).take(pa.array(spots)), pa.array(np.full(len(spots), b.column("chunk")[k].as_py())), pa.array(spots.astype(np.int32)), pa.array(n), *lists]
-                whole = pa.RecordBatch.from_arrays(made, names=["word", "chunk", "id", "n", "cells", "counts"])
+                packed = np.empty(len(cells), _MET)
+                packed["cell"], packed["n"] = cells % (2 * side), counts
+                met = pa.Array.from_buffers(pa.binary(), len(spots), [None, pa.py_buffer(ends * np.int32(_MET.itemsize)), pa.py_buffer(packed)])
+                made = [pa.array(own, pa.binary()).take(pa.array(spots)), pa.array(np.full(len(spots), b.column("chunk")[k].as_py())), pa.array(spots.astype(np.int32)), pa.array(n), met]
+                whole = pa.RecordBatch.from_arrays(made, names=["word", "chunk", "id", "n", "met"])
                 yield from (whole.slice(lo, 10_000) for lo in range(0, whole.num_rows, 10_000))
 
-    return map_batches(coded.select("chunk", "words", "n", "ids", "sizes", "held"), run, "word binary, chunk long, id int, n int, cells array<short>, counts array<int>", caches="brown")
+    return map_batches(coded.select("chunk", "words", "n", "ids", "sizes", "held"), run, "word binary, chunk long, id int, n int, met binary", caches="brown")
 
 
 def _settled(rows: DataFrame, tasks: int, toward: np.ndarray, by_chunk: bool) -> DataFrame:
@@ -237,9 +241,10 @@ def _settled(rows: DataFrame, tasks: int, toward: np.ndarray, by_chunk: bool) ->
         for b in batches:
             if b.num_rows:
                 w = np.fromiter(map(number.__getitem__, b.column("word").to_pylist()), np.int64, b.num_rows)
-                cells, counts = (b.column(c).flatten().to_numpy() for c in ("cells", "counts"))
-                owner = np.repeat(w, b.column("cells").value_lengths().to_numpy())
-                parts.append((w, b.column("chunk").to_numpy(), b.column("id").to_numpy(), b.column("n").to_numpy(), owner, cells, counts))
+                packed = b.column("met").to_pylist()
+                met = np.frombuffer(b"".join(packed), _MET)
+                owner = np.repeat(w, np.fromiter(map(len, packed), np.int64, len(packed)) // _MET.itemsize)
+                parts.append((w, b.column("chunk").to_numpy(), b.column("id").to_numpy(), b.column("n").to_numpy(), owner, met["cell"].astype(np.int64), met["n"]))
         if not parts:
             return
         w, chunk, ids, n, owner, cells, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
