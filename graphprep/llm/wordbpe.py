@@ -17,7 +17,7 @@ import numpy as np
 from graphprep.llm.common import worker_cache
 
 #: Parts, and halves of parts, kept by one Python worker.
-CACHE_PARTS, CACHE_HALVES = 150_000, 100_000
+CACHE_PARTS, CACHE_HALVES = 300_000, 200_000
 #: Words that go through the library in one text, and texts that it takes at once.
 JOINED, AT_ONCE = 200, 50
 #: Signs split off at the end of a part. The apostrophe is not among them: the tokenizer splits contractions at it.
@@ -66,7 +66,8 @@ class WordEncoder:
         head = part.rstrip(_SIGNS)
         if any(t in part for t in self.added) or not head[-1:].isalnum():
             return part, b""
-        return head, part[len(head) :]
+        # The tokenizer lower-cases; with letters of ASCII alone that can be done before.
+        return (head.lower() if head.isalpha() else head), part[len(head) :]
 
     def parts(self, parts: list[bytes]) -> list[bytes]:
         cache = worker_cache("wordbpe-halves", CACHE_HALVES)
