@@ -4,20 +4,23 @@
 2. Linear grouping: the large pieces, longest first, are cut into groups of equal cardinality; every length counts as the
    longest of its group, so that only GROUPS sizes are left.
 3. Configurations (how many pieces of each size share a window) are chosen by column generation: a simplex over the sizes
-   and a knapsack for the next column. The rounded-down solution is kept.
+   and a knapsack for the next columns. The rounded-down solution is kept.
 4. Each place of a configuration is given to an actual piece of its group by rank, which frees what rounding had added.
    The pieces of a group beyond its places, its shortest ones, join the small pieces.
-5. These go by best fit, longest first, into what is left of the windows; then into new windows.
-6. Should best fit decreasing of all pieces need fewer windows, as it can where all lengths are few and fit well, its plan
-   is taken instead, by the same rules as in step 5.
+5. Repair: windows that the actual pieces leave with more than a number of free tokens are opened again, and their pieces
+   join the small ones too. The number is the one of FREE that needs the fewest windows, and of those the largest; windows
+   that are exactly full always stay as configured.
+6. The small pieces and those that joined them go by best fit, longest first, into what is left of the windows; then into
+   new windows.
 
-Steps 1 to 3 and the plan of 5 work on counts by length and by space left, whatever the number of documents; the pieces
-themselves are numbered and joined to the plan in parallel.
+Steps 1 to 3, 5 and the plan of 6 work on counts by length and by space left, whatever the number of documents; the pieces
+themselves are numbered and joined to the plan in parallel. The driver's arithmetic calls no threaded library routine.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,64 +34,109 @@ SMALL_PART = 6
 GROUPS = 128
 #: Column generation stops when no more than this share of the windows could be saved.
 GAP = 5e-4
+#: Columns taken from one knapsack table.
+COLUMNS = 24
+#: Free tokens beyond which the repair may open windows again; the first stands for any.
+FREE = (1 << 62, 256, 128, 64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1, 0)
 #: Rows of one length that one task numbers.
 RANK_ROWS = 10_000
 
 
-def _simplex(columns: np.ndarray, demand: np.ndarray, capacity: int, sizes: np.ndarray, most_columns: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Column generation for: least number of windows that hold demand[g] pieces of each size. Gives columns and amounts."""
-    basis = columns.astype(float)
-    inverse = np.linalg.inv(basis)
-    amount = inverse @ demand
-    for step in range(most_columns):
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            amount = inverse @ demand
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots, a row operation at a time."""
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        top = k + int(np.argmax(np.abs(both[k:, k])))
+        if top != k:
+            both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        rows = np.flatnonzero(factor)
+        both[rows] -= factor[rows, None] * both[k]
+    return both[:, n:]
+
+
+def _simplex(columns: np.ndarray, demand: np.ndarray, capacity: int, sizes: np.ndarray, most_columns: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+    """Column generation for: least number of windows that hold demand[g] pieces of each size. Gives columns and amounts.
+
+    columns is diagonal: windows of one size each. Ends when GAP is reached, or after most_columns changes of the basis;
+    the share of windows that could still be saved is then below the last knapsack's value less 1.
+    """
+    diagonal = columns.diagonal().astype(float)
+    basis, inverse, amount = np.diag(diagonal), np.diag(1 / diagonal), demand / diagonal
+    tables, changes = _Knapsack(sizes, capacity), 0
+    while changes < most_columns:
         price = inverse.sum(axis=0)
-        value, pattern = _knapsack(price, sizes, capacity)
+        value, patterns = tables.best(price, COLUMNS)
         if value <= 1 + GAP:
             break
-        direction = inverse @ pattern
-        ratio = np.where(direction > 1e-9, np.maximum(amount, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
-        out = int(np.argmin(ratio))
-        if not np.isfinite(ratio[out]):
-            break
-        basis[:, out] = pattern
-        move = ratio[out]
-        amount = amount - move * direction
-        amount[out] = move
-        pivot = inverse[out] / direction[out]
-        inverse = inverse - np.outer(direction, pivot)
-        inverse[out] = pivot
+        for pattern in patterns:
+            some = np.flatnonzero(pattern)
+            if (price[some] * pattern[some]).sum() <= 1 + GAP / 2:
+                continue
+            direction = (inverse[:, some] * pattern[some]).sum(axis=1)
+            ratio = np.where(direction > 1e-9, np.maximum(amount, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
+            out = int(np.argmin(ratio))
+            if not np.isfinite(ratio[out]):
+                continue
+            basis[:, out] = pattern
+            move = ratio[out]
+            amount = amount - move * direction
+            amount[out] = move
+            pivot = inverse[out] / direction[out]
+            inverse -= direction[:, None] * pivot
+            inverse[out] = pivot
+            changes += 1
+            if changes % 300 == 0:  # errors add up
+                inverse = _inverse(basis)
+                amount = (inverse * demand).sum(axis=1)
+            price = inverse.sum(axis=0)
     return np.rint(basis).astype(np.int64), np.maximum(amount, 0)
 
 
+class _Knapsack:
+    """The configurations worth most. A table for each number of pieces, as few large pieces share a window; two tables make a whole window."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int) -> None:
+        self.sizes, self.capacity, self.most = np.asarray(sizes), capacity, capacity // int(np.min(sizes))
+        room = np.arange(capacity + 1)[None, :] - self.sizes[:, None]
+        self.room = np.where(room >= 0, room, capacity + 1)
+
+    def best(self, price: np.ndarray, many: int = 1) -> tuple[float, list[np.ndarray]]:
+        """The largest value, and patterns of the largest ones for different ways to share the window."""
+        price, space = np.maximum(price, 0), np.arange(self.capacity + 1)
+        tables, picks = [np.zeros(self.capacity + 1)], [space * 0 - 1]
+        for _ in range(-(-self.most // 2)):
+            offers = np.append(tables[-1], -np.inf)[self.room]
+            offers += price[:, None]
+            pick = offers.argmax(axis=0)
+            value = offers[pick, space]
+            better = value > tables[-1]
+            tables.append(np.where(better, value, tables[-1]))
+            picks.append(np.where(better, pick, -1))
+        half = len(tables) - 1
+        total = tables[half] + tables[self.most - half][::-1]
+        found: dict[bytes, np.ndarray] = {}
+        for c in np.argsort(-total, kind="stable")[: 4 * many]:
+            pattern = np.zeros(len(self.sizes))
+            for table, left in ((half, int(c)), (self.most - half, self.capacity - int(c))):
+                for t in range(table, 0, -1):
+                    g = int(picks[t][left])
+                    if g >= 0:
+                        pattern[g] += 1
+                        left -= int(self.sizes[g])
+            found.setdefault(pattern.tobytes(), pattern)
+            if len(found) >= many:
+                break
+        return float(total.max()), list(found.values())
+
+
 def _knapsack(price: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The configuration worth most: a layer of the table for each piece more, as few large pieces share a window."""
-    order = [g for g in range(len(sizes)) if price[g] > 1e-12]
-    pattern = np.zeros(len(sizes))
-    if not order:
-        return 0.0, pattern
-    best, picks = np.zeros(capacity + 1), []
-    for _ in range(capacity // int(sizes.min())):
-        more, pick = best.copy(), np.full(capacity + 1, -1)
-        for g in order:
-            s = int(sizes[g])
-            offer, now = best[: capacity + 1 - s] + price[g], more[s:]
-            better = offer > now
-            now[better] = offer[better]
-            pick[s:][better] = g
-        if not (pick >= 0).any():
-            break
-        best = more
-        picks.append(pick)
-    c = capacity
-    for pick in reversed(picks):
-        g = int(pick[c])
-        if g >= 0:
-            pattern[g] += 1
-            c -= int(sizes[g])
-    return float(best[capacity]), pattern
+    """The configuration worth most."""
+    value, patterns = _Knapsack(sizes, capacity).best(price)
+    return value, patterns[0]
 
 
 def group_large(lengths: list[int], counts: list[int], groups: int = GROUPS) -> list[tuple[int, int]]:
@@ -164,6 +212,77 @@ def plan_small(spaces: dict[int, int], lengths: dict[int, int], capacity: int) -
     return rules, new
 
 
+@dataclass
+class Plan:
+    """places (first rank, end, pieces a window, first window or -1, place) of the large pieces by rank, longest first, -1: they
+    go with the small ones; windows by configuration; spaces: these windows by free tokens; rest: what best fit gets, by length."""
+
+    places: list[tuple[int, int, int, int, int]]
+    windows: int
+    spaces: dict[int, int]
+    rest: dict[int, int]
+    rules: list[tuple[int, int, int, int, int, int, int]]
+    new: int
+
+
+def plan_windows(counts: dict[int, int], window: int = WINDOW, groups: int = GROUPS) -> Plan:
+    """Steps 2 to 6 for pieces given as counts by length."""
+    small_most = window // SMALL_PART
+    lengths = np.array(sorted((x for x in counts if x > small_most), reverse=True), dtype=np.int64)
+    small = {x: n for x, n in counts.items() if x <= small_most}
+    if not len(lengths):
+        rules, new = plan_small({}, small, window)
+        return Plan([], 0, {}, small, rules, new)
+    numbers = np.array([counts[int(x)] for x in lengths])
+    ends = np.cumsum(numbers)
+    grouped = group_large(lengths.tolist(), numbers.tolist(), groups)
+    sizes, needs = [g[0] for g in grouped], [g[1] for g in grouped]
+    starts = [0, *np.cumsum(needs).tolist()]
+    # Runs of windows of a configuration that hold the same actual lengths.
+    taken, runs = [0] * len(sizes), []
+    for column, n in configurations(sizes, needs, window):
+        parts, cuts = [(starts[g] + taken[g], k) for g, k in enumerate(column) if k], [np.zeros(1, np.int64)]
+        for a, k in parts:
+            for j in range(k):
+                inside = ends[(ends > a + j) & (ends < a + n * k)]
+                cuts.append(-((a + j - inside) // k))
+        first = np.unique(np.concatenate(cuts))
+        first = first[first < n]
+        held = np.stack([np.searchsorted(ends, a + first * k + j, side="right") for a, k in parts for j in range(k)])
+        many = np.diff(np.append(first, n))
+        free = window - lengths[held].sum(axis=0)
+        runs += [(int(free[i]), int(first[i]), int(many[i]), held[:, i], parts) for i in range(len(first))]
+        for g, k in enumerate(column):
+            taken[g] += n * k
+    beyond = np.zeros(len(lengths), np.int64)
+    for g, t in enumerate(taken):
+        ranks = np.clip(np.array([starts[g] + t, starts[g + 1]]), 0, None)
+        beyond += np.maximum(0, np.minimum(ends, ranks[1]) - np.maximum(ends - numbers, ranks[0]))
+
+    def fitted(most_free: int) -> tuple[list, int, dict[int, int], dict[int, int], int]:
+        over, spaces, windows = beyond.copy(), {}, 0
+        for free, _, many, held, _ in runs:
+            if free > most_free:
+                np.add.at(over, held, many)
+            else:
+                spaces[free], windows = spaces.get(free, 0) + many, windows + many
+        rest = small | {int(x): int(n) for x, n in zip(lengths, over, strict=True) if n}
+        rules, new = plan_small(spaces, rest, window)
+        return rules, new, spaces, rest, windows
+
+    tried = [(fitted(f), f) for f in FREE]
+    (rules, new, spaces, rest, windows), most_free = min(tried, key=lambda x: x[0][1] + x[0][4])
+    places, at = [], 0
+    for free, first, many, _, parts in runs:
+        order = 0
+        for a, k in parts:
+            places.append((a + first * k, a + (first + many) * k, k, at if free <= most_free else -1, order))
+            order += k
+        at += many if free <= most_free else 0
+    places += [(starts[g] + t, starts[g + 1], 1, -1, 0) for g, t in enumerate(taken) if t < needs[g]]
+    return Plan(sorted(places), windows, spaces, rest, rules, new)
+
+
 def pack(pieces: DataFrame, window: int = WINDOW, groups: int = GROUPS) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, length, ...): windows of at most `window` tokens, as few as can be.
 
@@ -184,46 +303,28 @@ def pack(pieces: DataFrame, window: int = WINDOW, groups: int = GROUPS) -> DataF
     numbered = materialize(ranked(rows, ["length"], ["_pack_turn", *[c for c in ("doc_id", "piece") if c in own]], F.pmod("_pack_turn", F.col("_pack_parts")), "_pack_rank").drop("_pack_turn", "_pack_parts"), "pack-numbered")
 
     small_most = window // SMALL_PART
-    large = {x: n for x, n in counts.items() if x > small_most}
-    rest = {x: n for x, n in counts.items() if x <= small_most}
-    grouped = group_large(list(large), list(large.values()), groups)
-    sizes, needs = [g[0] for g in grouped], [g[1] for g in grouped]
-    # Places of group g are numbered by configuration, then window, then place in the window.
-    placed, windows, next_place = [], 0, [0] * len(sizes)
-    for column, n in configurations(sizes, needs, window):
-        order = 0
-        for g, k in enumerate(column):
-            if k:
-                placed.append((g, next_place[g], next_place[g] + n * k, k, windows, order))
-                next_place[g] += n * k
-                order += k
-        windows += n
-    # Ranks among the large pieces, longest first: of each length, and of each group's places and what is beyond them.
+    plan = plan_windows(counts, window, groups)
+    ranges, windows, rules = plan.places, plan.windows, plan.rules
+    # Ranks among the large pieces, longest first: of each length.
     before, spans = 0, []
-    for x in sorted(large, reverse=True):
-        spans.append((x, before, before + large[x]))
-        before += large[x]
-    cut = [0, *np.cumsum(needs).tolist()]
-    ranges = [(cut[g] + a, cut[g] + b, k, w, order) for g, a, b, k, w, order in placed]
-    ranges += [(cut[g] + next_place[g], cut[g + 1], 1, -1, 0) for g in range(len(sizes)) if next_place[g] < needs[g]]
-    ranges.sort()
+    for x in sorted((x for x in counts if x > small_most), reverse=True):
+        spans.append((x, before, before + counts[x]))
+        before += counts[x]
     # What a length's pieces do, by their rank in it: rows (first rank, pieces a window or 1, window or -1, place, shift).
     # There are no more of them than lengths and ranges together.
     by_length, i = [], 0
     for x, a, b in spans:
-        rules, over = [], 0
+        found, over = [], 0
         while i < len(ranges) and ranges[i][1] <= a:
             i += 1
         for lo, hi, k, w, order in ranges[i:]:
             if lo >= b:
                 break
             first, last = max(lo, a), min(hi, b)
-            rules.append([first - a, k, w, order, over if w < 0 else first - lo])
+            found.append([first - a, k, w, order, over if w < 0 else first - lo])
             if w < 0:
                 over += last - first
-        by_length.append((x, [r[0] for r in rules], rules))
-        if over:
-            rest[x] = over
+        by_length.append((x, [r[0] for r in found], found))
 
     def ruled(rows: DataFrame, table: list, rank: str) -> DataFrame:
         """Add _pack_rule: of the length's rules, in the order of their first rank, the last that starts at or before the rank."""
@@ -242,17 +343,12 @@ def pack(pieces: DataFrame, window: int = WINDOW, groups: int = GROUPS) -> DataF
     # A window's large pieces are few (each over 1 / SMALL_PART of it): their offsets follow in the row.
     held = big.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("_pack_pos", "length"))).alias("_pack_in"), F.sum("length").alias("_pack_used"))
     held = materialize(held.withColumn("_pack_space", F.lit(window) - F.col("_pack_used")), "pack-windows")
-    spaces = {r[0]: r[1] for r in held.groupBy("_pack_space").count().collect()}  # at most `window` rows
-    rules, new = plan_small(spaces, rest, window)
-    plain, fewest = plan_small({}, counts, window)
     base = window  # the space of new windows; their sequence ids follow those of the configurations
     little = numbered.where(F.col("length") <= small_most).unionByName(over)
-    if fewest < windows + new:
-        rules, windows, little = plain, 0, numbered
-    found: dict[int, list] = {}
+    small_rules: dict[int, list] = {}
     for r in rules:
-        found.setdefault(r[0], []).append(list(r[1:]))
-    little = ruled(little, [(x, [r[0] for r in rs], rs) for x, rs in found.items()], "_pack_rank")
+        small_rules.setdefault(r[0], []).append(list(r[1:]))
+    little = ruled(little, [(x, [r[0] for r in rs], rs) for x, rs in small_rules.items()], "_pack_rank")
     within = F.col("_pack_rank") - rule(1)
     little = little.withColumn("_pack_space", rule(2)).withColumn("_pack_window", (rule(3) + F.floor(within / rule(5))).cast("long")).withColumn("_pack_lead", rule(6) + (within % rule(5)) * F.col("length"))
     fresh = little.where(F.col("_pack_space") == base).select(*own, (F.lit(windows) + F.col("_pack_window")).cast("long").alias("sequence_id"), F.col("_pack_lead").cast("long").alias("offset"))
