@@ -126,6 +126,14 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(_documents(spark, sf_dir), surrogate_key(spark), count="n_entities").select("doc_id", "n_entities", "text")
 
 
+def op11_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated strings of 100 bytes, as digests."""
+    from graphprep.llm.suffixes import remove_repeats
+
+    left = remove_repeats(_documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_scores": op1_brown_scores,
     "op2_cuckoo_line_dedup": op2_cuckoo_line_dedup,
@@ -137,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_pca_tiles": op9_pca_tiles,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_bucket_refinement": op11_bucket_refinement,
 }
 
 #: Blanks of the line keys, and what lower-cases A-Z alone.
