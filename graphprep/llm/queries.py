@@ -134,6 +134,13 @@ def op11_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_bag_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's 50 best documents."""
+    from graphprep.llm.ranking import rank_documents
+
+    return rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_scores": op1_brown_scores,
     "op2_cuckoo_line_dedup": op2_cuckoo_line_dedup,
@@ -146,12 +153,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pca_tiles": op9_pca_tiles,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_bucket_refinement": op11_bucket_refinement,
+    "op13_bag_ranking": op13_bag_ranking,
 }
 
 #: Blanks of the line keys, and what lower-cases A-Z alone.
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_cuckoo_line_dedup": f"""
         WITH lines AS (
@@ -163,6 +173,19 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op13_bag_ranking": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_TERM}) AS terms FROM documents),
+        c AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+        q AS (SELECT item_id, list_distinct(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_TERM})) AS terms FROM benchmark),
+        i AS (SELECT DISTINCT item_id, unnest(terms) AS term FROM q),
+        f AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+        tf AS (SELECT doc_id, n, term, count(*) AS tf FROM f GROUP BY doc_id, n, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term),
+        s AS (SELECT i.item_id, tf.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (50 + (50 * tf.n * c.n_docs) // c.n_terms)))) AS score
+            FROM i JOIN tf USING (term) JOIN w USING (term), c GROUP BY i.item_id, tf.doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 50
+    """,
     "op9_pca_tiles": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
