@@ -3,7 +3,7 @@
 The tokenizer drops white space and splits at it, and its normaliser works character by character or on combining
 sequences that white space ends. A text's ids are therefore the ids of its parts between ASCII white space, one after
 another. Parts are encoded once and kept. Of a part not met before, ASCII signs at its end behind an ASCII letter or digit
-are split off, as the tokenizer always splits there, and both halves are looked up. Halves of ASCII letters alone are one
+are split off, as the tokenizer always splits there, and both halves are looked up. Halves of letters alone are one
 word each, so many of them go through the library in one text, and the ids that end a word tell them apart. Parts that may
 hold one of the tokenizer's added tokens are encoded whole.
 """
@@ -17,7 +17,7 @@ import numpy as np
 from graphprep.llm.common import worker_cache
 
 #: Parts, and halves of parts, kept by one Python worker.
-CACHE_PARTS, CACHE_HALVES = 300_000, 200_000
+CACHE_PARTS, CACHE_HALVES = 600_000, 300_000
 #: Words that go through the library in one text, and texts that it takes at once.
 JOINED, AT_ONCE = 200, 50
 #: Signs split off at the end of a part. The apostrophe is not among them: the tokenizer splits contractions at it.
@@ -46,7 +46,7 @@ class WordEncoder:
         return out
 
     def letters(self, words: list[bytes]) -> list[bytes]:
-        """Words of ASCII letters, many in one text."""
+        """Words of letters, many in one text. Each gives one end of a word at least; if there are more, they go one by one."""
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         out: list[bytes] = []
         for lo in range(0, len(groups), AT_ONCE):
@@ -54,7 +54,7 @@ class WordEncoder:
             for group, e in zip(part, self.whole.encode_batch_fast([b" ".join(g).decode() for g in part], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
-                if len(ends) != len(group):  # not a tokenizer that marks the ends of words
+                if len(ends) != len(group):  # or a tokenizer that does not mark the ends of words
                     out += self.plain(group)
                     continue
                 raw = ids.tobytes()
@@ -62,28 +62,29 @@ class WordEncoder:
                 out += [raw[a:b] for a, b in zip(starts, starts[1:], strict=False)]
         return out
 
-    def _halves(self, part: bytes) -> tuple[bytes, bytes]:
-        head = part.rstrip(_SIGNS)
-        if any(t in part for t in self.added) or not head[-1:].isalnum():
-            return part, b""
-        # The tokenizer lower-cases; with letters of ASCII alone that can be done before.
-        return (head.lower() if head.isalpha() else head), part[len(head) :]
-
     def parts(self, parts: list[bytes]) -> list[bytes]:
         cache = worker_cache("wordbpe-halves", CACHE_HALVES)
         cache[b""] = b""
-        both = [self._halves(p) for p in parts]
-        missing = {h for pair in both for h in pair if h not in cache}
-        words = [h for h in missing if h.isalpha() and h.isascii()]
-        others = [h for h in missing if not (h.isalpha() and h.isascii())]
+        heads = [p.rstrip(_SIGNS) for p in parts]
+        # Signs come off behind an ASCII letter or digit alone. The tokenizer lower-cases; with letters of ASCII that can be done before.
+        heads = [(h.lower() if h.isalpha() else h) if h[-1:].isalnum() else p for h, p in zip(heads, parts, strict=True)]
+        every = b" ".join(parts)
+        if any(t in every for t in self.added):
+            heads = [p if any(t in p for t in self.added) else h for h, p in zip(heads, parts, strict=True)]
+        tails = [p[len(h) :] for h, p in zip(heads, parts, strict=True)]
+        missing = {*heads, *tails}.difference(cache)
+        words, others = [], []
+        for h in missing:
+            (words if h.isalpha() or not h.isascii() and h.decode("utf-8", "replace").isalpha() else others).append(h)
         cache.update(zip(words, self.letters(words), strict=True))
         cache.update(zip(others, self.plain(others), strict=True))
-        return [cache[a] + cache[b] for a, b in both]
+        get = cache.__getitem__
+        return [a + b if b else a for a, b in zip(map(get, heads), map(get, tails), strict=True)]
 
     def __call__(self, raws: list[bytes]) -> list[bytes]:
         cache = worker_cache("wordbpe", CACHE_PARTS)
         cut = [r.split() for r in raws]
-        missing = list({p for ps in cut for p in ps}.difference(cache))
+        missing = list(set().union(*cut).difference(cache))
         cache.update(zip(missing, self.parts(missing), strict=True))
         get = cache.__getitem__
         return [b"".join(map(get, ps)) for ps in cut]
