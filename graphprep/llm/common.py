@@ -47,7 +47,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._graphprep_path = path
+    return out
 
 
 def written(spark: SparkSession) -> set[str]:
@@ -64,6 +66,11 @@ def discard(spark: SparkSession, paths: set[str]) -> None:
         _WRITTEN[spark.sparkContext.applicationId].remove(path)
 
 
+def drop(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete what materialize() has written for frames that nothing reads any more."""
+    discard(spark, {f._graphprep_path for f in frames})
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, whose Python may not have the repository on its path."""
     app = spark.sparkContext.applicationId

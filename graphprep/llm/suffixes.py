@@ -22,15 +22,15 @@ string found in a third of all documents is no task of its own.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphprep.llm.common import fresh, map_batches, materialize, text_bytes
+from graphprep.llm.common import drop, map_batches, materialize, text_bytes
 
 LENGTH, GRAM, BLOCK = 100, 40, 16
 #: Bytes that one step of numpy takes; a longer text is cut into segments of SEGMENT starts.
@@ -158,8 +158,14 @@ def _repeated_grams(docs: DataFrame, length: int, gram: int) -> tuple[list[bytes
     return parts, bits
 
 
+def _names(digests: list[bytes]) -> list[pa.Array]:
+    """Digests as two numbers each, c1 and c2."""
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)]
+
+
 def _candidate_runs(docs: DataFrame, key: str, parts: list[bytes], bits: int, length: int, gram: int) -> DataFrame:
-    """Runs whose anchor's q-gram the filter knows: (class, gram, key, start, n, to_anchor)."""
+    """Runs whose anchor's q-gram the filter knows: (c1, c2, gram, key, run), run = start * 65536 + to anchor * 256 + starts."""
     sent = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,16 +181,15 @@ def _candidate_runs(docs: DataFrame, key: str, parts: list[bytes], bits: int, le
                 k = np.flatnonzero(known)
                 view = memoryview(joined)
                 classes = [_digest(view[a : a + m + length - 1]) for a, m in zip(at[k].tolist(), n[k].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(classes, pa.binary()), pa.array(ids[k].view(np.int64)), b.column(0).take(pa.array(text[k])), pa.array(start[k]), pa.array(n[k].astype(np.int32)), pa.array(lead[k].astype(np.int32))],
-                    names=["class", "gram", "key", "start", "n", "to_anchor"],
-                )
+                # Half of the q-gram's number will do to tell mixed buckets.
+                arrays = [*_names(classes), pa.array((ids[k] >> _U(32)).astype(np.uint32).view(np.int32)), b.column(0).take(pa.array(text[k])), pa.array(start[k] * 65536 + lead[k] * 256 + n[k])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["c1", "c2", "gram", "key", "run"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_batches(docs.select(key, "text"), run, f"class binary, gram long, key {kind}, start long, n int, to_anchor int")
+    return map_batches(docs.select(key, "text"), run, f"c1 long, c2 long, gram int, key {kind}, run long")
 
 
-def _by_key(runs: DataFrame, packed: F.Column) -> DataFrame:
+def _by_key(runs: DataFrame, packed: str) -> DataFrame:
     """One row a document: its runs as numbers. A document has no more of them than bytes."""
     return runs.groupBy("key").agg(F.collect_list(packed).alias("runs"))
 
@@ -197,57 +202,77 @@ def _with_runs(docs: DataFrame, key: str, runs: DataFrame, column: str, how: str
     return docs.join(side, docs[key].eqNullSafe(side["_repeats_key"]), how).drop("_repeats_key")
 
 
-def _blocks(docs: DataFrame, key: str, heads: DataFrame, length: int) -> DataFrame:
-    """Blocks of the given runs: (core, key, start, bytes)."""
+def _of_texts(docs: DataFrame, key: str, runs: DataFrame, each: Callable[[bytes, list[int]], tuple[list[bytes], list[int]]]) -> DataFrame:
+    """Rows (c1, c2, key, run): what `each` makes of every text and its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raws = text_bytes(b.column(1))
             for i, numbers in enumerate(b.column(2).to_pylist()):
-                cores, starts, held, raw = [], [], [], raws[i]
-                for number in numbers:
-                    start, n, anchor = number >> 16, number & 255, (number >> 16) + (number >> 8 & 255)
-                    # The string that starts at p has its anchor at anchor - p; blocks are cut by that number.
-                    p = start
-                    while p < start + n:
-                        block = (anchor - p) // BLOCK
-                        last = min(start + n - 1, anchor - block * BLOCK)
-                        core = raw[anchor - block * BLOCK : anchor - (block + 1) * BLOCK + 1 + length]
-                        cores.append(_digest(core, block + 1))
-                        starts.append(p)
-                        held.append(raw[p : last + length])
-                        p = last + 1
-                yield pa.RecordBatch.from_arrays([pa.array(cores, pa.binary()), b.column(0).take(pa.array([i] * len(cores), pa.int64())), pa.array(starts, pa.int64()), pa.array(held, pa.binary())], names=["core", "key", "start", "bytes"])
+                names, made = each(raws[i], numbers)
+                yield pa.RecordBatch.from_arrays([*_names(names), b.column(0).take(pa.array([i] * len(made), pa.int64())), pa.array(made, pa.int64())], names=["c1", "c2", "key", "run"])
 
     kind = docs.schema[key].dataType.simpleString()
-    texts = _with_runs(docs.select(key, "text"), key, heads, "runs", "inner")
-    return map_batches(texts.select(key, "text", "runs"), run, f"core binary, key {kind}, start long, bytes binary")
+    texts = _with_runs(docs.select(key, "text"), key, runs, "runs", "inner")
+    return map_batches(texts.select(key, "text", "runs"), run, f"c1 long, c2 long, key {kind}, run long")
 
 
-def _strings(blocks: DataFrame, length: int) -> DataFrame:
-    """All strings of the blocks: (class, key, start)."""
+def _blocks(length: int) -> Callable[[bytes, list[int]], tuple[list[bytes], list[int]]]:
+    """Cuts runs into blocks, named by their core: start * 256 + starts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, row, starts = [], [], []
-            for i, (start, raw) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                for j in range(len(raw) - length + 1):
-                    names.append(_digest(raw[j : j + length]))
-                    row.append(i)
-                    starts.append(start + j)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), b.column(0).take(pa.array(row, pa.int64())), pa.array(starts, pa.int64())], names=["class", "key", "start"])
+    def each(raw: bytes, runs: list[int]) -> tuple[list[bytes], list[int]]:
+        cores, made = [], []
+        for number in runs:
+            p, anchor = number >> 16, (number >> 16) + (number >> 8 & 255)
+            end = p + (number & 255)
+            # The string that starts at p has its anchor at anchor - p; blocks are cut by that number.
+            while p < end:
+                block = (anchor - p) // BLOCK
+                last = min(end - 1, anchor - block * BLOCK)
+                cores.append(_digest(raw[anchor - block * BLOCK : anchor - (block + 1) * BLOCK + 1 + length], block + 1))
+                made.append(p * 256 + last - p + 1)
+                p = last + 1
+        return cores, made
+
+    return each
+
+
+def _strings(length: int) -> Callable[[bytes, list[int]], tuple[list[bytes], list[int]]]:
+    """All strings of blocks."""
+
+    def each(raw: bytes, blocks: list[int]) -> tuple[list[bytes], list[int]]:
+        starts = [p for x in blocks for p in range(x >> 8, (x >> 8) + (x & 255))]
+        return [_digest(raw[p : p + length]) for p in starts], [p * 256 + 1 for p in starts]
+
+    return each
 
-    return map_batches(blocks.select("key", "start", "bytes"), run, f"class binary, key {blocks.schema['key'].dataType.simpleString()}, start long")
 
+def _firsts(rows: DataFrame, *more: Column) -> DataFrame:
+    """Of each class the first (key, run) and the number of rows."""
+    return rows.groupBy("c1", "c2").agg(F.min(F.struct("key", "run")).alias("head"), F.count(F.lit(1)).alias("size"), *more)
 
-def _first(rows: DataFrame, by: str) -> DataFrame:
-    """Of each class the first (key, start) and the number of rows."""
-    return rows.groupBy(by).agg(F.min(F.struct("key", "start")).alias("head"), F.count(F.lit(1)).alias("size"))
 
+def _later(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, run) of the rows of classes of several that are not the first."""
+    several = firsts.where("size > 1").select("c1", "c2", "head")
+    return rows.select("c1", "c2", "key", "run").join(several, ["c1", "c2"]).where(~F.struct("key", "run").eqNullSafe(F.col("head"))).select("key", "run")
 
-def _later(rows: DataFrame, firsts: DataFrame, by: str) -> DataFrame:
-    """The rows of classes of several that are not the first."""
-    return rows.join(firsts.where("size > 1").select(by, "head"), by).where(~F.struct("key", "start").eqNullSafe(F.col("head")))
+
+def _merged(marks: DataFrame, length: int) -> DataFrame:
+    """(key, runs) of documents with repeats: the removed runs as first byte and end, one after the other."""
+    kind = marks.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for numbers in b.column(1):
+                x = np.sort(numbers.values.to_numpy())
+                start, end = x >> 8, np.maximum.accumulate((x >> 8) + (x & 255) - 1 + length)
+                new = np.r_[True, start[1:] > end[:-1]]
+                out.append(np.stack([start[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]]], 1).ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["key", "runs"])
+
+    return map_batches(_by_key(marks, "run"), run, f"key {kind}, runs array<bigint>")
 
 
 def _irregular(docs: DataFrame) -> bool:
@@ -255,21 +280,23 @@ def _irregular(docs: DataFrame) -> bool:
 
 
 def repeated_runs(docs: DataFrame, key: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Rows (key, runs) of documents with strings that start earlier: numbers start * 256 + number of starts."""
+    """Rows (key, runs) of documents with strings that start earlier: first byte and end of each run of bytes that they cover."""
+    spark = docs.sparkSession
     parts, bits = _repeated_grams(docs, length, gram)
     found = materialize(_candidate_runs(docs, key, parts, bits, length, gram), "repeats-runs")
-    slim = found.select("class", "key", "start", "n")
-    classes = found.groupBy("class").agg(F.min(F.struct("key", "start")).alias("head"), F.count(F.lit(1)).alias("size"), F.min("gram").alias("gram"), F.min("n").alias("n"), F.min("to_anchor").alias("to_anchor"))
-    classes = materialize(classes, "repeats-classes")
-    whole = _later(slim, classes, "class").select("key", "start", "n")
+    classes = materialize(_firsts(found, F.min("gram").alias("gram")), "repeats-classes")
+    whole = materialize(_later(found, classes).select("key", (F.shiftright("run", 16) * 256 + F.col("run") % 256).alias("run")), "repeats-whole")
     mixed = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("gram")
-    heads = classes.join(mixed, "gram").select("head.key", "head.start", "n", "to_anchor")
-    heads = materialize(_by_key(heads, F.col("start") * 65536 + F.col("to_anchor") * 256 + F.col("n")), "repeats-heads")
-    blocks = materialize(_blocks(docs, key, heads, length), "repeats-blocks")
-    shared = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    strings = materialize(_strings(blocks.join(shared, "core"), length), "repeats-strings")
-    single = _later(strings, _first(strings, "class"), "class").select("key", "start", F.lit(1).alias("n"))
-    return materialize(_by_key(whole.unionByName(single), F.col("start") * 256 + F.col("n")), "repeats-marks")
+    heads = materialize(_by_key(classes.join(mixed, "gram").select("head.key", "head.run"), "run"), "repeats-heads")
+    drop(spark, found, classes)
+    blocks = materialize(_of_texts(docs, key, heads, _blocks(length)), "repeats-blocks")
+    shared = blocks.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2")
+    left = materialize(_by_key(blocks.join(shared, ["c1", "c2"]), "run"), "repeats-left")
+    drop(spark, heads, blocks)
+    strings = materialize(_of_texts(docs, key, left, _strings(length)), "repeats-strings")
+    marks = materialize(_merged(whole.unionByName(_later(strings, _firsts(strings))), length), "repeats-marks")
+    drop(spark, whole, left, strings)
+    return marks
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: str = "kept", stats: tuple[str, str, str] = ("n_bytes", "n_removed", "n_spans")) -> DataFrame:
@@ -306,11 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept
                     gone.append(0)
                     spans.append(0)
                     continue
-                x = np.sort(numbers.values.to_numpy())
-                start, end = x >> 8, (x >> 8) + (x & 255) - 1 + length
-                end = np.maximum.accumulate(end)
-                new = np.r_[True, start[1:] > end[:-1]]
-                a, e = start[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(x) - 1]]
+                a, e = numbers.values.to_numpy().reshape(-1, 2).T
                 left.append(b"".join(raw[i:j] for i, j in zip([0, *e.tolist()], [*a.tolist(), len(raw)], strict=True)))
                 gone.append(int((e - a).sum()))
                 spans.append(len(a))
