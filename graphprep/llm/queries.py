@@ -134,6 +134,13 @@ def op11_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_fm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with its near words and forms."""
+    from graphprep.llm.variants import DAMAGED, group_variants
+
+    return group_variants(_documents(spark, sf_dir), DAMAGED)
+
+
 def op13_bag_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item's 50 best documents."""
     from graphprep.llm.ranking import rank_documents
@@ -153,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pca_tiles": op9_pca_tiles,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_bucket_refinement": op11_bucket_refinement,
+    "op12_fm_variants": op12_fm_variants,
     "op13_bag_ranking": op13_bag_ranking,
 }
 
@@ -173,6 +181,30 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op12_fm_variants": f"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), runs AS (
+            SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents
+        ), counted AS (SELECT coalesce(id, '') AS id, run, count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY id, run),
+        summed AS (
+            SELECT run, k, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(id || ':' || run, ''),
+                lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM counted, crc
+        ), words AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM summed),
+        v AS (SELECT word, sum(k)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        cut AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+        pairs AS (
+            SELECT a.word, b.word AS form, b.n AS form_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM v a JOIN cut b ON a.word = b.rest
+            UNION SELECT b.word, a.word, a.n FROM v a JOIN cut b ON a.word = b.rest
+        ), ordered AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY form_n DESC, form) AS turn, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+        led AS (SELECT v.word, v.n, coalesce(o.n_near, 0) AS n_near, CASE WHEN o.form_n >= 2 * v.n THEN o.form END AS form, CASE WHEN o.form_n >= 2 * v.n THEN o.form_n END AS form_n
+            FROM v LEFT JOIN ordered o ON v.word = o.word AND o.turn = 1),
+        chain AS (SELECT word, word AS root FROM led UNION ALL SELECT c.word, l.form FROM chain c JOIN led l ON c.root = l.word WHERE l.form IS NOT NULL),
+        ends AS (SELECT c.word, c.root FROM chain c JOIN led l ON c.root = l.word WHERE l.form IS NULL)
+        SELECT led.word, led.form, ends.root, led.n, led.n_near, led.form_n FROM led JOIN ends ON led.word = ends.word
+    """,
     "op13_bag_ranking": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_TERM}) AS terms FROM documents),
         c AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
