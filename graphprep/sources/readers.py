@@ -168,6 +168,16 @@ def read_examples(spark: SparkSession, path: str, as_json: bool = False) -> Data
     return rows.withColumn("provenance", F.coalesce("provenance", F.lit("")))
 
 
+def read_tfrecords(spark: SparkSession, path: str, schema: str | None = None, **options: object) -> DataFrame:
+    """TFRecord files as rows of features, or of bytes without a schema. options: split, hosts, host, parts, part; see tfrecords.py."""
+    from graphprep.sources.tfrecords import FORMAT, register
+    from graphprep.sources.writers import qualified
+
+    register(spark)
+    read = spark.read.format(FORMAT).options(**{k: str(v) for k, v in options.items()})
+    return (read.schema(schema) if schema else read).load(qualified(spark, path)[0])
+
+
 def read_vocabulary(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Rows (kind, token, id): the id is the number of the line. A vocabulary is one file and bounded by its size parameter."""
     lines = F.split(F.regexp_replace("value", r"\n$", ""), r"\n", -1)

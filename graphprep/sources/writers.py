@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphprep.functions.text import cut_at
@@ -101,14 +101,26 @@ class Layout:
         return f"{self.root}/vocabularies/{kind}"
 
 
-def write_tfrecords(features: DataFrame, path: str, shards: int) -> None:
-    """Feature rows as TFRecord files, `shards` of them for each split: path/split-k-of-n.tfrecord.
+def write_tfrecords(features: DataFrame, path: str, shards: int, mode: str = "errorifexists") -> None:
+    """Feature rows as TFRecord files, `shards` of them for each split: path/split-k-of-n.tfrecord, rows in order of example_id.
 
-    Arrays of numbers become int64 lists, strings and arrays of strings byte lists. A task writes one file under a name of its
-    attempt and renames it when whole, so that a repeated task leaves no part of a file. path is a folder that all executors reach.
+    Arrays of numbers become int64 or float lists, strings and arrays of strings byte lists. Files appear when all are whole;
+    see tfrecords.py. path is a folder that all executors reach.
     """
-    from graphprep.sources.tfrecords import file_writer
+    from graphprep.sources.tfrecords import FORMAT, register
 
+    spark = features.sparkSession
+    place, there = qualified(spark, path)
+    if there and mode == "errorifexists":
+        raise FileExistsError(place)
+    register(spark)
     keyed = features.withColumn("_shard", F.pmod(F.xxhash64("example_id"), F.lit(shards)).cast("int"))
-    made = keyed.groupBy("split", "_shard").applyInArrow(file_writer(path, shards), "file string, records long")
-    made.write.mode("overwrite").format("noop").save()
+    dealt = keyed.repartition(max(shards, spark.sparkContext.defaultParallelism), "split", "_shard").sortWithinPartitions("split", "_shard", "example_id").drop("example_id")
+    dealt.write.format(FORMAT).option("shards", shards).mode("append" if mode == "errorifexists" else mode).save(place)
+
+
+def qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The path as Spark would complete it, and whether something is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(where).toString(), system.exists(where)

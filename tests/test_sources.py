@@ -129,22 +129,6 @@ def test_examples_and_vocabularies_come_back(spark, tmp_path):
     assert [tuple(r) for r in S.read_vocabulary(spark, str(tmp_path / "voc" / "node_type"), "node_type").orderBy("id").collect()] == [tuple(r) for r in vocab.orderBy("id").collect()]
 
 
-def test_tfrecords(spark, tmp_path):
-    from graphprep.sources.tfrecords import masked_crc, unframed
-
-    # The published check value of CRC-32C over the digits is e3069283.
-    assert masked_crc(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
-    rows = spark.createDataFrame([(f"e{i}", "train" if i % 3 else "test", [i, -1], ["a", "b"], f"p{i}") for i in range(20)], "example_id string, split string, ids array<long>, texts array<string>, provenance string")
-    W.write_tfrecords(rows, str(tmp_path / "tf"), 2)
-    files = sorted(p.name for p in (tmp_path / "tf").iterdir())
-    assert files == [f"{s}-{k:05d}-of-00002.tfrecord" for s in ("test", "train") for k in range(2)]
-    records = [r for f in files for r in unframed((tmp_path / "tf" / f).read_bytes())]
-    assert len(records) == 20 and all(b"provenance" in r and b"texts" in r for r in records)
-    raw = (tmp_path / "tf" / files[0]).read_bytes()
-    with pytest.raises(ValueError):
-        list(unframed(raw[:-1] + bytes([raw[-1] ^ 1])))
-
-
 def test_evaluation_files_and_shards(spark, tmp_path):
     rows = spark.createDataFrame([(1, [["x", "DONE", "y"], ["z"]], ["x"], 0.5, "p"), (0, [["a"], []], ["a", "DONE"], 1.0, None)], "idx long, beam array<array<string>>, target array<string>, score double, provenance string")
     W.write_evaluation(rows, str(tmp_path / "ev"))
