@@ -29,6 +29,30 @@ def chain(n: Column, kind: str, start: Column | None = None) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: edge(i + shift, i + shift + 1, F.lit(kind)))).otherwise(F.array().cast(f"array<{EDGE}>"))
 
 
+def chain_edge_rows(rows: DataFrame, key: str, n: Column, kind: str = "NEXT_TOKEN") -> DataFrame:
+    """The edges of chains over n nodes, both ways, in long form: rows (key, src, dst, type), without the nodes. A chain's edges follow
+    from its size alone."""
+    first = F.explode_outer(F.when(n > 1, F.sequence(F.lit(0), n - 2)))  # inner would compute n once more below what comes before
+    step = rows.select(key, first.alias("src")).where("src is not null")
+    ways = F.array(edge(F.col("src"), F.col("src") + 1, F.lit(kind)), edge(F.col("src") + 1, F.col("src"), F.lit(REVERSED + kind)))
+    return step.select(key, F.inline(ways))
+
+
+def parent_graph(parents: DataFrame, children: DataFrame, key: str, edge_type: str = "HAS") -> DataFrame:
+    """Examples of a parent (key, type, label), node 0, and its children (key, id, type, label), nodes by their ids from 1 on.
+
+    Children are read once: of repeated ids the least type and label count, and edges follow from the nodes. Children without a parent
+    drop out.
+    """
+    once = children.repartition(key).groupBy(key, "id").agg(F.min(F.struct("type", "label")).alias("x"))
+    held = once.groupBy(key).agg(F.array_sort(F.collect_list(node(F.col("id"), F.col("x.type"), escape(F.col("x.label"))))).alias("_children"))
+    found = parents.join(held, key, "left").withColumn("_children", F.coalesce("_children", F.array().cast(f"array<{NODE}>")))
+    top = F.array(node(F.lit(0), F.col("type"), escape(F.col("label")))).cast(f"array<{NODE}>")
+    edges = both_ways(F.transform("_children", lambda x: edge(F.lit(0), x["id"], F.lit(edge_type))))
+    found = found.withColumns({"nodes": F.concat(top, "_children"), "edges": edges, "output": F.array().cast(f"array<{OUTPUT}>")})
+    return with_sizes(found.drop("_children", "type", "label"))
+
+
 def with_sizes(examples: DataFrame) -> DataFrame:
     """Scalars that filters and statistics read, so that they reach the scan of stored examples."""
     return examples.withColumns({"n_nodes": F.size("nodes"), "n_edges": F.size("edges"), "n_output": F.size("output"), "n_edge_types": F.size(F.array_distinct("edges.type"))})

@@ -48,11 +48,19 @@ def copy_pairs(output: Column, labels: Column) -> Column:
 
 def copy_pairs_joined(examples: DataFrame, key: str) -> DataFrame:
     """Rows (key, output, node): what copy_pairs() finds, by a hash join on (key, token); better where outputs are long."""
-    out = examples.select(key, F.posexplode("output").alias("output", "o")).where("o.kind = 'token'").select(key, "output", F.col("o.token").alias("token"))
-    labels = examples.select(key, F.posexplode("nodes.label").alias("node", "token"))
+    out = examples.select(key, F.posexplode_outer("output").alias("output", "o")).where("o.kind = 'token'").select(key, "output", F.col("o.token").alias("token"))
+    labels = examples.select(key, F.posexplode_outer("nodes.label").alias("node", "token"))
     return out.join(labels, [key, "token"]).select(key, "output", "node")
 
 
+def copy_pairs_of_words(rows: DataFrame, key: str, output: Column, words: Column) -> DataFrame:
+    """Rows (key, output, node) of equal words of an output and of the nodes, before either is made an example: escaping keeps
+    different words different, so that raw ones can be compared."""
+    out = rows.select(key, F.posexplode_outer(output).alias("output", "token")).where("token is not null")
+    nodes = rows.select(key, F.posexplode_outer(words).alias("node", "token")).where("token is not null")
+    return out.join(nodes, [key, "token"]).select(key, "output", "node")
+
+
 def once(value: Column, use) -> Column:
     """use(value) with the value computed once: inside a lambda an outer expression would be computed for every element."""
     return F.element_at(F.transform(F.array(value), use), 1)

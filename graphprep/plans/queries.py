@@ -48,7 +48,7 @@ def counted(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (doc_id, split, pos, word) of all documents."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("split", R.split_of(F.col("doc_id")))
-    return docs.select("doc_id", "split", F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
+    return docs.select("doc_id", "split", F.posexplode_outer(T.words(F.col("text"))).alias("pos", "word")).where("word is not null")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,8 @@ def copy_pairs_in_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_TOK}, {_OUT} SELECT o.doc_id, count(*) AS n_pairs, sum(o.pos)::BIGINT AS sum_output, sum(l.pos)::BIGINT AS sum_node FROM outs o JOIN lab l ON o.doc_id = l.doc_id AND o.word = l.label GROUP BY o.doc_id")
 def copy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copy pairs of long outputs, by a join in long form."""
-    pairs = E.copy_pairs_joined(document_chains(spark, sf_dir), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pairs = E.copy_pairs_of_words(docs, "doc_id", T.words(F.element_at(F.split("text", "\n", -1), -1)), T.words(F.col("text")))
     return pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("output").cast("bigint").alias("sum_output"), F.sum("node").cast("bigint").alias("sum_node"))
 
 
@@ -137,8 +138,9 @@ def chain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TOK}, e AS (SELECT doc_id, pos AS src, pos + 1 AS dst, 'NEXT_TOKEN' AS type FROM lab l WHERE EXISTS (SELECT 1 FROM lab m WHERE m.doc_id = l.doc_id AND m.pos = l.pos + 1)),
     b AS (SELECT * FROM e UNION ALL SELECT doc_id, dst, src, 'REVERSED_' || type FROM e) SELECT type, count(*) AS n, sum(src)::BIGINT AS sum_src, sum(dst)::BIGINT AS sum_dst FROM b GROUP BY type""")
 def chain_edges_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = document_chains(spark, sf_dir).select(F.explode("edges").alias("e"))
-    return e.groupBy("e.type").agg(F.count(F.lit(1)).alias("n"), F.sum("e.src").cast("bigint").alias("sum_src"), F.sum("e.dst").cast("bigint").alias("sum_dst"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    e = B.chain_edge_rows(docs, "doc_id", F.size(T.words(F.col("text"))))
+    return e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("src").cast("bigint").alias("sum_src"), F.sum("dst").cast("bigint").alias("sum_dst"))
 
 
 # ---- splits, statistics, dedup, sampling
@@ -338,11 +340,20 @@ def edge_type_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT DISTINCT l_orderkey AS graph, l_linenumber AS dst FROM lineitem) SELECT o.o_orderkey AS graph, CAST(1 + count(e.dst) AS INTEGER) AS n_nodes, CAST(2 * count(e.dst) AS INTEGER) AS n_edges FROM orders o LEFT JOIN e ON e.graph = o.o_orderkey GROUP BY 1""")
 def given_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order as graph: the order is node 0, its lines are nodes 1 and up."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("graph"), F.lit(0).alias("id"), F.lit("ORDER").alias("type"), F.col("o_orderstatus").alias("label"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("graph"), F.lit("ORDER").alias("type"), F.col("o_orderstatus").alias("label"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), F.col("l_linenumber").alias("id"), F.lit("LINE").alias("type"), F.col("l_returnflag").alias("label"))
-    lines = lines.join(o.select("graph"), "graph", "left_semi").dropDuplicates(["graph", "id"])
-    edges = lines.select("graph", F.lit(0).alias("src"), F.col("id").alias("dst"), F.lit("HAS").alias("type"))
-    return B.given_graph(o.unionByName(lines), edges, "graph").select("graph", "n_nodes", "n_edges")
+    return B.parent_graph(o, lines, "graph").select("graph", "n_nodes", "n_edges")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_partkey % 50 AS graph, l_suppkey AS dst, l_returnflag AS type FROM lineitem)
+    SELECT graph, CAST(count(DISTINCT dst) AS INTEGER) AS n_nodes, CAST(2 * count(*) AS INTEGER) AS n_edges, CAST(2 * count(DISTINCT type) AS INTEGER) AS n_edge_types, sum(dst)::BIGINT AS ends FROM e GROUP BY graph""")
+def given_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of given nodes and given edges that repeat: suppliers of parts, joined by what happened to a line."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("graph"), F.col("l_suppkey").alias("id"), F.lit("SUPPLIER").alias("type"), F.col("l_suppkey").cast("string").alias("label"), F.col("l_returnflag").alias("flag"))
+    edges = lines.select("graph", F.lit(0).alias("src"), F.col("id").alias("dst"), F.col("flag").alias("type"))
+    found = B.given_graph(lines.select("graph", "id", "type", "label").distinct(), edges, "graph")
+    ends = F.aggregate(F.filter("edges", lambda e: ~F.startswith(e["type"], F.lit("REVERSED_"))), F.lit(0).cast("bigint"), lambda s, e: s + e["dst"])
+    return found.select("graph", "n_nodes", "n_edges", "n_edge_types", ends.alias("ends"))
 
 
 @query("""WITH d AS (SELECT doc_id % 5 AS k, len(string_split(text, ' ')) AS n FROM documents)
