@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from graphprep.functions.text import drop_empty
 from graphprep.schema import EXAMPLES
+from graphprep.sources.archives import list_members as list_members
+from graphprep.sources.archives import read_archives as read_archives
+from graphprep.sources.continued import read_continued as read_continued
+
 
 
 def read_paths(spark: SparkSession, path: str) -> DataFrame:
@@ -77,56 +81,6 @@ def verified(files: DataFrame, expected: dict[str, str]) -> DataFrame:
     return files.withColumn("expected", F.element_at(want, name)).withColumn("ok", F.coalesce(F.col("expected") == F.col("sha1"), F.lit(False)))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Files inside .tar, .tar.gz, .tgz, .zip and .gz archives: rows (archive, name, content). An archive is read by one task."""
-
-    def unpack(frames):
-        import gzip
-        import io
-        import tarfile
-        import zipfile
-
-        import pandas as pd
-
-        def members(name: str, raw: bytes):
-            if name.endswith(".zip"):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    yield from ((n, z.read(n)) for n in z.namelist() if not n.endswith("/"))
-            elif name.endswith((".tar", ".tar.gz", ".tgz")):
-                with tarfile.open(fileobj=io.BytesIO(raw)) as t:
-                    yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
-            elif name.endswith(".gz"):
-                yield name.rsplit("/", 1)[-1][:-3], gzip.decompress(raw)
-            else:
-                raise ValueError(f"no archive: {name}")
-
-        for f in frames:
-            for name, raw in zip(f["path"], f["content"], strict=True):
-                for n, c in members(name, raw):
-                    yield pd.DataFrame({"archive": [name], "name": [n], "content": [c]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.repartition(max(1, min(1000, len(files.inputFiles())))).mapInPandas(unpack, "archive string, name string, content binary")
-
-
-def read_continued(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (id, label) of a CSV of ids from 0 and labels whose line breaks are not escaped.
-
-    A line that begins with the next id and a comma opens a row and gives what stands before its next comma; any other line
-    belongs to the row before, without a break. The first line is a header. Such a file is a dictionary and read as a whole.
-    """
-    lines = F.slice(F.split(F.regexp_replace("value", r"(\r\n|\n|\r)$", ""), r"\r\n|\n|\r", -1), F.lit(2), F.lit(1 << 30))
-    start = F.array().cast("array<string>")
-
-    def step(labels: Column, line: Column) -> Column:
-        opens = F.startswith(line, F.concat(F.size(labels).cast("string"), F.lit(",")))
-        last = F.concat(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))), F.array(F.concat(F.element_at(labels, -1), line)))
-        return F.when(opens, F.concat(labels, F.array(F.element_at(F.split(line, ",", -1), 2)))).otherwise(last)
-
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.posexplode(F.aggregate(lines, start, step)).alias("id", "label"))
-
-
 def read_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The flat tables of a bundle, as bundle_examples() takes them: counts, node_rows, edge_rows, types and attrs, and the split bounds.
 

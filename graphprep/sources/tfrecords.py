@@ -35,6 +35,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from graphprep.sources.files import system_of
+
 #: The Castagnoli polynomial, reflected, and what masks a checksum.
 _POLYNOMIAL, _MASK = 0x82F63B78, 0xA282EAD8
 #: Bytes of a lane: long records are cut into lanes whose checksums are found together and then folded.
@@ -237,12 +239,6 @@ def parsed_example(raw: bytes, wanted: dict[str, bool]) -> dict[str, list]:
     return out
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 @dataclass
 class Range(InputPartition):
     """The k-th of n ranges of a file."""
@@ -266,7 +262,7 @@ class TFRecordReader(DataSourceReader):
 
     def partitions(self) -> Sequence[Range]:
         """From the listing alone: no file is opened on the driver."""
-        system, path = _system(self.path)
+        system, path = system_of(self.path)
         about = system.get_file_info(path)
         if about.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
@@ -309,7 +305,7 @@ class TFRecordReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        system, _ = _system(self.path)
+        system, _ = system_of(self.path)
         with system.open_input_file(partition.path) as f:
             for first, size, crc in self._blocks(system, partition):
                 f.seek(first)
@@ -396,7 +392,7 @@ class TFRecordWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        system, path = _system(self.path)
+        system, path = system_of(self.path)
         context = TaskContext.get()
         number = context.partitionId() if context else 0
         done = Written(f"{path}/{self.job}/{number}-{uuid.uuid4().hex}")
@@ -424,7 +420,7 @@ class TFRecordWriter(DataSourceArrowWriter):
         return done
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, path = _system(self.path)
+        system, path = system_of(self.path)
         made = [m for m in messages if isinstance(m, Written)]
         names = [f[0] for m in made for f in m.files]
         there = {f.base_name for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.base_name.endswith(SUFFIX)}
@@ -446,7 +442,7 @@ class TFRecordWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         """Nothing of the job stays, whichever tasks have told of themselves."""
-        system, path = _system(self.path)
+        system, path = system_of(self.path)
         if system.get_file_info(f"{path}/{self.job}").type == fs.FileType.Directory:
             system.delete_dir(f"{path}/{self.job}")
 

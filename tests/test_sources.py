@@ -85,6 +85,89 @@ def test_archives(spark, tmp_path):
     assert {(r.name, bytes(r.content)) for r in S.read_archives(spark, str(folder)).collect()} == {("in/one.txt", b"1"), ("two.txt", b"2"), ("three.txt", b"3")}
 
 
+def test_members_are_read_by_their_ranges(spark, tmp_path):
+    import io
+    import random
+    import tarfile
+    import zipfile
+
+    r, want = random.Random(3), {}
+    folder = tmp_path / "packed"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "a.zip", "w") as z, tarfile.open(folder / "b.tar", "w") as plain, tarfile.open(folder / "c.tgz", "w:gz") as t:
+        for i in range(30):
+            raw = r.randbytes(r.choice([0, 10, 5000])) + b"x" * r.choice([0, 20_000])
+            z.writestr(f"z/é{i}", raw, compress_type=zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
+            want["a.zip", f"z/é{i}"] = raw
+            for out, name in ((plain, "b.tar"), (t, "c.tgz")):
+                info = tarfile.TarInfo(f"{'long/' * 40}{i}")
+                info.size = len(raw)
+                out.addfile(info, io.BytesIO(raw))
+                want[name, info.name] = raw
+        z.writestr("folder/", b"")
+    got = S.read_archives(spark, str(folder), parts=7)
+    assert {(x.archive.rsplit("/", 1)[1], x.name): bytes(x.content) for x in got.collect()} == want
+    members = S.list_members(spark, str(folder))
+    assert members.count() == 61 and members.where("kind = 'tgz'").count() == 1
+    raw = bytearray((folder / "a.zip").read_bytes())
+    spot = members.where("kind = 'stored' and size > 5000").first()
+    raw[spot.offset + 60] ^= 1
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.zip").write_bytes(raw)
+    with pytest.raises(Exception, match="damaged"):
+        S.read_archives(spark, str(tmp_path / "bad")).collect()
+    (tmp_path / "other.rar").write_bytes(b"x")
+    with pytest.raises(Exception, match="no archive"):
+        S.read_archives(spark, str(tmp_path / "other.rar")).collect()
+
+
+def plain_continued(lines):
+    labels = []
+    for line in lines[1:]:
+        if line.startswith(f"{len(labels)},"):
+            labels.append(line.split(",")[1])
+        elif labels:
+            labels[-1] += line
+    return list(enumerate(labels))
+
+
+@pytest.mark.parametrize("block", [64, 300, 1 << 20])
+def test_continued_lines_over_blocks(spark, tmp_path, block):
+    """Rows that look like others, ids that come too early, again or never, and rows over several blocks."""
+    import random
+
+    r = random.Random(block)
+    lines, n = ["id,label"], 0
+    for _ in range(400):
+        kind = r.random()
+        if kind < 0.6:
+            lines.append(f"{n},label {n}{r.choice(['', ',more', ','])}")
+            n += 1
+        elif kind < 0.8:
+            lines.append(r.choice(["", "no row", f"{n + 1},early", f"{max(0, n - 3)},again", f"0{n},zero", f"{n}", "12345678901234567890,long"]))
+        else:
+            lines.append("y" * r.randint(0, 150))
+    path = put(tmp_path / "x" / "attr.csv", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = [(x.id, x.label) for x in S.read_continued(spark, path).orderBy("id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert got == plain_continued(lines) and len(got) > 200
+
+
+def test_a_block_as_a_function():
+    from graphprep.sources.continued import block_function
+
+    assert block_function([]) == []
+    assert block_function([5, 6, 7]) == [(5, 7, 8)]
+    assert block_function([7, 5, 6, 9, 7]) == [(5, 7, 8), (9, 9, 10)]
+    assert block_function([6, 5, 8]) == [(5, 5, 6), (6, 6, 7), (8, 8, 9)]
+
+
 def test_continued_lines(spark, tmp_path):
     path = put(tmp_path / "attr.csv", "id,label\n0,a\n1,b,lost\nmore\n7,of it\n2,c\n")
     assert [(r.id, r.label) for r in S.read_continued(spark, path).orderBy("id").collect()] == [(0, "a"), (1, "bmore7,of it"), (2, "c")]
