@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphprep.schema import SPLITS
+from graphprep.sources.scratch import scratch
 
 
 def violations(examples: DataFrame) -> DataFrame:
@@ -74,21 +75,54 @@ def oversample(rows: DataFrame, weight: Column, key: Column, seed: str = "copies
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.floor(weight) + more).cast("int"))))
 
 
-def numbered(rows: DataFrame, by: list[str], order: str, out: str, parts: int = 64) -> DataFrame:
+#: Rows that one task numbers.
+TASK_ROWS = 500_000
+#: Ranges that are sent to all executors; more of them meet the rows in a shuffle.
+SENT_RANGES = 100_000
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, out: str, most: int = TASK_ROWS) -> DataFrame:
     """Number the rows of each group from 0 in the order of a column, ties in any order, with no task holding a whole group.
 
-    Cuts at quantiles of the column deal each group into parts; the counts of the parts give each its first number. The
-    column must be a number that is the same whenever rows are read.
+    A group of more than `most` rows is cut into 255 ranges of equal width, a range that still has more into 255 of its own, and so
+    on; rows of one value are cut by a hash of the row. Ranges follow one another, so that their counts give each its first
+    number. Rows that are equal in all columns stay together. Groups are counted when this is called, and again once for each level of
+    ranges. The column must be a number other than NaN, the same whenever rows are read; null comes first.
     """
-    share = F.array(*[F.lit(k / parts) for k in range(1, parts)])
-    cuts = rows.agg(F.percentile_approx(order, share, 1000).alias("c")).first()["c"] or []
-    at = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    dealt = rows.withColumn("_part", F.size(F.filter(at, lambda c: c < F.col(order))))
-    counts = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by, F.lit(0)).orderBy("_part")
-    first = counts.select(*by, "_part", (F.sum("_n").over(w) - F.col("_n")).alias("_first"))  # at most `parts` rows a group
-    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order)) - 1
-    return dealt.withColumn("_in", inside).join(first, [*by, "_part"]).withColumn(out, (F.col("_first") + F.col("_in")).cast("bigint")).drop("_part", "_in", "_first")
+    spark, own = rows.sparkSession, rows.columns
+    tie = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t])
+    x = F.col(order).cast("double")
+    found = rows.withColumns({"_tie": tie, "_path": F.lit("")})
+    stats = [F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi")]
+    level, large = 0, found.groupBy(*by, "_path").agg(*stats).where(F.col("_n") > most)
+    while level < 16:
+        place = scratch(spark, "ranges")
+        large.write.parquet(place)
+        large = spark.read.schema(large.schema).parquet(place)
+        many = large.count()
+        if not many:
+            break
+        cells = large.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_path").alias("_cell"), "_lo", "_hi")
+        same = F.col("_path") == F.col("_cell")
+        for i, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+        byte = F.shiftrightunsigned("_tie", 8 * (level % 8)) % 256
+        width = F.col("_hi") - F.col("_lo")
+        part = F.when(x.isNull() & F.col("_lo").isNotNull(), 0).when(width > 0, 1 + F.floor((x - F.col("_lo")) / width * 254)).otherwise(1 + F.pmod(byte, F.lit(255)))
+        cut = F.concat("_path", F.lpad(F.hex(part.cast("long")), 2, "0"))
+        found = found.join(F.broadcast(cells) if many <= SENT_RANGES else cells, same, "left").select(*own, "_tie", F.when(F.col("_cell").isNotNull(), cut).otherwise(F.col("_path")).alias("_path"))
+        level += 1
+        large = found.where(F.length("_path") == 2 * level).groupBy(*by, "_path").agg(*stats).where(F.col("_n") > most)
+    if not level:
+        return rows.withColumn(out, (F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy(order)) - 1).cast("bigint"))
+    counts = found.groupBy(*by, "_path").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by, F.lit(0)).orderBy("_path")) - F.col("_n")  # a row for each range
+    first = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_path").alias("_cell"), before.alias("_first"))
+    same = F.col("_path") == F.col("_cell")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_path").orderBy(order, "_tie")) - 1
+    return found.withColumn("_in", inside).join(first, same).select(*own, (F.col("_first") + F.col("_in")).cast("bigint").alias(out))
 
 
 def batches(rows: DataFrame, by: list[str], order: str, size: int, drop_remainder: bool) -> DataFrame:

@@ -96,6 +96,34 @@ def batched(rows: DataFrame, by: list[str], order: str, size: int, columns: list
     return held.select(*by, "batch", *[F.col(f"_rows.{c}").alias(c) for c in columns])
 
 
+#: Feature columns of sparse batches: how a graph's entries are counted, and what points where.
+_FLAT = {"node": ["node_label_ids", "node_lengths", "node_type_ids"], "edge": ["edge_type_ids"], "output": ["target_token_ids"]}
+_POINTING = {"edge_src": "node", "edge_dst": "node", "copy_out": "output", "copy_in": "node", "pointer_out": "output", "pointer_in": "node", "candidate_indices": "node"}
+
+
+def sparse_batches(features: DataFrame, by: list[str], order: str, size: int, drop_remainder: bool = True) -> DataFrame:
+    """One row for each batch of `size` feature rows, their graphs side by side in one: nothing is padded.
+
+    Nodes, edges and outputs of the graphs follow one another in flat arrays; node_splits, edge_splits and output_splits say where each graph
+    begins and the last one ends, label_splits the same for the subtokens of nodes. What points to nodes or outputs (edge ends, copies,
+    pointers, candidates) is moved by the number of those before its graph, so that a batch is one graph whose parts do not touch.
+    example_ids keeps their order.
+    """
+    found = batches(features, by, order, size, drop_remainder)
+    columns = [c for c in dict.fromkeys(["example_id", *sum(_FLAT.values(), []), *_POINTING]) if c in features.columns]
+    held = found.groupBy(*by, "batch").agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_rows"))  # `size` rows
+    sizes = {"node": "node_type_ids", "edge": "edge_src", "output": "target_token_ids", "label": "node_label_ids"}
+    begin = lambda c: F.aggregate(F.transform("_rows", lambda r: F.size(r[c])), F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    held = held.withColumns({f"{k}_splits": begin(c) for k, c in sizes.items()})
+    flat = [F.flatten(F.col(f"_rows.{c}")).alias(c) for c in sum(_FLAT.values(), [])]
+
+    def moved(c: str, to: str) -> Column:
+        shifts = F.slice(f"{to}_splits", F.lit(1), F.size("_rows"))
+        return F.flatten(F.zip_with("_rows", shifts, lambda r, s: F.transform(r[c], lambda x: x + s))).alias(c)
+
+    return held.select(*by, "batch", F.col("_rows.example_id").alias("example_ids"), *[f"{k}_splits" for k in sizes], *flat, *[moved(c, to) for c, to in _POINTING.items() if c in features.columns])
+
+
 def training_batches(features: DataFrame, split: str, size: int, columns: list[str], seed: int = 0, epochs: int = 1, most: int = -1) -> DataFrame:
     """Batches of one split: shuffled anew each epoch and without remainder for train, once and in order of example_id for the others."""
     own = take(features.where(F.col("split") == split), most, [F.col("example_id")])

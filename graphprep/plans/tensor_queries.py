@@ -41,6 +41,20 @@ def example_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("example_id", digest("node_label_ids").alias("labels"), digest("target_token_ids").alias("outputs"), F.size("copy_in").cast("bigint").alias("n_copies"), total("copy_in").alias("copies"), F.element_at("pointer_in", 1).alias("pointer"), F.size("edge_src").cast("bigint").alias("n_edges"))
 
 
+@query(f"""WITH {_W}, f AS (SELECT item_id, split, l, mid, row_number() OVER (PARTITION BY split ORDER BY item_id) - 1 AS k FROM w),
+    s AS (SELECT *, k // 8 AS batch, coalesce(sum(len(l)) OVER (PARTITION BY split, k // 8 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS node, (k % 8) * 3 AS output FROM f),
+    x AS (SELECT item_id, sum(range)::BIGINT AS pos, count(*) AS n FROM (SELECT item_id, l, unnest(range(len(l))) AS range FROM f) WHERE l[range + 1] = l[1] GROUP BY 1)
+    SELECT split, batch, count(*) AS n_graphs, sum(len(l))::BIGINT AS n_nodes, sum(2 * (len(l) - 1))::BIGINT AS n_edges, sum((len(l) - 1) * (len(l) - 1) + 2 * (len(l) - 1) * node)::BIGINT AS sum_src, sum(x.pos + x.n * node)::BIGINT AS sum_copy_in, sum(x.n * (output + 1))::BIGINT AS sum_copy_out, sum(mid + node)::BIGINT AS sum_pointer_in
+    FROM s JOIN x USING (item_id) GROUP BY split, batch""")
+def sparse_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight graphs of a split side by side in one: sizes, and sums of what points to nodes and outputs."""
+    rows, _ = _features(spark, sf_dir)
+    held = X.sparse_batches(rows.withColumn("turn", F.col("example_id").cast("long")), ["split"], "turn", 8, drop_remainder=False)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, v: s + v)
+    last = lambda c: F.element_at(c, -1).cast("bigint")
+    return held.select("split", "batch", F.size("example_ids").cast("bigint").alias("n_graphs"), last("node_splits").alias("n_nodes"), last("edge_splits").alias("n_edges"), total("edge_src").alias("sum_src"), total("copy_in").alias("sum_copy_in"), total("copy_out").alias("sum_copy_out"), total("pointer_in").alias("sum_pointer_in"))
+
+
 @query(f"WITH {_W} SELECT max(len(l)) AS nodes, 3 AS outputs, 4 AS edge_types, 1 AS subtokens FROM w")
 def padding_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all splits are padded to."""

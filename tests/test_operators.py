@@ -153,7 +153,7 @@ def test_java_tokens(spark):
 
 def test_numbered_without_gaps(spark):
     rows = spark.createDataFrame([(i % 2, (i * 37) % 101) for i in range(101)], "g int, v long")
-    got = R.numbered(rows, ["g"], "v", "at", parts=7).collect()
+    got = R.numbered(rows, ["g"], "v", "at", most=7).collect()
     for g in (0, 1):
         own = sorted((r.v, r["at"]) for r in got if r.g == g)
         assert [a for _, a in own] == list(range(len(own)))
@@ -205,3 +205,57 @@ def test_samples_follow_the_softmax(spark):
     none = F.array().cast("array<double>")
     drawn = spark.range(n).select(K.choose(a, none, none, K.gumbel(F.size(a), 1.0, 5, F.col("id")))["choice"].alias("k")).groupBy("k").count().collect()
     assert all(abs(r["count"] / n - p[r.k]) < 0.03 for r in drawn)
+
+
+def test_numbers_of_skewed_groups(spark):
+    """One group with most rows, most of them of one value, others far apart; null comes first."""
+    from collections import defaultdict
+
+    values = [5.0] * 300 + [float(i) for i in range(100)] + [1e15 + i for i in range(50)] + [None] * 30 + [-(2.0**60)]
+    rows = spark.createDataFrame([("big", v, i) for i, v in enumerate(values)] + [(None, 1.0, i) for i in range(9)], "g string, v double, i int").repartition(5)
+    got = R.numbered(rows, ["g"], "v", "at", most=20)
+    assert got.columns == ["g", "v", "i", "at"]
+    by = defaultdict(list)
+    for r in got.collect():
+        by[r.g].append((r.at, r.v, r.i))
+    assert len(by[None]) == 9 and sorted(x[0] for x in by["big"]) == list(range(len(values)))
+    in_order = [x[1] for x in sorted(by["big"])]
+    assert in_order == sorted(values, key=lambda v: (v is not None, v or 0)) and len({x[2] for x in by["big"]}) == len(values)
+    assert sorted(x[0] for x in by[None]) == list(range(9))
+    same = spark.createDataFrame([("a", 1)] * 50, "g string, v int")
+    assert sorted(r.at for r in R.numbered(same, ["g"], "v", "at", most=20).collect()) == list(range(50))
+    assert R.numbered(same.where("v > 1"), ["g"], "v", "at").count() == 0
+
+
+def test_sparse_batches(spark):
+    from graphprep.operators import tensors as X
+
+    r = __import__("random").Random(2)
+    data = []
+    for i in range(25):
+        n, o = r.randint(1, 6), r.randint(1, 4)
+        pairs = lambda k, a, b: list(zip(*[(r.randrange(a), r.randrange(b)) for _ in range(k)])) or [(), ()]  # noqa: B023, E731
+        src, dst = pairs(r.randint(0, 5), n, n)
+        co, ci = pairs(r.randint(0, 3), o, n)
+        po, pi = pairs(r.randint(0, 2), o, n)
+        lengths = [r.randint(1, 3) for _ in range(n)]
+        data.append((f"e{i:02d}", "train", [r.randint(0, 9) for _ in range(o)], list(co), list(ci), list(po), list(pi), [r.randint(0, 9) for _ in range(sum(lengths))], lengths, [1] * n, [0] * len(src), list(src), list(dst), [k for k in range(n) if k % 2]))
+    names = "example_id split target_token_ids copy_out copy_in pointer_out pointer_in node_label_ids node_lengths node_type_ids edge_type_ids edge_src edge_dst candidate_indices".split()
+    schema = ", ".join(f"{c} {'string' if c in ('example_id', 'split') else 'array<int>'}" for c in names)
+    rows = spark.createDataFrame(data, schema).withColumn("turn", F.substring("example_id", 2, 2).cast("int"))
+    got = X.sparse_batches(rows, ["split"], "turn", 8, drop_remainder=False).orderBy("batch").collect()
+    assert [len(b.example_ids) for b in got] == [8, 8, 8, 1]
+    assert X.sparse_batches(rows, ["split"], "turn", 8).count() == 3
+    k = 0
+    for b in got:
+        for g in range(len(b.example_ids)):
+            want = dict(zip(names, data[k]))
+            k += 1
+            assert b.example_ids[g] == want["example_id"]
+            cut = lambda c, s: b[c][b[f"{s}_splits"][g] : b[f"{s}_splits"][g + 1]]  # noqa: B023, E731
+            node, out = b.node_splits[g], b.output_splits[g]
+            assert cut("node_type_ids", "node") == want["node_type_ids"] and cut("node_lengths", "node") == want["node_lengths"] and cut("node_label_ids", "label") == want["node_label_ids"]
+            assert cut("target_token_ids", "output") == want["target_token_ids"] and [x - node for x in cut("edge_src", "edge")] == want["edge_src"] and [x - node for x in cut("edge_dst", "edge")] == want["edge_dst"]
+        every = [dict(zip(names, d)) for d in data[k - len(b.example_ids) : k]]
+        assert b.copy_in == [x + s for w, s in zip(every, b.node_splits) for x in w["copy_in"]] and b.pointer_out == [x + s for w, s in zip(every, b.output_splits) for x in w["pointer_out"]]
+        assert b.candidate_indices == [x + s for w, s in zip(every, b.node_splits) for x in w["candidate_indices"]] and out is not None
