@@ -1,8 +1,9 @@
 """Metric sets over predictions: rows (idx, beam, target), beam an array of texts, best first.
 
-Each set is a function of a DataFrame and of grouping columns (none: one result over all) that gives rows (..., metric, value).
-All of them are row expressions and one or two aggregates, so they merge like any sum; bootstrap() runs any of them on many
-samples at once by grouping. What a set cannot judge (a target that is not of its form, several beams where it takes one) is an error.
+A set (MetricSet) is numbers of each row, and values of their sums. Called with a DataFrame and grouping columns (none: one result
+over all) it gives rows (..., metric, value). Since only sums count, a sample is the same numbers with other weights: bootstrap() and
+bootstrap_in_blocks() judge each row once, whatever the number of samples. What a set cannot judge (a target that is not of its form,
+several beams where it takes one) is an error.
 """
 
 from __future__ import annotations
@@ -36,17 +37,41 @@ def _sum(c: Column | str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-def token_prf(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _flag(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False)).cast("int")
+
+
+class MetricSet:
+    """counts(pred, keys, **options) gives rows of the keys and of numbers; values(**options) makes metrics of the numbers' sums,
+    by their names. A metric that is null does not occur."""
+
+    def __init__(self, counts: Callable[..., DataFrame], values: Callable[..., dict[str, Column]]) -> None:
+        self.counts, self.values, self.__doc__ = counts, values, counts.__doc__
+
+    def __call__(self, pred: DataFrame, by: Sequence[str] = (), **options) -> DataFrame:
+        keys = [*by, *(["idx"] if "idx" in pred.columns and "idx" not in by else [])]
+        rows = self.counts(pred, keys, **options)
+        sums = rows.groupBy(*by).agg(*[_sum(c).alias(c) for c in rows.columns if c not in keys])
+        return _metrics(sums, by, self.values(**options)).where("value is not null")
+
+
+def _token_counts(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Precision, recall and F1 over all tokens of the set. Reserved tokens in predictions don't count."""
     p = F.filter(words(_one_beam()), lambda t: ~t.isin(*RESERVED))
     rows = pred.withColumns({"_p": p, "_t": words(F.col("target"))})
     tp, fp, fn = overlap(F.col("_p"), F.col("_t"))
-    s = rows.groupBy(*by).agg(_sum(tp).alias("tp"), _sum(fp).alias("fp"), _sum(fn).alias("fn"))
+    return rows.select(*keys, tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+
+
+def _token_values() -> dict[str, Column]:
     p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    return _metrics(s, by, {"precision": p, "recall": r, "f1_score": f})
+    return {"precision": p, "recall": r, "f1_score": f}
 
 
-def name_prf(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+token_prf = MetricSet(_token_counts, _token_values)
+
+
+def _name_counts(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Means of precision, recall and F1 by row, of the beam with the best F1 (the first of equals), and how often that beam is the target.
 
     Case counts for the exact match only; predicted tokens are a set.
@@ -60,8 +85,14 @@ def name_prf(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         return F.struct(f.alias("f"), (-i).alias("i"), p.alias("p"), r.alias("r"), (b == F.col("target")).cast("int").alias("same"))
 
     best = F.array_max(F.transform("beam", score))
-    s = pred.withColumn("_b", best).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[_sum(f"_b.{k}").alias(k) for k in ("p", "r", "f", "same")])
-    return _metrics(s, by, {name: safe_ratio(F.col(k), F.col("n")) for name, k in (("precision", "p"), ("recall", "r"), ("f1_score", "f"), ("exact_match_percentage", "same"))})
+    return pred.withColumn("_b", best).select(*keys, F.lit(1).alias("n"), *[F.col(f"_b.{k}").alias(k) for k in ("p", "r", "f", "same")])
+
+
+def _name_values() -> dict[str, Column]:
+    return {name: safe_ratio(F.col(k), F.col("n")) for name, k in (("precision", "p"), ("recall", "r"), ("f1_score", "f"), ("exact_match_percentage", "same"))}
+
+
+name_prf = MetricSet(_name_counts, _name_values)
 
 
 def _bleu(hits: Sequence[Column], totals: Sequence[Column], guessed: Column, wanted: Column) -> Column:
@@ -79,68 +110,98 @@ def _clipped(p: Column, t: Column, n: int) -> Column:
     return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
 
 
-def summary_bleu(pred: DataFrame, by: Sequence[str] = (), top_n: int = 1, choose: int = 4) -> DataFrame:
+def _summary_counts(pred: DataFrame, keys: Sequence[str], top_n: int = 1, choose: int = 4) -> DataFrame:
     """BLEU-1 to BLEU-4 of the whole set, in per cent, of the beam place among the first top_n whose BLEU-`choose` is best.
 
-    Of equal places the first counts. Counting n-grams is a shuffle by row, place and n-gram.
+    Of equal places the first counts. Texts are dealt once; their n-grams are counted where they lie.
     """
-    key = [*by, "idx", "_rank"]
-    rows = pred.select(*by, "idx", F.posexplode(F.slice("beam", 1, top_n)).alias("_rank", "_text"), "target").withColumns({"_p": words(F.col("_text")), "_t": words(F.col("target"))})
+    key = [*keys, "_rank"]
+    dealt = pred.select(*keys, "beam", "target").repartition(*keys)
+    rows = dealt.select(*keys, F.posexplode_outer(F.slice("beam", 1, top_n)).alias("_rank", "_text"), "target").where("_rank is not null").withColumns({"_p": words(F.col("_text")), "_t": words(F.col("target"))})
     side = lambda c, s: F.flatten(F.array(*[F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(s).alias("side"))) for n in range(1, 5)]))  # noqa: B023, E731
-    grams = rows.select(*key, F.explode(F.concat(side("_p", 0), side("_t", 1))).alias("x"))
-    each = grams.groupBy(*key, "x.n", "x.gram").agg(F.count_if(F.col("x.side") == 0).alias("a"), F.count_if(F.col("x.side") == 1).alias("b"))
-    group = [*by, "_rank"]
-    counts = each.groupBy(*group).agg(*[_sum(F.when(F.col("n") == n, F.least("a", "b"))).alias(f"h{n}") for n in range(1, 5)], *[_sum(F.when(F.col("n") == n, F.col("a"))).alias(f"t{n}") for n in range(1, 5)])
-    sizes = rows.groupBy(*group).agg(_sum(F.size("_p")).alias("lp"), _sum(F.size("_t")).alias("lt"))
-    both = counts.join(sizes, group)
-    score = lambda n: 100 * _bleu([F.col(f"h{k}") for k in range(1, n + 1)], [F.col(f"t{k}") for k in range(1, n + 1)], F.col("lp"), F.col("lt"))
-    both = both.withColumns({f"bleu_{n}": score(n) for n in range(1, 5)})
-    best = both.groupBy(*by).agg(F.max(F.struct(F.col(f"bleu_{choose}").alias("of"), (-F.col("_rank")).alias("first"), *[f"bleu_{n}" for n in range(1, 5)])).alias("x"))
-    return _metrics(best, by, {f"bleu_{n}": F.when(F.col("x.of") > 0, F.col(f"x.bleu_{n}")).otherwise(0.0) for n in range(1, 5)})
-
-
-def misuse_accuracy(pred: DataFrame, by: Sequence[str] = (), pointed: bool = True) -> DataFrame:
+    grams = rows.select(*key, F.size("_p").alias("lp"), F.size("_t").alias("lt"), F.explode_outer(F.concat(side("_p", 0), side("_t", 1))).alias("x"))
+    each = grams.groupBy(*key, "lp", "lt", "x.n", "x.gram").agg(F.count_if(F.col("x.side") == 0).alias("a"), F.count_if(F.col("x.side") == 1).alias("b"))
+    hit = [F.when((F.col("n") == n) & (F.col("_rank") == r), F.least("a", "b")) for r in range(top_n) for n in range(1, 5)]
+    tried = [F.when((F.col("n") == n) & (F.col("_rank") == r), F.col("a")) for r in range(top_n) for n in range(1, 5)]
+    long = lambda c: [F.coalesce(F.max(F.when(F.col("_rank") == r, F.col(c))), F.lit(0)).alias(f"{c}_{r}") for r in range(top_n)]
+    names = [f"{r}_{n}" for r in range(top_n) for n in range(1, 5)]
+    return each.groupBy(*keys).agg(*[_sum(c).alias(f"h_{m}") for c, m in zip(hit, names, strict=True)], *[_sum(c).alias(f"t_{m}") for c, m in zip(tried, names, strict=True)], *long("lp"), *long("lt"))
+
+
+def _summary_values(top_n: int = 1, choose: int = 4) -> dict[str, Column]:
+    def place(r: int) -> Column:
+        of = [100 * _bleu([F.col(f"h_{r}_{k}") for k in range(1, n + 1)], [F.col(f"t_{r}_{k}") for k in range(1, n + 1)], F.col(f"lp_{r}"), F.col(f"lt_{r}")) for n in range(1, 5)]
+        return F.struct(of[choose - 1].alias("of"), F.lit(-r).alias("first"), *[c.alias(f"bleu_{n}") for n, c in enumerate(of, 1)])
+
+    best = F.array_max(F.array(*[place(r) for r in range(top_n)]))
+    return {f"bleu_{n}": F.when(best["of"] > 0, best[f"bleu_{n}"]).otherwise(0.0) for n in range(1, 5)}
+
+
+summary_bleu = MetricSet(_summary_counts, _summary_values)
+
+
+def _misuse_counts(pred: DataFrame, keys: Sequence[str], pointed: bool = True) -> DataFrame:
     """Whole outputs, place and repair, place alone, repair alone, and rows without a bug, of targets NO_BUG or a place and a repair."""
     form = F.rlike("target", F.lit(r"^POINTER\(" if pointed else r"^ERROR_LOCATION_"))
     target = F.when((F.col("target") == "NO_BUG") | form, F.col("target")).otherwise(F.raise_error(F.concat(F.lit("not a target of misused variables: "), "target")))
-    rows = pred.select(*by, _one_beam().alias("p"), target.alias("t"))
+    rows = pred.select(*keys, _one_beam().alias("p"), target.alias("t"))
     bug, same = F.col("t") != "NO_BUG", F.col("p") == F.col("t")
     rest = lambda c: F.slice(words(F.col(c)), F.lit(2), F.greatest(F.size(words(F.col(c))) - 1, F.lit(0)))
-    s = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(bug).alias("bugs"), F.count_if(same).alias("same"), F.count_if(same & bug).alias("both"), F.count_if(same & ~bug).alias("free"),
-        F.count_if(bug & (F.element_at(words(F.col("p")), 1) == F.element_at(words(F.col("t")), 1))).alias("loc"), F.count_if(bug & (rest("p") == rest("t"))).alias("rep"),
-    )
+    flags = {"bugs": bug, "same": same, "both": same & bug, "free": same & ~bug, "loc": bug & (F.element_at(words(F.col("p")), 1) == F.element_at(words(F.col("t")), 1)), "rep": bug & (rest("p") == rest("t"))}
+    return rows.select(*keys, F.lit(1).alias("n"), *[_flag(c).alias(k) for k, c in flags.items()])
+
+
+def _misuse_values(pointed: bool = True) -> dict[str, Column]:
     c = F.col
-    return _metrics(s, by, {"seq_acc": safe_ratio(c("same"), c("n")), "loc_and_rep_acc": safe_ratio(c("both"), c("bugs")), "bug_free_class_acc": safe_ratio(c("free"), c("n") - c("bugs")), "loc_acc": safe_ratio(c("loc"), c("bugs")), "rep_acc": safe_ratio(c("rep"), c("bugs"))})
+    return {"seq_acc": safe_ratio(c("same"), c("n")), "loc_and_rep_acc": safe_ratio(c("both"), c("bugs")), "bug_free_class_acc": safe_ratio(c("free"), c("n") - c("bugs")), "loc_acc": safe_ratio(c("loc"), c("bugs")), "rep_acc": safe_ratio(c("rep"), c("bugs"))}
 
 
-def edit_accuracy(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+misuse_accuracy = MetricSet(_misuse_counts, _misuse_values)
+_EDITS = {"add_acc": "add_node", "rep_val_acc": "replace_val", "rep_type_acc": "replace_type", "del_acc": "del_node"}
+
+
+def _edit_counts(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of edits found by any beam, in all and by operation. Targets of other operations count in all and are never right."""
-    ops = {"add_acc": "add_node", "rep_val_acc": "replace_val", "rep_type_acc": "replace_type", "del_acc": "del_node"}
     op, hit = F.element_at(words(F.col("target")), 1), F.array_contains("beam", F.col("target"))
-    cells = [x for name, o in ops.items() for x in (F.count_if(op == o).alias(f"n_{name}"), F.count_if((op == o) & hit).alias(f"h_{name}"))]
-    s = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(op.isin(*ops.values()) & hit).alias("h"), *cells)
-    return _metrics(s, by, {"total_acc": safe_ratio(F.col("h"), F.col("n")), **{name: safe_ratio(F.col(f"h_{name}"), F.col(f"n_{name}")) for name in ops}})
+    cells = [x for name, o in _EDITS.items() for x in (_flag(op == o).alias(f"n_{name}"), _flag((op == o) & hit).alias(f"h_{name}"))]
+    return pred.select(*keys, F.lit(1).alias("n"), _flag(op.isin(*_EDITS.values()) & hit).alias("h"), *cells)
+
+
+def _edit_values() -> dict[str, Column]:
+    return {"total_acc": safe_ratio(F.col("h"), F.col("n")), **{name: safe_ratio(F.col(f"h_{name}"), F.col(f"n_{name}")) for name in _EDITS}}
 
 
-def class_accuracy(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+edit_accuracy = MetricSet(_edit_counts, _edit_values)
+
+
+def _class_counts(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of targets that any beam equals."""
-    s = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("beam", F.col("target"))).alias("h"))
-    return _metrics(s, by, {"class_acc": safe_ratio(F.col("h"), F.col("n"))})
+    return pred.select(*keys, F.lit(1).alias("n"), _flag(F.array_contains("beam", F.col("target"))).alias("h"))
+
+
+class_accuracy = MetricSet(_class_counts, lambda: {"class_acc": safe_ratio(F.col("h"), F.col("n"))})
 
 
-def known_class_accuracy(pred: DataFrame, by: Sequence[str] = (), classes: Sequence[str] = ()) -> DataFrame:
+def _known_counts(pred: DataFrame, keys: Sequence[str], classes: Sequence[str] = ()) -> DataFrame:
     """Accuracy over all, over each class that occurs, and the mean of these. Targets must carry CLASS_ and be of the known classes."""
     target = strip(F.col("target"))
     known = target.contains(CLASS_PREFIX) & remove_prefix(target, CLASS_PREFIX).isin(*classes)
-    rows = pred.select(*by, F.when(known, target).otherwise(F.raise_error(F.concat(F.lit("unknown class: "), target))).alias("c"), (strip(_one_beam()) == target).cast("int").alias("ok"))
-    per = rows.groupBy(*by, "c").agg(F.sum("ok").alias("h"), F.count(F.lit(1)).alias("n"))
-    s = per.groupBy(*by).agg(_sum("h").alias("h"), _sum("n").alias("n"), F.avg(safe_ratio(F.col("h"), F.col("n"))).alias("m"))
-    total = _metrics(s, by, {"accuracy": safe_ratio(F.col("h"), F.col("n")), "mean_per_class_accuracy": F.coalesce("m", F.lit(0.0))})
-    return total.unionByName(per.select(*by, F.concat(F.lit("accuracy_"), "c").alias("metric"), safe_ratio(F.col("h"), F.col("n")).alias("value")))
+    rows = pred.select(*keys, F.when(known, target).otherwise(F.raise_error(F.concat(F.lit("unknown class: "), target))).alias("c"), (strip(_one_beam()) == target).cast("int").alias("ok"))
+    own = [(i, remove_prefix(F.col("c"), CLASS_PREFIX) == c) for i, c in enumerate(classes)]
+    return rows.select(*keys, *[_flag(o).alias(f"n_{i}") for i, o in own], *[F.when(o, F.col("ok")).otherwise(0).alias(f"h_{i}") for i, o in own], F.when(F.col("c").isNotNull(), 1).alias("n"), F.col("ok").alias("h"))
 
 
-def repair_metrics(pred: DataFrame, by: Sequence[str] = (), parse: Callable[[Column], Column] = parse_pointer, raw_total: int = 0, raw_total_buggy: int = 0) -> DataFrame:
+def _known_values(classes: Sequence[str] = ()) -> dict[str, Column]:
+    ratios = [F.when(F.col(f"n_{i}") > 0, safe_ratio(F.col(f"h_{i}"), F.col(f"n_{i}"))) for i in range(len(classes))]
+    there = sum((F.when(r.isNotNull(), 1).otherwise(0) for r in ratios), F.lit(0))
+    mean = safe_ratio(sum((F.coalesce(r, F.lit(0.0)) for r in ratios), F.lit(0.0)), there)
+    return {"accuracy": safe_ratio(F.col("h"), F.col("n")), "mean_per_class_accuracy": mean, **{f"accuracy_{CLASS_PREFIX}{c}": r for c, r in zip(classes, ratios, strict=True)}}
+
+
+known_class_accuracy = MetricSet(_known_counts, _known_values)
+
+
+def _repair_counts(pred: DataFrame, keys: Sequence[str], parse: Callable[[Column], Column] = parse_pointer, raw_total: int = 0, raw_total_buggy: int = 0) -> DataFrame:
     """Classification, localisation and repair of misused variables; place 1 means free of bugs.
 
     A prediction that names no place is a syntax error and wrong in everything but whole equality, which it cannot reach
@@ -149,14 +210,15 @@ def repair_metrics(pred: DataFrame, by: Sequence[str] = (), parse: Callable[[Col
     if bool(raw_total) != bool(raw_total_buggy):
         raise ValueError("raw_total and raw_total_buggy go together")
     p, t = strip(_one_beam()), strip(F.col("target"))
-    rows = pred.select(*by, p.alias("p"), t.alias("t")).withColumns({"a": parse(F.col("t")), "b": parse(F.col("p"))})
+    rows = pred.select(*keys, p.alias("p"), t.alias("t")).withColumns({"a": parse(F.col("t")), "b": parse(F.col("p"))})
     rows = rows.withColumn("a", F.when(F.col("a").isNotNull(), F.col("a")).otherwise(F.raise_error(F.concat(F.lit("not a target of repairs: "), "t"))))
     a, b, same = F.col("a"), F.col("b"), F.col("p") == F.col("t")
     bug, ok = b != 1, b.isNotNull()
-    s = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(a != 1).alias("buggy"), F.count_if(~ok).alias("bad"), F.count_if(ok & same).alias("same"), F.count_if(bug & (a != 1)).alias("tp"),
-        F.count_if(ok & (bug == (a != 1))).alias("true"), F.count_if(bug & (a == b)).alias("loc"), F.count_if(bug & same).alias("rep"),
-    )
+    flags = {"buggy": a != 1, "bad": ~ok, "same": ok & same, "tp": bug & (a != 1), "true": ok & (bug == (a != 1)), "loc": bug & (a == b), "rep": bug & same}
+    return rows.select(*keys, F.lit(1).alias("n"), *[_flag(c).alias(k) for k, c in flags.items()])
+
+
+def _repair_values(parse: Callable[[Column], Column] = parse_pointer, raw_total: int = 0, raw_total_buggy: int = 0) -> dict[str, Column]:
     c = F.col
     out = {
         "total": c("n"), "total_buggy": c("buggy"), "true": safe_ratio(c("true"), c("n")), "sequence_accuracy": safe_ratio(c("same"), c("n")), "true_positive": safe_ratio(c("tp"), c("buggy")), "localized": safe_ratio(c("loc"), c("buggy")),
@@ -165,7 +227,10 @@ def repair_metrics(pred: DataFrame, by: Sequence[str] = (), parse: Callable[[Col
     if raw_total:
         share = lambda k, n: safe_ratio(c(k), F.lit(n))
         out |= {"raw_true": share("true", raw_total), "raw_true_positive": share("tp", raw_total_buggy), "raw_localized": share("loc", raw_total_buggy), "raw_localized_and_repaired": share("rep", raw_total_buggy)}
-    return _metrics(s, by, out)
+    return out
+
+
+repair_metrics = MetricSet(_repair_counts, _repair_values)
 
 
 def sentence_bleu(pred: Column, target: Column) -> Column:
@@ -177,7 +242,7 @@ def sentence_bleu(pred: Column, target: Column) -> Column:
     return F.when((a == 0) & (b == 0), 1.0).when(a == 0, 0.0).otherwise(by_n)
 
 
-def completion_metrics(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _completion_counts(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Means of the expected and the longest run of right tokens, of the beam with the best expectation, and BLEU of the first beam."""
     target = words(F.col("target"))
 
@@ -187,8 +252,14 @@ def completion_metrics(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     best = F.array_max(F.transform("beam", score))
     rows = pred.withColumns({"_b": best, "_p": bleu_tokens(F.element_at("beam", 1)), "_t": bleu_tokens(F.col("target"))})
-    s = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _sum("_b.e").alias("e"), _sum("_b.l").alias("l"), _sum(100 * sentence_bleu(F.col("_p"), F.col("_t"))).alias("bleu"))
-    return _metrics(s, by, {"average_expected_successive_tokens": safe_ratio(F.col("e"), F.col("n")), "average_max_successive_tokens": safe_ratio(F.col("l"), F.col("n")), "bleu": safe_ratio(F.col("bleu"), F.col("n"))})
+    return rows.select(*keys, F.lit(1).alias("n"), F.col("_b.e").alias("e"), F.col("_b.l").alias("l"), (100 * sentence_bleu(F.col("_p"), F.col("_t"))).alias("bleu"))
+
+
+def _completion_values() -> dict[str, Column]:
+    return {"average_expected_successive_tokens": safe_ratio(F.col("e"), F.col("n")), "average_max_successive_tokens": safe_ratio(F.col("l"), F.col("n")), "bleu": safe_ratio(F.col("bleu"), F.col("n"))}
+
+
+completion_metrics = MetricSet(_completion_counts, _completion_values)
 
 
 #: Classes by task; the names of the tasks are those under which results are asked for.
@@ -222,21 +293,77 @@ def evaluate(pred: DataFrame, name: str, **options) -> DataFrame:
     return EVALUATORS[name](pred, **options)
 
 
-def bootstrap(pred: DataFrame, metrics: Metrics, samples: int, intervals: Sequence[int], seed: int = 42) -> DataFrame:
-    """Rows (metric, ci, lower, upper): bounds of each metric over samples drawn by hash with replacement.
+def _opened(metrics: Metrics) -> tuple[MetricSet, dict]:
+    return (metrics.func, metrics.keywords) if isinstance(metrics, partial) else (metrics, {})
+
+
+def _bounds(sums: DataFrame, values: dict[str, Column], samples: int, intervals: Sequence[int]) -> DataFrame:
+    """Rows (metric, ci, lower, upper) of sums by sample."""
+    found = _metrics(sums, ["sample"], values).where("value is not null").groupBy("metric").agg(F.array_sort(F.collect_list("value")).alias("v"))  # `samples` values
+    bounds = [F.struct(F.lit(ci).alias("ci"), F.col("v")[lo].alias("lower"), F.col("v")[hi].alias("upper")) for ci in intervals for lo, hi in [bootstrap_bounds(samples, ci)]]
+    return found.select("metric", F.explode(F.array(*bounds)).alias("x")).select("metric", "x.ci", "x.lower", "x.upper")
+
+
+def _hash_draw(seed: int) -> Callable[[Column, Column, int], Column]:
+    return lambda sample, at, n: F.pmod(F.xxhash64(F.lit(seed), sample, at), F.lit(n))
+
 
-    idx must run from 0 without gaps. Draws are counted by row before they meet the predictions; a row drawn k times in a
-    sample stands k times in it, each time as a row of its own.
+def bootstrap(pred: DataFrame, metrics: Metrics, samples: int, intervals: Sequence[int], seed: int = 42, draw: Callable[[Column, Column, int], Column] | None = None) -> DataFrame:
+    """Rows (metric, ci, lower, upper): bounds of each metric over samples drawn with replacement, each draw by a hash.
+
+    idx must run from 0 without gaps. draw(sample, at, n) gives the row of a sample's draw. Rows are judged once; their numbers
+    meet the draws, and a sample's numbers are summed where they meet. Work and shuffle grow with rows times samples: for many
+    rows see bootstrap_in_blocks().
     """
     if any(not 50 <= ci < 100 for ci in intervals):
         raise ValueError("intervals lie from 50 to 99")
+    judge, options = _opened(metrics)
     n = pred.count()
-    draws = pred.sparkSession.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"), F.col("id"))
-    drawn = draws.select("sample", F.pmod(F.xxhash64(F.lit(seed), "sample", "id"), F.lit(max(1, n))).alias("idx")).groupBy("sample", "idx").agg(F.count(F.lit(1)).cast("int").alias("_k"))
-    rows = drawn.join(pred, "idx").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).withColumn("idx", F.struct("idx", "_copy")).drop("_k", "_copy")
-    found = metrics(rows, by=["sample"]).groupBy("metric").agg(F.array_sort(F.collect_list("value")).alias("v"))  # `samples` values
-    bounds = [F.struct(F.lit(ci).alias("ci"), F.col("v")[lo].alias("lower"), F.col("v")[hi].alias("upper")) for ci in intervals for lo, hi in [bootstrap_bounds(samples, ci)]]
-    return found.select("metric", F.explode(F.array(*bounds)).alias("x")).select("metric", "x.ci", "x.lower", "x.upper")
+    rows = judge.counts(pred, ["idx"], **options)
+    each = pred.sparkSession.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"), F.col("id"))
+    drawn = each.select("sample", (draw or _hash_draw(seed))(F.col("sample"), F.col("id"), max(1, n)).alias("idx"))
+    sums = drawn.join(rows, "idx").groupBy("sample").agg(*[_sum(c).alias(c) for c in rows.columns if c != "idx"])
+    return _bounds(sums, judge.values(**options), samples, intervals)
+
+
+#: Rows that one task of bootstrap_in_blocks() draws from.
+BLOCK_ROWS = 100_000
+
+
+def bootstrap_in_blocks(pred: DataFrame, metrics: Metrics, samples: int, intervals: Sequence[int], seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """bootstrap() in one pass over rows (idx, ...), without a row for each draw; idx only deals the rows to blocks.
+
+    How many of a sample's n draws fall in each block is one multinomial draw over the blocks' sizes, the same in all tasks; how often each
+    row of a block is drawn is another one over the block. Together that is n draws with replacement over all rows. Rows of a
+    block with equal numbers are drawn as one. Only sums by block and sample are shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    if any(not 50 <= ci < 100 for ci in intervals):
+        raise ValueError("intervals lie from 50 to 99")
+    judge, options = _opened(metrics)
+    rows = judge.counts(pred, ["idx"], **options)
+    names = [c for c in rows.columns if c != "idx"]
+    blocks = max(1, -(-pred.count() // block_rows))
+    block = F.pmod(F.xxhash64(F.lit(seed), "idx"), F.lit(blocks)).cast("int")
+    sizes = {r[0]: r[1] for r in pred.groupBy(block.alias("block")).count().collect()}  # a number for each block
+    share = np.array([sizes.get(k, 0) for k in range(blocks)])
+
+    def drawn(table: pa.Table) -> pa.Table:
+        own = table.column("block")[0].as_py()
+        numbers = np.stack([table.column(c).cast(pa.float64()).fill_null(0.0).to_numpy() for c in names], 1)
+        kinds, many = np.unique(numbers, axis=0, return_counts=True)
+        out = np.empty((samples, len(names)))
+        for s in range(samples):
+            here = np.random.default_rng([seed, s]).multinomial(share.sum(), share / share.sum())[own]
+            times = np.random.default_rng([seed, s, own]).multinomial(here, many / many.sum())
+            out[s] = np.einsum("i,ij->j", times.astype(float), kinds)
+        return pa.table({"sample": np.arange(samples, dtype=np.int32), **{c: out[:, k] for k, c in enumerate(names)}})
+
+    parts = rows.select(block.alias("block"), *names).groupBy("block").applyInArrow(drawn, ", ".join(["sample int", *[f"`{c}` double" for c in names]]))
+    sums = parts.groupBy("sample").agg(*[_sum(c).alias(c) for c in names])
+    return _bounds(sums, judge.values(**options), samples, intervals)
 
 
 def report(metrics: DataFrame, total: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphprep.functions import text as T
 from graphprep.operators import evaluate as V
+from graphprep.operators.metrics import bootstrap_bounds
 from graphprep.plans.examples import table
 from graphprep.plans.queries import _PT, _RATIO, _pred, counted, query
 
@@ -175,10 +176,26 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.report(per).union(table(spark, sf_dir, "labels").agg(F.format_string("total: %d", F.count(F.lit(1))).alias("line")))
 
 
-@counted
+_DRAW = "('0x' || substr(md5('boot:' || {} || ':' || {}), 1, 13))::BIGINT"
+
+
+@query(f"""WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, CASE WHEN quality = 1 - toxic THEN 1 ELSE 0 END AS ok FROM labels), n AS (SELECT count(*) AS n FROM labels),
+    d AS (SELECT s, {_DRAW.format("CAST(s AS VARCHAR)", "CAST(idx AS VARCHAR)")} % n AS at FROM l, n, range(50) r(s)), v AS (SELECT s, avg(ok) AS v FROM d JOIN l ON l.idx = d.at GROUP BY s), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM v)
+    SELECT 'class_acc' AS metric, ci, round(min(v) FILTER (WHERE k = lo), 9) AS lower, round(min(v) FILTER (WHERE k = hi), 9) AS upper FROM o, (VALUES (80, {bootstrap_bounds(50, 80)[0]}, {bootstrap_bounds(50, 80)[1]}), (90, {bootstrap_bounds(50, 90)[0]}, {bootstrap_bounds(50, 90)[1]})) c(ci, lo, hi) GROUP BY ci""")
 def eval_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds of class accuracy over 50 samples of the labelled documents."""
+    """Bounds of class accuracy over 50 samples of the labelled documents, drawn by MD5."""
     from graphprep.operators.builders import running_starts
 
+    def draw(sample: F.Column, at: F.Column, n: int) -> F.Column:
+        said = F.md5(F.concat_ws(":", F.lit("boot"), sample.cast("string"), at.cast("string")))
+        return F.pmod(F.conv(F.substring(said, 1, 13), 16, 10).cast("bigint"), F.lit(n))
+
     rows = table(spark, sf_dir, "labels").select("doc_id", F.array(F.col("quality").cast("string")).alias("beam"), (1 - F.col("toxic")).cast("string").alias("target"), F.lit(1).alias("one"))
-    return V.bootstrap(running_starts(rows, "doc_id", "one", "idx").drop("one"), V.class_accuracy, 50, (80, 90))
+    found = V.bootstrap(running_starts(rows, "doc_id", "one", "idx").drop("one"), V.class_accuracy, 50, (80, 90), draw=draw)
+    return found.select("metric", "ci", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"))
+
+
+@counted
+def eval_bootstrap_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of all name metrics of turns over 100 samples, in one pass over blocks of turns."""
+    return V.bootstrap_in_blocks(_turns(spark, sf_dir), V.name_prf, 100, (80, 95))

@@ -259,3 +259,25 @@ def test_sparse_batches(spark):
         every = [dict(zip(names, d)) for d in data[k - len(b.example_ids) : k]]
         assert b.copy_in == [x + s for w, s in zip(every, b.node_splits) for x in w["copy_in"]] and b.pointer_out == [x + s for w, s in zip(every, b.output_splits) for x in w["pointer_out"]]
         assert b.candidate_indices == [x + s for w, s in zip(every, b.node_splits) for x in w["candidate_indices"]] and out is not None
+
+
+def test_bootstrap_in_blocks(spark):
+    """Draws over blocks are draws over all rows: as many, and spread as the binomial distribution says."""
+    from functools import partial
+
+    from graphprep.operators import evaluate as V
+
+    n, samples = 900, 600
+    rows = spark.createDataFrame([(i, [str(i % 3)], "1") for i in range(n)], "idx long, beam array<string>, target string")
+    got = {r.ci: (r.lower, r.upper) for r in V.bootstrap_in_blocks(rows, V.class_accuracy, samples, (68, 95), block_rows=100).collect()}
+    p = 1 / 3
+    sd = math.sqrt(p * (1 - p) / n)
+    assert all(abs(got[ci][0] - (p - z * sd)) < 0.3 * sd and abs(got[ci][1] - (p + z * sd)) < 0.3 * sd for ci, z in ((68, 0.468), (95, 1.645)))  # from 100 - ci to ci per cent
+    again = {r.ci: (r.lower, r.upper) for r in V.bootstrap_in_blocks(rows.repartition(7), V.class_accuracy, samples, (68, 95), block_rows=100).collect()}
+    assert again == got
+    # Every sample has n draws, and options reach the set.
+    known = spark.createDataFrame([(i, ["CLASS_a" if i % 2 else "CLASS_b"], "CLASS_a") for i in range(50)], "idx long, beam array<string>, target string")
+    found = V.bootstrap_in_blocks(known, partial(V.known_class_accuracy, classes=("a", "b")), 40, (90,), block_rows=20).collect()
+    assert {r.metric for r in found} == {"accuracy", "mean_per_class_accuracy", "accuracy_CLASS_a"} and all(0.2 < r.lower < 0.5 < r.upper < 0.8 for r in found)
+    ones = V.MetricSet(lambda pred, keys: pred.select(*keys, F.lit(1).alias("n")), lambda: {"n": F.col("n")})
+    assert {(r.lower, r.upper) for r in V.bootstrap_in_blocks(rows, ones, 30, (90,), block_rows=70).collect()} == {(float(n), float(n))}
