@@ -250,3 +250,24 @@ def decode_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
         return there.select("seq", ((F.col("at") * 7 + best) % n).alias("at"), (F.col("step") + 1).alias("step")).withColumn("done", F.col("at") % 5 == 0).select("seq", "at", "step", "done")
 
     return K.decode_loop(start, advance, most=8).withColumnRenamed("at", "place")
+
+
+@query(f"""WITH RECURSIVE {_W}, t AS (SELECT item_id, 0 AS step, 0 AS place, CAST([] AS BIGINT[]) AS copies, '' AS word, l FROM w UNION ALL
+    SELECT item_id, step + 1, q, list_filter(range(len(l)), lambda i: l[i + 1] = l[q + 1]), l[q + 1], l FROM (SELECT *, (coalesce(copies[-1], 0) * 3 + step + 1) % len(l) AS q FROM t) WHERE step < 4)
+    SELECT CAST(item_id AS VARCHAR) AS example_id, string_agg(word, ' ' ORDER BY step) AS said, sum(len(copies))::BIGINT AS n_copies, sum(coalesce(list_sum(copies), 0))::BIGINT AS places FROM t WHERE step > 0 GROUP BY item_id""")
+def decoded_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four words of each item, each chosen from the last of the nodes that could have been copied for the one before."""
+    from graphprep.operators import decoding
+
+    items = _items(spark, sf_dir)
+    rows, vocab = items.select("example_id", F.col("nodes.label").alias("node_texts")), D.vocabularies(items, 200)
+
+    def choose(states: DataFrame) -> DataFrame:
+        sized = states.join(rows.select("example_id", F.size("node_texts").alias("n")), "example_id")
+        last = F.coalesce(F.try_element_at("copies", F.lit(-1)), F.lit(0))
+        return sized.select("example_id", F.lit("copy").alias("head"), ((last * 3 + F.col("step") + 1) % F.col("n")).alias("choice"))
+
+    states = decoding.decode(rows, vocab, choose, 4).where("step > 0")
+    total = F.aggregate("copies", F.lit(0).cast("bigint"), lambda s, v: s + v)
+    sums = states.groupBy("example_id").agg(F.sum(F.size("copies")).cast("bigint").alias("n_copies"), F.sum(total).cast("bigint").alias("places"))
+    return decoding.outputs(states).join(sums, "example_id")
