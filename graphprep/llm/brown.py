@@ -107,10 +107,20 @@ def exchange(left: np.ndarray, right: np.ndarray, counts: np.ndarray, cls: np.nd
     return cls
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, the lowest bytes of all of them first and the highest last: where most are small, most of it is zeros."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def code(docs: DataFrame) -> DataFrame:
     """Rows (chunk, words, n, ids, sizes, doc_ids, held) of docs (doc_id, held_out, text), one for each chunk of texts.
 
-    words[0] is END; n: occurrences in texts that are not held out; ids: the words' numbers (int32), END behind each text;
+    words[0] is END; n: occurrences in texts that are not held out; ids: the words' numbers (_planes() of int32), END behind each text;
     sizes, doc_ids, held: of each text. Null texts count as empty.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -128,7 +138,7 @@ def code(docs: DataFrame) -> DataFrame:
             flat, out_of = np.array(ids, np.int32), np.array(held, bool)
             n = np.bincount(flat[np.repeat(~out_of, sizes)], minlength=len(words))
             one = lambda values, kind: pa.array([values], pa.list_(kind))
-            made = [pa.array([number]), one(list(words), pa.binary()), one(n.astype(np.int32), pa.int32()), pa.array([flat.tobytes()], pa.binary()), one(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(doc_ids)), one(held, pa.bool_())]
+            made = [pa.array([number]), one(list(words), pa.binary()), one(n.astype(np.int32), pa.int32()), pa.array([_planes(flat)], pa.binary()), one(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(doc_ids)), one(held, pa.bool_())]
             number += 1
             words.clear()
             for x in (ids, sizes, doc_ids, held):
@@ -160,7 +170,7 @@ def code(docs: DataFrame) -> DataFrame:
 
 def _bigrams(ids: bytes, sizes: pa.Array, held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words before and of the words, over all texts that are not held out."""
-    now = np.frombuffer(ids, np.int32)
+    now = _from_planes(ids, np.int32)
     before = np.concatenate([np.zeros(min(1, len(now)), np.int32), now[:-1]])
     own = np.repeat(~np.array(held.to_pylist(), bool), np.array(sizes.to_pylist(), np.int64))
     return before[own], now[own]
@@ -268,7 +278,7 @@ def _settled(rows: DataFrame, tasks: int, toward: np.ndarray, by_chunk: bool) ->
         starts = np.flatnonzero(np.r_[True, chunk[seen][1:] != chunk[seen][:-1]])
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(seen)], strict=True):
             own = seen[lo:hi]
-            packed = [ids[own].tobytes(), total[w[own]].tobytes(), cls[w[own]].tobytes()]
+            packed = [_planes(ids[own]), _planes(total[w[own]]), cls[w[own]].tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([chunk[own[0]]]), *(pa.array([x], pa.binary()) for x in packed)], names=["chunk", "ids", "ns", "classes"])
 
     schema = "chunk long, ids binary, ns binary, classes binary" if by_chunk else "word binary, n long, cls int"
@@ -297,7 +307,7 @@ def _classified(coded: DataFrame, known: DataFrame, frequent: dict[bytes, tuple[
                 if get("chunk").as_py() != chunk:
                     chunk, held = get("chunk").as_py(), []
                 if not get("kind").as_py():
-                    held.append(tuple(np.frombuffer(get(c).as_py(), t) for c, t in (("ids", np.int32), ("ns", np.int64), ("classes", np.uint8))))
+                    held.append(tuple(_from_planes(get(c).as_py(), t) for c, t in (("ids", np.int32), ("ns", np.int64), ("classes", np.uint8))))
                     continue
                 words = get("words").values.to_pylist()
                 n, cls = np.zeros(len(words), np.int64), np.full(len(words), unseen, np.uint8)
@@ -305,7 +315,7 @@ def _classified(coded: DataFrame, known: DataFrame, frequent: dict[bytes, tuple[
                     n[i], cls[i] = count, c
                 for ids, ns, classes in held:
                     n[ids], cls[ids] = ns, classes
-                tokens = np.frombuffer(get("ids").as_py(), np.int32)
+                tokens = _from_planes(get("ids").as_py(), np.int32)
                 sizes = get("sizes").values.to_numpy()
                 starts = np.cumsum(sizes) - sizes
                 sums = lambda by_word: np.add.reduceat(by_word[tokens], starts)  # noqa: B023, E731
@@ -430,7 +440,7 @@ def _looked_up(coded: DataFrame, model: BrownModel) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, chunk[order][1:] != chunk[order][:-1]]).tolist()
             for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
                 own = order[lo:hi]
-                packed = [b.column(c).to_numpy()[own].astype(t).tobytes() for c, t in (("id", np.int32), ("n", np.int64), ("cls", np.uint8))]
+                packed = [_planes(b.column(c).to_numpy()[own].astype(t)) for c, t in (("id", np.int32), ("n", np.int64), ("cls", np.uint8))]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk[own[0]]]), *(pa.array([x], pa.binary()) for x in packed)], names=["chunk", "ids", "ns", "classes"])
 
     known = map_batches(each.select("chunk", "id", "n", "cls"), run, kind, caches="brown")
