@@ -80,7 +80,7 @@ def op7_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphprep.llm.wordbpe import token_pieces
 
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
-        pieces = token_pieces(_documents(spark, sf_dir), f.read(), WINDOW).drop("ids")
+        pieces = token_pieces(_documents(spark, sf_dir), f.read(), WINDOW, with_ids=False)
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -90,11 +90,11 @@ class WordEncoder:
         return [b"".join(map(get, ps)) for ps in cut]
 
 
-def token_pieces(docs, definition: str, window: int, end_id: int = 0):
+def token_pieces(docs, definition: str, window: int, end_id: int = 0, with_ids: bool = True):
     """Rows (doc_id, piece, start, length, ids_crc32, ids): each text's ids and end_id, cut every `window` ids.
 
     definition is the tokenizer's JSON text, not its path: executors need no file. ids are little-endian unsigned 32-bit
-    numbers in a binary column. Null texts count as empty and give end_id alone. Rows with null or repeated doc_ids are
+    numbers in a binary column, left out without with_ids. Null texts count as empty and give end_id alone. Rows with null or repeated doc_ids are
     encoded like any other; other columns are not read.
     """
     import zlib
@@ -111,10 +111,9 @@ def token_pieces(docs, definition: str, window: int, end_id: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_of(sent.value)
         for b in batches:
-            raws = text_bytes(b.column(1))
-            for lo in range(0, len(raws), 1000):
+            for lo in range(0, b.num_rows, 1000):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, x in enumerate(encode(raws[lo : lo + 1000]), lo):
+                for i, x in enumerate(encode(text_bytes(b.column(1).slice(lo, 1000))), lo):
                     x += end
                     for p, at in enumerate(range(0, len(x), step)):
                         part = x[at : at + step]
@@ -123,13 +122,12 @@ def token_pieces(docs, definition: str, window: int, end_id: int = 0):
                         start.append(at // 4)
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
-                        ids.append(part)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
-                )
+                        if with_ids:
+                            ids.append(part)
+                made = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(ids, pa.binary())] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary", caches="wordbpe")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""), caches="wordbpe")
 
 
 def encoder_of(definition: str) -> WordEncoder:
