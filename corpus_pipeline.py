@@ -49,7 +49,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
-        pieces = token_pieces(docs, f.read(), WINDOW).drop("ids")
+        pieces = token_pieces(docs, f.read(), WINDOW, with_ids=False)
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
