@@ -13,16 +13,18 @@ def violations(examples: DataFrame) -> DataFrame:
     """Add violations, the names of the rules that an example breaks: ids, edges and pointers must fit together."""
     n = F.size("nodes")
     ids = F.col("nodes.id")
+    # Inside a lambda what makes the nodes would run again for every edge: their number comes in as a variable.
+    with_n = lambda use: F.element_at(F.transform(F.array(n), use), 1)
     rules = {
         "V1_missing_part": F.col("nodes").isNull() | F.col("edges").isNull() | F.col("output").isNull(),
         "V2_node_field": F.exists("nodes", lambda x: x["id"].isNull() | x["type"].isNull() | x["label"].isNull()),
         "V3_repeated_id": F.size(F.array_distinct(ids)) < n,
         "V4_ids_not_contiguous": (n == 0) | (F.array_min(ids) != 0) | (F.array_max(ids) != n - 1),
-        "V5_edge_end": F.exists("edges", lambda e: e["src"].isNull() | e["dst"].isNull() | (e["src"] < 0) | (e["dst"] < 0) | (e["src"] >= n) | (e["dst"] >= n)),
+        "V5_edge_end": with_n(lambda m: F.exists("edges", lambda e: e["src"].isNull() | e["dst"].isNull() | (e["src"] < 0) | (e["dst"] < 0) | (e["src"] >= m) | (e["dst"] >= m))),
         "V6_edge_type": F.exists("edges", lambda e: e["type"].isNull()),
         # Distinct strings are found by hashing, distinct structs by comparing all with all.
         "V7_repeated_edge": F.size(F.array_distinct(F.transform("edges", lambda e: F.concat_ws("/", e["src"].cast("string"), e["dst"].cast("string"), e["type"])))) < F.size("edges"),
-        "V8_pointer_range": F.exists("output", lambda o: (o["pointer"] < 0) | (o["pointer"] >= n)),
+        "V8_pointer_range": with_n(lambda m: F.exists("output", lambda o: (o["pointer"] < 0) | (o["pointer"] >= m))),
     }
     return examples.withColumn("violations", F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(name)) for name, r in rules.items()])))
 

@@ -137,7 +137,7 @@ def _read_code2seq(spark: SparkSession, path: str) -> DataFrame:
     parts = drop_empty(F.split("value", " ", -1))
     bar = lambda x: F.split(x, r"\|", -1)
     fields = F.filter(F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.split(p, ",", -1)), lambda f: F.size(f) == 3)
-    path_of = lambda f: F.struct(bar(f[0]).alias("start"), bar(f[1]).alias("ast"), bar(f[2]).alias("end"))
+    path_of = lambda f: F.struct(bar(F.get(f, F.lit(0))).alias("start"), bar(F.get(f, F.lit(1))).alias("ast"), bar(F.get(f, F.lit(2))).alias("end"))
     return rows.select("example_id", split_by_end(F.col("file"), _ENDS).alias("split"), F.col("file").alias("provenance"), bar(F.element_at(parts, 1)).alias("name"), F.transform(fields, path_of).alias("paths"))
 
 
@@ -152,12 +152,12 @@ def _read_funcom(spark: SparkSession, path: str) -> DataFrame:
     sides = []
     for side in ("functions", "comments"):
         rows = spark.read.text(path, pathGlobFilter=f"{side}.*").select(F.col("_metadata.file_name").alias("file"), F.split("value", "\t", -1).alias("p")).where("size(p) = 2")
-        sides.append(rows.select(split_by_end(F.col("file"), _BY_LAST).alias("split"), F.col("p")[0].alias("id"), F.col("p")[1].alias(side)))
+        sides.append(rows.select(split_by_end(F.col("file"), _BY_LAST).alias("split"), F.get("p", F.lit(0)).alias("id"), F.get("p", F.lit(1)).alias(side)))
     both = sides[0].join(sides[1], ["split", "id"])
     return both.select(F.concat_ws(":", "split", "id").alias("example_id"), "split", F.col("id").alias("provenance"), "functions", "comments")
 
 
-_GREAT = "source_tokens array<string>, edges array<array<string>>, has_bug boolean, error_location int, repair_targets array<int>, repair_candidates array<string>, provenances string"
+_GREAT = "source_tokens array<string>, edges array<array<string>>, has_bug boolean, error_location int, repair_targets array<int>, repair_candidates string, provenances string"
 
 
 def _read_great(spark: SparkSession, path: str) -> DataFrame:
@@ -169,7 +169,7 @@ def _read_great(spark: SparkSession, path: str) -> DataFrame:
 
 def _read_retrieve(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).withColumn("p", F.split("value", "\t", -1)).where("size(p) = 4")
-    fields = [F.col("p")[i].alias(c) for i, c in enumerate(("name", "comment", "arguments", "function"))]
+    fields = [F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("name", "comment", "arguments", "function"))]
     return rows.select("example_id", split_by_end(F.col("file"), _BY_LAST).alias("split"), F.col("file").alias("provenance"), *fields)
 
 
@@ -196,7 +196,7 @@ def _read_dummy(spark: SparkSession, path: str) -> DataFrame:
 register(Source("code2seq_dataset", _read_code2seq, lambda rows: B.path_examples(rows, "paths", F.transform("name", token)), "code2seq_dataset"))
 register(Source("convattn_dataset", _read_convattn, lambda rows: B.chain_examples(rows, F.col("tokens"), F.transform("name", token)), "convattn_dataset"))
 register(Source("funcom_dataset", _read_funcom, lambda rows: B.chain_examples(rows, words(F.col("functions")), F.transform(words(F.col("comments")), token)), "funcom_dataset"))
-register(Source("great_var_misuse_dataset", _read_great, lambda rows: B.misuse_examples(rows, "source_tokens", "links", integers_of(F.to_json("repair_candidates")), "has_bug", "error_location", "repair_targets"), "great_var_misuse_dataset"))
+register(Source("great_var_misuse_dataset", _read_great, lambda rows: B.misuse_examples(rows, "source_tokens", "links", integers_of(F.col("repair_candidates")), "has_bug", "error_location", "repair_targets"), "great_var_misuse_dataset"))
 register(Source("retrieve_and_edit_dataset", _read_retrieve, _three_trees, "retrieve_and_edit_dataset"))
 register(Source("ogb_code_dataset", _read_ogb, lambda rows: rows, "ogb_code_dataset"))
 register(Source("dummy_dataset", _read_dummy, lambda rows: rows))

@@ -18,7 +18,7 @@ def read_paths(spark: SparkSession, path: str) -> DataFrame:
     parts = drop_empty(F.split("value", " ", -1))
     fields = F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.split(p, ",", -1))
     bar = lambda x: F.split(x, r"\|", -1)
-    path_of = lambda f: F.struct(bar(f[0]).alias("start"), bar(f[1]).alias("ast"), bar(f[2]).alias("end"))
+    path_of = lambda f: F.struct(bar(F.get(f, F.lit(0))).alias("start"), bar(F.get(f, F.lit(1))).alias("ast"), bar(F.get(f, F.lit(2))).alias("end"))
     rows = spark.read.text(path).where("value <> ''")
     return rows.select(bar(F.element_at(parts, 1)).alias("name"), F.transform(F.filter(fields, lambda f: F.size(f) == 3), path_of).alias("paths"))
 
@@ -35,7 +35,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Tab-separated fields without quoting; lines with another number of fields drop out."""
     parts = spark.read.text(path).select(F.split("value", "\t", -1).alias("p")).where(F.size("p") == len(columns))
-    return parts.select(*[F.col("p")[i].alias(c) for i, c in enumerate(columns)])
+    return parts.select(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 def read_pairs(spark: SparkSession, left: str, right: str) -> DataFrame:
