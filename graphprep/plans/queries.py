@@ -14,7 +14,7 @@ from graphprep.operators import metrics as M
 from graphprep.operators import rules as R
 from graphprep.operators.kernels import sum_vectors
 from graphprep.plans.examples import document_chains, pointed_chains, spread, table
-from graphprep.schema import SIZE_BUCKETS, TASK_SIZES
+from graphprep.schema import SIZE_BUCKETS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -176,10 +176,11 @@ def oversample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.crossJoin(F.broadcast(most)).select("source", "n", (F.col("most").cast("double") / F.col("n")).alias("weight"))  # one row
 
 
-@query("SELECT task, n, CAST(700708 AS DOUBLE) / n AS weight FROM (VALUES " + ", ".join(f"('{t}', {n}::BIGINT)" for t, n in TASK_SIZES.items()) + ") AS x(task, n)")
+@query("SELECT event_type AS task, count(*) AS n, CAST(max(count(*)) OVER () AS DOUBLE) / count(*) AS weight FROM events GROUP BY event_type")
 def task_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.createDataFrame(list(TASK_SIZES.items()), "task string, n long")
-    return n.withColumn("weight", F.lit(max(TASK_SIZES.values())).cast("double") / F.col("n"))
+    """Kinds of events as tasks, each to be as large as the largest."""
+    n = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.max("n").alias("most")))).select("task", "n", (F.col("most").cast("double") / F.col("n")).alias("weight"))  # one row
 
 
 @query(f"""WITH w AS (SELECT lang, CAST(max(count(*)) OVER () AS DOUBLE) / count(*) AS weight FROM documents GROUP BY lang), d AS (SELECT d.lang, CAST(floor(weight) AS INTEGER) + CASE WHEN ('0x'||substr(md5('copies:'||CAST(doc_id AS VARCHAR)),1,13))::BIGINT < (weight - floor(weight)) * 4503599627370496 THEN 1 ELSE 0 END AS copies FROM documents d JOIN w ON d.lang = w.lang)
@@ -498,11 +499,11 @@ def _digested(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumns({"total": added(lambda v: v), "weighted": added(lambda v, i: v * (i + 1))})
 
 
-@query("SELECT p AS pos, d AS dim, round(CASE WHEN d % 2 = 0 THEN sin(p / pow(10000, d / 16.0)) ELSE cos(p / pow(10000, (d - 1) / 16.0)) END, 9) AS value FROM range(128) a(p), range(16) b(d)")
+@query("SELECT p AS pos, d AS dim, round(CASE WHEN d % 2 = 0 THEN sin(p / pow(10000, d / 16.0)) ELSE cos(p / pow(10000, (d - 1) / 16.0)) END, 9) AS value FROM (SELECT vec_id AS p FROM embeddings) a, range(16) b(d)")
 def positional_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("dim")
     angle = F.col("pos") / F.pow(F.lit(10000.0), (d - d % 2) / 16.0)
-    rows = spark.range(128).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("dim"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("dim"))
     return rows.select("pos", "dim", F.round(F.when(d % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)), 9).alias("value"))
 
 
@@ -649,10 +650,10 @@ def class_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.groupBy(F.element_at(T.linearise(F.col("output"), done=False), 1).alias("target")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_nodes").cast("bigint").alias("n_nodes"))
 
 
-@query("SELECT i AS graph, CAST(10 + i % 91 AS INTEGER) AS n_nodes, CAST(2 * (9 + i % 91) AS INTEGER) AS n_edges, CAST((10 + i % 91 + 1) // 2 AS INTEGER) AS n_candidates FROM range(1000) x(i)")
+@query("SELECT i AS graph, CAST(10 + i % 91 AS INTEGER) AS n_nodes, CAST(2 * (9 + i % 91) AS INTEGER) AS n_edges, CAST((10 + i % 91 + 1) // 2 AS INTEGER) AS n_candidates FROM (SELECT o_orderkey AS i FROM orders) x")
 def synthetic_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of letters; nodes with even ids are candidates."""
-    rows = spark.range(1000).select(F.col("id").alias("graph"), F.transform(F.sequence(F.lit(0).cast("long"), 9 + F.col("id") % 91), lambda i: F.char(97 + (i * 7 + F.col("id")) % 26)).alias("w"))
+    """A chain of letters for each order; nodes with even ids are candidates."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).select(F.col("id").alias("graph"), F.transform(F.sequence(F.lit(0).cast("long"), 9 + F.col("id") % 91), lambda i: F.char(97 + (i * 7 + F.col("id")) % 26)).alias("w"))
     ex = B.repair_examples(rows, F.col("w"), lambda ws, t, i: i % 2 == 0, F.array(T.pointer(F.lit(0))))
     return ex.select("graph", "n_nodes", "n_edges", F.size(F.filter("nodes", lambda n: n["is_repair_candidate"])).alias("n_candidates"))
 
