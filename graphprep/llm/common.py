@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -17,8 +18,8 @@ SPACE = r"[\x20\x09-\x0D]"
 
 _LOCAL_DIR: str | None = None
 _SHIPPED: dict[str, str] = {}
-#: What materialize() has written, by application.
-_WRITTEN: dict[str, list[str]] = {}
+#: What materialize() has written, by application: folders and the threads that wrote them.
+_WRITTEN: dict[str, dict[str, int]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +46,7 @@ def fresh(name: str, df: DataFrame) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back. Survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, {})[path] = threading.get_ident()
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._graphprep_path = path
@@ -53,8 +54,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def written(spark: SparkSession) -> set[str]:
-    """The folders that materialize() has written for this application and that are still there."""
-    return set(_WRITTEN.get(spark.sparkContext.applicationId, []))
+    """The folders that materialize() has written for this application in this thread and that are still there: queries that run
+    beside it in other threads keep theirs."""
+    return {path for path, thread in _WRITTEN.get(spark.sparkContext.applicationId, {}).items() if thread == threading.get_ident()}
 
 
 def discard(spark: SparkSession, paths: set[str]) -> None:
@@ -63,7 +65,7 @@ def discard(spark: SparkSession, paths: set[str]) -> None:
     for path in paths & written(spark):
         where = hadoop(path)
         where.getFileSystem(conf).delete(where, True)
-        _WRITTEN[spark.sparkContext.applicationId].remove(path)
+        del _WRITTEN[spark.sparkContext.applicationId][path]
 
 
 def drop(spark: SparkSession, *frames: DataFrame) -> None:

@@ -96,3 +96,20 @@ def test_identifiers_name_their_bytes():
         for p, x in enumerate(ids.tolist()):
             assert names.setdefault(raw[p : p + gram].tobytes(), x) == x
         assert len(set(names.values())) == len(names)
+
+
+def test_folders_of_other_threads_stay(spark):
+    """What a query leaves is its own to delete, whatever runs beside it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from graphprep.llm import common
+
+    before = common.written(spark)
+    with ThreadPoolExecutor(1) as pool:
+        other = pool.submit(lambda: common.materialize(spark.range(3), "other")).result()
+    own = common.materialize(spark.range(4), "own")
+    assert len(common.written(spark) - before) == 1
+    common.discard(spark, common.written(spark) - before)
+    assert other.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(own._graphprep_path).count()
