@@ -120,7 +120,8 @@ def surrogate_key(spark: SparkSession) -> str:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with personal data replaced, and the number of replacements."""
+    """Every text with personal data replaced, and the number of replacements. Without a key in SURROGATE_KEY the surrogates differ
+    from application to application."""
     from graphprep.llm.pii import replace_entities
 
     return replace_entities(_documents(spark, sf_dir), surrogate_key(spark), count="n_entities").select("doc_id", "n_entities", "text")

@@ -5,8 +5,9 @@ each scaled by its log ratio between the category and the rest, and over the log
 training those log odds are out of fold: what a model fitted on the other folds says of a document. So later models learn
 how far earlier predictions can be trusted, not how well they fit their own training rows.
 
-Counts of features cover all labelled documents. Only the weights are fitted on a bounded sample: at most SAMPLE_ROWS
-labelled documents, taken by a hash of the doc_id, and SELECTED features, those with the largest G statistics.
+The fit reads a bounded sample of labelled documents, taken by a hash of the doc_id: features are counted on at most
+COUNTED_ROWS of them, and of these at most SAMPLE_ROWS fit the weights of SELECTED features, those with the largest G
+statistics. Where doc_ids repeat, all rows of a drawn one belong to the sample, up to twice SAMPLE_ROWS rows in all.
 """
 
 from __future__ import annotations
