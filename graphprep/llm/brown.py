@@ -165,7 +165,7 @@ def code(docs: DataFrame) -> DataFrame:
             yield out()
 
     schema = f"chunk long, words array<binary>, n array<int>, ids binary, sizes array<int>, doc_ids array<{kind}>, held array<boolean>"
-    return materialize(map_batches(docs.select("doc_id", "held_out", "text"), run, schema, caches="brown"), "brown-coded")
+    return materialize(map_batches(docs.select("doc_id", "held_out", "text"), run, schema, caches="brown"), "brown-coded", "zstd")
 
 
 def _bigrams(ids: bytes, sizes: pa.Array, held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +328,7 @@ def _classified(coded: DataFrame, known: DataFrame, frequent: dict[bytes, tuple[
 
     met = rows.union(given).repartition("chunk").sortWithinPartitions("chunk", "kind")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, log_n double, classes binary"
-    return materialize(map_batches(met, run, schema, caches="brown"), "brown-classes")
+    return materialize(map_batches(met, run, schema, caches="brown"), "brown-classes", "zstd")
 
 
 def _class_bigrams(classified: DataFrame, wide: int) -> np.ndarray:

@@ -43,11 +43,12 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read it back. Survives the loss of executors."""
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Cut the lineage: write to the shared folder as Parquet and read it back. Survives the loss of executors. zstd takes less room and
+    more time than snappy."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, {})[path] = threading.get_ident()
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._graphprep_path = path
     return out
