@@ -35,6 +35,8 @@ SWEEPS = 3
 PRIOR = 20.0
 #: Tokens of a chunk, about, and rows of chunks' words that one task settles.
 CHUNK_TOKENS, TASK_WORDS = 2_000_000, 250_000
+#: Of a row group of chunks: a chunk fills one, so that a task holds one or two of them, however many it reads.
+GROUP_BYTES = 8 << 20
 #: How often a class stands beside a word: its cell and the number, packed.
 _MET = np.dtype([("cell", "<u2"), ("n", "<u4")])
 #: The end of a text as a word. A word cannot hold a space.
@@ -155,7 +157,7 @@ def code(docs: DataFrame) -> DataFrame:
             yield out()
 
     schema = f"chunk long, words array<binary>, n array<int>, ids binary, sizes array<int>, doc_ids array<{kind}>, held array<boolean>"
-    return materialize(map_batches(docs.select("doc_id", "held_out", "text"), run, schema, caches="brown"), "brown-coded", "zstd")
+    return materialize(map_batches(docs.select("doc_id", "held_out", "text"), run, schema, caches="brown"), "brown-coded", "zstd", GROUP_BYTES)
 
 
 def _bigrams(ids: bytes, sizes: pa.Array, held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +318,8 @@ def _classified(coded: DataFrame, known: DataFrame, frequent: dict[bytes, tuple[
                 ]
                 yield pa.RecordBatch.from_arrays(made, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "log_n", "classes"])
 
-    met = rows.union(given).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    # A chunk or two a task, at any size.
+    met = rows.union(given).repartition(max(1, coded.count()), "chunk").sortWithinPartitions("chunk", "kind")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, log_n double, classes binary"
     return materialize(map_batches(met, run, schema, caches="brown"), "brown-classes", "zstd")
 

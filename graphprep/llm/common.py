@@ -43,12 +43,14 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
-def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy", group_bytes: int = 0) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back. Survives the loss of executors. zstd takes less room and
-    more time than snappy."""
+    more time than snappy. group_bytes, for rows of megabytes: about what a row group holds, so that a reader never has more at once;
+    else one holds 100 rows at least, and its reader all of them."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, {})[path] = threading.get_ident()
-    df.write.option("compression", codec).parquet(path)
+    grouped = {"parquet.block.size": group_bytes, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1} if group_bytes else {}
+    df.write.options(compression=codec, **grouped).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._graphprep_path = path
     return out

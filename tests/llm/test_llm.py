@@ -714,3 +714,20 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     # What the stages left behind has gone, but for their results.
     new = {p.rsplit("/", 1)[1] for p in common.written(spark) - before}
     assert not any(p.startswith(("near-", "line-", "toxicity-", "edges-")) for p in new)
+
+
+def test_wide_rows_have_row_groups_of_their_own(spark):
+    """A reader of chunks holds one or two, however many a file has."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from graphprep.llm.common import drop, materialize
+
+    rows = spark.range(0, 12, 1, 1).select("id", F.expr("cast(repeat(cast(id as string), 1000000) as binary)").alias("b"))
+    made = materialize(rows, "wide", "zstd", 1 << 19)
+    files = glob.glob(made._graphprep_path.removeprefix("file://") + "/*.parquet")
+    assert sum(pq.ParquetFile(f).metadata.num_row_groups for f in files) == 12
+    assert {(r.id, r.n) for r in made.select("id", F.length("b").alias("n")).collect()} == {(i, len(str(i)) * 1000000) for i in range(12)}
+    drop(spark, made)
