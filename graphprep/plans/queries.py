@@ -472,19 +472,13 @@ def bleu_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT count(*) AS n FROM labels), r AS (SELECT toxic, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM labels), d AS (SELECT b, (('0x'||substr(md5(b || ':' || i), 1, 8))::BIGINT % n) AS idx FROM n, range(100) AS x(b), range(n) AS y(i)),
     s AS (SELECT b, avg(toxic) AS v FROM d JOIN r ON d.idx = r.idx GROUP BY b), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM s) SELECT round(max(v) FILTER (WHERE k = 10), 9) AS lower, round(max(v) FILTER (WHERE k = 89), 9) AS upper FROM o""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """90 % bounds of the toxic share from 100 samples drawn by hash with replacement.
-
-    Only how often each row is drawn matters, so draws are counted by row before they meet the values.
-    """
-    ids = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    n = ids.count()
-    rows = ids.withColumn("part", F.floor(F.col("doc_id") / 65536))
-    before = rows.groupBy("part").agg(F.count(F.lit(1)).alias("k")).withColumn("shift", F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("k"))
-    rows = rows.withColumn("in", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1).join(before.select("part", "shift"), "part").select((F.col("shift") + F.col("in")).alias("idx"), "toxic")
-    draws = spark.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("b"), F.col("id").alias("i"))
-    at = F.conv(F.substring(F.md5(F.concat(F.col("b").cast("string"), F.lit(":"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("bigint") % n
-    drawn = draws.groupBy("b", at.alias("idx")).agg(F.count(F.lit(1)).alias("times"))
-    means = drawn.join(rows, "idx").groupBy("b").agg((F.sum(F.col("toxic") * F.col("times")) / F.sum("times")).alias("v"))
+    """90 % bounds of the toxic share from 100 samples drawn by hash with replacement."""
+    from graphprep.operators.evaluate import draws
+
+    ids = table(spark, sf_dir, "labels").select("doc_id", "toxic", F.lit(1).alias("one"))
+    rows = B.running_starts(ids, "doc_id", "one", "idx").select("idx", "toxic")
+    draw = lambda b, i, n: F.conv(F.substring(F.md5(F.concat(b.cast("string"), F.lit(":"), i.cast("string"))), 1, 8), 16, 10).cast("bigint") % n
+    means = draws(spark, ids.count(), 100, draw).join(rows.hint("shuffle_hash"), "idx").groupBy("sample").agg(F.avg("toxic").alias("v"))
     lo, hi = M.bootstrap_bounds(100, 90)
     got = means.agg(F.array_sort(F.collect_list("v")).alias("v"))  # 100 values
     return got.select(F.round(F.col("v")[lo], 9).alias("lower"), F.round(F.col("v")[hi], 9).alias("upper"))

@@ -281,3 +281,14 @@ def test_bootstrap_in_blocks(spark):
     assert {r.metric for r in found} == {"accuracy", "mean_per_class_accuracy", "accuracy_CLASS_a"} and all(0.2 < r.lower < 0.5 < r.upper < 0.8 for r in found)
     ones = V.MetricSet(lambda pred, keys: pred.select(*keys, F.lit(1).alias("n")), lambda: {"n": F.col("n")})
     assert {(r.lower, r.upper) for r in V.bootstrap_in_blocks(rows, ones, 30, (90,), block_rows=70).collect()} == {(float(n), float(n))}
+
+
+def test_draws_are_never_broadcast(spark):
+    """However small the optimizer takes them for."""
+    from graphprep.operators import evaluate as V
+    from graphprep.plans import QUERIES
+
+    rows = spark.range(50).select(F.col("id").alias("idx"), F.array(F.lit("a")).alias("beam"), F.lit("a").alias("target"))
+    for found in (V.bootstrap(rows, V.class_accuracy, 20, (80,)), QUERIES["bootstrap_ci"](spark, "/root/testdata/sf0.001")):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "BuildLeft" not in plan and "ShuffledHashJoin" in plan
