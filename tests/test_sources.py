@@ -247,3 +247,11 @@ def test_streams(spark, tmp_path):
 
     assert sorted(r.k for r in run(counts.stream_first_of_each(stream, "k", "t", "1 hour"), "first_of_each", "append")) == [1, 2]
     assert sorted((r.event_type, r.n) for r in run(counts.stream_windows(stream, "t", "1 minute", "1 hour"), "windows", "complete")) == [("a", 2), ("b", 1)]
+
+
+def test_json_examples_are_packed(spark, tmp_path):
+    from graphprep.sources import writers as W
+
+    W.write_json(spark.range(3).selectExpr("'train' AS split", "id"), str(tmp_path / "packed"))
+    assert {p.suffix for p in (tmp_path / "packed" / "split=train").glob("part-*")} == {".gz"}
+    assert {r.id for r in spark.read.json(str(tmp_path / "packed")).collect()} == {0, 1, 2}
