@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphprep.functions.text import bleu_tokens, parse_error_location, parse_pointer, remove_prefix, safe_ratio, strip, words
-from graphprep.operators.metrics import bootstrap_bounds, matches, ngrams, overlap, prf, runs
+from graphprep.operators.encode import once
+from graphprep.operators.metrics import bootstrap_bounds, compared, gram_count, joined, matches, overlap, prf, runs
 from graphprep.schema import CLASS_PREFIX, RESERVED
 
 Metrics = Callable[..., DataFrame]
@@ -78,14 +79,15 @@ def _name_counts(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     low = lambda c: F.transform(words(c), F.lower)
     target = low(F.col("target"))
+    found = compared(F.transform("beam", lambda b: F.array_distinct(low(b))), F.transform("beam", lambda _: target))
 
-    def score(b: Column, i: Column) -> Column:
-        tp, fp, fn = overlap(F.array_distinct(low(b)), target)
-        p, r, f = prf(tp, fp, fn)
-        return F.struct(f.alias("f"), (-i).alias("i"), p.alias("p"), r.alias("r"), (b == F.col("target")).cast("int").alias("same"))
+    def score(x: Column, i: Column) -> Column:
+        p, r, f = prf(x["tp"], x["fp"], x["fn"])
+        return F.struct(f.alias("f"), (-i).alias("i"), p.alias("p"), r.alias("r"), (F.get("beam", i) == F.col("target")).cast("int").alias("same"))
 
-    best = F.array_max(F.transform("beam", score))
-    return pred.withColumn("_b", best).select(*keys, F.lit(1).alias("n"), *[F.col(f"_b.{k}").alias(k) for k in ("p", "r", "f", "same")])
+    best = F.array_max(F.transform("_x", score))
+    rows = pred.withColumn("_x", found).withColumn("_b", best)
+    return rows.select(*keys, F.lit(1).alias("n"), *[F.col(f"_b.{k}").alias(k) for k in ("p", "r", "f", "same")])
 
 
 def _name_values() -> dict[str, Column]:
@@ -103,29 +105,26 @@ def _bleu(hits: Sequence[Column], totals: Sequence[Column], guessed: Column, wan
     return F.when(hits[0] == 0, 0.0).otherwise(short * F.exp(logs / n))
 
 
-def _clipped(p: Column, t: Column, n: int) -> Column:
-    """N-grams of p that t has as well, each at most as often. Both are sorted by counting what is there once: short texts only."""
-    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    a, b = ngrams(p, n), ngrams(t, n)
-    return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
-
-
 def _summary_counts(pred: DataFrame, keys: Sequence[str], top_n: int = 1, choose: int = 4) -> DataFrame:
     """BLEU-1 to BLEU-4 of the whole set, in per cent, of the beam place among the first top_n whose BLEU-`choose` is best.
 
-    Of equal places the first counts. Texts are dealt once; their n-grams are counted where they lie.
+    Of equal places the first counts. Rows of one idx count as one. N-grams are counted where their texts lie.
     """
-    key = [*keys, "_rank"]
-    dealt = pred.select(*keys, "beam", "target").repartition(*keys)
-    rows = dealt.select(*keys, F.posexplode_outer(F.slice("beam", 1, top_n)).alias("_rank", "_text"), "target").where("_rank is not null").withColumns({"_p": words(F.col("_text")), "_t": words(F.col("target"))})
-    side = lambda c, s: F.flatten(F.array(*[F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(s).alias("side"))) for n in range(1, 5)]))  # noqa: B023, E731
-    grams = rows.select(*key, F.size("_p").alias("lp"), F.size("_t").alias("lt"), F.explode_outer(F.concat(side("_p", 0), side("_t", 1))).alias("x"))
-    each = grams.groupBy(*key, "lp", "lt", "x.n", "x.gram").agg(F.count_if(F.col("x.side") == 0).alias("a"), F.count_if(F.col("x.side") == 1).alias("b"))
-    hit = [F.when((F.col("n") == n) & (F.col("_rank") == r), F.least("a", "b")) for r in range(top_n) for n in range(1, 5)]
-    tried = [F.when((F.col("n") == n) & (F.col("_rank") == r), F.col("a")) for r in range(top_n) for n in range(1, 5)]
-    long = lambda c: [F.coalesce(F.max(F.when(F.col("_rank") == r, F.col(c))), F.lit(0)).alias(f"{c}_{r}") for r in range(top_n)]
-    names = [f"{r}_{n}" for r in range(top_n) for n in range(1, 5)]
-    return each.groupBy(*keys).agg(*[_sum(c).alias(f"h_{m}") for c, m in zip(hit, names, strict=True)], *[_sum(c).alias(f"t_{m}") for c, m in zip(tried, names, strict=True)], *long("lp"), *long("lt"))
+    row = F.struct("beam", "target")
+    met = pred.groupBy(*keys).agg(F.collect_list(row).alias("_rows")) if "idx" in keys else pred.select(*keys, F.array(row).alias("_rows"))
+    sides = {}
+    for r in range(top_n):
+        there = F.filter("_rows", lambda x: F.size(x["beam"]) > r)  # noqa: B023
+        sides[f"_p{r}"] = F.transform(there, lambda x: words(F.get(x["beam"], F.lit(r))))  # noqa: B023
+        sides[f"_t{r}"] = F.transform(there, lambda x: words(x["target"]))
+    met = met.select(*keys, *[c.alias(k) for k, c in sides.items()])
+    found = compared(F.array(*[joined(F.col(f"_p{r}")) for r in range(top_n)]), F.array(*[joined(F.col(f"_t{r}")) for r in range(top_n)]), 4)
+    met = met.withColumn("_x", found)
+    places = [(r, n) for r in range(top_n) for n in range(1, 5)]
+    hit = [F.col("_x")[r]["hits"][n - 1].alias(f"h_{r}_{n}") for r, n in places]
+    tried = [gram_count(F.col(f"_p{r}"), n).alias(f"t_{r}_{n}") for r, n in places]
+    long = [gram_count(F.col(f"_{c}{r}"), 1).alias(f"l{c}_{r}") for c in "pt" for r in range(top_n)]
+    return met.select(*keys, *hit, *tried, *long)
 
 
 def _summary_values(top_n: int = 1, choose: int = 4) -> dict[str, Column]:
@@ -237,7 +236,8 @@ def sentence_bleu(pred: Column, target: Column) -> Column:
     """BLEU of two token arrays by n-grams up to 4, or as long as the shorter one is. Two empty ones are equal."""
     a, b = F.size(pred), F.size(target)
     most = F.greatest(F.least(F.lit(4), a, b), F.lit(1))
-    hits, totals = [_clipped(pred, target, n) for n in range(1, 5)], [F.greatest(a - n + 1, F.lit(0)) for n in range(1, 5)]
+    found = F.element_at(compared(F.array(pred), F.array(target), 4), 1)["hits"]
+    hits, totals = [found[n] for n in range(4)], [F.greatest(a - n + 1, F.lit(0)) for n in range(1, 5)]
     by_n = F.when(most == 1, _bleu(hits[:1], totals[:1], a, b)).when(most == 2, _bleu(hits[:2], totals[:2], a, b)).when(most == 3, _bleu(hits[:3], totals[:3], a, b)).otherwise(_bleu(hits, totals, a, b))
     return F.when((a == 0) & (b == 0), 1.0).when(a == 0, 0.0).otherwise(by_n)
 
@@ -247,8 +247,11 @@ def _completion_counts(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     target = words(F.col("target"))
 
     def score(b: Column, i: Column) -> Column:
-        longest, expected = runs(matches(words(b), target))
-        return F.struct(expected.alias("e"), (-i).alias("i"), longest.alias("l"))
+        def of(done: Column) -> Column:
+            longest, expected = runs(done)
+            return F.struct(expected.alias("e"), (-i).alias("i"), longest.alias("l"))
+
+        return once(matches(words(b), target), of)
 
     best = F.array_max(F.transform("beam", score))
     rows = pred.withColumns({"_b": best, "_p": bleu_tokens(F.element_at("beam", 1)), "_t": bleu_tokens(F.col("target"))})

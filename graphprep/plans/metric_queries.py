@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphprep.functions import text as T
@@ -21,10 +21,10 @@ def _rounded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.round("value", 9))
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _turns(spark: SparkSession, sf_dir: str, idx: Column | None = None) -> DataFrame:
     """Turns as predictions of the next ones, numbered: beams are the turn and the next one without its first word."""
     rest = F.array_join(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), " ")
-    return _pred(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.array(F.col("ptext"), rest).alias("beam"), F.col("ttext").alias("target"))
+    return _pred(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn") if idx is None else idx).alias("idx"), F.array(F.col("ptext"), rest).alias("beam"), F.col("ttext").alias("target"))
 
 
 _BEAMS = "bm AS (SELECT conv_id, turn, 0 AS rank, p AS w, t, ptext AS bt, ttext FROM pt UNION ALL SELECT conv_id, turn, 1, CASE WHEN len(t) > 1 THEN t[2:] ELSE [''] END, t, CASE WHEN len(t) > 1 THEN array_to_string(t[2:], ' ') ELSE '' END, ttext FROM pt)"
@@ -59,7 +59,8 @@ _BLEU = {f"bleu_{n}": f"CASE WHEN h1 = 0 THEN 0 ELSE 100 * bp * exp(({' + '.join
     v AS (SELECT s.rank, {', '.join(f'{e} AS {n}' for n, e in _BLEU.items())} FROM s JOIN l ON s.rank = l.rank), b AS (SELECT * FROM v ORDER BY bleu_4 DESC, rank LIMIT 1) {_values({n: n for n in _BLEU}, 'b')}""")
 def eval_summary_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BLEU-1 to BLEU-4 of the better of two beam places."""
-    return _rounded(V.evaluate(_turns(spark, sf_dir), "funcom_dataset", top_n=2))
+    rows = _turns(spark, sf_dir, F.struct("conv_id", "turn"))
+    return _rounded(V.evaluate(rows, "funcom_dataset", top_n=2))
 
 
 @query(f"""WITH {_PT}, x AS (SELECT *, CASE WHEN turn % 3 = 0 THEN 'NO_BUG' ELSE 'POINTER(' || turn || ') ' || t[1] END AS target FROM pt),

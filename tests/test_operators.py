@@ -292,3 +292,38 @@ def test_draws_are_never_broadcast(spark):
     for found in (V.bootstrap(rows, V.class_accuracy, 20, (80,)), QUERIES["bootstrap_ci"](spark, "/root/testdata/sf0.001")):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert "BuildLeft" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_compared_by_brute_force(spark):
+    """Beams of all sizes, empty ones, borders and nulls, against counting in Python."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    some = lambda: [rng.choice("abc") for _ in range(rng.randrange(9))]
+    rows = []
+    for i in range(300):
+        beams = [some() for _ in range(rng.randrange(4))]
+        rows.append((i, None if i % 50 == 7 else beams, [some() for _ in beams]))
+    rows.append((300, [["a", "b", None, "b", "c"]], [["a", "b", "c"]]))
+    got = spark.createDataFrame(rows, "i int, p array<array<string>>, t array<array<string>>").repartition(3).select("i", M.compared(F.col("p"), F.col("t"), 4).alias("x")).collect()
+    assert len(got) == 301
+    for i, x in got:
+        p, t = rows[i][1:]
+        if p is None:
+            assert x is None
+            continue
+        assert len(x) == len(p)
+        for c, a, b in zip(x, p, t, strict=True):
+            a1, b1 = [w for w in a if w], [w for w in b if w]
+            assert (c.tp, c.fp, c.fn) == (sum(w in b1 for w in a1), sum(w not in b1 for w in a1), sum(w not in a1 for w in b1))
+            for n in range(1, 5):
+                grams = [Counter(g for g in (tuple(s[k : k + n]) for k in range(len(s) - n + 1)) if None not in g) for s in (a, b)]
+                assert c.hits[n - 1] == sum((grams[0] & grams[1]).values())
+
+
+def test_clipped_counts_shuffle_no_ngrams(spark):
+    pairs = spark.createDataFrame([(1, "a b a", "a b"), (2, "", "x y"), (3, "a a a", "a"), (3, "b", "a a")], "k int, p string, t string").select("k", F.split("p", " ").alias("p"), F.split("t", " ").alias("t"))
+    found = M.clipped_counts(pairs, ["k"], "p", "t")
+    assert {tuple(r) for r in found.collect()} == {(1, 2 + 0 + 3, 3 + 1 + 4), (2, 1 + 1, 2 + 2), (3, 0, 2)}
+    assert "Generate explode" not in found._jdf.queryExecution().sparkPlan().toString()
