@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_bytes(rows: DataFrame) -> int:
+    """The optimizer's estimate; of a table as it lies, the bytes of its files."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 #: Below so many bytes a core, by the optimizer's estimate, a table may lie in fewer pieces than there are cores.
 _SPREAD_BYTES = 32 << 20
 
@@ -23,8 +28,7 @@ def spread(rows: DataFrame) -> DataFrame:
     """The rows of a small table dealt to all cores by the first column: a file with one row group is read by one task, and what
     follows would stay there. Large tables come in many pieces and stay as they are."""
     n = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(n, rows.columns[0]) if size < n * _SPREAD_BYTES else rows
+    return rows.repartition(n, rows.columns[0]) if table_bytes(rows) < n * _SPREAD_BYTES else rows
 
 
 def document_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

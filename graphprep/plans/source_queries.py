@@ -10,7 +10,7 @@ from graphprep.operators import builders as B
 from graphprep.operators import rules as R
 from graphprep.plans import dataset as D
 from graphprep.plans import registry as G
-from graphprep.plans.examples import document_chains, spread, table
+from graphprep.plans.examples import document_chains, spread, table, table_bytes
 from graphprep.plans.queries import _SPLIT, _TOK, query
 from graphprep.sources import readers as S
 from graphprep.sources import writers as W
@@ -150,11 +150,18 @@ def pairs_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_pairs(spark, left, right).select("id", F.md5("source").alias("source"), F.md5("target").alias("target"))
 
 
+#: Of the documents table, as it lies, for each part that a language's texts are dealt to. A part is read as one row.
+_PACKED_BYTES = 16 << 20
+
+
 @query(f"SELECT lang, count(*) AS n, sum({_HEAD.format(_FLAT)})::BIGINT AS texts FROM documents GROUP BY lang")
 def packed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in gzip files by language, unpacked as archives."""
+    """Texts in gzip files by language, unpacked as archives. A language has a file for every _PACKED_BYTES of the table."""
     path = scratch(spark, "packed")
-    table(spark, sf_dir, "documents").select("lang", _flat().alias("value")).repartition("lang").write.partitionBy("lang").option("compression", "gzip").text(path)
+    docs = table(spark, sf_dir, "documents")
+    parts = 1 + table_bytes(docs) // _PACKED_BYTES
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4 * parts))
+    docs.select("lang", _flat().alias("value"), part.alias("part")).repartition(parts, "lang", "part").drop("part").write.partitionBy("lang").option("compression", "gzip").text(path)
     got = S.read_archives(spark, f"{path}/lang=*").select(F.regexp_extract("archive", "lang=([^/]*)/", 1).alias("lang"), F.explode(F.split(F.regexp_replace(F.col("content").cast("string"), "\n$", ""), "\n", -1)).alias("line"))
     return got.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(_head(F.col("line"))).alias("texts"))
 

@@ -255,3 +255,16 @@ def test_json_examples_are_packed(spark, tmp_path):
     W.write_json(spark.range(3).selectExpr("'train' AS split", "id"), str(tmp_path / "packed"))
     assert {p.suffix for p in (tmp_path / "packed" / "split=train").glob("part-*")} == {".gz"}
     assert {r.id for r in spark.read.json(str(tmp_path / "packed")).collect()} == {0, 1, 2}
+
+
+def test_packed_texts_in_many_parts(spark, monkeypatch, tmp_path):
+    """A language's texts in several files give the same digests."""
+    from graphprep.plans import QUERIES, source_queries
+
+    sf = "/root/testdata/sf0.001"
+    whole = {tuple(r) for r in QUERIES["packed_texts"](spark, sf).collect()}
+    monkeypatch.setattr(source_queries, "_PACKED_BYTES", 30_000)
+    monkeypatch.setattr(source_queries, "scratch", lambda spark, name: str(tmp_path / name))
+    assert {tuple(r) for r in QUERIES["packed_texts"](spark, sf).collect()} == whole
+    assert all(len(list(p.glob("part-*.gz"))) > 0 for p in (tmp_path / "packed").glob("lang=*"))
+    assert len({p.name for p in (tmp_path / "packed").glob("lang=*/part-*.gz")}) > 4
