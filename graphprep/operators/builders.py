@@ -18,6 +18,13 @@ def both_ways(edges: Column) -> Column:
     return F.flatten(F.transform(edges, lambda e: F.array(e, edge(e["dst"], e["src"], F.concat(F.lit(REVERSED), e["type"])))))
 
 
+def settled(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows with these columns computed here, once. Spark writes what makes a column into each of its uses, and arrays that lambdas
+    make are then made again for each, and in filters below the shuffle that deals the rows out. It does neither across a generator."""
+    others = [c for c in rows.columns if c not in columns]
+    return rows.select(*others, F.inline(F.array(F.struct(*columns)))).select(*rows.columns)
+
+
 def token_nodes(tokens: Column, kind: str = "TOKEN", start: Column | None = None) -> Column:
     shift = F.lit(0) if start is None else start
     return F.transform(tokens, lambda t, i: node(i + shift, F.lit(kind), escape(t)))

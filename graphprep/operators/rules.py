@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from graphprep.operators.builders import settled
 from graphprep.schema import SPLITS
 from graphprep.sources.scratch import scratch
 
@@ -13,20 +14,22 @@ def violations(examples: DataFrame) -> DataFrame:
     """Add violations, the names of the rules that an example breaks: ids, edges and pointers must fit together."""
     n = F.size("nodes")
     ids = F.col("nodes.id")
-    # Inside a lambda what makes the nodes would run again for every edge: their number comes in as a variable.
-    with_n = lambda use: F.element_at(F.transform(F.array(n), use), 1)
+    src, dst = F.col("edges.src"), F.col("edges.dst")
+    null_in = lambda values: F.exists(values, lambda v: v.isNull())
     rules = {
         "V1_missing_part": F.col("nodes").isNull() | F.col("edges").isNull() | F.col("output").isNull(),
-        "V2_node_field": F.exists("nodes", lambda x: x["id"].isNull() | x["type"].isNull() | x["label"].isNull()),
+        "V2_node_field": null_in(ids) | null_in(F.col("nodes.type")) | null_in(F.col("nodes.label")),
         "V3_repeated_id": F.size(F.array_distinct(ids)) < n,
         "V4_ids_not_contiguous": (n == 0) | (F.array_min(ids) != 0) | (F.array_max(ids) != n - 1),
-        "V5_edge_end": with_n(lambda m: F.exists("edges", lambda e: e["src"].isNull() | e["dst"].isNull() | (e["src"] < 0) | (e["dst"] < 0) | (e["src"] >= m) | (e["dst"] >= m))),
-        "V6_edge_type": F.exists("edges", lambda e: e["type"].isNull()),
-        # Distinct strings are found by hashing, distinct structs by comparing all with all.
-        "V7_repeated_edge": F.size(F.array_distinct(F.transform("edges", lambda e: F.concat_ws("/", e["src"].cast("string"), e["dst"].cast("string"), e["type"])))) < F.size("edges"),
-        "V8_pointer_range": with_n(lambda m: F.exists("output", lambda o: (o["pointer"] < 0) | (o["pointer"] >= m))),
+        # Least and largest leave nulls out, and are null of nothing.
+        "V5_edge_end": null_in(src) | null_in(dst) | F.coalesce(F.least(F.array_min(src), F.array_min(dst)) < 0, F.lit(False)) | F.coalesce(F.greatest(F.array_max(src), F.array_max(dst)) >= n, F.lit(False)),
+        "V6_edge_type": null_in(F.col("edges.type")),
+        # Distinct numbers and strings are found by hashing, distinct structs by comparing all with all. Where no hashes are equal no
+        # edges are; names are made only where some are.
+        "V7_repeated_edge": F.when(F.size(F.array_distinct(F.transform("edges", lambda e: F.xxhash64(e)))) < F.size("edges"), F.size(F.array_distinct(F.transform("edges", lambda e: F.concat_ws("/", e["src"].cast("string"), e["dst"].cast("string"), e["type"])))) < F.size("edges")),
+        "V8_pointer_range": F.coalesce(F.array_min("output.pointer") < 0, F.lit(False)) | F.coalesce(F.array_max("output.pointer") >= n, F.lit(False)),
     }
-    return examples.withColumn("violations", F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(name)) for name, r in rules.items()])))
+    return settled(examples.withColumn("violations", F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(name)) for name, r in rules.items()]))), "violations")
 
 
 def percent(seed: str, key: Column) -> Column:

@@ -19,6 +19,7 @@ from graphprep.operators import rules as R
 from graphprep.plans import dataset as D
 from graphprep.sources import readers as S
 from graphprep.sources import writers as W
+from graphprep.sources.scratch import scratch
 
 KINDS = ("node_type", "node_label", "edge_type", "output_token")
 
@@ -96,7 +97,10 @@ def create(
         for f in filters:
             examples = examples.where(f)
         sizes = {k: vocabulary_sizes for k in KINDS} if isinstance(vocabulary_sizes, int) else dict(vocabulary_sizes)
-        counts = E.token_counts(examples.where("split = 'train'"))
+        # Counted once, not for each vocabulary.
+        place, found = scratch(spark, "counts"), E.token_counts(examples.where("split = 'train'"))
+        found.write.parquet(place)
+        counts = spark.read.schema(found.schema).parquet(place)
         for k in KINDS:
             W.write_vocabulary(E.vocabulary(counts.where(F.col("kind") == k), sizes.get(k, 10_000)), layout.vocabulary(k), mode)
         vocab = S.read_vocabulary(spark, layout.vocabulary(KINDS[0]), KINDS[0])
