@@ -300,8 +300,17 @@ def deal_rows(flat: DataFrame, place: str, counts: DataFrame, key: str, n: str,
 def bundle_examples(counts: DataFrame, node_rows: DataFrame, edge_rows: DataFrame, types: DataFrame, attrs: DataFrame) -> DataFrame:
     """Examples from a bundle of flat tables. counts: (graph, n_nodes, n_edges, name), graphs numbered from 0; node_rows: (place,
     type_id, attr_id); edge_rows: (place, src, dst); types: (type_id, type); attrs: (attr_id, label). Edges have the type EDGE,
-    a repeated one is an error. Output: the words of name."""
-    own = deal_rows(node_rows, "place", counts, "graph", "n_nodes", "id").join(types, "type_id").join(attrs, "attr_id")
+    a repeated one is an error. Output: the words of name.
+
+    Types and attributes are few and each is on many nodes: a shuffle by them would put all nodes of one into one task. Types, which
+    a grammar bounds, are sent to all executors, attributes up to SENT_ATTRS of them. More of them meet the nodes in a shuffle by
+    attribute and part, a part of an attribute's nodes to each task."""
+    own = deal_rows(node_rows, "place", counts, "graph", "n_nodes", "id").join(F.broadcast(types), "type_id")
+    if attrs.limit(SENT_ATTRS + 1).count() <= SENT_ATTRS:
+        own = own.join(F.broadcast(attrs), "attr_id")
+    else:
+        parts = attrs.withColumn("_attr_part", F.explode(F.sequence(F.lit(0), F.lit(ATTR_PARTS - 1))))
+        own = own.withColumn("_attr_part", F.pmod(F.xxhash64("graph", "id"), F.lit(ATTR_PARTS)).cast("int")).join(parts, ["attr_id", "_attr_part"]).drop("_attr_part")
     links = deal_rows(edge_rows, "place", counts, "graph", "n_edges", "at")
     nodes = own.groupBy("graph").agg(F.array_sort(F.collect_list(node(F.col("id"), F.col("type"), escape(F.col("label"))))).alias("nodes"))
     edges = links.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("at", edge(F.col("src"), F.col("dst"), F.lit("EDGE")).alias("e")))).alias("_edges"))
@@ -309,3 +318,7 @@ def bundle_examples(counts: DataFrame, node_rows: DataFrame, edge_rows: DataFram
     given = F.coalesce(F.col("_edges.e"), F.array().cast(f"array<{EDGE}>"))
     found = found.withColumn("edges", both_ways(distinct_or_error(given, F.col("graph"))))
     return with_sizes(found.withColumn("output", F.transform(F.split("name", " ", -1), token)).drop("_edges", "name"))
+#: Attributes of a bundle that are sent to all executors, and parts that the nodes of each of more are dealt to.
+SENT_ATTRS, ATTR_PARTS = 100_000, 32
+
+
