@@ -20,8 +20,18 @@ def table_bytes(rows: DataFrame) -> int:
     return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-#: Below so many bytes a core, by the optimizer's estimate, a table may lie in fewer pieces than there are cores.
-_SPREAD_BYTES = 32 << 20
+#: Of a table, as it lies, for each four shards of a split that it is written to. A task writes a shard.
+_FOUR_SHARDS_BYTES = 64 << 20
+
+
+def shards_of(rows: DataFrame) -> int:
+    """Shards of a split for the rows of a table: four, and four more for every _FOUR_SHARDS_BYTES, so that none grows with the table."""
+    return 4 * (1 + table_bytes(rows) // _FOUR_SHARDS_BYTES)
+
+
+#: Below so many bytes a core, by the optimizer's estimate, a table may lie in fewer pieces than there are cores, or in a few more, so
+#: that most cores wait for the last ones; and of a piece that it is dealt to.
+_SPREAD_BYTES, _PIECE_BYTES = 128 << 20, 16 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:

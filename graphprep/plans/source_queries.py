@@ -10,7 +10,7 @@ from graphprep.operators import builders as B
 from graphprep.operators import rules as R
 from graphprep.plans import dataset as D
 from graphprep.plans import registry as G
-from graphprep.plans.examples import document_chains, spread, table, table_bytes
+from graphprep.plans.examples import document_chains, shards_of, spread, table, table_bytes
 from graphprep.plans.queries import _SPLIT, _TOK, query
 from graphprep.sources import readers as S
 from graphprep.sources import writers as W
@@ -34,10 +34,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT split, count(*) AS n_records, sum(len(w))::BIGINT AS n_words, sum(list_sum(list_transform(w, lambda x, i: length(x) * i)))::BIGINT AS lengths, sum({_HEAD.format('text')})::BIGINT AS texts FROM (SELECT {_SPLIT} AS split, coalesce(text, '') AS text, string_split(coalesce(text, ''), ' ') AS w FROM documents) GROUP BY split")
 def tfrecord_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts and the lengths of their words through TFRecord files of four shards a split."""
+    """Texts and the lengths of their words through TFRecord files of four shards a split, or more where the table is large."""
     rows = _documents(spark, sf_dir).select("example_id", "split", "text", F.transform(T.words(F.col("text")), lambda w: F.length(w).cast("bigint")).alias("lengths"))
     path = scratch(spark, "tfrecord")
-    W.write_tfrecords(rows, path, 4)
+    W.write_tfrecords(rows, path, shards_of(table(spark, sf_dir, "documents")))
     out = None
     for split in R.SPLITS:
         got = S.read_tfrecords(spark, path, "text string, lengths array<bigint>", split=split)
@@ -52,7 +52,7 @@ def tfrecord_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of two hosts with two parts each hold every record once."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("example_id"), R.split_of(F.col("doc_id")).alias("split"), "doc_id")
     path = scratch(spark, "tfrecord-parts")
-    W.write_tfrecords(rows, path, 4)
+    W.write_tfrecords(rows, path, shards_of(table(spark, sf_dir, "documents")))
     out = None
     for host in range(2):
         for part in range(2):
@@ -121,7 +121,7 @@ def dataset_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The output is a word that every text has as a node or the vocabulary knows, so that no example is impossible.
     source = G.Source("documents", read, lambda rows: B.chain_examples(rows, T.words(F.col("text")), F.array(T.token(F.element_at(T.words(F.col("text")), 1)))))
     G.register(source, replace=True)
-    layout = G.create(spark, "documents", sf_dir, scratch(spark, "dataset"), shards=4, most_nodes=300, vocabulary_sizes=500)
+    layout = G.create(spark, "documents", sf_dir, scratch(spark, "dataset"), shards=shards_of(table(spark, sf_dir, "documents")), most_nodes=300, vocabulary_sizes=500)
     out = None
     for split in R.SPLITS:
         got = S.read_tfrecords(spark, f"{layout.features}/tfrecord", "node_label_ids array<bigint>, edge_src array<bigint>", split=split)

@@ -148,7 +148,7 @@ def unframed(read, verify: bool = True) -> Iterator[list[bytes]]:
         yield _checked(heads, records, ends) if verify else records
 
 
-def _varint(n: int) -> bytes:
+def _long_varint(n: int) -> bytes:
     n &= (1 << 64) - 1
     out = bytearray()
     while n > 127:
@@ -158,6 +158,14 @@ def _varint(n: int) -> bytes:
     return bytes(out)
 
 
+#: Numbers of up to two bytes, which nearly all lengths, ids and places are.
+_SHORT = [_long_varint(n) for n in range(1 << 14)]
+
+
+def _varint(n: int) -> bytes:
+    return _SHORT[n] if 0 <= n < 1 << 14 else _long_varint(n)
+
+
 def _field(number: int, data: bytes) -> bytes:
     return _varint(number << 3 | 2) + _varint(len(data)) + data
 
@@ -169,7 +177,8 @@ def example_message(row: dict[str, object]) -> bytes:
     for name, value in row.items():
         values = [v for v in value if v is not None] if isinstance(value, list) else [] if value is None else [value]
         if values and isinstance(values[0], str | bytes):
-            kind = _field(1, b"".join(_field(1, v.encode() if isinstance(v, str) else v) for v in values))
+            raw = [v.encode() if isinstance(v, str) else v for v in values]
+            kind = _field(1, b"".join([part for v in raw for part in (b"\n", _varint(len(v)), v)]))  # field 1 with a length
         elif values and isinstance(values[0], float):
             kind = _field(2, _field(1, struct.pack(f"<{len(values)}f", *values)))
         else:

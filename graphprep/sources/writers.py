@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphprep.functions.text import cut_at
+from graphprep.schema import SPLITS
 
 
 def write_examples(examples: DataFrame, path: str, mode: str = "errorifexists", shards: int | None = None) -> None:
@@ -116,7 +117,9 @@ def write_tfrecords(features: DataFrame, path: str, shards: int, mode: str = "er
         raise FileExistsError(place)
     register(spark)
     keyed = features.withColumn("_shard", F.pmod(F.xxhash64("example_id"), F.lit(shards)).cast("int"))
-    dealt = keyed.repartition(max(shards, spark.sparkContext.defaultParallelism), "split", "_shard").sortWithinPartitions("split", "_shard", "example_id").drop("example_id")
+    # A task for each file: dealt by a hash of split and shard, large files would meet in one task while others had none.
+    task = F.when(F.col("split") == SPLITS[0], 0).when(F.col("split") == SPLITS[1], 1).otherwise(2) * shards + F.col("_shard")
+    dealt = keyed.repartitionById(3 * shards, task.cast("int")).sortWithinPartitions("split", "_shard", "example_id").drop("example_id")
     dealt.write.format(FORMAT).option("shards", shards).mode("append" if mode == "errorifexists" else mode).save(place)
 
 
