@@ -255,6 +255,7 @@ def patch_examples(rows: DataFrame, patch: str, bug: Column) -> DataFrame:
     return typed_chain_examples(each, "_tokens", F.col("_name")).drop("_before", "_after", "_bug", "_x", "_tokens", "_name")
 
 
+    sides = settled(sides, "_before", "_after")
 def repair_output(error: Column, fix: Column, pointed: bool = True, copyable: bool = True) -> Column:
     """Output of a repair: where the error is (1: free of bugs), then the subtokens of the right token.
 
