@@ -36,6 +36,12 @@ def chain(n: Column, kind: str, start: Column | None = None) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: edge(i + shift, i + shift + 1, F.lit(kind)))).otherwise(F.array().cast(f"array<{EDGE}>"))
 
 
+def chain_both_ways(n: Column, kind: str) -> Column:
+    """both_ways(chain(n, kind)) in one step."""
+    ways = lambda i: F.array(edge(i, i + 1, F.lit(kind)), edge(i + 1, i, F.lit(REVERSED + kind)))
+    return F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(0), n - 2), ways))).otherwise(F.array().cast(f"array<{EDGE}>"))
+
+
 def chain_edge_rows(rows: DataFrame, key: str, n: Column, kind: str = "NEXT_TOKEN") -> DataFrame:
     """The edges of chains over n nodes, both ways, in long form: rows (key, src, dst, type), without the nodes. A chain's edges follow
     from its size alone."""
@@ -68,7 +74,7 @@ def with_sizes(examples: DataFrame) -> DataFrame:
 def chain_examples(rows: DataFrame, tokens: Column, output: Column, kind: str = "NEXT_TOKEN") -> DataFrame:
     """A chain of TOKEN nodes. Null or empty token lists give an example without nodes."""
     found = rows.withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>")))
-    found = found.withColumns({"nodes": token_nodes(F.col("_tokens")), "edges": both_ways(chain(F.size("_tokens"), kind)), "output": output.cast(f"array<{OUTPUT}>")})
+    found = found.withColumns({"nodes": token_nodes(F.col("_tokens")), "edges": chain_both_ways(F.size("_tokens"), kind), "output": output.cast(f"array<{OUTPUT}>")})
     return with_sizes(found.drop("_tokens"))
 
 
@@ -120,7 +126,7 @@ def repair_examples(rows: DataFrame, tokens: Column, is_candidate, output: Colum
     """A token chain whose nodes say whether they are repair candidates: is_candidate(tokens, token, index)."""
     found = rows.withColumn("_tokens", tokens)
     nodes = F.transform("_tokens", lambda t, i: node(i, F.lit("TOKEN"), escape(t), is_candidate(F.col("_tokens"), t, i)))
-    return with_sizes(found.withColumns({"nodes": nodes, "edges": both_ways(chain(F.size("_tokens"), "NEXT_TOKEN")), "output": output}).drop("_tokens"))
+    return with_sizes(found.withColumns({"nodes": nodes, "edges": chain_both_ways(F.size("_tokens"), "NEXT_TOKEN"), "output": output}).drop("_tokens"))
 
 
 def with_task(examples: DataFrame, task: Column) -> DataFrame:
@@ -240,7 +246,7 @@ def edit_examples(rows: DataFrame, nodes: str, edges: str, script: Column) -> Da
 def typed_chain_examples(rows: DataFrame, tokens: str, name: Column) -> DataFrame:
     """Chains of tokens that know their type, structs (type, label), with a class as output."""
     nodes = F.transform(F.col(tokens), lambda t, i: node(i, t["type"], escape(t["label"])))
-    return with_sizes(rows.withColumns({"nodes": nodes, "edges": both_ways(chain(F.size(tokens), "NEXT_TOKEN")), "output": F.array(label_class(name))}))
+    return with_sizes(rows.withColumns({"nodes": nodes, "edges": chain_both_ways(F.size(tokens), "NEXT_TOKEN"), "output": F.array(label_class(name))}))
 
 
 def patch_examples(rows: DataFrame, patch: str, bug: Column) -> DataFrame:
@@ -249,13 +255,13 @@ def patch_examples(rows: DataFrame, patch: str, bug: Column) -> DataFrame:
     Patches with a side that is not Java drop out. Column side says which it is.
     """
     sides = rows.withColumns({"_before": java_tokens(patch_side(F.col(patch), False)), "_after": java_tokens(patch_side(F.col(patch), True)), "_bug": bug})
+    sides = settled(sides, "_before", "_after")
     sides = sides.where((F.size("_before") > 0) & (F.size("_after") > 0))
     both = F.array(F.struct(F.lit("before").alias("side"), F.col("_before").alias("tokens"), F.col("_bug").alias("name")), F.struct(F.lit("after").alias("side"), F.col("_after").alias("tokens"), F.lit("NO_BUG").alias("name")))
     each = sides.withColumn("_x", F.explode(both)).withColumns({"side": F.col("_x.side"), "_tokens": F.col("_x.tokens"), "_name": F.col("_x.name")})
     return typed_chain_examples(each, "_tokens", F.col("_name")).drop("_before", "_after", "_bug", "_x", "_tokens", "_name")
 
 
-    sides = settled(sides, "_before", "_after")
 def repair_output(error: Column, fix: Column, pointed: bool = True, copyable: bool = True) -> Column:
     """Output of a repair: where the error is (1: free of bugs), then the subtokens of the right token.
 
@@ -267,17 +273,24 @@ def repair_output(error: Column, fix: Column, pointed: bool = True, copyable: bo
     return F.concat(F.array(pointer(error) if pointed else said), F.transform(fix, lambda t: token(F.concat(mark, t))))
 
 
+def random_letters(spark, n: int, least: int = 100, most: int = 1000, seed: int = 0) -> DataFrame:
+    """Rows (graph, n_nodes, types, labels, pointer): what random_chains() makes its graphs of, in lists apart, so that a reader of one
+    list makes no other."""
+    draw = lambda what, *key: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), *key), F.lit(1 << 40))
+    rows = spark.range(n).withColumnRenamed("id", "graph").withColumn("n_nodes", (least + draw("size", F.col("graph")) % (most - least + 1)).cast("int"))
+    letters = lambda what, first: F.transform(F.sequence(F.lit(0), F.col("n_nodes") - 1), lambda i: F.char(first + draw(what, F.col("graph"), i) % 26))
+    return rows.withColumns({"types": letters("type", 65), "labels": letters("label", 97), "pointer": (draw("pointer", F.col("graph")) % F.col("n_nodes")).cast("int")})
+
+
 def random_chains(spark, n: int, least: int = 100, most: int = 1000, seed: int = 0) -> DataFrame:
     """Chains of least to most nodes: types A-Z, labels a-z, even ids candidates; the token foo, a pointer to any node, the class 0.
 
     Hashes of (seed, graph, place) decide, so a graph is the same however the rows are dealt.
     """
-    draw = lambda what, *key: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), *key), F.lit(1 << 40))
-    rows = spark.range(n).withColumnRenamed("id", "graph").withColumn("_n", (least + draw("size", F.col("graph")) % (most - least + 1)).cast("int"))
-    letter = lambda what, first, i: F.char(first + draw(what, F.col("graph"), i) % 26)
-    nodes = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: node(i, letter("type", 65, i), letter("label", 97, i), i % 2 == 0))
-    output = F.array(token(F.lit("foo")), pointer(draw("pointer", F.col("graph")) % F.col("_n")), label_class(F.lit("0")))
-    return with_sizes(rows.withColumns({"nodes": nodes, "edges": both_ways(chain(F.col("_n"), "NEXT_NODE")), "output": output}).drop("_n"))
+    rows = random_letters(spark, n, least, most, seed)
+    nodes = F.transform(F.arrays_zip("types", "labels"), lambda x, i: node(i, x["types"], x["labels"], i % 2 == 0))
+    output = F.array(token(F.lit("foo")), pointer(F.col("pointer")), label_class(F.lit("0")))
+    return with_sizes(rows.withColumns({"nodes": nodes, "edges": chain_both_ways(F.col("n_nodes"), "NEXT_NODE"), "output": output}).drop("types", "labels", "pointer"))
 
 
 def running_starts(counts: DataFrame, order: str, value: str, out: str, width: int = 1 << 16) -> DataFrame:
@@ -298,6 +311,10 @@ def deal_rows(flat: DataFrame, place: str, counts: DataFrame, key: str, n: str,
     return flat.join(places.select(key, local, (F.col("_start") + F.col(local)).alias(place)), place).drop(place)
 
 
+#: Attributes of a bundle that are sent to all executors, and parts that the nodes of each of more are dealt to.
+SENT_ATTRS, ATTR_PARTS = 100_000, 32
+
+
 def bundle_examples(counts: DataFrame, node_rows: DataFrame, edge_rows: DataFrame, types: DataFrame, attrs: DataFrame) -> DataFrame:
     """Examples from a bundle of flat tables. counts: (graph, n_nodes, n_edges, name), graphs numbered from 0; node_rows: (place,
     type_id, attr_id); edge_rows: (place, src, dst); types: (type_id, type); attrs: (attr_id, label). Edges have the type EDGE,
@@ -319,7 +336,3 @@ def bundle_examples(counts: DataFrame, node_rows: DataFrame, edge_rows: DataFram
     given = F.coalesce(F.col("_edges.e"), F.array().cast(f"array<{EDGE}>"))
     found = found.withColumn("edges", both_ways(distinct_or_error(given, F.col("graph"))))
     return with_sizes(found.withColumn("output", F.transform(F.split("name", " ", -1), token)).drop("_edges", "name"))
-#: Attributes of a bundle that are sent to all executors, and parts that the nodes of each of more are dealt to.
-SENT_ATTRS, ATTR_PARTS = 100_000, 32
-
-

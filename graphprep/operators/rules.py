@@ -12,6 +12,7 @@ from graphprep.sources.scratch import scratch
 
 def violations(examples: DataFrame) -> DataFrame:
     """Add violations, the names of the rules that an example breaks: ids, edges and pointers must fit together."""
+    examples = settled(examples, "nodes", "edges", "output")
     n = F.size("nodes")
     ids = F.col("nodes.id")
     src, dst = F.col("edges.src"), F.col("edges.dst")
@@ -56,10 +57,12 @@ def content_hash(examples: DataFrame) -> DataFrame:
     Labels and tokens are escaped, so a line break between entries and a tab between fields cannot be part of them. Edges
     count by two 64-bit hashes each, folded, and by their number.
     """
-    said = lambda *cs: F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("\r")) for c in cs])
-    nodes = F.array_join(F.transform("nodes", lambda n: said(n["id"], n["type"], n["label"], n["is_repair_candidate"])), "\n")
-    output = F.array_join(F.transform("output", lambda o: said(o["kind"], o["token"], o["pointer"], o["class"])), "\n")
-    fold = lambda seed: F.aggregate("edges", F.lit(0).cast("long"), lambda s, e: s.bitwiseXOR(F.xxhash64(F.lit(seed), e["src"], e["dst"], e["type"])))
+    examples = settled(examples, "nodes", "edges", "output")
+    # A field of all entries after the other: lists are joined as they are, without a lambda that makes a string for each entry.
+    listed = lambda array, *fields: F.concat_ws("\t", *[F.array_join(F.col(f"{array}.{f}").cast("array<string>"), "\n", "\r") for f in fields])
+    nodes = listed("nodes", "id", "type", "label", "is_repair_candidate")
+    output = listed("output", "kind", "token", "pointer", "class")
+    fold = lambda seed: F.aggregate("edges", F.lit(0).cast("long"), lambda s, e: s.bitwiseXOR(F.xxhash64(F.lit(seed), e)))
     return examples.withColumn("content_hash", F.md5(F.concat_ws("\f", nodes, fold(0).cast("string"), fold(1).cast("string"), F.size("edges").cast("string"), output)))
 
 

@@ -38,7 +38,8 @@ def spread(rows: DataFrame) -> DataFrame:
     """The rows of a small table dealt to all cores by the first column: a file with one row group is read by one task, and what
     follows would stay there. Large tables come in many pieces and stay as they are."""
     n = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(n, rows.columns[0]) if table_bytes(rows) < n * _SPREAD_BYTES else rows
+    size = table_bytes(rows)
+    return rows.repartition(max(n, size // _PIECE_BYTES), rows.columns[0]) if size < n * _SPREAD_BYTES else rows
 
 
 def document_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
