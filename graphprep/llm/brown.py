@@ -37,6 +37,8 @@ PRIOR = 20.0
 CHUNK_TOKENS, TASK_WORDS = 2_000_000, 250_000
 #: Of a row group of chunks: a chunk fills one, so that a task holds one or two of them, however many it reads.
 GROUP_BYTES = 8 << 20
+#: Cells of counts that one row carries, packed.
+CELLS = 1 << 15
 #: How often a class stands beside a word: its cell and the number, packed.
 _MET = np.dtype([("cell", "<u2"), ("n", "<u4")])
 #: The end of a text as a word. A word cannot hold a space.
@@ -109,10 +111,26 @@ def exchange(left: np.ndarray, right: np.ndarray, counts: np.ndarray, cls: np.nd
     return cls
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Non-negative numbers in little room: byte by byte, first the lowest bytes of all, and zstd."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = [(values >> (8 * k)).astype(np.uint8) for k in range(width)]
+    return bytes([width]) + pa.compress(np.concatenate(planes), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    """The n numbers of _pack()."""
+    planes = np.frombuffer(pa.decompress(raw[1:], raw[0] * n, codec="zstd"), np.uint8).reshape(raw[0], n)
+    out = planes[0].astype(np.int64)
+    for k in range(1, raw[0]):
+        out |= planes[k].astype(np.int64) << (8 * k)
+    return out
+
+
 def code(docs: DataFrame) -> DataFrame:
     """Rows (chunk, words, n, ids, sizes, doc_ids, held) of docs (doc_id, held_out, text), one for each chunk of texts.
 
-    words[0] is END; n: occurrences in texts that are not held out; ids: the words' numbers (int32), END behind each text;
+    words[0] is END; n: occurrences in texts that are not held out; ids: the words' numbers, END behind each text, packed;
     sizes, doc_ids, held: of each text. Null texts count as empty.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -130,7 +148,7 @@ def code(docs: DataFrame) -> DataFrame:
             flat, out_of = np.array(ids, np.int32), np.array(held, bool)
             n = np.bincount(flat[np.repeat(~out_of, sizes)], minlength=len(words))
             one = lambda values, kind: pa.array([values], pa.list_(kind))
-            made = [pa.array([number]), one(list(words), pa.binary()), one(n.astype(np.int32), pa.int32()), pa.array([flat.tobytes()], pa.binary()), one(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(doc_ids)), one(held, pa.bool_())]
+            made = [pa.array([number]), one(list(words), pa.binary()), one(n.astype(np.int32), pa.int32()), pa.array([_pack(flat)], pa.binary()), one(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(doc_ids)), one(held, pa.bool_())]
             number += 1
             words.clear()
             for x in (ids, sizes, doc_ids, held):
@@ -162,9 +180,10 @@ def code(docs: DataFrame) -> DataFrame:
 
 def _bigrams(ids: bytes, sizes: pa.Array, held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words before and of the words, over all texts that are not held out."""
-    now = np.frombuffer(ids, np.int32)
-    before = np.concatenate([np.zeros(min(1, len(now)), np.int32), now[:-1]])
-    own = np.repeat(~np.array(held.to_pylist(), bool), np.array(sizes.to_pylist(), np.int64))
+    each = sizes.to_numpy()
+    now = _unpack(ids, int(each.sum()))
+    before = np.concatenate([np.zeros(min(1, len(now)), np.int64), now[:-1]])
+    own = np.repeat(~np.array(held.to_pylist(), bool), each)
     return before[own], now[own]
 
 
@@ -175,7 +194,10 @@ def _chunks(b: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, np.nda
 
 
 def _context_counts(coded: DataFrame, words: dict[bytes, int], cls: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """left[w, c], right[w, c] over all training text; the last class is that of all other words. Their size is FREQUENT times the classes."""
+    """left[w, c], right[w, c] over all training text; the last class is that of all other words. Their size is FREQUENT times the classes.
+
+    A task sends its counts as CELLS to a row, packed, and not a row for each of them: every task has most of the cells.
+    """
     sent = coded.sparkSession.sparkContext.broadcast((words, np.append(cls, wide - 1)))
     n = len(words)
 
@@ -190,12 +212,22 @@ def _context_counts(coded: DataFrame, words: dict[bytes, int], cls: np.ndarray,
                 tables += np.bincount(c[known] * wide + cls[p[known]], minlength=2 * n * wide)
                 known = p >= 0
                 tables += np.bincount(n * wide + p[known] * wide + cls[c[known]], minlength=2 * n * wide)
-        cells = np.flatnonzero(tables)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(tables[cells])], names=["cell", "n"])
+        blocks = {lo: part for lo in range(0, len(tables), CELLS) if (part := tables[lo : lo + CELLS]).any()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(map(_pack, blocks.values()), pa.binary())], names=["start", "counts"])
 
-    got = map_batches(coded.select("words", "ids", "sizes", "held"), run, "cell long, n long", caches="brown").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for lo, part in zip(b.column("start").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                more = _unpack(part, min(CELLS, 2 * n * wide - lo))
+                sums[lo] = sums[lo] + more if lo in sums else more
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["start", "counts"])
+
+    counted = map_batches(coded.select("words", "ids", "sizes", "held"), run, "start long, counts binary", caches="brown")
+    got = map_batches(counted.repartition("start"), add, "start long, counts binary", caches="brown").toArrow()
     out = np.zeros(2 * n * wide)
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    for lo, part in zip(got.column("start").to_pylist(), got.column("counts").to_pylist(), strict=True):
+        out[lo : lo + CELLS] += np.frombuffer(part, np.int64)
     both = out.reshape(2, n, wide)
     return both[0], both[1]
 
@@ -280,17 +312,28 @@ def _settled(rows: DataFrame, tasks: int, toward: np.ndarray, by_chunk: bool) ->
 def _classified(coded: DataFrame, known: DataFrame, frequent: dict[bytes, tuple[int, int]], unseen: int, denominator: float) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, base, log_n, classes), one for each text: sums over its tokens, and their classes.
 
-    known (chunk, ids, ns, classes): counts and classes of the chunks' words; those of the frequent ones are sent. `unseen` is
-    the class of unknown words.
+    known (chunk, ids, ns, classes): counts and classes of the chunks' words; those of the frequent ones are sent, and met before
+    the shuffle, so that no words go through it. `unseen` is the class of unknown words.
     """
     kind = coded.schema["doc_ids"].dataType.elementType.simpleString()
     sent = coded.sparkSession.sparkContext.broadcast(frequent)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    rows = coded.select("chunk", F.lit(1).alias("kind"), "ids", none("ns", "binary"), none("classes", "binary"), "words", "sizes", "doc_ids", "held")
-    given = known.select("chunk", F.lit(0).alias("kind"), "ids", "ns", "classes", none("words", "array<binary>"), none("sizes", "array<int>"), none("doc_ids", f"array<{kind}>"), none("held", "array<boolean>"))
+    both = f"chunk long, kind int, ids binary, ns binary, classes binary, words int, sizes array<int>, doc_ids array<{kind}>, held array<boolean>"
+    given = known.select("chunk", F.lit(0).alias("kind"), "ids", "ns", "classes", none("words", "int"), none("sizes", "array<int>"), none("doc_ids", f"array<{kind}>"), none("held", "array<boolean>"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wordless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each chunk its frequent words as a row of `known`, and the chunk with the number of its words."""
         frequent = sent.value
+        for b in batches:
+            for k in range(b.num_rows):
+                words = b.column("words")[k].values.to_pylist()
+                met = [(i, *frequent[w]) for i, w in enumerate(words) if w in frequent]
+                ids, ns, classes = (np.array([x[j] for x in met], t).tobytes() for j, t in enumerate((np.int32, np.int64, np.uint8)))
+                texts = [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in (b.column(c).slice(k, 1) for c in ("sizes", "doc_ids", "held"))]
+                made = [pa.array([b.column("chunk")[k].as_py()] * 2), pa.array([0, 1], pa.int32()), pa.array([ids, b.column("ids")[k].as_py()], pa.binary()), pa.array([ns, None], pa.binary()), pa.array([classes, None], pa.binary()), pa.array([None, len(words)], pa.int32()), *texts]
+                yield pa.RecordBatch.from_arrays(made, names=["chunk", "kind", "ids", "ns", "classes", "words", "sizes", "doc_ids", "held"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         chunk = None
         for b in batches:
@@ -301,14 +344,12 @@ def _classified(coded: DataFrame, known: DataFrame, frequent: dict[bytes, tuple[
                 if not get("kind").as_py():
                     held.append(tuple(np.frombuffer(get(c).as_py(), t) for c, t in (("ids", np.int32), ("ns", np.int64), ("classes", np.uint8))))
                     continue
-                words = get("words").values.to_pylist()
-                n, cls = np.zeros(len(words), np.int64), np.full(len(words), unseen, np.uint8)
-                for i, (count, c) in ((i, frequent[w]) for i, w in enumerate(words) if w in frequent):
-                    n[i], cls[i] = count, c
+                words = get("words").as_py()
+                n, cls = np.zeros(words, np.int64), np.full(words, unseen, np.uint8)
                 for ids, ns, classes in held:
                     n[ids], cls[ids] = ns, classes
-                tokens = np.frombuffer(get("ids").as_py(), np.int32)
                 sizes = get("sizes").values.to_numpy()
+                tokens = _unpack(get("ids").as_py(), int(sizes.sum()))
                 starts = np.cumsum(sizes) - sizes
                 sums = lambda by_word: np.add.reduceat(by_word[tokens], starts)  # noqa: B023, E731
                 codes, ends = cls[tokens].tobytes(), np.r_[starts, len(tokens)].tolist()
@@ -319,6 +360,7 @@ def _classified(coded: DataFrame, known: DataFrame, frequent: dict[bytes, tuple[
                 yield pa.RecordBatch.from_arrays(made, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "log_n", "classes"])
 
     # A chunk or two a task, at any size.
+    rows = map_batches(coded.select("chunk", "words", "ids", "sizes", "doc_ids", "held"), wordless, both, caches="brown")
     met = rows.union(given).repartition(max(1, coded.count()), "chunk").sortWithinPartitions("chunk", "kind")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, log_n double, classes binary"
     return materialize(map_batches(met, run, schema, caches="brown"), "brown-classes", "zstd")

@@ -122,6 +122,28 @@ def test_brown_edge_rows(spark):
     assert train_and_score(df.where("false"), F.lit(False))[0].count() == 0
 
 
+def test_brown_packs_what_it_shuffles(spark):
+    """Counts go packed, and words do not go with the codes: what passes shuffles is less than the texts."""
+    import time
+
+    from graphprep.llm.brown import _pack, _unpack, train_and_score
+
+    for values in ([], [0], [255, 0, 256], [7, 2**31, 2**40]):
+        assert _unpack(_pack(np.array(values, np.int64)), len(values)).tolist() == values
+    r = np.random.default_rng(5)
+    texts = [(i, " ".join(f"word{k % 30_000:x}" for k in r.zipf(1.25, 1000).tolist())) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8).cache()
+    df.count()
+
+    def sent():
+        time.sleep(2)  # until the listener has the last tasks
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = sent()
+    assert train_and_score(df, F.col("doc_id") % 7 == 2, frequent=2000)[0].count() == len(texts)
+    assert sent() - before < 1.5 * sum(len(t) for _, t in texts)
+
+
 def brute_lines(rows, min_docs=3, min_chars=20):
     key = lambda x: re.sub("[A-Z]", lambda m: m.group().lower(), x.strip(" \t\n\x0b\x0c\r"))
     found = {}
