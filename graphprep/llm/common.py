@@ -9,12 +9,15 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a regular expression class: what separates words.
 SPACE = r"[\x20\x09-\x0D]"
+#: Edges that one task joins into components at once.
+TASK_EDGES = 1 << 18
 
 _LOCAL_DIR: str | None = None
 _SHIPPED: dict[str, str] = {}
@@ -157,19 +160,66 @@ def ranked(df: DataFrame, group: list[str], order: list[str], bucket: F.Column,
     return parts.withColumn("_rank_in", number).join(offsets, [*group, b]).withColumn(out, (F.col(first) + F.col("_rank_in")).cast("long")).drop(b, first, "_rank_in")
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """Connected components of undirected edges (a, b): rows (id, component), component the smallest id reachable.
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For nodes 0 .. n-1 with edges i-j the least node that each is connected to."""
+    label = np.arange(n)
+    while i.size:
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        for at in (i, j, before[i], before[j]):  # the labels themselves too, else news goes one edge a turn
+            np.minimum.at(label, at, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def _stars(edges: DataFrame, task_edges: int) -> DataFrame:
+    """Edges (x, y) that connect the same: those that a task reads, joined into components, each node with the least of its own.
+    A task holds task_edges edges and a batch at most; with more it passes on what it has and begins anew."""
 
-    Alternates large-star and small-star steps until the edges stay the same. Each step is an aggregate and a join, so
-    that a node with very many edges is spread over tasks. Nodes without edges to others get no row.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, held = [], [], 0
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            ends, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+            head = ends[forest(len(ends), at[:held], at[held:])]
+            return ends[ends != head], head[ends != head]
+
+        for b in batches:
+            if held and held + b.num_rows > task_edges:
+                one, two = joined()
+                x, y, held = [one], [two], len(one)
+                if held > task_edges // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["x", "y"])
+                    x, y, held = [], [], 0
+            x.append(b.column(0).to_numpy())
+            y.append(b.column(1).to_numpy())
+            held += b.num_rows
+        if held:
+            one, two = joined()
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["x", "y"])
+
+    return map_batches(edges, run, "x long, y long")
+
+
+def components(edges: DataFrame, most_rounds: int = 100, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Connected components of undirected edges (a, b), longs: rows (id, component), component the smallest id reachable.
+
+    Each task first joins the edges it has, so that what is left are few stars. While these are more than task_edges, large-star
+    and small-star steps alternate until the edges stay the same. Each step is an aggregate and a join, so that a node with
+    very many edges is spread over tasks. What one task can hold needs no further step. Nodes without edges to others get no row.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "edges")
+    now = materialize(_stars(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), task_edges), "edges")
     seen = None
-    for _ in range(most_rounds):
+    for turn in range(most_rounds):
         sign = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first())
-        if sign == seen or sign[0] == 0:
+        if sign[0] <= task_edges:
+            now = materialize(_stars(now.coalesce(1), task_edges), "edges")
+            break
+        if sign == seen:
             break
-        seen = sign
+        seen = sign if turn else None  # at first several tasks may have the same edge
         both = now.union(now.select("y", "x"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("u"), F.least("x", "m").alias("m"))
         large = both.where("y > x").join(least, F.col("x") == F.col("u")).select(F.col("y").alias("x"), F.col("m").alias("y")).where("x > y").distinct()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphprep.llm.common import components, map_batches, materialize
+from graphprep.llm.common import components, forest, map_batches, materialize
 
 THRESHOLD = 0.95
 SAMPLE_ROWS = 8192
@@ -131,20 +131,6 @@ def near_pairs(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, thr
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else pairs
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For nodes 0 .. n-1 with edges i-j the least node that each is connected to."""
-    label = np.arange(n)
-    while i.size:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row for each vector: (vec_id, n_links, component_id).
 
@@ -266,10 +252,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
                         links[:] += np.bincount(j + shift, weights=ma[i], minlength=len(nodes))
                     # What a block links is kept as a star, a row a vector, however many pairs there are.
                     own, at = np.unique(np.concatenate([i, j + shift]), return_inverse=True)
-                    head = own[_forest(len(own), at[: len(i)], at[len(i) :])] if len(own) else own
+                    head = own[forest(len(own), at[: len(i)], at[len(i) :])] if len(own) else own
                     low.append(own)
                     high.append(head)
-            head = _forest(len(nodes), np.concatenate(low), np.concatenate(high))
+            head = forest(len(nodes), np.concatenate(low), np.concatenate(high))
             hit = np.flatnonzero(links > 0)
             return pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(nodes[head[hit]]), pa.array(links[hit].astype(np.int64))], names=["node", "head", "links"])
 

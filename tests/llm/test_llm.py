@@ -49,6 +49,45 @@ def tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
 
 
+def test_components_in_tasks_and_in_rounds(spark):
+    from graphprep.llm.common import components
+
+    r = random.Random(5)
+    ids = [(r.randrange(1 << 62) - (1 << 61)) for _ in range(3000)]
+    path = list(zip(ids[:1000], ids[1:1000]))  # one component, its ids in no order
+    pairs = [(ids[1000 + r.randrange(2000)], ids[1000 + r.randrange(2000)]) for _ in range(1500)]
+    hub = [(1 << 62, x) for x in range(500)]
+    every = path + pairs + hub + hub[:20] + [(7_000, 7_000)]
+    label = {x: x for e in every if e[0] != e[1] for x in e}
+    for _ in label:
+        before = dict(label)
+        for a, b in every:
+            if a != b:
+                label[a] = label[b] = label[label[a]] = label[label[b]] = min(label[a], label[b], label[label[a]], label[label[b]])
+        if label == before:
+            break
+    want = {k: v for k, v in label.items() if k != v}
+    edges = spark.createDataFrame([*every, (None, 3), (4, None)], "a long, b long").repartition(4)
+    for task_edges in (1 << 18, 300):  # all in one task; steps of joins until few enough, or the same, are left
+        assert {x.id: x.component for x in components(edges, task_edges=task_edges).collect() if x.id != x.component} == want
+    assert components(edges.where("a is null")).count() == 0
+
+
+def test_components_of_few_edges_need_few_jobs(spark):
+    """Each round of joins cost the driver some ten stages; with 211 shuffle partitions most of the pipeline's tasks were these."""
+    from graphprep.llm.common import components
+
+    edges = spark.range(2000).selectExpr("id as a", "id + 1 as b").repartition(4)
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "few edges")
+    try:
+        assert components(edges).count() == 2000
+        assert len(sc.statusTracker().getJobIdsForGroup("components")) <= 8
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+
+
 def test_brown_scores(docs, none):
     from graphprep.llm.brown import score, train
 
