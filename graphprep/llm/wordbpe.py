@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-from graphprep.llm.common import worker_cache
+from graphprep.llm.common import give_back, worker_cache
 
 #: Parts, and halves of parts, kept by one Python worker.
 CACHE_PARTS, CACHE_HALVES = 300_000, 200_000
@@ -126,6 +126,7 @@ def token_pieces(docs, definition: str, window: int, end_id: int = 0, with_ids:
                             ids.append(part)
                 made = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(ids, pa.binary())] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays(made, names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+                give_back()
 
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""), caches="wordbpe")
 
@@ -138,4 +139,5 @@ def encoder_of(definition: str) -> WordEncoder:
     if cache.get("definition") != definition:
         worker_cache("wordbpe").clear()
         cache.update(definition=definition, encoder=WordEncoder(definition))
+        give_back()
     return cache["encoder"]
